@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import media, mixing, secrets, warc
+from seqloom.llm import media, mixing, neardup, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_features(media.store_media(table(spark, sf_dir, "documents")))
 
@@ -31,6 +35,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op4_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+            FROM w),
+        n AS (SELECT doc_id, len(s)::BIGINT AS n_shingles FROM s),
+        x AS (SELECT doc_id, unnest(s) AS e FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM x a JOIN x b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (
+            SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+            WHERE 100 * i >= 85 * (na.n_shingles + nb.n_shingles - i)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(v, m) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.v),
+        c AS (SELECT v, min(m) AS component_id FROM r GROUP BY v)
+        SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON v = doc_id
+    """,
     "op6_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
@@ -45,7 +68,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op5_media, op6_warc, op8_secrets, op10_mixing)
+    named = (op4_minhash, op5_media, op6_warc, op8_secrets, op10_mixing)
     return {f.__name__: f for f in named}
 
 
