@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import media, mixing, neardup, secrets, warc
+from seqloom.llm import hnsw, media, mixing, neardup, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.classes(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -35,6 +39,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op1_hnsw": """
+        WITH RECURSIVE x AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+        e AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM x a JOIN x b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        r(v, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.v),
+        c AS (SELECT v, min(m) AS component_id FROM r GROUP BY v),
+        d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN c ON v = vec_id LEFT JOIN d ON a = vec_id
+    """,
     "op4_minhash": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -68,7 +86,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op4_minhash, op5_media, op6_warc, op8_secrets, op10_mixing)
+    named = (op1_hnsw, op4_minhash, op5_media, op6_warc, op8_secrets, op10_mixing)
     return {f.__name__: f for f in named}
 
 
