@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import hnsw, media, mixing, neardup, secrets, warc
+from seqloom.llm import hnsw, media, mixing, neardup, secrets, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.deduplicated(table(spark, sf_dir, "documents"), window=13))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -82,11 +86,21 @@ SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
         FROM q
     """,
+    "op7_substrings": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+        g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) AS least FROM s),
+        r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM g WHERE least < doc_id),
+        x AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS k FROM d),
+        k AS (SELECT doc_id, count(*) AS n, string_agg(v, ' ' ORDER BY k) AS t FROM x ANTI JOIN r USING (doc_id, k) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_hnsw, op4_minhash, op5_media, op6_warc, op8_secrets, op10_mixing)
+    named = (op1_hnsw, op4_minhash, op5_media, op6_warc, op7_substrings, op8_secrets, op10_mixing)
     return {f.__name__: f for f in named}
 
 
