@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import hnsw, media, mixing, neardup, secrets, substrings, warc
+from seqloom.llm import hnsw, lm, media, mixing, neardup, secrets, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"), every=10)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
@@ -88,8 +92,8 @@ SQL = {
     """,
     "op7_substrings": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
-        g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) AS least FROM s),
+        s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS t FROM d WHERE len(w) >= 13),
+        g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS least FROM s),
         r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM g WHERE least < doc_id),
         x AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS k FROM d),
         k AS (SELECT doc_id, count(*) AS n, string_agg(v, ' ' ORDER BY k) AS t FROM x ANTI JOIN r USING (doc_id, k) GROUP BY doc_id)
@@ -100,7 +104,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_hnsw, op4_minhash, op5_media, op6_warc, op7_substrings, op8_secrets, op10_mixing)
+    named = (op1_hnsw, op4_minhash, op5_media, op6_warc, op7_substrings, op8_secrets, op9_lm, op10_mixing)
     return {f.__name__: f for f in named}
 
 
