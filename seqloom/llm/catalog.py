@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import hnsw, lm, media, mixing, neardup, secrets, substrings, warc
+from seqloom.llm import hnsw, langid, lm, media, mixing, neardup, secrets, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.classes(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.remainder("doc_id", 4) == 2
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -104,7 +111,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_hnsw, op4_minhash, op5_media, op6_warc, op7_substrings, op8_secrets, op9_lm, op10_mixing)
+    named = (op1_hnsw, op2_langid, op4_minhash, op5_media, op6_warc, op7_substrings, op8_secrets, op9_lm, op10_mixing)
     return {f.__name__: f for f in named}
 
 
