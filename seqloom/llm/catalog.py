@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import hnsw, langid, lm, media, mixing, neardup, secrets, substrings, warc
+import corpus_pipeline
+from seqloom.llm import hnsw, langid, lm, media, mixing, neardup, pieces, secrets, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenized(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids", "exact", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -111,9 +116,9 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_hnsw, op2_langid, op4_minhash, op5_media, op6_warc, op7_substrings, op8_secrets, op9_lm, op10_mixing)
-    return {f.__name__: f for f in named}
+    named = (op1_hnsw, op2_langid, op3_sentencepiece, op4_minhash, op5_media, op6_warc, op7_substrings, op8_secrets, op9_lm, op10_mixing)
+    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(SQL) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
