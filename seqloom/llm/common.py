@@ -33,9 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once, with its lineage cut, for steps whose rows are narrow.
+
+    A written table rather than checkpoint(): that keeps the constraints of the plan it replaces, which
+    grow beyond all bounds over the rounds of a loop.
+    """
+    return stored(df, "step", "snappy")
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import checkpointed
 
 
-def _forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
+def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
     """Each vertex of the pairs that isn't its tree's smallest, with that smallest vertex."""
     parent: dict[int, int] = {}
 
@@ -34,7 +34,7 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
 
-    found = _forest(pairs())
+    found = forest(pairs())
     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["v", "m"])
 
 

@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import CACHE_LIMIT, as_bytes, checkpointed, lowered_words, stored
-from seqloom.llm.graph import components
+from seqloom.llm.graph import components, forest
 
 CHUNK = 4
+#: Hash functions in all; those beyond the index are kept to 8 bits and only thin out candidates.
+FUNCTIONS = 128
 #: Rows of a key up to which they are compared as one group, and rows of a block beyond that.
-GROUP, BLOCK = 128, 2048
+GROUP, BLOCK = 128, 1024
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,17 +84,35 @@ def chunks_for(percent: int, miss: float = 1e-6) -> int:
     return 64
 
 
+def allowed(percent: int, count: int, miss: float = 1e-6) -> int:
+    """Unequal entries among count hash functions that a pair at the threshold exceeds only with `miss`."""
+    p, tail = 1 - percent / 100, 0.0
+    for e in range(count, -1, -1):
+        tail += math.comb(count, e) * p**e * (1 - p) ** (count - e)
+        if tail > miss:
+            return e
+    return 0
+
+
 def hash_functions(k: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = mixed(np.arange(1, 2 * k + 1, dtype=np.uint64) * _MULTIPLIER)
     return seeds[:k] | np.uint64(1), seeds[k:]
 
 
-def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """16-bit symbols of the minima of the hash functions, in pieces that bound memory."""
+def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, symbols: int) -> bytes:
+    """The minima of the hash functions, in pieces that bound memory: 16-bit symbols of the first, 8 bits of the others."""
     low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 8192):
-        np.minimum(low, ((shingles[at : at + 8192, None] ^ b) * a).min(0), out=low)
-    return (mixed(low) & np.uint64(0xFFFF)).astype(np.uint16)
+    for at in range(0, len(shingles), 2048):
+        np.minimum(low, ((shingles[at : at + 2048, None] ^ b) * a).min(0), out=low)
+    low = mixed(low)
+    return (low[:symbols] & np.uint64(0xFFFF)).astype(np.uint16).tobytes() + (low[symbols:] & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
+def symbols_of(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(16-bit symbols, 8-bit entries) of signatures, a row each."""
+    both = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+    symbols = both.shape[1] - FUNCTIONS
+    return np.ascontiguousarray(both[:, : 2 * symbols]).view(np.uint16), both[:, 2 * symbols :]
 
 
 def signatures(df: DataFrame, width: int, chunks: int, id_col: str, text_col: str) -> DataFrame:
@@ -100,7 +120,7 @@ def signatures(df: DataFrame, width: int, chunks: int, id_col: str, text_col: st
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = hash_functions(CHUNK * chunks)
+        a, b = hash_functions(FUNCTIONS)
         cache = WordHashes()
         for batch in batches:
             n, digests, sigs = [], [], []
@@ -108,7 +128,7 @@ def signatures(df: DataFrame, width: int, chunks: int, id_col: str, text_col: st
                 s = shingle_set(cache.of(lowered_words(data or b"")), width)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(signature(s, a, b).tobytes() if len(s) else None)
+                sigs.append(signature(s, a, b, CHUNK * chunks) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n", "digest", "sig"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n bigint, digest binary, sig binary")
@@ -123,7 +143,7 @@ def keys(reps: DataFrame) -> DataFrame:
                 part = batch.slice(at, 2048)
                 if part.num_rows == 0:
                     continue
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(part.num_rows, -1).astype(np.uint64)
+                sig = symbols_of(part.column(1).to_pylist())[0].astype(np.uint64)
                 ids = np.asarray(part.column(0).to_numpy(zero_copy_only=False))
                 out = all_keys(sig)
                 yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(np.repeat(ids, out.shape[1]))], names=["key", "id"])
@@ -141,10 +161,9 @@ def all_keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(cols, 1)
 
 
-def verified(pairs: DataFrame, df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """pairs(a, b) with `linked`, decided on the full sets; texts of the ids named are read again."""
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    texts = df.select(F.col(id_col).cast("bigint").alias("sid"), F.col(text_col).alias("t")).join(ids, "sid", "left_semi")
+def full_sets(ids: DataFrame, df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, s): the whole sets of the documents named by ids(id), as sorted hashes; their texts are read again."""
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -152,7 +171,14 @@ def verified(pairs: DataFrame, df: DataFrame, width: int, percent: int, id_col:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 sets = [shingle_set(cache.of(lowered_words(x or b"")), width).tobytes() for x in as_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["sid", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+
+    return stored(texts.mapInArrow(make, "id bigint, s binary"), "sets", "none")
+
+
+def verified(pairs: DataFrame, df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """pairs(a, b) with `linked`, decided on the full sets."""
+    sets = full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), df, width, id_col, text_col)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,20 +189,44 @@ def verified(pairs: DataFrame, df: DataFrame, width: int, percent: int, id_col:
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    sets = stored(texts.mapInArrow(make, "sid bigint, s binary"), "sets", "none")
-    full = pairs.join(sets.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
+    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     return checkpointed(full.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint, linked boolean").distinct())
 
 
+def intersections(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each x with each y, as products of presence over slices of what both sides hold."""
+    nx, ny = np.array([len(s) for s in xs]), np.array([len(s) for s in ys])
+    code, which = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
+    row = np.concatenate([np.repeat(np.arange(len(xs)), nx), np.repeat(np.arange(len(ys)), ny)])
+    is_x = np.arange(len(which)) < nx.sum()
+    shared = (np.bincount(which[is_x], minlength=len(code)) > 0) & (np.bincount(which[~is_x], minlength=len(code)) > 0)
+    column = np.cumsum(shared) - 1
+    keep = shared[which]
+    row, column, is_x = row[keep], column[which[keep]], is_x[keep]
+    order = np.argsort(column, kind="stable")
+    row, column, is_x = row[order], column[order], is_x[order]
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for lo in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(column, [lo, lo + 2048])
+        r, c, x = row[a:b], column[a:b] - lo, is_x[a:b]
+        left, right = np.zeros((len(xs), 2048), np.float32), np.zeros((len(ys), 2048), np.float32)
+        left[r[x], c[x]] = 1
+        right[r[~x], c[~x]] = 1
+        out += left @ right.T
+    return out.astype(np.int64)
+
+
 def near(pairs: DataFrame, reps: DataFrame, percent: int, radius: int) -> DataFrame:
-    """pairs(a, b) that sizes and signatures allow, with their distance."""
+    """pairs(a, b) that sizes and signatures allow, with their distance over all hash functions."""
+    most = allowed(percent, FUNCTIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
-                d = (x != y).sum(1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["a", "b", "d"]).filter(pa.array(d <= radius))
+                (x, x8), (y, y8) = (symbols_of(batch.column(i).to_pylist()) for i in (2, 3))
+                d = (x != y).sum(1)
+                fine, d = d <= radius, (d + (x8 != y8).sum(1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["a", "b", "d"]).filter(pa.array(fine & (d <= most)))
 
     left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
     right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"))
@@ -184,64 +234,115 @@ def near(pairs: DataFrame, reps: DataFrame, percent: int, radius: int) -> DataFr
     return both.select("a", "b", "ga", "gb").mapInArrow(run, "a bigint, b bigint, d bigint")
 
 
-def across(keyed: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, radius: int) -> DataFrame:
-    """Pairs (a, b, d) that meet in a key, lie in different components and pass sizes and signatures.
+def alone(ids: DataFrame, df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, u): how many of a document's shingles none of the other documents named by ids(id) has; only where that's not 0."""
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(cache.of(lowered_words(x or b"")), width) for x in as_bytes(part.column(1))]
+                if sets:
+                    owner = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(owner, pa.int64())], names=["e", "id"])
+
+    held = texts.mapInArrow(spread, "e bigint, id bigint").groupBy("e").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    return checkpointed(held.groupBy("id").agg(F.count("*").alias("u")))
+
+
+class Rows:
+    """Rows of a key as arrays."""
+
+    def __init__(self, ids, labels, sizes, alone, sigs):
+        self.id, self.c, self.n, self.u = (np.asarray(x, np.int64) for x in (ids, labels, sizes, alone))
+        self.symbols, self.more = symbols_of(list(sigs))
+        self.keys = all_keys(self.symbols.astype(np.uint64))
+
+    def pairs(self, key: int, percent: int, radius: int, most: int) -> np.ndarray:
+        """(a, b, d) of pairs in different components that may be links, and for which this is the first key shared."""
+        this, out = np.array([key], np.int64).view(np.uint64)[0], [np.empty((0, 3), np.int64)]
+        for r in range(len(self.id)):
+            inner = np.minimum(self.n[r] - self.u[r], self.n - self.u)  # shingles that nobody else has are in no intersection
+            ok = (self.c != self.c[r]) & (100 * inner >= percent * (self.n[r] + self.n - inner))
+            ok[: r + 1] = False
+            ok = np.flatnonzero(ok)
+            d = (self.symbols[ok] != self.symbols[r]).sum(1)
+            ok, d = ok[d <= radius], d[d <= radius]
+            d = d + (self.more[ok] != self.more[r]).sum(1)
+            ok, d = ok[d <= most], d[d <= most]
+            if len(ok):
+                first = self.keys[r][(self.keys[ok] == self.keys[r]).argmax(1)] == this
+                ok, d = ok[first], d[first]
+                out.append(np.stack([np.minimum(self.id[ok], self.id[r]), np.maximum(self.id[ok], self.id[r]), d], 1))
+        return np.concatenate(out)
+
+
+def block_links(pdf, percent: int):
+    """A forest of the links between a block of minor rows and a block of all rows, decided on the full sets."""
+    import pandas as pd
+
+    x, y = pdf[pdf.minor], pdf[~pdf.minor]
+    if x.empty or y.empty:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    nx, ny = x.n.to_numpy(), y.n.to_numpy()
+    both = intersections([np.frombuffer(s, np.uint64) for s in x.s], [np.frombuffer(s, np.uint64) for s in y.s])
+    hit = (100 * both >= percent * (nx[:, None] + ny - both)) & (x.c.to_numpy()[:, None] != y.c.to_numpy())
+    xi, yi = x.id.to_numpy(), y.id.to_numpy()
+    found = forest((int(a), int(b)) for r in np.flatnonzero(hit.any(1)) for a, b in zip([xi[r]] * int(hit[r].sum()), yi[hit[r]], strict=True))
+    return pd.DataFrame({"a": list(found), "b": list(found.values())}, dtype="int64")
+
+
+def across(keyed: DataFrame, labels: DataFrame, reps: DataFrame, df: DataFrame, width: int, percent: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b, d) that meet in a small key, lie in different components and may be links; links(a, b) from large keys.
 
     keyed: (key, id, count) of keys with several rows. Only keys that span components are looked at.
-    Small ones are compared as a group. In large ones, rows outside the most frequent component, in
-    blocks, meet the blocks of all rows.
+    A document many of whose shingles are its own can't be linked, however many it resembles; what is
+    left is compared by sizes and signatures in small keys. In large ones, rows outside the most frequent
+    component, in blocks, meet the blocks of all rows: full sets are compared there and then, and a block
+    returns a forest of its links, so nothing grows with the square of a group but arithmetic.
     """
-    named = keyed.join(labels.select(F.col("v").alias("id"), F.col("m").alias("c")), "id", "left").select("key", "id", "count", F.coalesce("c", "id").alias("c"))
+    most = allowed(percent, FUNCTIONS)
+    named = keyed.join(labels.select(F.col("v").alias("id"), F.col("m").alias("c")), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
     named = checkpointed(named)
-    span = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("count").alias("n")).where("lo <> hi")
-    span = checkpointed(span)
-    open_rows = checkpointed(named.join(span.select("key"), "key"))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spanning(rows: DataFrame) -> DataFrame:
+        span = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("count")).where("lo <> hi").select("key", "count")
+        return rows.join(checkpointed(span), "key")
+
+    open_rows = checkpointed(spanning(named))
+    own = alone(open_rows.select("id").distinct(), df, width, id_col, text_col)
+    # rows that can't be linked go, and keys that no longer span components
+    able = reps.join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent)
+    able = checkpointed(able)
+    rows = open_rows.drop("count").join(able.select("id"), "id", "left_semi").select("key", "id", "c")
+    rows = checkpointed(spanning(checkpointed(rows)).join(able, "id").select("key", "id", "c", "n", "u", "sig", "count"))
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for ids, cs in zip(batch.column(0), batch.column(1), strict=True):
-                ids, cs = ids.values.to_numpy(), cs.values.to_numpy()
-                i, j = np.nonzero(np.triu(cs[:, None] != cs, 1))
-                a.append(np.minimum(ids[i], ids[j]))
-                b.append(np.maximum(ids[i], ids[j]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
-
-    few = open_rows.where(F.col("count") <= GROUP).groupBy("key").agg(F.collect_list(F.struct("id", "c")).alias("x"))
-    found = near(few.select(F.col("x.id").alias("ids"), F.col("x.c").alias("cs")).mapInArrow(spread, "a bigint, b bigint").where("a <> b").distinct(), reps, percent, radius)
-
-    many = open_rows.where(F.col("count") > GROUP)
-    if not many.isEmpty():
-        sizes = many.groupBy("key", "c").agg(F.count("*").alias("m"))
-        main = checkpointed(sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.sum("m").alias("rows")).select("key", F.col("x.c").alias("main"), F.ceil((F.col("rows") - F.col("x.m")) / BLOCK).alias("mb"), F.ceil(F.col("rows") / BLOCK).alias("ab")))
-        rows = many.join(main, "key").join(reps.select("id", "n", "sig"), "id")
-        salt = F.xxhash64("id")
-        every = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), F.pmod(salt, F.col("ab")).alias("j"), F.lit(False).alias("minor"), "id", "c", "n", "sig")
-        minor = rows.where("c <> main").select("key", F.pmod(salt, F.col("mb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), F.lit(True).alias("minor"), "id", "c", "n", "sig")
-
-        def block(pdf):
-            import pandas as pd
-
-            if pdf.empty or pdf.minor.all() or not pdf.minor.any():
-                return pd.DataFrame({"a": [], "b": [], "d": []}, dtype="int64")
-            key = np.uint64(np.int64(pdf.key.iat[0]).view(np.uint64))
-            x, y = pdf[pdf.minor], pdf[~pdf.minor]
-            sx, sy = (np.frombuffer(b"".join(t.sig), np.uint16).reshape(len(t), -1) for t in (x, y))
-            ky = all_keys(sy.astype(np.uint64))
-            out = []
-            for r, (i, c, n, kx) in enumerate(zip(x.id.to_numpy(), x.c.to_numpy(), x.n.to_numpy(), all_keys(sx.astype(np.uint64)), strict=True)):
-                ids, ns = y.id.to_numpy(), y.n.to_numpy()
-                d = (sy != sx[r]).sum(1)
-                ok = np.flatnonzero((y.c.to_numpy() != c) & (d <= radius) & (np.minimum(ns, n) * 100 >= np.maximum(ns, n) * percent))
-                if len(ok):  # a pair is taken at the first key that it shares
-                    ok = ok[kx[(ky[ok] == kx).argmax(1)] == key]
-                    out.append(np.stack([np.minimum(ids[ok], i), np.maximum(ids[ok], i), d[ok]], 1))
-            got = np.concatenate(out) if out else np.empty((0, 3), np.int64)
-            return pd.DataFrame(got.astype(np.int64), columns=["a", "b", "d"])
-
-        found = found.union(every.union(minor).groupBy("key", "i", "j").applyInPandas(block, "a bigint, b bigint, d bigint"))
-    return found.distinct()
+            found = [np.empty((0, 3), np.int64)]
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                members = Rows(*(x.values.field(k).to_numpy(zero_copy_only=False) for k in range(5)))
+                found.append(members.pairs(key, percent, radius, most))
+            got = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, k])) for k in range(3)], names=["a", "b", "d"])
+
+    few = rows.where(F.col("count") <= GROUP).groupBy("key").agg(F.collect_list(F.struct("id", "c", "n", "u", "sig")).alias("x"))
+    found = few.mapInArrow(group, "a bigint, b bigint, d bigint").distinct()
+
+    many = checkpointed(rows.where(F.col("count") > GROUP).select("key", "id", "c", "n"))
+    if many.isEmpty():
+        return found, None
+    sizes = many.groupBy("key", "c").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.sum("m").alias("all")).select("key", F.col("x.c").alias("main"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).alias("mb"), F.ceil(F.col("all") / BLOCK).alias("ab"))
+    sets = full_sets(many.select("id").distinct(), df, width, id_col, text_col)
+    marked = many.join(checkpointed(main), "key").join(sets, "id")
+    salt, columns = F.xxhash64("id"), ["id", "c", "n", "s"]
+    every = marked.select("key", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), F.pmod(salt, F.col("ab")).alias("j"), F.lit(False).alias("minor"), *columns)
+    minor = marked.where("c <> main").select("key", F.pmod(salt, F.col("mb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), F.lit(True).alias("minor"), *columns)
+    links = every.union(minor).groupBy("key", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), "a bigint, b bigint")
+    return found, checkpointed(links.distinct())
 
 
 def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", miss: float = 1e-6) -> DataFrame:
@@ -264,18 +365,22 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     tried = verified(checkpointed(near(star, reps, percent, radius).select("a", "b")), df, width, percent, id_col, text_col)
     links = tried.where("linked").select("a", "b")
     labels = components(links)
-    narrow = keyed.select("key", "id", "count")
-    for step in range(64):
-        pairs = checkpointed(across(narrow, labels, reps, percent, radius).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    narrow = keyed.select("key", "id")
+    enough = max(20_000, reps.count() // 4)
+    for rounds in range(3):
+        pairs, more = across(narrow, labels, reps, df, width, percent, radius, id_col, text_col)
+        pairs = checkpointed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
         total = pairs.count()
-        if total == 0:
-            break
-        last = step >= 3 or total <= max(20_000, 2 * reps.count() // 10)
+        last = rounds == 2 or total <= enough
         if not last:  # hold each document against its nearest first; most pairs then fall within components
             best = pairs.select(F.col("a").alias("x"), "a", "b", "d").union(pairs.select(F.col("b").alias("x"), "a", "b", "d"))
-            pairs = checkpointed(best.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("y")).select("y.a", "y.b").distinct())
-        tried = checkpointed(tried.union(verified(pairs.select("a", "b"), df, width, percent, id_col, text_col)))
-        labels = components(labels.select(F.col("v").alias("a"), F.col("m").alias("b")).union(tried.where("linked").select("a", "b")))
+            pairs = best.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("y")).select("y.a", "y.b").distinct()
+        known = labels.select(F.col("v").alias("a"), F.col("m").alias("b"))
+        if total:
+            new = verified(checkpointed(pairs.select("a", "b")), df, width, percent, id_col, text_col)
+            tried = checkpointed(tried.union(new))
+            known = known.union(new.where("linked").select("a", "b"))
+        labels = components(known.union(more) if more is not None else known)
         if last:
             break
     rep = alike.where("copies > 1").select("digest", F.col("id").alias("rep"))
