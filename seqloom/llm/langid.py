@@ -45,7 +45,7 @@ def ngrams(text: str | None) -> np.ndarray:
         h = (h[:n] + c[p:] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
         inner = inner[:n] | space[p - 1 : p - 1 + n] if p > 1 else inner[:n]  # a space inside joins two words
-        out.append(h[~inner & ~space[:n]] if p == 0 else h[~inner & ~(space[:n] & space[p:])])
+        out.append(h[~inner & ~space] if p == 0 else h[~inner])
     return np.unique(np.concatenate(out))
 
 
@@ -156,7 +156,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_identified(df: DataFrame, model: Model, margin: float = 0.1, text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, whose text speaks for its language: the winner's value is above that of a text that shares nothing with the landmarks by a margin."""
+    """The rows of df, all columns, whose text speaks for its language: the winner's value is above that of a text that shares nothing with the landmarks by a margin. With a single language to learn, any text with letters stays."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -167,7 +167,7 @@ def keep_identified(df: DataFrame, model: Model, margin: float = 0.1, text_col:
         for at in range(0, len(texts), 256):
             found = [ngrams(t) for t in texts.iloc[at : at + 256]]
             values = m.score(found)
-            out += [bool(len(f) and len(v) and v.max() - m.bias[v.argmax()] >= margin) for f, v in zip(found, values, strict=True)]
+            out += [bool(len(f) and len(v) and (len(v) == 1 or v.max() - m.bias[v.argmax()] >= margin)) for f, v in zip(found, values, strict=True)]
         return pd.Series(out, dtype=bool)
 
     return df.where(fine(text_col))

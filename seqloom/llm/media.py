@@ -127,10 +127,12 @@ def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
     return mels, energy
 
 
-def segments(energy: np.ndarray, upper: float = 0.15, lower: float = -0.15) -> list[tuple[int, int]]:
-    """Frame ranges [first, last): opened at median + upper, closed under median + lower."""
-    middle = float(np.median(energy))
-    mark = np.where(energy >= middle + upper, 1, np.where(energy < middle + lower, 0, -1))
+def segments(energy: np.ndarray, upper: float = 0.5, lower: float = 0.3) -> list[tuple[int, int]]:
+    """Frame ranges [first, last): opened at `upper` of the way from floor to peak energy, closed under `lower` of it."""
+    floor, peak = np.percentile(energy, [10, 95])
+    if peak - floor < 1e-3:
+        return []
+    mark = np.where(energy >= floor + upper * (peak - floor), 1, np.where(energy < floor + lower * (peak - floor), 0, -1))
     known = np.where(mark >= 0, np.arange(len(mark)), -1)
     np.maximum.accumulate(known, out=known)
     on = np.where(known >= 0, mark[known], 0) == 1
