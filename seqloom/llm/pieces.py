@@ -11,7 +11,7 @@ merging their joint text gives, so the step from one piece to the next weighs 0
 infinity otherwise, and exactly one path is finite. Whether it holds is found once for a pair of
 pieces, by its merges.
 
-Where no piece holds a space after another character, which compiling checks, shortest paths never
+Where no piece holds two neighbouring kinds of characters, which compiling checks, shortest paths never
 cross such a place, so the lattice is cut there and the parts are remembered.
 
 Texts are encoded whole. A null text gives null ids and null text. An empty text has no ids. Repeated
@@ -27,6 +27,7 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -41,8 +42,14 @@ SPACE = "▁"
 # Fixed values of the file format: kinds of pieces and of models.
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Entries that a cache of words or pairs may hold before it is emptied.
-WORDS_KEPT, PAIRS_KEPT = 500_000, 500_000
+# Ways to cut a text, finest first: letters, digits and others apart with the spaces before them; words; not at all.
+PARTS = (
+    rf"{SPACE}*[^\W\d_²³¹¼½¾]+|{SPACE}*\d|{SPACE}*(?:[^{SPACE}\w]|[_²³¹¼½¾])+|{SPACE}+",
+    rf"{SPACE}*[^{SPACE}]+|{SPACE}+",
+    r"(?s).+",
+)
+#: Entries that a cache of words or pairs may hold before it is emptied; numbers of unknown characters stay below Unicode's size.
+WORDS_KEPT, PAIRS_KEPT = 250_000, 400_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -113,9 +120,13 @@ class Transducer:
         lowest = min((scores[i] for i in self.ids.values()), default=0.0)
         self.unk_weight = -(lowest - 10.0)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE} if fallback else {}
-        cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.parts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if cuts else r"(?s).+")
+        # places where lattices are cut: the finest pattern by which every piece stays whole
+        self.parts = next(x for x in map(re.compile, PARTS) if all(x.findall(p) == [p] for p in self.ids))
         self.stable = Cache(self._stable, PAIRS_KEPT)
+        self.symbols = list(self.pieces)
+        self.numbers = Cache(self._number, 1 << 31)
+        self.numbers.update(self.ids)
+        self.lexicon = dict.fromkeys(self.starts, -1) | self.ids  # ids of pieces, -1 for beginnings of pieces
         self.edges = Cache(self._edges, PAIRS_KEPT)
         self.encoded = Cache(self._encoded, WORDS_KEPT)
         self.text = [self._text(i, unk_text) for i in range(len(self.pieces))]
@@ -164,16 +175,17 @@ class Transducer:
             last += [parts[-1]] * (last[-1:] != parts[-1:])
         return first, last
 
-    def _stable(self, pair: tuple[str, str]) -> bool:
-        """Whether two pieces can be neighbours: the weight of the step is 0, else infinite.
+    def _stable(self, pair: int) -> bool:
+        """Whether two pieces, given as one number, can be neighbours: the weight of the step is 0, else infinite.
 
         They can't if, at some point of merging both, what stands on either side of their border forms a
         piece that comes before the next merge of either; of equal ones, the left one comes first.
         """
-        if pair[0].strip(SPACE) == pair[1].strip(SPACE) == "":  # pieces of spaces alone have equal scores
-            *_, end = self.merged(pair[0] + pair[1])
-            return end == list(pair)
-        left, right = self.edges[pair[0]][1], self.edges[pair[1]][0]
+        one, two = self.symbols[pair >> 32], self.symbols[pair & 0xFFFFFFFF]
+        if one.strip(SPACE) == two.strip(SPACE) == "":  # pieces of spaces alone have equal scores
+            *_, end = self.merged(one + two)
+            return end == [one, two]
+        left, right = self.edges[one][1], self.edges[two][0]
         weights, never = self.weights, float("inf")
         i = j = 0
         while True:
@@ -189,33 +201,56 @@ class Transducer:
             else:
                 j += 1
 
+    def _number(self, symbol: str) -> int:
+        """A piece's id; characters that are in no piece get numbers beyond."""
+        self.symbols.append(symbol)
+        return len(self.symbols) - 1
+
     def shortest_path(self, text: str) -> list[str]:
         """The pieces of the lattice's shortest path."""
+        if self.kind == BPE:
+            return [self.symbols[i] for i in self._finite_path(text)]
         n, best, came = len(text), [float("inf")] * (len(text) + 1), [-1] * (len(text) + 1)
         best[0] = 0.0
-        if self.kind == UNIGRAM:
-            for at in range(n):
-                for end in self.arcs(text, at):
-                    cost = best[at] + self.weights.get(text[at:end], self.unk_weight)
-                    if cost < best[end]:
-                        best[end], came[end] = cost, at
-        else:
-            last: list[str | None] = [""] + [None] * n  # the piece before each position, known once its one finite path is
-            starts, known, stable = self.starts, self.ids, self.stable
-            for at in range(n):
-                before, end = last[at], at + 1
-                if text[at] not in known and last[end] is None and (not before or stable[before, text[at]]):
-                    last[end], came[end] = text[at], at
-                while end <= n and (piece := text[at:end]) in starts:
-                    if piece in known and last[end] is None and (not before or stable[before, piece]):
-                        last[end], came[end] = piece, at
-                    end += 1
+        for at in range(n):
+            for end in self.arcs(text, at):
+                cost = best[at] + self.weights.get(text[at:end], self.unk_weight)
+                if cost < best[end]:
+                    best[end], came[end] = cost, at
         out, at = [], n
         while at > 0:
             out.append(text[came[at] : at])
             at = came[at]
         return out[::-1]
 
+    def _finite_path(self, text: str) -> list[int]:
+        """Numbers of the pieces of the one path whose weights are all 0. A position has one finite path from the start at most, so the
+        search goes depth first, longest arcs first, and ends with the first path that reaches the end."""
+        n, lexicon, stable, numbers = len(text), self.lexicon, self.stable, self.numbers
+        at, before, trail = 0, -1, []
+        ends: list[int] | None = None
+        while at < n:
+            if ends is None:
+                end, ends = at + 1, []
+                first = found = lexicon.get(text[at:end])
+                while found is not None:
+                    if found >= 0:
+                        ends.append(end)
+                    end += 1
+                    found = lexicon.get(text[at:end]) if end <= n else None
+                if first is None or first < 0:
+                    ends.insert(0, at + 1)
+            while ends:
+                end = ends.pop()
+                piece = numbers[text[at:end]]
+                if before < 0 or stable[before << 32 | piece]:
+                    trail.append((at, before, ends))
+                    at, before, ends = end, piece, None
+                    break
+            else:
+                at, before, ends = trail.pop()
+        return [*[t[1] for t in trail[1:]], before] if n else []
+
     def spelled(self, piece: str) -> list[int]:
         """Ids of a piece; a character that is none is written as bytes, or unknown."""
         if (known := self.ids.get(piece)) is not None:
@@ -224,11 +259,16 @@ class Transducer:
 
     def _encoded(self, part: str) -> bytes:
         ids: list[int] = []
+        if self.kind == BPE:
+            ids = self._finite_path(part)
+            if max(ids) < len(self.pieces):
+                return array("i", ids).tobytes()
+            ids = []
         for piece in self.shortest_path(part):
             new = self.spelled(piece)
             if new != [self.unk] or ids[-1:] != [self.unk]:  # neighbouring unknowns are one
                 ids += new
-        return np.array(ids, np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.encoded.__getitem__, self.parts.findall(self.normalise(text)))), np.int32)
