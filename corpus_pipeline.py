@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import langid, mixing, neardup, pieces, secrets
-from seqloom.llm.common import stored
+from seqloom.llm.common import prepare, stored
 from seqloom.session import importable_on_workers
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that speak for one of the languages learned from the labelled ones; others go."""
     importable_on_workers(spark)
+    prepare(spark)
     return langid.keep_identified(docs, langid.fit(docs, F.lit(True)))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8: the smallest id."""
     importable_on_workers(spark)
+    prepare(spark)
     kept = neardup.classes(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))
@@ -31,6 +33,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, the secrets in their texts masked and n_chars counted anew."""
     importable_on_workers(spark)
+    prepare(spark)
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
@@ -43,6 +46,7 @@ def blend(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and token ids of every document that is left."""
     importable_on_workers(spark)
+    prepare(spark)
     return pieces.tokenized(docs).select("doc_id", "n_tokens", "ids")
 
 

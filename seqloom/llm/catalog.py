@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqloom.llm import hnsw, langid, lm, media, mixing, neardup, pieces, secrets, substrings, warc
+from seqloom.llm.common import prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

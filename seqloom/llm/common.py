@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries that a worker's cache of words may hold before it is emptied.
-CACHE_LIMIT = 400_000
+CACHE_LIMIT = 200_000
+#: Rows of a batch between the JVM and Python: texts and sets are long, and both sides hold batches at once.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Small batches to Python workers, for plans made from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once, with its lineage cut, for steps whose rows are narrow.
 
@@ -44,6 +51,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written as Parquet to the shared folder and read back; columns can then be read alone."""
     spark = df.sparkSession
+    prepare(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
