@@ -1,20 +1,771 @@
-"""The named queries over the driver's tables, each with its SQL where SQL can say it."""
+"""The named queries over the driver's tables, each with its SQL where SQL can say it.
+
+Every query reads its whole tables. Floating results are rounded to six decimals in both engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions import scores as S
+from seqloom.functions.alphabet import AMINO, AMINO_BACKGROUND, codes, letters, reverse_complement
+from seqloom.operators import build as B
+from seqloom.operators import intervals as I
+from seqloom.operators import kernels as K
+from seqloom.operators import profile as P
+from seqloom.operators import search as R
+from seqloom.sources.fasta import render_fasta
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql.replace("{DOCS}", DOCS).replace("{PARTS}", PARTS).replace("{BG}", BG).replace("{MSA}", MSA).replace("{HITS}", HITS)
+        return f
+
+    return add
+
+
+# the driver's tables as sequences, in SQL
+STRIP = "regexp_replace(upper(regexp_replace(coalesce({}, ''), '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
+DOCS = f"(SELECT doc_id, lang, source, {STRIP.format('text')} AS seq FROM documents)"
+PARTS = f"(SELECT p_partkey, p_name, {STRIP.format('p_name')} AS seq FROM part)"
+BG = "(VALUES " + ", ".join(f"('{a}', {f / sum(AMINO_BACKGROUND)!r}::DOUBLE)" for a, f in zip(AMINO, AMINO_BACKGROUND, strict=True)) + ") AS bg(residue, f)"
+MSA = "(SELECT c_nationkey AS msa_id, c_custkey AS row_idx, rpad(upper(c_mktsegment), 10, '-') AS aseq FROM customer)"
+HITS = "(SELECT o_custkey % 50 AS model, o_orderkey AS hit, o_custkey AS target, round(-o_totalprice / 10000.0, 6) AS lnp, round(o_totalprice / 7000.0, 6) AS score FROM orders)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "lang", "source", letters(F.col("text")).alias("seq"))
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", "p_name", letters(F.col("p_name")).alias("seq"))
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' segments as alignments, one per nation."""
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("msa_id"), F.col("c_custkey").alias("row_idx"), F.rpad(F.upper("c_mktsegment"), 10, "-").alias("aseq"))
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as hits of fifty models: ln P and bit scores from prices."""
+    o = table(spark, d, "orders")
+    price = F.col("o_totalprice").cast("double")
+    return o.select((F.col("o_custkey") % 50).alias("model"), F.col("o_orderkey").alias("hit"), F.col("o_custkey").alias("target"), F.round(-price / 10000.0, 6).alias("lnp"), F.round(price / 7000.0, 6).alias("score"))
+
+
+def r6(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+def bg_frame(spark: SparkSession) -> DataFrame:
+    total = sum(AMINO_BACKGROUND)
+    return spark.createDataFrame([(a, f / total) for a, f in zip(AMINO, AMINO_BACKGROUND, strict=True)], "residue string, f double")
+
+
+def residues(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.explode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("residue"))
+
+
+# scans and projections
+@query("SELECT doc_id, length(seq)::BIGINT AS len, md5(seq) AS digest FROM {DOCS}")
+def seq_letters(spark, d):
+    return docs(spark, d).select("doc_id", F.length("seq").cast("bigint").alias("len"), F.md5("seq").alias("digest"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(seq, '.'), lambda c: strpos('ACDEFGHIKLMNPQRSTVWY', c) - 1), ',') AS codes FROM {PARTS}")
+def seq_digitize(spark, d):
+    return parts(spark, d).select("p_partkey", F.array_join(F.transform(codes(F.col("seq")), lambda c: c.cast("string")), ",").alias("codes"))
+
+
+@query("SELECT lang, count(*)::BIGINT AS n, min(length(seq))::BIGINT AS shortest, max(length(seq))::BIGINT AS longest, sum(length(seq))::BIGINT AS residues FROM {DOCS} GROUP BY lang")
+def seq_length_stats(spark, d):
+    n = F.length("seq")
+    return docs(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.min(n).cast("bigint").alias("shortest"), F.max(n).cast("bigint").alias("longest"), F.sum(n).alias("residues"))
+
+
+@query("SELECT r AS residue, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(seq, '.')) AS r FROM {DOCS}) GROUP BY r")
+def residue_composition(spark, d):
+    per = [(F.length("seq") - F.length(F.replace("seq", F.lit(a)))).alias(a) for a in AMINO]  # counted per row, without a row per residue
+    sums = docs(spark, d).select(*per).agg(*[F.sum(a).alias(a) for a in AMINO])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(a).alias("residue"), F.coalesce(F.col(a), F.lit(0)).cast("bigint").alias("n")) for a in AMINO])).alias("x")).select("x.residue", "x.n").where("n > 0")
+
+
+@query("SELECT residue, round(f, 6) AS f FROM {BG}")
+def background_freqs(spark, d):
+    return bg_frame(spark).select("residue", r6(F.col("f")).alias("f"))
+
+
+@query("SELECT p_partkey, '>' || p_partkey || ' ' || p_name || chr(10) || array_to_string(regexp_extract_all(seq, '.{1,10}'), chr(10)) AS value FROM {PARTS}")
+def fasta_render(spark, d):
+    p = parts(spark, d)
+    return render_keyed(p)
+
+
+def render_keyed(p: DataFrame) -> DataFrame:
+    text = render_fasta(p.select(F.col("p_partkey").cast("string").alias("name"), F.col("p_name").alias("descr"), "seq"), 10)
+    return text.select(F.regexp_extract("value", r"^>(\d+)", 1).cast(p.schema["p_partkey"].dataType).alias("p_partkey"), "value")
+
+
+@query("""WITH s AS (SELECT page_id, regexp_replace(coalesce(html, ''), '[^A-Za-z]', '', 'g') AS seq FROM pages)
+SELECT page_id, start::INT AS start, length(substr(seq, start, 400))::INT AS n FROM (SELECT page_id, seq, unnest(range(1, greatest(2, length(seq) - 100 + 1), 300)) AS start FROM s WHERE length(seq) > 0)""")
+def seq_windows_overlap(spark, d):
+    s = table(spark, d, "pages").select("page_id", F.regexp_replace(F.coalesce("html", F.lit("")), "[^A-Za-z]", "").alias("seq"))
+    return I.windows(s, "seq", 400, 100).select("page_id", "start", F.length("part").alias("n"))
+
+
+@query("SELECT p_partkey, reverse(translate(s, 'ACGT', 'TGCA')) AS rc FROM (SELECT p_partkey, regexp_replace(upper(p_name), '[^ACGT]', '', 'g') AS s FROM part)")
+def revcomp(spark, d):
+    s = F.regexp_replace(F.upper("p_name"), "[^ACGT]", "")
+    return table(spark, d, "part").select("p_partkey", reverse_complement(s).alias("rc"))
+
+
+@query("""WITH s AS (SELECT p_partkey, regexp_replace(upper(p_name), '[^ACGT]', '', 'g') AS s FROM part)
+SELECT p_partkey, '+' AS strand, s AS seq FROM s UNION ALL SELECT p_partkey, '-', reverse(translate(s, 'ACGT', 'TGCA')) FROM s""")
+def strand_union(spark, d):
+    s = table(spark, d, "part").select("p_partkey", F.regexp_replace(F.upper("p_name"), "[^ACGT]", "").alias("seq"))
+    return s.select("p_partkey", F.explode(F.array(F.struct(F.lit("+").alias("strand"), "seq"), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("seq")))).alias("x")).select("p_partkey", "x.strand", "x.seq")
+
+
+# null models
+@query("SELECT doc_id, round(n * ln(n / (n + 1)) + ln(1 / (n + 1)), 6) AS null1 FROM (SELECT doc_id, length(seq)::DOUBLE AS n FROM {DOCS}) WHERE n > 0")
+def null1_score(spark, d):
+    return docs(spark, d).where("seq <> ''").select("doc_id", r6(S.null1(F.length("seq"))).alias("null1"))
+
+
+@query("""WITH c AS (SELECT p_partkey, r, count(*)::DOUBLE AS n FROM (SELECT p_partkey, unnest(regexp_extract_all(seq, '.')) AS r FROM {PARTS}) GROUP BY ALL),
+t AS (SELECT p_partkey, sum(n) AS t FROM c GROUP BY p_partkey)
+SELECT p_partkey, round(sum(n / t * log2(n / t / f)), 6) AS kl FROM c JOIN t USING (p_partkey) JOIN (SELECT * FROM {BG}) b ON b.residue = r GROUP BY p_partkey""")
+def composition_kl(spark, d):
+    n = residues(parts(spark, d), "p_partkey").groupBy("p_partkey", "residue").agg(F.count("*").alias("n"))
+    p = F.col("n") / F.sum("n").over(Window.partitionBy("p_partkey"))
+    return n.withColumn("p", p).join(F.broadcast(bg_frame(spark)), "residue").groupBy("p_partkey").agg(r6(F.sum(F.col("p") * F.log2(F.col("p") / F.col("f")))).alias("kl"))
+
+
+@query("""WITH c AS (SELECT p_partkey, r, count(*)::DOUBLE AS n FROM (SELECT p_partkey, unnest(regexp_extract_all(seq, '.')) AS r FROM {PARTS}) GROUP BY ALL),
+t AS (SELECT p_partkey, sum(n) AS t FROM c GROUP BY p_partkey),
+x AS (SELECT p_partkey, sum(n * ln(n / t / f)) AS x FROM c JOIN t USING (p_partkey) JOIN (SELECT * FROM {BG}) b ON b.residue = r GROUP BY p_partkey)
+SELECT p_partkey, round(greatest(x, 0) + ln(1 + exp(-abs(x))), 6) AS null3 FROM x""")
+def null3_correction(spark, d):
+    n = residues(parts(spark, d), "p_partkey").groupBy("p_partkey", "residue").agg(F.count("*").alias("n"))
+    n = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("p_partkey"))).join(F.broadcast(bg_frame(spark)), "residue")
+    x = n.groupBy("p_partkey").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("f"))).alias("x"))
+    return x.select("p_partkey", r6(S.log_sum(F.lit(0.0), F.col("x"))).alias("null3"))
+
+
+# filters, on part names against a model of one word
+WORD = "STEEL"
+
+
+def word_model() -> P.Model:
+    return P.single_sequence("word", WORD)
+
+
+def _kernel(df: DataFrame, key: str, kernel, column: str, kind: str = "double") -> DataFrame:
+    """key and a kernel's value for every row."""
+    kt = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        from seqloom.functions.alphabet import digitize
+
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], column: kernel(*K.batch([digitize(s) for s in pdf.seq]))})
+
+    return df.select(key, "seq").mapInPandas(run, f"{key} {kt}, {column} {kind}")
+
+
+def _msv_sql() -> str:
+    """The 8-bit filter as a recursion over residues, the five nodes as columns."""
+    p = P.configure(word_model())
+    cost, bias = P.quantise_msv(p)
+    m, scale = p.m, float(3 / np.log(2))
+    unit = lambda x: int(min(255, max(0, np.floor(-scale * x + 0.5))))
+    tbm, tec = unit(np.log(2 / (m * (m + 1)))), unit(np.log(0.5))
+    rows = ", ".join(f"('{a}', {', '.join(str(cost[i, k]) for k in range(1, m + 1))})" for i, a in enumerate(AMINO))
+    c = ", ".join(f"c{k}" for k in range(1, m + 1))
+    cell = lambda k: f"greatest(0, least(255, greatest({'d' + str(k - 1) if k > 1 else '0'}, b) + {bias}) - c{k})"
+    news = ", ".join(f"{cell(k)} AS e{k}" for k in range(1, m + 1))
+    top = f"greatest({', '.join(f'e{k}' for k in range(1, m + 1))})"
+    zeros = ", ".join(f"0 AS d{k}" for k in range(1, m + 1))
+    es = ", ".join(f"e{k}" for k in range(1, m + 1))
+    return f"""WITH RECURSIVE cost AS (SELECT * FROM (VALUES {rows}) AS t(r, {c})),
+s AS (SELECT p_partkey, seq, length(seq) AS n, greatest(0, least(255, floor(-{scale!r} * ln(3.0 / (length(seq) + 3)) + 0.5)))::INT AS tjb FROM {PARTS} WHERE length(seq) > 0),
+w AS (
+    SELECT p_partkey, seq, n, tjb, 0 AS i, 0 AS j, greatest(0, {190 - tbm} - tjb) AS b, {zeros} FROM s
+    UNION ALL
+    SELECT p_partkey, seq, n, tjb, i, nj, greatest(0, greatest(190, nj) - tjb - {tbm}), {es} FROM (
+        SELECT *, greatest(j, greatest(0, {top} - {tec})) AS nj FROM (
+            SELECT p_partkey, seq, n, tjb, i + 1 AS i, j, {news} FROM w JOIN cost ON r = substr(seq, i + 1, 1) WHERE i < n)))
+SELECT p_partkey, j::BIGINT AS xj FROM w WHERE i = n"""
+
+
+@query(_msv_sql())
+def msv_score_int(spark, d):
+    p = P.configure(word_model())
+    return _kernel(parts(spark, d).where("seq <> ''"), "p_partkey", lambda x, n: K.msv_int(p, x, n)[0].astype(np.int64), "xj", "bigint")
+
+
+@query()
+def msv_pvalue_filter(spark, d):
+    model = R.calibrated(word_model())
+    p, st = P.configure(model), model.stats
+    s = _kernel(parts(spark, d).where("seq <> ''"), "p_partkey", lambda x, n: (K.msv(p, x, n) - (n * np.log(n / (n + 1)) + np.log(1 / (n + 1)))) / np.log(2), "bits")
+    return s.withColumn("p", S.gumbel_p(F.col("bits"), st["msv_mu"], st["msv_lambda"])).where(F.col("p") <= 0.3).select("p_partkey", r6(F.col("bits")).alias("bits"), r6(F.col("p")).alias("p"))
+
+
+@query()
+def viterbi_score(spark, d):
+    p = P.configure(word_model())
+    return _kernel(parts(spark, d).where("seq <> ''"), "p_partkey", lambda x, n: np.round(K.viterbi(p, x, n), 6), "score")
+
+
+@query()
+def forward_score(spark, d):
+    p = P.configure(word_model())
+    return _kernel(parts(spark, d).where("seq <> ''"), "p_partkey", lambda x, n: np.round(K.forward(p, x, n), 6), "score")
+
+
+@query()
+def bias_filter_score(spark, d):
+    m = word_model()
+    f, compo = m.bg, P.composition(m)
+    return _kernel(parts(spark, d).where("seq <> ''"), "p_partkey", lambda x, n: np.array([round(K.bias_null(f, compo, m.m, c[:k]), 6) for c, k in zip(x, n, strict=True)]), "score")
+
+
+def corpus_background(df: DataFrame) -> np.ndarray:
+    """Residue frequencies of a table of sequences, one added to each count."""
+    row = df.agg(*[F.sum(F.length("seq") - F.length(F.replace("seq", F.lit(a)))).alias(a) for a in AMINO]).first()
+    n = np.array([(row[a] or 0) + 1 for a in AMINO], float)
+    return n / n.sum()
+
+
+WORDS = ("STEEL", "ANTIQVE", "PLATED", "SMALL", "PRINT", "LINEN")
+
+
+def search_parts(spark: SparkSession, d: str, config: R.Config | None = None, words: tuple[str, ...] = WORDS) -> tuple[DataFrame, DataFrame]:
+    """Part names searched with models of words."""
+    target = parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), F.concat(F.lit("part"), "p_partkey").alias("name"), "seq")
+    models = [P.single_sequence(w.lower(), w) for w in words]
+    return R.search(target, models, config or R.Config(f1=0.3, f2=0.2, f3=0.1))
+
+
+@query()
+def cascade_counters(spark, d):
+    return search_parts(spark, d)[1]
+
+
+@query()
+def cascade_survivors(spark, d):
+    hits, _ = search_parts(spark, d)
+    return hits.select("model", "seq_id", r6(F.col("score")).alias("score"), r6(F.col("lnp")).alias("lnp"), "reported", "included")
+
+
+@query()
+def max_mode(spark, d):
+    return search_parts(spark, d, R.Config().maximal(), WORDS[:1])[1]
+
+
+@query()
+def tblout(spark, d):
+    return R.tblout(search_parts(spark, d)[0])
+
+
+@query()
+def domtblout(spark, d):
+    return R.domtblout(search_parts(spark, d)[0])
+
+
+@query()
+def scan_swap_z(spark, d):
+    target = parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), F.concat(F.lit("part"), "p_partkey").alias("name"), "seq")
+    models = [P.single_sequence(w.lower(), w) for w in ("STEEL", "PLATED", "LINEN")]
+    return R.scan(target, models, R.Config(f1=0.3, f2=0.2, f3=0.1)).select("seq_id", "model", "rank", r6(F.col("evalue")).alias("evalue"))
+
+
+# P-values, E-values, thresholds
+@query("SELECT hit, round(CASE WHEN 0.7 * (score - 2) > 20 THEN -0.7 * (score - 2) ELSE ln(1 - exp(-exp(-0.7 * (score - 2)))) END, 4) AS lnp FROM {HITS} WHERE score < 30")
+def gumbel_pvalue(spark, d):
+    return scored(spark, d).where("score < 30").select("hit", F.round(S.gumbel_ln_p(F.col("score"), 2.0, 0.7), 4).alias("lnp"))
+
+
+@query("SELECT hit, round(exp(least(0, -0.7 * (score - 5))), 6) AS p FROM {HITS}")
+def exp_tail_pvalue(spark, d):
+    return scored(spark, d).select("hit", r6(S.exponential_p(F.col("score"), 5.0, 0.7)).alias("p"))
+
+
+@query("WITH z AS (SELECT model, count(*) AS z FROM {HITS} GROUP BY model) SELECT hit, model, round(exp(lnp) * z, 6) AS evalue FROM {HITS} JOIN z USING (model) WHERE exp(lnp) * z <= 10")
+def evalue_report(spark, d):
+    h = scored(spark, d)
+    z = h.groupBy("model").agg(F.count("*").alias("z"))
+    e = S.evalue(F.exp("lnp"), F.col("z"))
+    return h.join(z, "model").where(e <= S.E_REPORT).select("hit", "model", r6(e).alias("evalue"))
+
+
+@query("WITH z AS (SELECT model, count(*) AS z FROM {HITS} GROUP BY model) SELECT model, count(*)::BIGINT AS reported, count(CASE WHEN exp(lnp) * z <= 0.01 THEN 1 END)::BIGINT AS included FROM {HITS} JOIN z USING (model) WHERE exp(lnp) * z <= 10 GROUP BY model")
+def evalue_inclusion(spark, d):
+    h = scored(spark, d)
+    z = h.groupBy("model").agg(F.count("*").alias("z"))
+    e = S.evalue(F.exp("lnp"), F.col("z"))
+    return h.join(z, "model").where(e <= S.E_REPORT).groupBy("model").agg(F.count("*").alias("reported"), F.count(F.when(e <= S.E_INCLUDE, 1)).alias("included"))
+
+
+@query("SELECT hit, model, score FROM {HITS} WHERE score >= 20 + model % 7")
+def bit_cutoffs_ga(spark, d):
+    return scored(spark, d).where(F.col("score") >= 20 + F.col("model") % 7).select("hit", "model", "score")
+
+
+@query("""WITH t AS (SELECT model, target, min(lnp) AS best FROM {HITS} GROUP BY ALL), z AS (SELECT model, count(*) AS z FROM t GROUP BY model),
+r AS (SELECT model, target FROM t JOIN z USING (model) WHERE exp(best) * z <= 1), dz AS (SELECT model, count(*) AS dom_z FROM r GROUP BY model)
+SELECT hit, model, round(exp(lnp) * dom_z, 6) AS c_evalue FROM {HITS} JOIN r USING (model, target) JOIN dz USING (model) WHERE exp(lnp) * dom_z <= 1""")
+def domz_second_pass(spark, d):
+    h = scored(spark, d)
+    t = h.groupBy("model", "target").agg(F.min("lnp").alias("best"))
+    reported = t.join(t.groupBy("model").agg(F.count("*").alias("z")), "model").where(F.exp("best") * F.col("z") <= 1).select("model", "target")
+    dom_z = reported.groupBy("model").agg(F.count("*").alias("dom_z"))
+    c = F.exp("lnp") * F.col("dom_z")
+    return h.join(reported, ["model", "target"]).join(dom_z, "model").where(c <= 1).select("hit", "model", r6(c).alias("c_evalue"))
+
+
+@query("SELECT model, target, arg_max(hit, score * 1e6 - hit / 1e6) AS hit, max(score) AS score FROM {HITS} GROUP BY ALL")
+def best_domain(spark, d):
+    best = F.max(F.struct(F.col("score"), (-F.col("hit")).alias("h")))
+    return scored(spark, d).groupBy("model", "target").agg(best.alias("x")).select("model", "target", (-F.col("x.h")).alias("hit"), F.col("x.score").alias("score"))
+
+
+# joins
+@query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
+def cross_search(spark, d):
+    """Passages in documents: one automaton over all passages instead of all pairs."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("target"), F.coalesce("text", F.lit("")).alias("seq"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("pattern"))
+    return I.exact_matches(t, q).select(F.col("target").alias("doc_id"), F.col("query").alias("item_id")).distinct()
+
+
+@query("SELECT o_orderkey AS hit, c_name AS name, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000")
+def late_profile_join(spark, d):
+    survivors = table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_orderkey").alias("hit"), "o_custkey")
+    return survivors.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("hit", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS t FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT DISTINCT o_custkey AS t FROM orders WHERE o_orderkey % 2 = 1)
+SELECT t AS target, 'new' AS change FROM b ANTI JOIN a USING (t) UNION ALL SELECT t, 'dropped' FROM a ANTI JOIN b USING (t)""")
+def new_vs_dropped(spark, d):
+    o = table(spark, d, "orders")
+    a, b = (o.where(F.col("o_orderkey") % 2 == k).select(F.col("o_custkey").alias("target")).distinct() for k in (0, 1))
+    return b.join(a, "target", "left_anti").withColumn("change", F.lit("new")).union(a.join(b, "target", "left_anti").withColumn("change", F.lit("dropped")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id BETWEEN 10 AND 50 OR doc_id BETWEEN 70 AND 90")
+def range_filter(spark, d):
+    """Targets by ranges given as text, as a search service takes them."""
+    return table(spark, d, "documents").where(in_ranges(F.col("doc_id"), "10..50,70..90")).select("doc_id")
+
+
+def in_ranges(column: Column, ranges: str) -> Column:
+    """Whether a number lies in one of a..b,c..d."""
+    spans = [tuple(int(x) for x in r.split("..")) for r in ranges.split(",")]
+    out = F.lit(False)
+    for low, high in spans:
+        out = out | column.between(low, high)
+    return out
+
+
+@query("""WITH s AS (SELECT doc_id, coalesce(sum(length(seq)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(seq) AS n FROM {DOCS}),
+q AS (SELECT o_orderkey, (o_custkey * 7919)::BIGINT % (SELECT sum(n)::BIGINT FROM s) AS place FROM orders)
+SELECT o_orderkey, doc_id, (place - start)::BIGINT AS pos FROM q JOIN s ON place >= start AND place < start + n""")
+def asof_segment(spark, d):
+    """Positions in a concatenation, mapped to their sequence: a merge of sorted positions and starts per block."""
+    s = docs(spark, d).select("doc_id", F.length("seq").cast("bigint").alias("n"))
+    starts = cumulative(s, "doc_id", "n")
+    total = s.agg(F.sum("n").alias("t"))
+    q = table(spark, d, "orders").crossJoin(F.broadcast(total)).select("o_orderkey", ((F.col("o_custkey") * 7919).cast("bigint") % F.col("t")).alias("at"))
+    block = 4096  # a position looks for segments in its own block alone
+    seg = starts.where("n > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n") - 1) / block))))
+    met = q.withColumn("block", F.floor(F.col("at") / block)).join(seg, "block").where("at >= start and at < start + n")
+    return met.select("o_orderkey", "doc_id", (F.col("at") - F.col("start")).alias("pos"))
+
+
+def cumulative(df: DataFrame, key: str, value: str, buckets: int = 256) -> DataFrame:
+    """df with `start`, the sum of value over smaller keys: ranges of keys are summed, then rows within a range."""
+    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / buckets))
+    cut = df.crossJoin(F.broadcast(ends)).withColumn("bucket", F.floor((F.col(key) - F.col("lo")) / width)).drop("lo", "hi")
+    sums = cut.groupBy("bucket").agg(F.sum(value).alias("s"))
+    sums = sums.withColumn("base", F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).drop("s")  # at most `buckets` rows
+    inner = F.sum(value).over(Window.partitionBy("bucket").orderBy(key)) - F.col(value)
+    return cut.join(F.broadcast(sums), "bucket").withColumn("start", (F.col("base") + inner).cast("bigint")).drop("bucket", "base")
+
+
+@query("SELECT msa_id, row_idx, k::BIGINT AS k, substr(aseq, k::INT, 1) AS residue FROM {MSA} m, (SELECT unnest(range(1, 11)) AS k) WHERE substr(aseq, k::INT, 1) <> '-'")
+def model_map_join(spark, d):
+    return B.cells(segments(spark, d)).where("c <> '-'").select("msa_id", "row_idx", F.col("apos").cast("bigint").alias("k"), F.col("c").alias("residue"))
+
+
+@query("SELECT doc_id, mask::BIGINT AS mask FROM (SELECT doc_id, (CASE WHEN length(seq) > 500 THEN 1 ELSE 0 END) + (CASE WHEN lang = 'en' THEN 2 ELSE 0 END) + (CASE WHEN source = 'src0' THEN 4 ELSE 0 END) AS mask FROM {DOCS}) WHERE (mask & 2) > 0")
+def db_mask_filter(spark, d):
+    bit = lambda c, v: F.when(c, v).otherwise(0)
+    m = bit(F.length("seq") > 500, 1) + bit(F.col("lang") == "en", 2) + bit(F.col("source") == "src0", 4)
+    return docs(spark, d).select("doc_id", m.cast("bigint").alias("mask")).where(F.getbit("mask", F.lit(1)) == 1)
+
+
+# ranking and clustering
+@query("SELECT hit, model, row_number() OVER (PARTITION BY model ORDER BY lnp, target, hit)::BIGINT AS rank FROM {HITS}")
+def tophits_rank(spark, d):
+    w = Window.partitionBy("model").orderBy("lnp", "target", "hit")
+    return scored(spark, d).select("hit", "model", F.row_number().over(w).cast("bigint").alias("rank"))
+
+
+@query("SELECT hit, model, rank FROM (SELECT hit, model, row_number() OVER (PARTITION BY model ORDER BY lnp, hit)::BIGINT AS rank FROM {HITS}) WHERE rank <= 5")
+def topk_per_query(spark, d):
+    w = Window.partitionBy("model").orderBy("lnp", "hit")
+    return scored(spark, d).withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 5").select("hit", "model", "rank")
+
+
+SPANS = "(SELECT l_suppkey AS target, (l_partkey % 500 + 1)::BIGINT AS start, (l_partkey % 500 + l_quantity)::BIGINT AS stop, l_orderkey * 10 + l_linenumber AS id, -l_extendedprice::DOUBLE AS lnp FROM lineitem)"
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as intervals on suppliers."""
+    at = F.col("l_partkey") % 500
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("target"), (at + 1).cast("bigint").alias("start"), (at + F.col("l_quantity")).cast("bigint").alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (-F.col("l_extendedprice")).cast("double").alias("lnp"))
+
+
+@query(f"""WITH s AS (SELECT target, greatest(1, start - 2) AS start, least(540, stop + 2) AS stop FROM {SPANS}),
+m AS (SELECT *, max(stop) OVER (PARTITION BY target ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+i AS (SELECT *, sum(CASE WHEN start <= before + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY target ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT target, min(start)::BIGINT AS first, max(stop)::BIGINT AS last, count(*)::BIGINT AS n FROM i GROUP BY target, island""")
+def window_extend_merge(spark, d):
+    s = spans(spark, d).withColumn("limit", F.lit(540).cast("bigint"))
+    return I.merged(I.extended(s, ["target"], F.lit(2), "limit"), ["target"]).select("target", F.col("start").alias("first"), F.col("end").alias("last"), "n")
+
+
+@query()
+def dedup_order_search(spark, d):
+    return I.without_duplicates(spans(spark, d), ["target"]).groupBy("target").agg(F.count("*").alias("kept"), F.min("lnp").alias("best"))
+
+
+@query("SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events")
+def posterior_cumsum(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "events").select("event_id", "user_id", F.round(F.sum("value").over(w), 4).alias("total"))
+
+
+@query("""WITH s AS (SELECT p_partkey, unnest(range(1, length(seq) + 1)) AS i, seq FROM {PARTS} WHERE seq <> ''),
+c AS (SELECT p_partkey, i, sum(CASE WHEN substr(seq, i::INT, 1) IN ('A', 'E', 'I') THEN 2 ELSE -1 END) OVER (PARTITION BY p_partkey ORDER BY i) AS c FROM s),
+m AS (SELECT *, least(0, min(c) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS low FROM c)
+SELECT p_partkey, max(c - coalesce(low, 0))::BIGINT AS best FROM m GROUP BY p_partkey""")
+def kadane_extension(spark, d):
+    """The best-scoring stretch of each sequence, as a fold over its residues."""
+    value = lambda c: F.when(c.isin("A", "E", "I"), 2).otherwise(-1)
+    chars = F.filter(F.split("seq", ""), lambda c: c != "")
+    zero = F.struct(F.lit(0).alias("run"), F.lit(-1).alias("best"))
+
+    def step(acc, c):
+        run = F.greatest(F.lit(0), acc["run"]) + value(c)
+        return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    return parts(spark, d).where("seq <> ''").select("p_partkey", F.aggregate(chars, zero, step)["best"].cast("bigint").alias("best"))
+
+
+# model building, on segments as alignments
+def _alignment(spark, d):
+    cell = B.cells(segments(spark, d)).persist()
+    weights = B.position_weights(cell)
+    return cell, weights, B.consensus_columns(cell, weights)
+
+
+CELLS = "c AS (SELECT msa_id, row_idx, apos, substr(aseq, apos::INT, 1) AS c FROM {MSA}, (SELECT unnest(range(1, 11)) AS apos))"
+WEIGHTS = f"""{CELLS}, r AS (SELECT * FROM c WHERE c <> '-'), k AS (SELECT msa_id, apos, c, count(*) AS copies FROM r GROUP BY ALL), n AS (SELECT msa_id, apos, count(*) AS kinds FROM k GROUP BY ALL),
+s AS (SELECT msa_id, row_idx, sum(1.0::DOUBLE / (copies * kinds)) / count(*) AS raw FROM r JOIN k USING (msa_id, apos, c) JOIN n USING (msa_id, apos) GROUP BY ALL),
+w AS (SELECT msa_id, row_idx, raw / sum(raw) OVER (PARTITION BY msa_id) * count(*) OVER (PARTITION BY msa_id) AS weight FROM s)"""
+COLUMNS = f"""{WEIGHTS}, o AS (SELECT msa_id, apos, sum(CASE WHEN c <> '-' THEN weight ELSE 0 END) / sum(weight) AS occupied FROM c JOIN w USING (msa_id, row_idx) GROUP BY ALL),
+m AS (SELECT *, occupied >= 0.5 AS is_match, sum(CASE WHEN occupied >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY msa_id ORDER BY apos)::BIGINT AS k FROM o)"""
+
+
+@query(f"WITH {WEIGHTS} SELECT msa_id, row_idx, round(weight, 6) AS weight FROM w")
+def pb_weights(spark, d):
+    return _alignment(spark, d)[1].select("msa_id", "row_idx", r6(F.col("weight")).alias("weight"))
+
+
+@query(f"WITH {COLUMNS} SELECT msa_id, apos::BIGINT AS apos, round(occupied, 6) AS occupied, is_match, k FROM m")
+def consensus_columns(spark, d):
+    return _alignment(spark, d)[2].select("msa_id", F.col("apos").cast("bigint").alias("apos"), r6(F.col("occupied")).alias("occupied"), "is_match", "k")
+
+
+EMIT = f"{COLUMNS}, e AS (SELECT msa_id, k, c AS residue, sum(weight) AS n FROM c JOIN m USING (msa_id, apos) JOIN w USING (msa_id, row_idx) WHERE is_match AND c <> '-' GROUP BY ALL)"
+
+
+@query(f"WITH {EMIT} SELECT msa_id, k, residue, round(n, 5) AS n FROM e")
+def emission_counts(spark, d):
+    return B.emission_counts(*_alignment(spark, d)).select("msa_id", "k", F.col("c").alias("residue"), F.round("count", 5).alias("n"))
+
+
+@query(f"WITH {EMIT} SELECT msa_id, k, residue, round((n + 1) / (sum(n) OVER (PARTITION BY msa_id, k) + 20), 6) AS p FROM e")
+def laplace_estimate(spark, d):
+    e = B.emission_counts(*_alignment(spark, d))
+    return e.select("msa_id", "k", F.col("c").alias("residue"), r6((F.col("count") + 1) / (F.sum("count").over(Window.partitionBy("msa_id", "k")) + 20)).alias("p"))
+
+
+@query(f"WITH {EMIT}, b AS (SELECT msa_id, k, residue, row_number() OVER (PARTITION BY msa_id, k ORDER BY round(n, 5) DESC, residue) AS r FROM e) SELECT msa_id, string_agg(residue, '' ORDER BY k) AS consensus FROM b WHERE r = 1 GROUP BY msa_id")
+def consensus_string(spark, d):
+    e = B.emission_counts(*_alignment(spark, d))
+    best = e.groupBy("msa_id", "k").agg(F.min(F.struct((-F.round("count", 5)).alias("n"), "c")).alias("x"))
+    return best.groupBy("msa_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x.c"))), lambda s: s["c"]), "").alias("consensus"))
+
+
+@query(f"""WITH {COLUMNS}, st AS (SELECT msa_id, row_idx, apos, k, CASE WHEN is_match AND c <> '-' THEN 'M' WHEN is_match THEN 'D' WHEN c <> '-' THEN 'I' END AS state FROM c JOIN m USING (msa_id, apos)),
+x AS (SELECT *, lag(state) OVER v AS fs, lag(k) OVER v AS fk FROM st WHERE state IS NOT NULL WINDOW v AS (PARTITION BY msa_id, row_idx ORDER BY apos))
+SELECT msa_id, coalesce(fk, 0)::BIGINT AS k, coalesce(fs, 'M') || state AS move, round(sum(weight), 5) AS n FROM x JOIN w USING (msa_id, row_idx) WHERE coalesce(fs, 'M') || state NOT IN ('DI', 'ID') GROUP BY ALL""")
+def transition_counts(spark, d):
+    cell, weights, columns = _alignment(spark, d)
+    return B.transition_counts(B.states(cell, columns), weights).select("msa_id", F.col("k").cast("bigint").alias("k"), "move", F.round("count", 5).alias("n"))
+
+
+# logos and statistics
+LOGO = f"{EMIT}, p AS (SELECT msa_id, k, residue, n / sum(n) OVER (PARTITION BY msa_id, k) AS p, f FROM e JOIN (SELECT * FROM {{BG}}) b USING (residue))"
+
+
+def _logo(spark, d):
+    e = B.emission_counts(*_alignment(spark, d)).withColumnRenamed("c", "residue").join(F.broadcast(bg_frame(spark)), "residue")
+    return e.withColumn("p", F.col("count") / F.sum("count").over(Window.partitionBy("msa_id", "k")))
+
+
+@query(f"WITH {LOGO} SELECT msa_id, k, round(sum(p * log2(p / f)), 6) AS relent FROM p GROUP BY ALL")
+def mean_match_relent(spark, d):
+    return _logo(spark, d).groupBy("msa_id", "k").agg(r6(F.sum(F.col("p") * F.log2(F.col("p") / F.col("f")))).alias("relent"))
+
+
+@query(f"WITH {LOGO} SELECT msa_id, k, round(-sum(p * log2(p)), 6) + 0 AS entropy FROM p GROUP BY ALL")
+def mean_match_entropy(spark, d):
+    return _logo(spark, d).groupBy("msa_id", "k").agg((r6(-F.sum(F.col("p") * F.log2("p"))) + 0).alias("entropy"))
+
+
+@query(f"WITH {LOGO} SELECT msa_id, k, residue, round(p * sum(p * log2(p / f)) OVER (PARTITION BY msa_id, k), 6) AS height FROM p")
+def logo_relent(spark, d):
+    total = F.sum(F.col("p") * F.log2(F.col("p") / F.col("f"))).over(Window.partitionBy("msa_id", "k"))
+    return _logo(spark, d).select("msa_id", "k", "residue", r6(F.col("p") * total).alias("height"))
+
+
+@query(f"""WITH {LOGO}, q AS (SELECT *, sum(p * log2(p / f)) OVER v AS relent, CASE WHEN p > f THEN p * log2(p / f) ELSE 0 END AS gain FROM p WINDOW v AS (PARTITION BY msa_id, k))
+SELECT msa_id, k, residue, round(relent * gain / sum(gain) OVER (PARTITION BY msa_id, k), 6) AS height FROM q""")
+def logo_above_bg(spark, d):
+    w = Window.partitionBy("msa_id", "k")
+    one = F.col("p") * F.log2(F.col("p") / F.col("f"))
+    gain = F.when(F.col("p") > F.col("f"), one).otherwise(0.0)
+    return _logo(spark, d).select("msa_id", "k", "residue", r6(F.sum(one).over(w) * gain / F.sum(gain).over(w)).alias("height"))
+
+
+@query(f"WITH {LOGO} SELECT msa_id, k, residue, round(log2(p / f), 6) AS score FROM p")
+def logo_scores(spark, d):
+    return _logo(spark, d).select("msa_id", "k", "residue", r6(F.log2(F.col("p") / F.col("f"))).alias("score"))
+
+
+@query("SELECT n_nationkey, round(ln(2) + 1.44 / (m * 0.59), 6) AS lambda FROM (SELECT n_nationkey, length(n_name)::DOUBLE AS m FROM nation)")
+def lambda_edge(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", r6(S.lambda_edge(F.length("n_name").cast("double"), F.lit(0.59))).alias("lambda"))
+
+
+@query("SELECT l_suppkey, round(-ln(avg(exp(-0.69 * l_quantity::DOUBLE))) / 0.69, 6) AS mu FROM lineitem GROUP BY l_suppkey")
+def gumbel_fit_mu(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(r6(S.gumbel_mu(F.col("l_quantity").cast("double"), 0.69)).alias("mu"))
+
+
+@query("SELECT floor(score / 5)::BIGINT AS bin, count(*)::BIGINT AS n FROM {HITS} GROUP BY ALL")
+def score_histogram(spark, d):
+    return scored(spark, d).groupBy(F.floor(F.col("score") / 5).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT model, round(count(CASE WHEN score >= 20 THEN 1 END) / count(*), 6) AS power FROM {HITS} GROUP BY model")
+def filter_power(spark, d):
+    return scored(spark, d).groupBy("model").agg(r6(F.count(F.when(F.col("score") >= 20, 1)) / F.count("*")).alias("power"))
+
+
+def _segment_models(spark, d) -> list[P.Model]:
+    """A model of each nation's segments: 25 nations, five words."""
+    words = segments(spark, d).groupBy("msa_id", "aseq").agg(F.count("*").alias("n")).collect()
+    by: dict[int, list] = {}
+    for r in sorted(words, key=lambda r: (r.msa_id, r.aseq)):
+        by.setdefault(r.msa_id, []).append(r)
+    return [B.from_alignment(f"nation{k}", [r.aseq for r in rows], weights=np.array([r.n for r in rows], float)) for k, rows in sorted(by.items())]
+
+
+@query()
+def model_stats(spark, d):
+    rows = [tuple(P.statistics(m)[k] for k in ("name", "nseq", "eff_nseq", "m", "relent", "info", "comp_kl")) for m in _segment_models(spark, d)]
+    return spark.createDataFrame(rows, "name string, nseq int, eff_nseq double, m int, relent double, info double, comp_kl double")
+
+
+@query()
+def emit_consensus(spark, d):
+    return spark.createDataFrame([(m.name, P.consensus(m)) for m in _segment_models(spark, d)], "name string, consensus string")
+
+
+@query()
+def emit_sequences(spark, d):
+    return spark.createDataFrame([(m.name, i, s) for m in _segment_models(spark, d) for i, s in enumerate(B.emit(m, 5))], "name string, n int, seq string")
+
+
+@query()
+def indel_values(spark, d):
+    return spark.createDataFrame([(m.name, k + 1, *map(float, v)) for m in _segment_models(spark, d) for k, v in enumerate(P.indels(m))], "name string, k int, insert_p double, insert_len double, occupancy double")
+
+
+@query()
+def align_to_model(spark, d):
+    m = P.single_sequence("word", "STEEL")
+
+    def run(pdf):
+        import pandas as pd
+
+        return pd.DataFrame(B.align(m, pdf.p_partkey.astype(str).tolist(), pdf.seq.tolist()), columns=["name", "aseq", "pp"])
+
+    return parts(spark, d).groupBy((F.col("p_partkey") % 64).alias("block")).applyInPandas(run, "name string, aseq string, pp string")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN p + 0.05 >= 1 THEN '*' ELSE floor((p + 0.05) * 10)::INT::VARCHAR END AS code FROM (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE / 50 AS p FROM lineitem)")
+def pp_encode(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.posterior_code(F.col("l_quantity").cast("double") / 50).alias("code"))
+
+
+@query("SELECT msa_id, row_idx, regexp_replace(aseq, '[-.~_]', '', 'g') AS seq FROM {MSA}")
+def msa_degap_roundtrip(spark, d):
+    from seqloom.sources.stockholm import degapped
+
+    return degapped(segments(spark, d)).select("msa_id", "row_idx", "seq")
+
+
+@query("SELECT msa_id, row_idx, substr(aseq, 1, 2) || repeat('x', 3) || substr(aseq, 6) AS masked FROM {MSA}")
+def ali_mask(spark, d):
+    return segments(spark, d).select("msa_id", "row_idx", F.overlay("aseq", F.lit("xxx"), 3).alias("masked"))
+
+
+# k-mer index and long targets
+@query("SELECT kmer, count(*)::BIGINT AS n, count(DISTINCT p_partkey)::BIGINT AS targets FROM (SELECT p_partkey, substr(seq, i::INT, 4) AS kmer FROM (SELECT p_partkey, seq, unnest(range(1, length(seq) - 2)) AS i FROM {PARTS})) GROUP BY kmer")
+def kmer_index(spark, d):
+    k = I.kmers(parts(spark, d), "p_partkey", "seq", 4)
+    per = k.groupBy("kmer", "p_partkey").agg(F.count("*").alias("c"))
+    return per.groupBy("kmer").agg(F.sum("c").alias("n"), F.count("*").alias("targets"))
+
+
+@query("SELECT doc_id, item_id, strpos(documents.text, benchmark.text)::BIGINT AS first FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
+def exact_match_positions(spark, d):
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("target"), F.coalesce("text", F.lit("")).alias("seq"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("pattern"))
+    return I.exact_matches(t, q).groupBy(F.col("target").alias("doc_id"), F.col("query").alias("item_id")).agg(F.min("pos").cast("bigint").alias("first"))
+
+
+@query("SELECT item_id, count(*)::BIGINT AS documents FROM documents JOIN benchmark ON contains(documents.text, benchmark.text) GROUP BY item_id")
+def exact_match_counts(spark, d):
+    return cross_search(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+@query("""WITH k AS (SELECT p_partkey, i, substr(seq, i::INT, 3) AS kmer FROM (SELECT p_partkey, seq, unnest(range(1, length(seq) - 1)) AS i FROM {PARTS}))
+SELECT p_partkey, i::BIGINT AS pos, n_nationkey FROM k JOIN nation ON kmer = substr(n_name, 1, 3)""")
+def seed_hits(spark, d):
+    k = I.kmers(parts(spark, d), "p_partkey", "seq", 3)
+    n = table(spark, d, "nation").select("n_nationkey", F.substring("n_name", 1, 3).alias("kmer"))
+    return k.join(n, "kmer").select("p_partkey", F.col("pos").cast("bigint").alias("pos"), "n_nationkey")
+
+
+@query("SELECT hit, round(lnp + ln(1000000.0 / (100 + model)), 6) AS lnp FROM {HITS}")
+def long_target_evalue(spark, d):
+    return scored(spark, d).select("hit", r6(S.long_target_ln_p(F.col("lnp"), F.lit(1e6), 100 + F.col("model"))).alias("lnp"))
+
+
+@query("SELECT doc_id, start::INT AS start, length(substr(seq, start, 1000))::INT AS n FROM (SELECT doc_id, seq, unnest(range(1, greatest(2, length(seq) - 200 + 1), 800)) AS start FROM {DOCS} WHERE seq <> '')")
+def long_window_split(spark, d):
+    return I.windows(docs(spark, d), "seq", 1000, 200).select("doc_id", "start", F.length("part").alias("n"))
+
+
+@query("SELECT hit, round(CASE WHEN 3 * floor(score * 500 / 100) > 255 THEN 255 ELSE 3 * floor(score * 500 / 100) END, 0)::BIGINT AS cost FROM {HITS}")
+def quantize_scores(spark, d):
+    return scored(spark, d).select("hit", F.least(F.lit(255), 3 * F.floor(F.col("score") * 500 / 100)).cast("bigint").alias("cost"))
+
+
+# what Spark adds to the reference's own aggregates
+@query("SELECT source, lang, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY CUBE (source, lang)")
+def cube_source_lang(spark, d):
+    return table(spark, d, "documents").cube("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT n_regionkey, n_nationkey, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey)")
+def rollup_counts(spark, d):
+    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.rollup("n_regionkey", "n_nationkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, lang, count(*)::BIGINT AS n FROM documents GROUP BY GROUPING SETS ((source), (lang), ())")
+def grouping_sets(spark, d):
+    t = table(spark, d, "documents")
+    return t.groupingSets([[t.source], [t.lang], []], t.source, t.lang).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def set_ops(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def tumbling_events(spark, d):
+    return table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x)
+SELECT user_id, min(ts) AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, s""")
+def session_windows_events(spark, d):
+    g = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return g.select("user_id", F.col("w.start").cast(table(spark, d, "events").schema["ts"].dataType).alias("start"), "n")
+
+
+def planted(spark: SparkSession, d: str) -> tuple[DataFrame, P.Model]:
+    """Documents as targets, and a profile of the first passage that occurs in one of them (else of the first)."""
+    target = docs(spark, d).select(F.col("doc_id").alias("seq_id"), F.concat(F.lit("doc"), "doc_id").alias("name"), "seq")
+    first = cross_search(spark, d).agg(F.min("item_id").alias("i")).first().i
+    items = table(spark, d, "benchmark")
+    item = items.where(F.col("item_id") == F.lit(first)) if first is not None else items
+    row = item.select("item_id", letters(F.col("text")).alias("seq")).orderBy("item_id").first()
+    return target, P.single_sequence(f"item{row.item_id}", row.seq, bg=corpus_background(target))
+
+
+@query()
+def passage_search(spark, d):
+    target, model = planted(spark, d)
+    return R.msv_search(target, model)
+
+
+@query()
+def passage_cascade(spark, d):
+    target, model = planted(spark, d)
+    return R.domtblout(R.search(target, [model])[0])
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.length("text").alias("len"))
+    """Documents that resemble a benchmark passage, ranked by E-value."""
+    return passage_search(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
