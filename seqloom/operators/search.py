@@ -239,6 +239,14 @@ COLUMNS = [c.split(" ")[0] for c in RAW.split(", ")]
 WHOLE = [c.split(" ")[0] for c in RAW.split(", ") if c.endswith((" int", " bigint"))]
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """df over at least two partitions a core: a small table in one file would be searched by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores)
+
+
 def raw_hits(sequences: DataFrame, models: list[Model], config: Config) -> DataFrame:
     """sequences(seq_id, name, seq) against every model: rows of kind count and hit."""
     ready = [calibrated(m, config.seed) for m in models]
@@ -260,7 +268,7 @@ def raw_hits(sequences: DataFrame, models: list[Model], config: Config) -> DataF
                 for model in shared.value:
                     yield cascade(model, config, pdf.seq_id.tolist(), pdf.name.tolist(), pdf.seq.fillna("").tolist())
 
-        part = sequences.select("seq_id", "name", "seq").mapInPandas(run, RAW)
+        part = balanced(sequences.select("seq_id", "name", "seq")).mapInPandas(run, RAW)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -347,7 +355,7 @@ def msv_search(sequences: DataFrame, model: Model, config: Config | None = None)
             yield pd.DataFrame({"seq_id": pdf.seq_id, "name": pdf.name, "len": lengths, "nats": out})
 
     some = sequences.where("seq is not null and seq <> ''").select("seq_id", "name", "seq")
-    scored = some.mapInPandas(run, "seq_id bigint, name string, len int, nats double")
+    scored = balanced(some).mapInPandas(run, "seq_id bigint, name string, len int, nats double")
     scored = scored.withColumn("bits", S.bits(F.col("nats"), S.null1(F.col("len"))))
     scored = scored.withColumn("p", S.gumbel_p(F.col("bits"), model.stats["msv_mu"], model.stats["msv_lambda"]))
     z = F.lit(float(config.z)) if config.z is not None else F.lit(float(some.count()))
