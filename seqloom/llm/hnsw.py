@@ -64,12 +64,12 @@ class Graph:
         sims[:, : start.shape[1]] = np.where(ok, np.einsum("md,mkd->mk", q, self.x[np.where(ok, start, 0)]), -np.inf)
         seen[np.nonzero(ok)[0], start[ok]] = True
         opened = np.zeros(ids.shape, bool)
-        active = np.arange(m)
+        active, fan = np.arange(m), max(4, ids.shape[1] // 16)  # a wide beam opens more of its nodes at once
         while len(active):
             r = np.arange(len(active))[:, None]
             a_ids, a_sims, a_open = ids[active], sims[active], opened[active]
             todo = np.where((a_ids >= 0) & ~a_open, a_sims, -np.inf)
-            pick = np.argpartition(-todo, min(3, todo.shape[1] - 1), axis=1)[:, :4]
+            pick = np.argpartition(-todo, min(fan, todo.shape[1]) - 1, axis=1)[:, :fan]
             live = todo[r, pick] > -np.inf
             a_open[r, pick] = True
             new = near[np.where(live, a_ids[r, pick], 0)]
