@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.alphabet import ALPHABETS, background, digitize
+from seqloom.operators.priors import Prior
+from seqloom.operators.priors import prior as standard
 from seqloom.operators.profile import DD, DM, II, IM, MD, MI, MM, Model, relative_entropy
 
 
@@ -81,23 +83,15 @@ def dirichlet_mean(counts: np.ndarray, mixture: tuple[np.ndarray, np.ndarray]) -
     return (post[:, None] * (counts + alpha) / (total + alpha.sum(1))[:, None]).sum(0)
 
 
-def laplace(letters: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.ones(1), np.ones((1, letters))
-
-
-def background_prior(f: np.ndarray, strengths: tuple[float, ...] = (2.0, 20.0)) -> tuple[np.ndarray, np.ndarray]:
-    """A mixture around a background: a loose component, which lets counts speak, and a tight one."""
-    return np.full(len(strengths), 1 / len(strengths)), np.stack([s * f for s in strengths])
-
-
-def estimate(name: str, emissions: np.ndarray, transitions: np.ndarray, nseq: int, alphabet: str = "amino", prior=None, eff: float | None = None, target: float | None = None, exponential: bool = False) -> Model:
+def estimate(name: str, emissions: np.ndarray, transitions: np.ndarray, nseq: int, alphabet: str = "amino", prior: Prior | None = None, eff: float | None = None, target: float | None = None, exponential: bool = False) -> Model:
     """A model from weighted counts: effective sequence number by relative entropy, then mean posterior estimates.
 
     emissions: (M + 1) x K, transitions: (M + 1) x 7.
     """
     f = background(alphabet)
     m = len(emissions) - 1
-    prior = prior or background_prior(f)
+    prior = prior or standard(alphabet)
+    mixture = (prior.weights, prior.match)
     target = {"amino": 0.59, "dna": 0.62, "rna": 0.62}[alphabet] if target is None else target
     goal = max(target, (45 - np.log2(2 / (m * (m + 1)))) / m)
 
@@ -107,7 +101,7 @@ def estimate(name: str, emissions: np.ndarray, transitions: np.ndarray, nseq: in
         return emissions * (x / nseq)
 
     def entropy_at(x: float) -> float:
-        mat = np.vstack([np.zeros(len(f)), *[dirichlet_mean(c, prior) for c in scaled(x)[1:]]])
+        mat = np.vstack([np.zeros(len(f)), *[dirichlet_mean(c, mixture) for c in scaled(x)[1:]]])
         return float(relative_entropy(mat, f).mean())
 
     if eff is None:
@@ -117,35 +111,39 @@ def estimate(name: str, emissions: np.ndarray, transitions: np.ndarray, nseq: in
             while high - low > 0.01 * (0.1 if exponential else 1):
                 eff = (low + high) / 2
                 low, high = (low, eff) if entropy_at(eff) > goal else (eff, high)
+            eff = (low + high) / 2
     scale = 1.0 if exponential else eff / nseq
-    mat = np.vstack([np.zeros(len(f)), *[dirichlet_mean(c, prior) for c in scaled(eff)[1:]]])
+    mat = np.vstack([np.zeros(len(f)), *[dirichlet_mean(c, mixture) for c in scaled(eff)[1:]]])
     t = np.zeros((m + 1, 7))
     for k in range(m + 1):
         c = transitions[k] * scale
-        t[k, MM : MD + 1] = dirichlet_mean(c[MM : MD + 1], (np.ones(1), np.array([[7.0, 0.2, 0.3]])))
-        t[k, IM : II + 1] = dirichlet_mean(c[IM : II + 1], (np.ones(1), np.array([[1.3, 1.7]])))
-        t[k, DM : DD + 1] = dirichlet_mean(c[DM : DD + 1], (np.ones(1), np.array([[1.0, 1.0]])))
+        t[k, MM : MD + 1] = dirichlet_mean(c[MM : MD + 1], (np.ones(1), prior.moves[0][None]))
+        t[k, IM : II + 1] = dirichlet_mean(c[IM : II + 1], (np.ones(1), prior.moves[1][None]))
+        t[k, DM : DD + 1] = dirichlet_mean(c[DM : DD + 1], (np.ones(1), prior.moves[2][None]))
     t[0, DM:] = [1, 0]
-    t[m, MM], t[m, MD], t[m, DM], t[m, DD] = t[m, MM] / (t[m, MM] + t[m, MI]), 0, 1, 0
-    t[m, MI] = 1 - t[m, MM]
-    return Model(name, mat, t, np.tile(f, (m + 1, 1)), alphabet, nseq=nseq, eff_nseq=float(eff))
+    t[m, MM], t[m, MI], t[m, MD], t[m, DM], t[m, DD] = *dirichlet_mean(transitions[m, MM : MI + 1] * scale, (np.ones(1), prior.moves[0][None, :2])), 0, 1, 0
+    inserts = np.tile(prior.insert / prior.insert.sum(), (m + 1, 1))  # inserts aren't counted: they keep the prior's mean
+    return Model(name, mat, t, inserts, alphabet, nseq=nseq, eff_nseq=float(eff))
 
 
-def from_alignment(name: str, rows: list[str], alphabet: str = "amino", symfrac: float = 0.5, weights: np.ndarray | None = None, reference: str | None = None, mask: str | None = None, **options) -> Model:
-    """A model from one alignment held in memory; reference marks match columns by hand."""
+def from_alignment(name: str, rows: list[str], alphabet: str = "amino", symfrac: float = 0.5, weights: np.ndarray | None = None, reference: str | None = None, mask: str | None = None, fragments: float = 0.5, weigh_common: bool = False, **options) -> Model:
+    """A model from one alignment held in memory; reference marks match columns by hand. Rows that span at most a share `fragments` of the columns have missing data, not deletions, at their ends."""
+    rows = mark_fragments(rows, fragments)
     grid = np.array([list(r.upper()) for r in rows])
     letters = ALPHABETS[alphabet]
     code = np.stack([digitize("".join(r), alphabet) for r in grid])
     residue = np.char.isalpha(grid)
     missing = grid == "~"
-    if weights is None:
-        weights = np.zeros(len(rows))
-        for col in range(grid.shape[1]):
+    if weights is None:  # by position, over all columns or those that most rows occupy
+        common = residue.sum(0) >= (0.5 * np.maximum(1, (~missing).sum(0)) if weigh_common else 1)
+        weights, used = np.zeros(len(rows)), np.zeros(len(rows))
+        for col in np.flatnonzero(common) if common.any() else range(grid.shape[1]):
             on = residue[:, col]
-            kinds, which, copies = np.unique(grid[on, col], return_inverse=True, return_counts=True)
-            if len(kinds):
-                weights[on] += 1 / (len(kinds) * copies[which])
-        weights /= np.maximum(1, residue.sum(1))
+            _, which, copies = np.unique(grid[on, col], return_inverse=True, return_counts=True)
+            if len(copies):
+                weights[on] += 1 / (len(copies) * copies[which])
+                used[on] += 1
+        weights /= np.maximum(1, used)
         weights = weights / weights.sum() * len(rows) if weights.sum() else np.ones(len(rows))
     seen = (weights[:, None] * ~missing).sum(0)
     share = np.divide((weights[:, None] * residue).sum(0), seen, out=np.zeros(grid.shape[1]), where=seen > 0)
@@ -154,25 +152,20 @@ def from_alignment(name: str, rows: list[str], alphabet: str = "amino", symfrac:
     m = len(columns)
     if not m:
         raise ValueError(f"{name}: no match columns")
-    emissions = np.zeros((m + 1, len(letters)))
-    for k, col in enumerate(columns, 1):
-        ok = residue[:, col] & (code[:, col] < len(letters))
-        if mask and mask[col] == "m":
-            continue  # masked columns count nothing, so the prior's mean stays
-        np.add.at(emissions[k], code[ok, col], weights[ok])
-    transitions = np.zeros((m + 1, 7))
+    emissions, transitions = np.zeros((m + 1, len(letters))), np.zeros((m + 1, 7))
     names = {"MM": MM, "MI": MI, "MD": MD, "IM": IM, "II": II, "DM": DM, "DD": DD}
+    number = np.cumsum(match)
     for r in range(len(rows)):
+        path = [("M" if residue[r, c] else "D", int(number[c]), c) if match[c] else ("I", int(number[c]), c) for c in range(grid.shape[1]) if residue[r, c] or (match[c] and not missing[r, c])]
         before, node = "M", 0
-        k = 0
-        for col in range(grid.shape[1]):
-            k += match[col]
-            state = ("M" if residue[r, col] else None if missing[r, col] else "D") if match[col] else ("I" if residue[r, col] else None)
-            if state is None:
-                continue
+        for state, k, col in without_delete_insert(path):
             if before + state in names:
                 transitions[node, names[before + state]] += weights[r]
-            before, node = state, int(k)
+            if state == "M" and code[r, col] < len(letters) and not (mask and mask[columns[k - 1]] == "m"):
+                emissions[k, code[r, col]] += weights[r]  # masked columns count nothing, so the prior's mean stays
+            before, node = state, k
+        if node == m:
+            transitions[m, names[before + "M"]] += weights[r]  # to the end state
     model = estimate(name, emissions, transitions, len(rows), alphabet, **options)
     model.map = [int(c) + 1 for c in columns]
     from seqloom.operators.profile import consensus
@@ -182,12 +175,25 @@ def from_alignment(name: str, rows: list[str], alphabet: str = "amino", symfrac:
     return model
 
 
+def without_delete_insert(path: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """A path in which a delete next to an insert, which models don't have, is a match that emits the insert's residue."""
+    out: list[tuple[str, int, int]] = []
+    for step in path:
+        if out and out[-1][0] == "D" and step[0] == "I":
+            out[-1] = ("M", out[-1][1], step[2])
+        elif out and out[-1][0] == "I" and step[0] == "D":
+            out[-1] = ("M", step[1], out[-1][2])
+        else:
+            out.append(step)
+    return out
+
+
 def mark_fragments(rows: list[str], threshold: float = 0.5) -> list[str]:
     """Rows whose residues span at most a share of the alignment get '~' for the gaps at their ends."""
     out = []
     for r in rows:
         at = [i for i, c in enumerate(r) if c.isalpha()]
-        if at and len(at) <= threshold * len(r):
+        if at and at[-1] - at[0] + 1 <= threshold * len(r):
             r = "~" * at[0] + r[at[0] : at[-1] + 1] + "~" * (len(r) - at[-1] - 1)
         out.append(r)
     return out

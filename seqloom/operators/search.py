@@ -396,3 +396,34 @@ def iterate(sequences: DataFrame, query: Model, rebuild, rounds: int = 5, config
         known |= new
         model = rebuild(model, included)
     return hits, rounds
+
+
+def long_search(sequences: DataFrame, model: Model, config: Config | None = None, window: int | None = None) -> DataFrame:
+    """Hits on both strands of long DNA sequences (seq_id, name, seq): a row per domain, best first.
+
+    Sequences are cut into windows that share twice the model's longest match, so every match lies whole in
+    one; windows of both strands go through the cascade like targets of their own. A domain's P-value counts
+    the residues searched over the model's length, coordinates on the other strand run downwards, and a
+    match found in two windows is kept once.
+    """
+    from seqloom.functions.alphabet import reverse_complement
+    from seqloom.operators.intervals import windows, without_duplicates
+    from seqloom.operators.profile import max_length
+
+    config = config or Config(f2=3e-3, f3=3e-5)
+    longest = model.max_length or max_length(model)
+    size = window or max(4 * longest, 2000)
+    cut = windows(sequences.where("seq is not null"), "seq", size, min(size - 1, 2 * longest))
+    both = cut.withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-")))).withColumn("part", F.when(F.col("strand") == "+", F.upper("part")).otherwise(reverse_complement(F.upper("part"))))
+    key = F.concat_ws("|", F.col("seq_id").cast("string"), F.col("start").cast("string"), "strand", F.length("part").cast("string"))
+    raw = raw_hits(both.select(F.lit(0).cast("bigint").alias("seq_id"), key.alias("name"), F.col("part").alias("seq")), [model], config)
+    residues = sequences.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("n")).first().n * 2
+    d = raw.where("kind = 'hit'").select("model", F.split("name", r"\|").alias("k"), F.explode("domains").alias("d"))
+    start, length = F.col("k")[1].cast("int"), F.col("k")[3].cast("int")
+    place = lambda x: F.when(F.col("k")[2] == "+", start + x - 1).otherwise(start + length - x)
+    hits = d.select("model", F.col("k")[0].cast("bigint").alias("seq_id"), F.col("k")[2].alias("strand"), place(F.col("d.iali")).alias("ali_from"), place(F.col("d.jali")).alias("ali_to"), "d.hmm_from", "d.hmm_to", F.col("d.bits").alias("bits"), (F.col("d.lnp") + float(np.log(max(1.0, residues / longest)))).alias("lnp"))
+    hits = hits.where((F.abs(F.col("ali_to") - F.col("ali_from")) >= 7) & (F.exp("lnp") <= config.e))
+    hits = hits.withColumn("start", F.least("ali_from", "ali_to")).withColumn("end", F.greatest("ali_from", "ali_to"))
+    kept = without_duplicates(hits, ["model", "seq_id", "strand"]).withColumn("evalue", F.exp("lnp"))
+    names = sequences.select(F.col("seq_id").alias("sid"), "name")
+    return kept.join(names, F.col("seq_id") == F.col("sid")).drop("sid", "start", "end").withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy("lnp", F.col("bits").desc(), "seq_id", F.col("strand").desc(), "ali_from")))

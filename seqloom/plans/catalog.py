@@ -736,6 +736,173 @@ def session_windows_events(spark, d):
     return g.select("user_id", F.col("w.start").cast(table(spark, d, "events").schema["ts"].dataType).alias("start"), "n")
 
 
+# posteriors and domains, on part names against the word model
+def _posterior(df: DataFrame, key: str, make, schema: str) -> DataFrame:
+    """Rows that a function makes of each sequence's posterior decoding."""
+    p = P.configure(word_model())
+    kt = df.schema[key].dataType.simpleString()
+    names = [key, *[c.split(" ")[0] for c in schema.split(", ")]]
+
+    def run(batches):
+        import pandas as pd
+
+        from seqloom.functions.alphabet import digitize
+
+        for pdf in batches:
+            out = [(k, *row) for k, s in zip(pdf[key], pdf.seq, strict=True) for row in make(p, K.Posterior(p, digitize(s)), s)]
+            yield pd.DataFrame(out, columns=names)
+
+    return R.balanced(df.where("seq <> ''").select(key, "seq")).mapInPandas(run, f"{key} {kt}, {schema}")
+
+
+@query()
+def forward_backward_posterior(spark, d):
+    return _posterior(parts(spark, d), "p_partkey", lambda p, post, s: [(round(post.score, 6), round(post.back_score, 6))], "forward double, backward double")
+
+
+@query()
+def domain_decoding(spark, d):
+    return _posterior(parts(spark, d), "p_partkey", lambda p, post, s: [(i, round(float(post.mocc[i]), 6), round(float(post.btot[i]), 6), round(float(post.etot[i]), 6)) for i in range(1, len(post.mocc))], "pos int, mocc double, btot double, etot double")
+
+
+@query()
+def region_trigger(spark, d):
+    return _posterior(parts(spark, d), "p_partkey", lambda p, post, s: K.regions(post), "first int, last int")
+
+
+@query()
+def multidomain_test(spark, d):
+    return _posterior(parts(spark, d), "p_partkey", lambda p, post, s: [(i, j, K.is_multidomain(post, i, j)) for i, j in K.regions(post)], "first int, last int, multi boolean")
+
+
+@query()
+def optimal_accuracy(spark, d):
+    def make(p, post, s):
+        acc, path = K.optimal_accuracy(p, post)
+        return [(round(acc, 6), "".join(x[0] for x in path))]
+
+    return _posterior(parts(spark, d), "p_partkey", make, "accuracy double, path string")
+
+
+@query()
+def null2_expectation(spark, d):
+    return _posterior(parts(spark, d), "p_partkey", lambda p, post, s: [(AMINO[i], round(float(v), 6)) for i, v in enumerate(K.null2(p, post, 1, len(s))[:20])], "residue string, odds double")
+
+
+# profiles of the nations' segments
+def _per_model(spark, d, make, schema: str) -> DataFrame:
+    return spark.createDataFrame([(m.name, *row) for m in _segment_models(spark, d) for row in make(m)], f"name string, {schema}")
+
+
+@query()
+def occupancy(spark, d):
+    return _per_model(spark, d, lambda m: [(k, float(v)) for k, v in enumerate(P.occupancy(m.t)) if k], "k int, occ double")
+
+
+@query()
+def model_composition(spark, d):
+    return _per_model(spark, d, lambda m: [(a, float(v)) for a, v in zip(AMINO, P.composition(m), strict=True)], "residue string, f double")
+
+
+@query()
+def profile_logodds(spark, d):
+    return _per_model(spark, d, lambda m: [(k, a, float(v)) for i, a in enumerate(AMINO) for k, v in enumerate(P.configure(m).msc[i]) if k], "k int, residue string, score double")
+
+
+@query()
+def local_entry(spark, d):
+    return _per_model(spark, d, lambda m: [(k, float(v)) for k, v in enumerate(P.configure(m).entry) if k], "k int, entry double")
+
+
+@query()
+def quantize_msv(spark, d):
+    return _per_model(spark, d, lambda m: [(k, a, int(P.quantise_msv(P.configure(m))[0][i, k])) for i, a in enumerate(AMINO) for k in range(1, m.m + 1)], "k int, residue string, cost int")
+
+
+@query()
+def quantize_vit(spark, d):
+    return _per_model(spark, d, lambda m: [(k, *map(int, row)) for k, row in enumerate(P.quantise_viterbi(P.configure(m).tsc))], "k int, mm int, mi int, md int, im int, ii int, dm int, dd int")
+
+
+@query()
+def max_length_w(spark, d):
+    return _per_model(spark, d, lambda m: [(P.max_length(m),)], "w int")
+
+
+@query("SELECT p_partkey, round(ln(3.0 / (n + 3)), 6) AS move, round(ln(n / (n + 3)), 6) AS loop FROM (SELECT p_partkey, length(seq)::DOUBLE AS n FROM {PARTS}) WHERE n > 0")
+def length_model(spark, d):
+    move = S.move_probability(F.length("seq").cast("double"))
+    return parts(spark, d).where("seq <> ''").select("p_partkey", r6(F.log(move)).alias("move"), r6(F.log(1 - move)).alias("loop"))
+
+
+@query("""SELECT n_nationkey, k::INT AS k, CASE WHEN k = length(n_name) THEN 0.98::DOUBLE ELSE 0.96::DOUBLE END AS mm, CASE WHEN k = length(n_name) THEN 0.0::DOUBLE ELSE 0.02::DOUBLE END AS md, 0.02::DOUBLE AS mi
+FROM (SELECT n_nationkey, n_name, unnest(range(1, length(n_name) + 1)) AS k FROM nation)""")
+def seqmodel_transitions(spark, d):
+    """Transitions of single-sequence models, as a table."""
+    n = F.length("n_name")
+    k = table(spark, d, "nation").select("n_nationkey", n.alias("m"), F.explode(F.sequence(F.lit(1), n)).alias("k"))
+    last = F.col("k") == F.col("m")
+    number = lambda a, b: F.when(last, F.lit(a)).otherwise(F.lit(b)).cast("double")
+    return k.select("n_nationkey", "k", number(0.98, 0.96).alias("mm"), number(0.0, 0.02).alias("md"), F.lit(0.02).cast("double").alias("mi"))
+
+
+@query(f"""WITH m AS (SELECT *, max(stop) OVER (PARTITION BY target ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {SPANS}),
+i AS (SELECT *, sum(CASE WHEN start <= before + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY target ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT target, min(start)::BIGINT AS first, max(stop)::BIGINT AS last FROM i GROUP BY target, island""")
+def seed_merge(spark, d):
+    return I.merged(spans(spark, d), ["target"]).select("target", F.col("start").alias("first"), F.col("end").alias("last"))
+
+
+@query(f"""SELECT target, start::BIGINT AS first, stop::BIGINT AS last, arg_min(id, lnp * 1e6 + id / 1e6)::BIGINT AS id FROM {SPANS} GROUP BY ALL""")
+def dup_domain_workaround(spark, d):
+    """Of domains with equal coordinates, the best one; the smallest id of equally good ones."""
+    best = spans(spark, d).groupBy("target", "start", "end").agg(F.min(F.struct("lnp", "id")).alias("x"))
+    return best.select("target", F.col("start").alias("first"), F.col("end").alias("last"), F.col("x.id").cast("bigint").alias("id"))
+
+
+@query()
+def dedup_order_scan(spark, d):
+    s = spans(spark, d).withColumn("model", F.col("id") % 5)
+    return I.without_duplicates(s, ["target", "model"]).groupBy("target", "model").agg(F.count("*").alias("kept"))
+
+
+@query()
+def pipeline_statistics(spark, d):
+    """Pass rates of each filter beside the expected ones."""
+    c = search_parts(spark, d)[1]
+    rate = lambda x: r6(F.col(x) / F.col("n"))
+    return c.select("model", F.col("n").alias("targets"), "residues", *[rate(f"past_{x}").alias(f"{x}_rate") for x in ("msv", "bias", "vit", "fwd")], F.lit(0.3).alias("msv_expected"), F.lit(0.2).alias("vit_expected"), F.lit(0.1).alias("fwd_expected"))
+
+
+@query()
+def iterate_to_convergence(spark, d):
+    target = parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), F.concat(F.lit("part"), "p_partkey").alias("name"), "seq")
+    config = R.Config(f1=0.3, f2=0.2, f3=0.1, e=1000.0, inc_e=500.0, inc_dom_e=500.0)
+    hits, rounds = R.iterate(target, P.single_sequence("steel", "STEEL"), lambda m, h: m, 3, config)
+    return hits.where("included").select("seq_id", r6(F.col("score")).alias("score"), F.lit(rounds).alias("rounds"))
+
+
+@query()
+def long_target_search(spark, d):
+    """Letters A, C, G and T of pages as DNA, searched on both strands for what the first page begins with."""
+    s = table(spark, d, "pages").select(F.col("page_id").cast("bigint").alias("seq_id"), F.concat(F.lit("page"), "page_id").alias("name"), F.regexp_replace(F.upper(F.coalesce("html", F.lit(""))), "[^ACGT]", "").alias("seq"))
+    first = s.where("length(seq) >= 40").orderBy("seq_id").first()
+    model = P.single_sequence("acgt", first.seq[:40] if first else "ACGT", popen=0.03125, pextend=0.75, alphabet="dna")
+    model.max_length = 60
+    return R.long_search(s, model).select("seq_id", "strand", "ali_from", "ali_to", "hmm_from", "hmm_to", r6(F.col("bits")).alias("bits"), "rank")
+
+
+@query()
+def approx_distinct(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+
+
+@query("""SELECT event_type, (time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k::INT))::TIMESTAMP AS start, count(*)::BIGINT AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL""")
+def sliding_events(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy("event_type", F.window(F.col("ts"), "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").cast(e.schema["ts"].dataType).alias("start"), "n")
+
+
 def planted(spark: SparkSession, d: str) -> tuple[DataFrame, P.Model]:
     """Documents as targets, and a profile of the first passage that occurs in one of them (else of the first)."""
     target = docs(spark, d).select(F.col("doc_id").alias("seq_id"), F.concat(F.lit("doc"), "doc_id").alias("name"), "seq")

@@ -204,3 +204,22 @@ def test_windows_cover_a_sequence(spark):
     df = spark.createDataFrame([("abcdefghij",), ("abc",), ("",)], "s string")
     rows = [(r.s, r.start, r.part) for r in I.windows(df, "s", 5, 2).collect()]
     assert rows == [("abcdefghij", 1, "abcde"), ("abcdefghij", 4, "defgh"), ("abcdefghij", 7, "ghij"), ("abc", 1, "abc")]
+
+
+def test_long_targets_are_searched_on_both_strands(spark):
+    rng = np.random.default_rng(5)
+    word = "ACGTTGCAAGGCTTACCGATGCATTGACCA"
+    other = word[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    noise = lambda n: "".join(rng.choice(list("ACGT"), n))
+    seq = noise(700) + word + noise(900) + other + noise(300)
+    df = spark.createDataFrame([(1, "chr", seq), (2, "none", None)], "seq_id bigint, name string, seq string")
+    model = P.single_sequence("w", word, popen=0.03125, pextend=0.75, alphabet="dna")
+    model.max_length = 60
+    rows = R.long_search(df, model, window=400).collect()
+    found = {(r.strand, r.ali_from, r.ali_to) for r in rows if r.bits > 25}
+    assert found == {("+", 701, 730), ("-", 1660, 1631)}
+
+
+def test_paths_without_delete_next_to_insert():
+    path = [("M", 1, 0), ("D", 2, 1), ("I", 2, 2), ("M", 3, 3), ("I", 3, 4), ("D", 4, 5)]
+    assert B.without_delete_insert(path) == [("M", 1, 0), ("M", 2, 2), ("M", 3, 3), ("M", 4, 4)]
