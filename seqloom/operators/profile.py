@@ -78,6 +78,7 @@ class Profile:
     entry: np.ndarray  # ln P(B -> M_k), entry[0] = -inf
     multihit: bool = True
     local: bool = True
+    target: int | None = None  # length of the whole target, where a part of it is scored
 
     @property
     def m(self) -> int:
@@ -86,7 +87,8 @@ class Profile:
     def length_model(self, n) -> tuple[np.ndarray, np.ndarray]:
         """(loop, move) of N, C and J for target lengths n."""
         nj = 1.0 if self.multihit else 0.0
-        move = (2 + nj) / (np.asarray(n, float) + 2 + nj)
+        n = np.asarray(n, float) if self.target is None else np.full(np.shape(n), float(self.target))
+        move = (2 + nj) / (n + 2 + nj)
         return log(1 - move), log(move)
 
     @property

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import scores as S
 from seqloom.functions.alphabet import digitize
 from seqloom.operators import kernels as K
+from seqloom.operators.ensemble import envelopes
 from seqloom.operators.profile import Model, composition, configure, relative_entropy
 
 LN2 = float(np.log(2))
@@ -113,39 +114,23 @@ def _aligned(seq: str, path: list, consensus: str) -> tuple[str, str, str]:
     return "".join(top), "".join(bottom), "".join(pp)
 
 
-def _split(path: list) -> list[list]:
-    """The domains of a path: runs of match, insert and delete states between flanks."""
-    out: list[list] = [[]]
-    for step in path:
-        if step[0] in "MID":
-            if out[-1] and step[0] == "M" and out[-1][-1][1] >= step[1]:
-                out.append([])
-            out[-1].append(step)
-        elif out[-1]:
-            out.append([])
-    return [d for d in out if d]
-
-
 def domains(p, post: K.Posterior, seq: str, codes: np.ndarray, consensus: str, stats: dict, f: np.ndarray, use_null2: bool = True) -> tuple[int, list[dict]]:
-    """(regions, domains of one target). A region with several domains is divided along its path."""
+    """(regions, domains of one target). A region with several domains is divided by an ensemble of sampled paths."""
     n = len(codes)
+    whole = replace(p, target=n)  # parts of the target are scored with the whole one's length model
     found, spans = [], []
     for i, j in K.regions(post):
         if K.is_multidomain(post, i, j):
-            sub = K.Posterior(p, codes[i - 1 : j])
-            cuts = [(d[0][2] + i - 1, d[-1][2] + i - 1) for d in _split(K.optimal_accuracy(p, sub)[1])]
-            spans += cuts or [(i, j)]
+            spans += [(a + i - 1, b + i - 1) for a, b in envelopes(whole, codes[i - 1 : j])] or [(i, j)]
         else:
             spans.append((i, j))
-    uni = replace(p, multihit=False)
+    uni = replace(whole, multihit=False)
     null = n * np.log(n / (n + 1)) + np.log(1 / (n + 1))
     flank = lambda length: (n - length) * np.log(n / (n + 3))
     for i, j in spans:
         part = codes[i - 1 : j]
         sub = K.Posterior(uni, part)
-        _, move = (float(v) for v in uni.length_model(len(part)))
-        at_n = [float(v) for v in uni.length_model(n)]
-        envsc = sub.score + 2 * (at_n[1] - move)  # entry and exit as in the whole target
+        envsc = sub.score
         oasc, path = K.optimal_accuracy(uni, sub)
         path = [(s, k, r + i - 1, q) for s, k, r, q in path if s in "MID"]
         while path and path[0][0] == "D":

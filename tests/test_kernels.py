@@ -119,3 +119,21 @@ def test_statistics_of_models():
     assert P.max_length(m) >= 15
     f = np.exp(P.configure(m).entry[1:])
     assert math.isclose((f * (15 - np.arange(1, 16) + 1)).sum(), 1)
+
+
+def test_sampled_paths_follow_the_posterior_and_find_both_copies():
+    from seqloom.operators import ensemble as E
+
+    p = P.configure(P.single_sequence("q", "WCHMKWYFHC"))
+    x = np.concatenate([digitize("WCHMKWYFHC"), RNG.choice([0, 9, 15], 6), digitize("WCHMKWYFHC")])
+    _, lat = K.forward(p, x[None, :], np.array([len(x)]), keep=True)
+    rng = np.random.default_rng(1)
+    drawn = [E.sampled(p, lat, len(x), x, rng) for _ in range(300)]
+    covered = np.zeros(len(x) + 1)
+    for path in drawn:
+        assert all(a[1] < b[0] for a, b in zip(path, path[1:], strict=False))
+        for i, j, k, m in path:
+            assert 1 <= i <= j <= len(x) and 1 <= k <= m <= 10
+            covered[i : j + 1] += 1 / len(drawn)
+    assert np.abs(covered - K.Posterior(p, x).mocc)[1:].max() < 0.12
+    assert E.envelopes(p, x) == [(1, 10), (17, 26)]
