@@ -26,27 +26,34 @@ def msv_int(p: Profile, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     cost, bias = quantise_msv(p)
     scale, base, m = 3 / np.log(2), 190, p.m
     unit = lambda s: int(min(255, max(0, np.floor(-scale * s + 0.5))))
-    tjb = np.array([unit(np.log(3 / (n + 3))) for n in lengths])
+    tjb = np.array([unit(np.log(3 / (n + 3))) for n in lengths], np.int32)
     tbm, tec = unit(np.log(2 / (m * (m + 1)))), unit(np.log(0.5))
     n = len(x)
-    dp = np.zeros((n, m), np.int32)
-    xj = np.zeros(n, np.int32)
-    xb = np.maximum(0, base - tjb - tbm).astype(np.int32)
-    over = np.zeros(n, bool)
+    order = np.argsort(-lengths, kind="stable")  # long rows first: those that go on are a prefix
+    x, tjb = x[order], tjb[order]
+    ends = np.searchsorted(-lengths[order], -np.arange(x.shape[1] + 1), side="left")
+    cost = np.ascontiguousarray(cost[:, 1:])
+    dp = np.zeros((n, m + 1), np.int32)  # a column of zeros in front
+    xj, over = np.zeros(n, np.int32), np.zeros(n, bool)
+    floor = np.maximum(0, base - tjb - tbm).astype(np.int32)
+    xb = floor.copy()
     for i in range(x.shape[1]):
-        live = (x[:, i] >= 0) & ~over
-        if not live.any():
+        k = int(ends[i])
+        if not k:
             break
-        before = np.concatenate([np.zeros((n, 1), np.int32), dp[:, :-1]], 1)
-        new = np.maximum(before, xb[:, None])
-        new = np.minimum(255, new + bias)
-        new = np.maximum(0, new - cost[np.maximum(x[:, i], 0), 1:])
+        new = np.maximum(dp[:k, :-1], xb[:k, None])
+        new += bias
+        np.minimum(new, 255, out=new)
+        new -= cost[x[:k, i]]
+        np.maximum(new, 0, out=new)
+        dp[:k, 1:] = new
         top = new.max(1)
-        over |= live & (top >= 255 - bias)
-        xj_new = np.maximum(xj, np.maximum(0, top - tec))
-        xb_new = np.maximum(0, np.maximum(base, xj_new) - tjb - tbm)
-        dp[live], xj[live], xb[live] = new[live], xj_new[live], xb_new[live]
-    return xj, over
+        over[:k] |= top >= 255 - bias
+        j = np.maximum(xj[:k], top - tec, out=xj[:k])
+        np.maximum(floor[:k], j - tjb[:k] - tbm, out=xb[:k])
+    out_j, out_over = np.empty(n, np.int32), np.empty(n, bool)
+    out_j[order], out_over[order] = xj, over
+    return out_j, out_over
 
 
 def msv(p: Profile, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:

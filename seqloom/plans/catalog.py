@@ -264,7 +264,7 @@ def search_parts(spark: SparkSession, d: str, config: R.Config | None = None, wo
     """Part names searched with models of words."""
     target = parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), F.concat(F.lit("part"), "p_partkey").alias("name"), "seq")
     models = [P.single_sequence(w.lower(), w) for w in words]
-    return R.search(target, models, config or R.Config(f1=0.3, f2=0.2, f3=0.1))
+    return R.search(target, models, config or R.Config(f1=0.1, f2=0.05, f3=0.02))
 
 
 @query()
@@ -297,7 +297,7 @@ def domtblout(spark, d):
 def scan_swap_z(spark, d):
     target = parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), F.concat(F.lit("part"), "p_partkey").alias("name"), "seq")
     models = [P.single_sequence(w.lower(), w) for w in ("STEEL", "PLATED", "LINEN")]
-    return R.scan(target, models, R.Config(f1=0.3, f2=0.2, f3=0.1)).select("seq_id", "model", "rank", r6(F.col("evalue")).alias("evalue"))
+    return R.scan(target, models, R.Config(f1=0.1, f2=0.05, f3=0.02)).select("seq_id", "model", "rank", r6(F.col("evalue")).alias("evalue"))
 
 
 # P-values, E-values, thresholds
@@ -871,13 +871,13 @@ def pipeline_statistics(spark, d):
     """Pass rates of each filter beside the expected ones."""
     c = search_parts(spark, d)[1]
     rate = lambda x: r6(F.col(x) / F.col("n"))
-    return c.select("model", F.col("n").alias("targets"), "residues", *[rate(f"past_{x}").alias(f"{x}_rate") for x in ("msv", "bias", "vit", "fwd")], F.lit(0.3).alias("msv_expected"), F.lit(0.2).alias("vit_expected"), F.lit(0.1).alias("fwd_expected"))
+    return c.select("model", F.col("n").alias("targets"), "residues", *[rate(f"past_{x}").alias(f"{x}_rate") for x in ("msv", "bias", "vit", "fwd")], F.lit(0.1).alias("msv_expected"), F.lit(0.05).alias("vit_expected"), F.lit(0.02).alias("fwd_expected"))
 
 
 @query()
 def iterate_to_convergence(spark, d):
     target = parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), F.concat(F.lit("part"), "p_partkey").alias("name"), "seq")
-    config = R.Config(f1=0.3, f2=0.2, f3=0.1, e=1000.0, inc_e=500.0, inc_dom_e=500.0)
+    config = R.Config(f1=0.1, f2=0.05, f3=0.02, e=1000.0, inc_e=500.0, inc_dom_e=500.0)
     hits, rounds = R.iterate(target, P.single_sequence("steel", "STEEL"), lambda m, h: m, 3, config)
     return hits.where("included").select("seq_id", r6(F.col("score")).alias("score"), F.lit(rounds).alias("rounds"))
 
