@@ -412,3 +412,29 @@ def long_search(sequences: DataFrame, model: Model, config: Config | None = None
     kept = without_duplicates(hits, ["model", "seq_id", "strand"]).withColumn("evalue", F.exp("lnp"))
     names = sequences.select(F.col("seq_id").alias("sid"), "name")
     return kept.join(names, F.col("seq_id") == F.col("sid")).drop("sid", "start", "end").withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy("lnp", F.col("bits").desc(), "seq_id", F.col("strand").desc(), "ali_from")))
+
+
+def compact_sequences(hits: DataFrame) -> DataFrame:
+    """A short table of reported targets: n counts all domains, reported or not."""
+    return ranked(hits).select("name", F.col("score").alias("bits"), "evalue", F.size("domains").alias("n"), (F.col("pre_score") - F.col("score")).alias("bias"), "rank")
+
+
+def compact_domains(hits: DataFrame) -> DataFrame:
+    """A short table of reported domains, ordered over all targets of a model by P-value."""
+    rows = ranked(hits).withColumn("d", F.explode(F.filter("domains", lambda d: d["reported"])))
+    order = Window.partitionBy("model").orderBy("d.lnp", F.col("d.bits").desc(), "seq_id", "d.ienv")
+    return rows.select("name", F.col("d.bits").alias("bits"), F.col("d.i_evalue").alias("i_evalue"), F.row_number().over(order).alias("hit_no"), (F.col("d.dombias") / LN2).alias("bias"), F.col("d.ienv").alias("env_from"), F.col("d.jenv").alias("env_to"), F.col("d.iali").alias("ali_from"), F.col("d.jali").alias("ali_to"), "d.hmm_from", "d.hmm_to")
+
+
+def simulated(spark, model: Model, n: int = 1000, length: int = 100, seed: int = 42) -> DataFrame:
+    """(i, msv, vit, fwd): bit scores of random sequences drawn from the model's background, each by its own number."""
+    p, f = configure(model), model.bg
+    null = length * np.log(length / (length + 1)) + np.log(1 / (length + 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, lengths = K.batch([np.random.default_rng([seed, int(i)]).choice(len(f), length, p=f) for i in pdf.id])
+            bits = lambda s: (s - null) / LN2
+            yield pd.DataFrame({"i": pdf.id, "msv": bits(K.msv(p, x, lengths)), "vit": bits(K.viterbi(p, x, lengths)), "fwd": bits(K.forward(p, x, lengths))})
+
+    return spark.range(n).mapInPandas(run, "i bigint, msv double, vit double, fwd double")

@@ -293,6 +293,23 @@ def domtblout(spark, d):
     return R.domtblout(search_parts(spark, d)[0])
 
 
+@query()
+def compact_sequence_table(spark, d):
+    return R.compact_sequences(search_parts(spark, d)[0])
+
+
+@query()
+def compact_domain_table(spark, d):
+    return R.compact_domains(search_parts(spark, d)[0])
+
+
+@query()
+def simulate_scores(spark, d):
+    """Random sequences against the longest nation's name."""
+    name = table(spark, d, "nation").agg(F.max(F.struct(F.length("n_name"), letters(F.col("n_name")).alias("s"))).alias("x")).first().x.s
+    return R.simulated(spark, P.single_sequence("nation", name)).select("i", *[r6(F.col(c)).alias(c) for c in ("msv", "vit", "fwd")])
+
+
 @query()
 def scan_swap_z(spark, d):
     target = parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), F.concat(F.lit("part"), "p_partkey").alias("name"), "seq")

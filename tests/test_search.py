@@ -223,3 +223,21 @@ def test_long_targets_are_searched_on_both_strands(spark):
 def test_paths_without_delete_next_to_insert():
     path = [("M", 1, 0), ("D", 2, 1), ("I", 2, 2), ("M", 3, 3), ("I", 3, 4), ("D", 4, 5)]
     assert B.without_delete_insert(path) == [("M", 1, 0), ("M", 2, 2), ("M", 3, 3), ("M", 4, 4)]
+
+
+def test_simulated_scores_follow_their_fit(spark):
+    model = R.calibrated(P.single_sequence("q", QUERY))
+    rows = R.simulated(spark, model, 400, 100).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, R.simulated(spark, model, 400, 100).repartition(3).collect()))
+    fwd = np.array([r.fwd for r in rows])
+    tail = np.exp(np.minimum(0, -model.stats["fwd_lambda"] * (fwd - model.stats["fwd_tau"])))
+    assert 0.01 < (tail <= 0.05).mean() < 0.15
+    assert all(r.vit <= r.fwd + 1e-9 for r in rows)
+
+
+def test_compact_tables(found):
+    hits, _ = found
+    seqs, doms = R.compact_sequences(hits), R.compact_domains(hits)
+    assert {"one", "two"} <= {r.name for r in seqs.collect()}
+    numbers = sorted(r.hit_no for r in doms.collect())
+    assert numbers == list(range(1, len(numbers) + 1)) and len(numbers) >= 3
