@@ -8,15 +8,16 @@ of words that meet sum(size * r) = target for each source. The dual is convex an
 source; its solution tilts exponentially, r = min(most, exp(lambda * tilt)), and Newton steps on the
 lambdas need two sums per source and step, which are aggregated over all documents.
 
-Copies: every document gets floor(r) copies; further ones go by a hash of the document, within a
-source, while the sum of fractional words lasts. Its last step is cut exactly: words per (source,
-hash bucket) are summed, the bucket where the sum runs out is ordered by row, and what is left is
-filled with the largest document that fits, step by step. No window spans more than one bucket.
+Copies: every document gets floor(r) copies; what that leaves of the target is handed out in the order
+of a hash of the document, within a source. A document that does not fit what is left is passed over;
+after the last one, further copies go out in the same order, until no document with fewer than `most`
+copies fits. Each round sums words per (source, hash bucket) and orders by row the bucket where what
+is left runs out; nothing limits the rounds. No window spans more than one bucket.
 
 Documents with a null text have size 0, take part and take nothing. A null source is a source of its
-own, last in order. Repeated rows count as often as they occur and get equal copies by hash, except
-that fillers are chosen by (doc_id, size). An empty table gives an empty result. Columns that the input
-has beside id, text and source are ignored. All results follow from exact sums, so reruns agree.
+own, last in order. Repeated rows count as often as they occur, get equal copies, and must fit together.
+An empty table gives an empty result. Columns that the input has beside id, text and source are
+ignored. All results follow from exact sums, so reruns agree.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def rates(docs: DataFrame, balanced: DataFrame, most: int = 3, tilt: str | None
     return lam.withColumn("lam", F.round("lam", 9))  # sums of doubles depend on their order in the last digits
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, weights: tuple[int, ...] = (1, 2, 3), tilt: str | None = None, fills: int = 8) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, weights: tuple[int, ...] = (1, 2, 3), tilt: str | None = None) -> DataFrame:
     """One row per document: id, source, size, source_size, target, rate, copies, taken = copies * size."""
     columns = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col)).alias("h")]
     docs = checkpointed(df.select(*columns, *([F.col(tilt).alias("tilt")] if tilt else [])))
@@ -101,49 +102,72 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     by = _small(by, count)
     rated = docs.join(by, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", F.when(F.col("target") > 0, F.least(F.lit(float(most)), F.exp(F.col("lam") * f))).otherwise(0.0))
     rated = rated.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate")))
-    rated = rated.withColumn("whole", F.floor("rate")).withColumn("part", F.when(F.col("whole") < most, (F.col("rate") - F.col("whole")) * F.col("size")).otherwise(0.0)).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
+    rated = rated.withColumn("whole", F.floor("rate")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
     rated = checkpointed(rated.drop("of", "lam"))
 
-    # words that floor(rate) copies leave over, and how far they reach in hash order
-    sums = rated.groupBy("source", "b").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("sure"), F.max("target").alias("target"))
-    spare = sums.groupBy("source").agg((F.max("target") - F.sum("sure")).alias("spare"))
-    sums, spare = sums.select(F.col("source").alias("of"), "b", "words"), spare.withColumnRenamed("source", "from")
-    running = sums.join(_small(spare, count), F.col("of").eqNullSafe(F.col("from"))).withColumn("before", F.sum("words").over(Window.partitionBy("of").orderBy("b")) - F.col("words"))
-    reach = checkpointed(running.groupBy("of").agg(F.max("spare").alias("spare"), F.max(F.when(F.col("before") <= F.col("spare"), F.struct("b", "before"))).alias("last")).select("of", "spare", F.col("last.b").alias("cut"), F.col("last.before").alias("before")))
-    reach = _small(reach, count)
-    placed = rated.join(reach, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    at_cut = F.col("b") == F.col("cut")
-    edge = placed.where(at_cut & (F.col("whole") < most)).withColumn("through", F.col("before") + F.sum("size").over(Window.partitionBy("source", "b").orderBy("h", "doc_id", "size").rangeBetween(Window.unboundedPreceding, 0)))
-    edge = edge.where(F.col("through") <= F.col("spare")).select(F.col("source").alias("of"), F.col("doc_id").alias("chosen"), F.col("h").alias("eh")).distinct()
-    joined = placed.join(edge, F.col("source").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("h") == F.col("eh")), "left")
-    extra = F.when((F.col("whole") < most) & (F.col("spare") > 0) & ((F.col("b") < F.col("cut")) | (at_cut & F.col("eh").isNotNull())), 1).otherwise(0)
-    first = checkpointed(joined.withColumn("copies", F.col("whole") + extra).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "h"))
-
-    # what is left of each source's target goes to the largest document that still fits
-    filled = None
-    left = checkpointed(first.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left")).withColumnRenamed("source", "of"))
-    for _ in range(fills):
-        room = first.join(_small(left, count), F.col("source").eqNullSafe(F.col("of"))).where((F.col("copies") < most) & (F.col("size") > 0) & (F.col("size") <= F.col("left")))
-        if filled is not None:
-            known = filled.select(F.col("doc_id").alias("fd"), F.col("source").alias("fs"), F.col("h").alias("fh"))
-            room = room.join(known, F.col("doc_id").eqNullSafe(F.col("fd")) & F.col("source").eqNullSafe(F.col("fs")) & (F.col("h") == F.col("fh")), "left_anti")
-        best = checkpointed(room.groupBy("source").agg(F.max(F.struct("size", "h", "doc_id")).alias("x")).select("source", "x.size", "x.h", "x.doc_id"))
-        if best.isEmpty():
-            break
-        filled = best if filled is None else checkpointed(filled.unionByName(best))
-        took = best.select(F.col("source").alias("ts"), F.col("size").alias("took"))
-        left = checkpointed(left.join(took, F.col("of").eqNullSafe(F.col("ts")), "left").select("of", (F.col("left") - F.coalesce("took", F.lit(0))).alias("left")))
-    copies = F.col("copies")
-    if filled is not None:
-        more = filled.select(F.col("doc_id").alias("fd"), F.col("source").alias("fs"), F.col("h").alias("fh"))
-        first = first.join(more, F.col("doc_id").eqNullSafe(F.col("fd")) & F.col("source").eqNullSafe(F.col("fs")) & (F.col("h") == F.col("fh")), "left")
-        copies = copies + F.when(F.col("fh").isNotNull(), 1).otherwise(0)
-    return first.select("doc_id", "source", "size", "source_size", "target", "rate", "h", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+    # what floor(rate) copies leave over goes out in hash order, by rules that hold for all documents of a source
+    left = rated.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("left"))
+    units = checkpointed(rated.where(F.col("whole") < most).groupBy("source", "b", "h", "whole").agg(F.sum("size").alias("cost"), F.count("*").alias("n")))
+    rules = handed_out(units.where("cost > 0").drop("n"), left, most, count)
+    ruled = rated.join(_small(rules.withColumnRenamed("source", "of"), count), F.col("source").eqNullSafe(F.col("of")))
+    several = units.where("n > 1 AND cost > 0").select(F.col("source").alias("us"), F.col("h").alias("uh"), F.col("whole").alias("uw"), F.col("cost").alias("all"))
+    ruled = ruled.join(several, F.col("source").eqNullSafe(F.col("us")) & (F.col("h") == F.col("uh")) & (F.col("whole") == F.col("uw")), "left")
+    cost, place = F.coalesce("all", "size"), F.struct("b", "h", "whole")
+
+    def holds(rule: Column) -> Column:
+        after = rule["lo"].isNull() | (place > rule["lo"])
+        return (F.col("whole") + rule["turn"] <= most) & (cost <= rule["limit"]) & ((cost > 0) | rule["first"]) & after & (rule["hi"].isNull() | (place < rule["hi"]))
+
+    copies = F.col("whole") + F.size(F.filter("rules", holds))
+    return ruled.select("doc_id", "source", "size", "source_size", "target", "rate", "h", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+
+
+def handed_out(units: DataFrame, left: DataFrame, most: int, count: int) -> DataFrame:
+    """(source, rules): which of units(source, b, h, whole, cost) get a further copy, as stretches of hash order.
+
+    The order of places is (turn, b, h, whole), where each turn is one more copy; a unit that does not fit
+    what is left is passed over, and as less and less is left it never fits again. So a round takes all
+    that fit the start of it, up to the first place where they do not fit together; the next round starts
+    behind that place with what is left then. Rounds end when no unit below `most` copies fits.
+    """
+    place = F.struct("b", "h", "whole")
+    shape = "struct<b:bigint,h:bigint,whole:bigint>"
+    rule = f"struct<turn:int,lo:{shape},hi:{shape},limit:double,first:boolean>"
+    least = units.groupBy("source").agg(F.min("cost").alias("least")).withColumnRenamed("source", "of")
+    state = left.join(least, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "left", "least", F.lit(1).alias("turn"), F.lit(None).cast(shape).alias("lo"), F.array().cast(f"array<{rule}>").alias("rules"))
+    state = checkpointed(state)
+    active = (F.col("left") >= F.col("least")) & (F.col("turn") <= most)
+    while not state.where(active).isEmpty():
+        now = state.where(active).select(F.col("source").alias("of"), "left", "turn", "lo")
+        room = units.join(_small(now, count), F.col("source").eqNullSafe(F.col("of")))
+        room = room.where((F.col("whole") + F.col("turn") <= most) & (F.col("cost") <= F.col("left")) & (F.col("lo").isNull() | (place > F.col("lo")))).drop("of")
+        sums = room.groupBy("source", "b").agg(F.sum("cost").alias("words"), F.max("left").alias("left"))
+        running = sums.withColumn("through", F.sum("words").over(Window.partitionBy("source").orderBy("b")))
+        stop = F.min(F.when(F.col("through") > F.col("left"), F.struct("b", (F.col("through") - F.col("words")).alias("before"))))
+        reach = checkpointed(running.groupBy("source").agg(F.max("through").alias("all"), stop.alias("x")).select(F.col("source").alias("of"), "all", F.col("x.b").alias("cut"), F.col("x.before").alias("before")))
+        edge = room.join(_small(reach.where("cut is not null"), count), F.col("source").eqNullSafe(F.col("of")) & (F.col("b") == F.col("cut")))
+        edge = edge.withColumn("through", F.col("before") + F.sum("cost").over(Window.partitionBy("source", "b").orderBy("h", "whole")))
+        stops = edge.where(F.col("through") > F.col("left")).groupBy("source").agg(F.min(F.struct("b", "h", "whole", (F.col("through") - F.col("cost")).alias("took"))).alias("x"))
+        stops = stops.select(F.col("source").alias("ss"), F.struct("x.b", "x.h", "x.whole").cast(shape).alias("hi"), F.col("x.took").alias("took"))
+        found = state.join(_small(reach, count), F.col("source").eqNullSafe(F.col("of")), "left").join(_small(stops, count), F.col("source").eqNullSafe(F.col("ss")), "left")
+        made = F.struct("turn", "lo", "hi", F.col("left").alias("limit"), (F.size("rules") == 0).alias("first")).cast(rule)
+        ends = active & F.col("hi").isNull()
+        state = checkpointed(
+            found.select(
+                "source",
+                F.when(active, F.col("left") - F.coalesce("took", "all", F.lit(0))).otherwise(F.col("left")).alias("left"),
+                "least",
+                F.when(ends, F.col("turn") + 1).otherwise(F.col("turn")).alias("turn"),
+                F.when(active, F.col("hi")).otherwise(F.col("lo")).alias("lo"),
+                F.when(active, F.concat("rules", F.array(made))).otherwise(F.col("rules")).alias("rules"),
+            )
+        )
+    return state.select("source", "rules")
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of df, all columns, each as often as the mix takes it."""
-    decided = mix(df, id_col, text_col, source_col, **options).where("copies > 0").groupBy("doc_id", "h").agg(F.max("copies").alias("mix_copies")).withColumnsRenamed({"doc_id": "mix_id", "h": "mix_h"})
+    decided = mix(df, id_col, text_col, source_col, **options).where("copies > 0").groupBy("doc_id", "source", "h").agg(F.max("copies").alias("mix_copies")).withColumnsRenamed({"doc_id": "mix_id", "source": "mix_source", "h": "mix_h"})
     own = F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col))
-    joined = df.withColumn("mix_own", own).join(decided, (F.col("mix_own") == F.col("mix_h")) & F.col(id_col).eqNullSafe(F.col("mix_id")))
+    joined = df.withColumn("mix_own", own).join(decided, (F.col("mix_own") == F.col("mix_h")) & F.col(id_col).eqNullSafe(F.col("mix_id")) & F.col(source_col).eqNullSafe(F.col("mix_source")))
     return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*df.columns)

@@ -330,6 +330,19 @@ def test_mix_comes_near_its_targets(spark, docs, tilt):
     assert math.isclose(sum(t for _, _, t in by.values()), sum(s for _, s, _ in by.values()))
 
 
+def test_mix_goes_on_behind_documents_that_do_not_fit(spark):
+    """Long documents at any place of the hash order leave no room that short ones could take."""
+    for longest in (20_000, 29_000):  # in a source of 2,000 documents of 10 words
+        rows = [(i, "w " * 10, "a") for i in range(2000)] + [(9000 + i, "w " * longest, "a") for i in range(3)]
+        rows += [(10_000 + i, "w " * n, "b") for i, n in enumerate([30_000, *range(1, 60)])] + [(20_000, "w " * 40_000, "c"), (20_001, None, "c")]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(3, 2, 5)).collect()
+        for source in "abc":
+            of = [r for r in got if r.source == source]
+            left = of[0].target - sum(r.taken for r in of)
+            assert left >= 0
+            assert not [r for r in of if r.copies < 3 and 0 < r.size <= left]
+
+
 def test_mix_repeats_rows(spark, docs):
     copies = Counter()
     for r in mixing.mix(docs).collect():
