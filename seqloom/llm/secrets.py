@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, plus zstandard novelty of strings in sensitive context.
 
-A string near a sensitive word is measured by its marginal compressed bytes: a frame holding the
+A string of 16 characters or more that lies within 64 of a sensitive word, before or after it, or goes
+on from such a string as a line of one block, is measured by its marginal compressed bytes: a frame holding the
 surrounding code followed by the string, less a frame holding the surrounding code alone, both
 primed with a dictionary of common identifiers. Names and prose repeat something the dictionary or
 the surroundings already hold and cost little; key material costs nearly its full length. Strings
@@ -29,7 +30,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "novel")
 
 # Words that make a context sensitive, and identifiers that prime the dictionary.
-SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[_-]?key|auth|credential|bearer|private[_-]?key|access[_-]?key|signature", re.IGNORECASE | re.ASCII)
+SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[\s_-]?key|auth|credential|bearer|private[\s_-]?key|access[\s_-]?key|signature", re.IGNORECASE | re.ASCII)
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey api-key access_key secret_key private_key public_key authorization authentication authenticate "
     "credential credentials bearer signature session_id user_name username client_id client_secret config configuration environment variable default example placeholder "
@@ -37,8 +38,11 @@ IDENTIFIERS = (
     "https://www. http://localhost .com .org .json .yaml index.html /usr/local/ /var/lib/ getElementById addEventListener toString document.window request response header "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 xxxxxxxx XXXXXXXX ________ ======== ........ --------"
 )
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 LEAST, REACH, AROUND = 16, 64, 1024
+RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
+#: What may lie between two lines of one key block, and the short last line of an armoured one.
+BETWEEN = re.compile(r"""[\s"',;\\>#*|]*""")
+TAIL = re.compile(r"""[\s"',;\\>#*|]+([A-Za-z0-9+/=]+)(?=[\s"',;\\>#*|]+-----END)""")
 
 
 class Novelty:
@@ -65,22 +69,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def sensitive_runs(text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of LEAST characters or more within REACH of a sensitive word on either side, and those that go on from such a run as lines of one block."""
+    runs = [(m.start(), m.end()) for m in RUN.finditer(text)] if words else []
+    near, at = [], 0
+    for start, end in runs:
+        while at < len(words) and words[at][1] + REACH <= start:
+            at += 1
+        near.append(at < len(words) and words[at][0] - REACH < end)
+    follows = [k > 0 and BETWEEN.fullmatch(text, runs[k - 1][1], runs[k][0]) is not None for k in range(len(runs))]
+    for k in range(1, len(runs)):
+        near[k] |= near[k - 1] and follows[k]
+    for k in range(len(runs) - 1, 0, -1):
+        near[k - 1] |= near[k] and follows[k]
+    return [run for run, chosen in zip(runs, near, strict=True) if chosen]
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float) -> list[tuple[int, int, int]]:
-    """Incompressible strings that start within REACH after a sensitive word and touch no base span."""
+    """Incompressible strings in sensitive context, without what sensitive words and base spans cover of them."""
     found: list[tuple[int, int, int]] = []
-    seen = 0  # runs are measured once, from the leftmost word that reaches them
-    for word in SENSITIVE.finditer(text):
-        for near in RUN.finditer(text, max(seen, word.end()), word.end() + REACH):
-            start, end = near.start(), RUN.match(text, near.start()).end()
-            seen = end
-            string = text[start:end]
-            if len(string) < LEAST or not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)):
-                continue
-            if any(s < end and start < e for s, _, e in base):
+    words = [(m.start(), m.end()) for m in SENSITIVE.finditer(text)]
+    covered = sorted(words + [(s, e) for s, _, e in base])
+    first = 0
+    for start, end in sensitive_runs(text, words):
+        pieces, at = [], start
+        while first < len(covered) and covered[first][1] <= start:
+            first += 1
+        for s, e in covered[first:]:
+            if s >= end:
+                break
+            if e > at:
+                pieces.append((at, s))
+                at = e
+        for s, e in [*pieces, (at, end)]:
+            if e - s < LEAST:
                 continue
-            around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-            if novelty.ratio(around, string) >= least:
-                found.append((start, 3, end))
+            around = text[max(0, s - AROUND) : s] + text[e : e + AROUND]
+            if novelty.ratio(around, text[s:e]) >= least:
+                found.append((s, 3, e))
+                tail = TAIL.match(text, e) if e == end else None
+                if tail and len(tail[1]) < LEAST:
+                    found.append((tail.start(1), 3, tail.end(1)))
     return found
 
 
