@@ -126,25 +126,27 @@ def estimate(name: str, emissions: np.ndarray, transitions: np.ndarray, nseq: in
     return Model(name, mat, t, inserts, alphabet, nseq=nseq, eff_nseq=float(eff))
 
 
-def from_alignment(name: str, rows: list[str], alphabet: str = "amino", symfrac: float = 0.5, weights: np.ndarray | None = None, reference: str | None = None, mask: str | None = None, fragments: float = 0.5, weigh_common: bool = False, **options) -> Model:
-    """A model from one alignment held in memory; reference marks match columns by hand. Rows that span at most a share `fragments` of the columns have missing data, not deletions, at their ends."""
+def from_alignment(name: str, rows: list[str], alphabet: str = "amino", symfrac: float = 0.5, weights: np.ndarray | None = None, reference: str | None = None, mask: str | None = None, fragments: float = 0.5, weigh_common: bool = False, copies: np.ndarray | None = None, **options) -> Model:
+    """A model from one alignment held in memory; reference marks match columns by hand; copies counts equal rows given once. Rows that span at most a share `fragments` of the columns have missing data, not deletions, at their ends."""
     rows = mark_fragments(rows, fragments)
     grid = np.array([list(r.upper()) for r in rows])
     letters = ALPHABETS[alphabet]
     code = np.stack([digitize("".join(r), alphabet) for r in grid])
     residue = np.char.isalpha(grid)
     missing = grid == "~"
+    copies = np.ones(len(rows)) if copies is None else np.asarray(copies, float)
     if weights is None:  # by position, over all columns or those that most rows occupy
-        common = residue.sum(0) >= (0.5 * np.maximum(1, (~missing).sum(0)) if weigh_common else 1)
+        common = copies @ residue >= (0.5 * np.maximum(1, copies @ ~missing) if weigh_common else 1)
         weights, used = np.zeros(len(rows)), np.zeros(len(rows))
         for col in np.flatnonzero(common) if common.any() else range(grid.shape[1]):
             on = residue[:, col]
-            _, which, copies = np.unique(grid[on, col], return_inverse=True, return_counts=True)
-            if len(copies):
-                weights[on] += 1 / (len(copies) * copies[which])
+            _, which = np.unique(grid[on, col], return_inverse=True)
+            if len(which):
+                counts = np.bincount(which, copies[on])
+                weights[on] += 1 / (len(counts) * counts[which])
                 used[on] += 1
-        weights /= np.maximum(1, used)
-        weights = weights / weights.sum() * len(rows) if weights.sum() else np.ones(len(rows))
+        weights = copies * weights / np.maximum(1, used)
+        weights = weights / weights.sum() * copies.sum() if weights.sum() else copies
     seen = (weights[:, None] * ~missing).sum(0)
     share = np.divide((weights[:, None] * residue).sum(0), seen, out=np.zeros(grid.shape[1]), where=seen > 0)
     match = np.array([c not in ".-~ " for c in reference]) if reference else share >= symfrac
@@ -166,7 +168,7 @@ def from_alignment(name: str, rows: list[str], alphabet: str = "amino", symfrac:
             before, node = state, k
         if node == m:
             transitions[m, names[before + "M"]] += weights[r]  # to the end state
-    model = estimate(name, emissions, transitions, len(rows), alphabet, **options)
+    model = estimate(name, emissions, transitions, int(copies.sum()), alphabet, **options)
     model.map = [int(c) + 1 for c in columns]
     from seqloom.operators.profile import consensus
 
@@ -175,6 +177,44 @@ def from_alignment(name: str, rows: list[str], alphabet: str = "amino", symfrac:
     return model
 
 
+def rebuilder(query: str, **options):
+    """rebuild(model, included) for an iterative search that began with the sequence query.
+
+    The next model comes from the alignment of the included domains and the query's row. The nodes stay
+    the query's residues, so their columns are the reference; domains keep the paths they were found with.
+    Equal rows are counted where they are, so what comes to the driver is one row per distinct domain.
+    """
+    from pyspark.sql import functions as F
+
+    def rebuild(model: Model, included: DataFrame) -> Model:
+        d = included.select(F.explode(F.filter("domains", lambda d: d["included"])).alias("d"))
+        found = sorted(d.groupBy("d.hmm_from", "d.model", "d.aseq").count().collect())
+        columns, reference = aligned_domains(query, [(r[0], r[1], r[2]) for r in found])
+        following = from_alignment(model.name, columns, model.alphabet, reference=reference, copies=np.array([1, *[r[3] for r in found]]), **options)
+        following.f = model.f
+        return following
+
+    return rebuild
+
+
+def aligned_domains(query: str, domains: list[tuple[int, str, str]]) -> tuple[list[str], str]:
+    """(rows, reference) of the query and of domains (first node, model line, target line); columns of inserts have '.' as reference."""
+    m = len(query)
+    placed, widths = [], [0] * (m + 1)
+    for first, top, bottom in [(1, "x" * m, query.upper()), *domains]:
+        match, inserts, k = ["-"] * (m + 1), [""] * (m + 1), first - 1
+        for node, residue in zip(top, bottom, strict=True):
+            if node == ".":
+                inserts[k] += residue.lower()
+            else:
+                k += 1
+                match[k] = residue
+        widths = [max(w, len(i)) for w, i in zip(widths, inserts, strict=True)]
+        placed.append((match, inserts))
+    rows = ["".join((match[k] if k else "") + inserts[k].ljust(widths[k], ".") for k in range(m + 1)) for match, inserts in placed]
+    return rows, "".join(("x" if k else "") + "." * widths[k] for k in range(m + 1))
+
+
 def without_delete_insert(path: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """A path in which a delete next to an insert, which models don't have, is a match that emits the insert's residue."""
     out: list[tuple[str, int, int]] = []

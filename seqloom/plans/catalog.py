@@ -895,7 +895,7 @@ def pipeline_statistics(spark, d):
 def iterate_to_convergence(spark, d):
     target = parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), F.concat(F.lit("part"), "p_partkey").alias("name"), "seq")
     config = R.Config(f1=0.1, f2=0.05, f3=0.02, e=1000.0, inc_e=500.0, inc_dom_e=500.0)
-    hits, rounds = R.iterate(target, P.single_sequence("steel", "STEEL"), lambda m, h: m, 3, config)
+    hits, rounds = R.iterate(target, P.single_sequence("steel", "STEEL"), B.rebuilder("STEEL"), 3, config)
     return hits.where("included").select("seq_id", r6(F.col("score")).alias("score"), F.lit(rounds).alias("rounds"))
 
 

@@ -80,6 +80,27 @@ def test_iteration_ends(targets):
     assert hits.where("included").count() >= 2
 
 
+def test_domains_are_aligned_to_the_query():
+    rows, reference = B.aligned_domains("ACDEF", [(2, "CD..E", "C-klE"), (1, "ACD.EF", "ACDwEY")])
+    assert (rows, reference) == (["ACD..EF", "-C-klE-", "ACDw.EY"], "xxx..xx")
+
+
+def test_iteration_finds_a_remote_target_in_round_2(spark):
+    """The remote target has what the near ones have in place of the query's residues, and little of the query."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(rng.choice(list(AMINO), n))
+    query = QUERY + "HKNMDWYCRF" + "PEGVTHWCQK"
+    near = "".join(AMINO[(AMINO.index(a) + 7) % 20] if i % 5 in (1, 3) else a for i, a in enumerate(query))
+    remote = "".join(a if i % 5 in (1, 3) or i % 10 in (0, 4) else AMINO[(AMINO.index(a) + 11) % 20] for i, a in enumerate(near))
+    rows = [(i, f"s{i}", noise(80)) for i in range(40)] + [(100 + i, f"near{i}", noise(20) + near + noise(20)) for i in range(12)] + [(200, "remote", noise(20) + remote + noise(20))]
+    table = spark.createDataFrame(rows, "seq_id bigint, name string, seq string").repartition(4)
+    first, _ = R.iterate(table, P.single_sequence("q", query), B.rebuilder(query), rounds=1)
+    last, rounds = R.iterate(table, P.single_sequence("q", query), B.rebuilder(query), rounds=5)
+    names = lambda hits: {r.name for r in hits.where("included").collect()}
+    assert names(first) == {f"near{i}" for i in range(12)}
+    assert names(last) == names(first) | {"remote"} and rounds == 3
+
+
 def test_search_of_no_targets(targets):
     hits, counts = R.search(targets.where("false"), [P.single_sequence("q", QUERY)])
     assert hits.count() == 0 and counts.count() == 0
