@@ -92,7 +92,10 @@ def envelopes(p: Profile, codes: np.ndarray, paths: int = 200, least: float = 0.
         floor = int(np.ceil(rare * mine.sum()))
         starts, n_start = np.unique(s[mine, 1], return_counts=True)
         ends, n_end = np.unique(s[mine, 2], return_counts=True)
-        found.append((int(starts[n_start >= floor].min()), int(ends[n_end >= floor].max()), share))
+        common, last = starts[n_start >= floor], ends[n_end >= floor]  # where every end is rare, the most frequent one counts
+        i, j = int(common.min() if len(common) else starts[n_start.argmax()]), int(last.max() if len(last) else ends[n_end.argmax()])
+        if i <= j:
+            found.append((i, j, share))
     found.sort()
     kept: list[tuple[int, int, float]] = []
     for i, j, share in found:

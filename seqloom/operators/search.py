@@ -232,20 +232,24 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores)
 
 
-def raw_hits(sequences: DataFrame, models: list[Model], config: Config) -> DataFrame:
-    """sequences(seq_id, name, seq) against every model: rows of kind count and hit."""
-    ready = [calibrated(m, config.seed) for m in models]
+def grouped(models: list[Model]) -> list[list[Model]]:
+    """models in groups of at most MODEL_BYTES, each broadcast at once."""
     groups: list[list[Model]] = [[]]
     size = 0
-    for m in ready:
+    for m in models:
         own = m.mat.nbytes * 3 + m.t.nbytes * 2
         if groups[-1] and size + own > MODEL_BYTES:
             groups.append([])
             size = 0
         groups[-1].append(m)
         size += own
+    return groups
+
+
+def raw_hits(sequences: DataFrame, models: list[Model], config: Config) -> DataFrame:
+    """sequences(seq_id, name, seq) against every model: rows of kind count and hit."""
     out = None
-    for group in groups:
+    for group in grouped([calibrated(m, config.seed) for m in models]):
         shared = sequences.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -320,32 +324,36 @@ def domtblout(hits: DataFrame) -> DataFrame:
     )
 
 
-def msv_search(sequences: DataFrame, model: Model, config: Config | None = None) -> DataFrame:
-    """Targets ranked by the ungapped filter alone: seq_id, name, len, bits, p, evalue, rank.
+def msv_search(sequences: DataFrame, models: list[Model], config: Config | None = None) -> DataFrame:
+    """Targets of each model ranked by the ungapped filter alone: model, seq_id, name, len, bits, p, evalue, rank.
 
     The kernel sees batches of targets; scores, P- and E-values are Column expressions.
     """
     config = config or Config()
-    model = calibrated(model, config.seed, stages=("msv",))
-    p = configure(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            codes = [digitize(s, model.alphabet) for s in pdf.seq]
-            lengths = np.array([len(c) for c in codes])
-            out, order = np.empty(len(codes)), np.argsort(lengths, kind="stable")
-            for at in range(0, len(order), 256):
-                part = order[at : at + 256]
-                out[part] = K.msv(p, *K.batch([codes[i] for i in part]))
-            yield pd.DataFrame({"seq_id": pdf.seq_id, "name": pdf.name, "len": lengths, "nats": out})
-
     some = sequences.where("seq is not null and seq <> ''").select("seq_id", "name", "seq")
-    scored = balanced(some).mapInPandas(run, "seq_id bigint, name string, len int, nats double")
+    scored = None
+    for group in grouped([calibrated(m, config.seed, stages=("msv",)) for m in models]):
+        shared = sequences.sparkSession.sparkContext.broadcast(group)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            profiles = [(m, configure(m)) for m in shared.value]
+            for pdf in batches:
+                for model, p in profiles:
+                    codes = [digitize(s, model.alphabet) for s in pdf.seq]
+                    lengths = np.array([len(c) for c in codes])
+                    out, order = np.empty(len(codes)), np.argsort(lengths, kind="stable")
+                    for at in range(0, len(order), 256):
+                        part = order[at : at + 256]
+                        out[part] = K.msv(p, *K.batch([codes[i] for i in part]))
+                    yield pd.DataFrame({"model": model.name, "mu": model.stats["msv_mu"], "lambda": model.stats["msv_lambda"], "seq_id": pdf.seq_id, "name": pdf.name, "len": lengths, "nats": out})
+
+        part = balanced(some).mapInPandas(run, "model string, mu double, lambda double, seq_id bigint, name string, len int, nats double")
+        scored = part if scored is None else scored.unionByName(part)
     scored = scored.withColumn("bits", S.bits(F.col("nats"), S.null1(F.col("len"))))
-    scored = scored.withColumn("p", S.gumbel_p(F.col("bits"), model.stats["msv_mu"], model.stats["msv_lambda"]))
+    scored = scored.withColumn("p", S.gumbel_p(F.col("bits"), F.col("mu"), F.col("lambda")))
     z = F.lit(float(config.z)) if config.z is not None else F.lit(float(some.count()))
     hits = scored.withColumn("evalue", F.col("p") * z).where(F.col("evalue") <= config.e)
-    return hits.withColumn("rank", F.row_number().over(Window.orderBy("p", F.col("bits").desc(), "seq_id"))).drop("nats")  # hits are few: thresholds bound them
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy("p", F.col("bits").desc(), "seq_id"))).drop("nats", "mu", "lambda")  # hits are few: thresholds bound them
 
 
 def search(sequences: DataFrame, models: list[Model], config: Config | None = None) -> tuple[DataFrame, DataFrame]:

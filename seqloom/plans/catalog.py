@@ -920,30 +920,33 @@ def sliding_events(spark, d):
     return e.groupBy("event_type", F.window(F.col("ts"), "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").cast(e.schema["ts"].dataType).alias("start"), "n")
 
 
-def planted(spark: SparkSession, d: str) -> tuple[DataFrame, P.Model]:
-    """Documents as targets, and a profile of the first passage that occurs in one of them (else of the first)."""
+def planted(spark: SparkSession, d: str) -> tuple[DataFrame, list[P.Model]]:
+    """Documents as targets, and a profile of each benchmark passage that has letters."""
     target = docs(spark, d).select(F.col("doc_id").alias("seq_id"), F.concat(F.lit("doc"), "doc_id").alias("name"), "seq")
-    first = cross_search(spark, d).agg(F.min("item_id").alias("i")).first().i
-    items = table(spark, d, "benchmark")
-    item = items.where(F.col("item_id") == F.lit(first)) if first is not None else items
-    row = item.select("item_id", letters(F.col("text")).alias("seq")).orderBy("item_id").first()
-    return target, P.single_sequence(f"item{row.item_id}", row.seq, bg=corpus_background(target))
+    f = corpus_background(target)
+    items = table(spark, d, "benchmark").select("item_id", letters(F.col("text")).alias("seq")).where("item_id is not null and seq <> ''").orderBy("item_id", "seq")
+    return target, [P.single_sequence(f"item{r.item_id}", r.seq, bg=f) for r in items.collect()]
+
+
+def of_item(model: str) -> Column:
+    """The item_id in a model's name."""
+    return F.substring(F.col(model), 5, 20).cast("bigint").alias("item_id")
 
 
 @query()
 def passage_search(spark, d):
-    target, model = planted(spark, d)
-    return R.msv_search(target, model)
+    target, models = planted(spark, d)
+    return R.msv_search(target, models).select(of_item("model"), "seq_id", "name", "len", "bits", "p", "evalue", "rank")
 
 
 @query()
 def passage_cascade(spark, d):
-    target, model = planted(spark, d)
-    return R.domtblout(R.search(target, [model])[0])
+    target, models = planted(spark, d)
+    return R.domtblout(R.search(target, models)[0]).withColumn("item_id", of_item("query_name"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that resemble a benchmark passage, ranked by E-value."""
+    """Documents that resemble a benchmark passage, ranked by E-value for each passage."""
     return passage_search(spark, sf_dir)
 
 

@@ -31,6 +31,13 @@ def test_every_query_has_a_plan(spark):
     assert set(catalog.SQL) <= set(catalog.QUERIES)
 
 
+def test_passages_of_every_item_are_found(spark):
+    held = {(r.item_id, r.doc_id) for r in catalog.cross_search(spark, DATA).collect()}
+    found = {(r.item_id, r.seq_id): r["rank"] for r in catalog.passage_search(spark, DATA).collect()}
+    assert len({i for i, _ in held}) > 1 and held <= found.keys()
+    assert {i for (i, _), rank in found.items() if rank == 1} == {i for i, _ in found}
+
+
 def test_nothing_outside_llm_imports_it():
     root = Path(catalog.__file__).resolve().parent.parent
     for path in root.rglob("*.py"):
