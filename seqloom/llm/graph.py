@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checkpointed
+from seqloom.llm.common import checkpointed, removed, scratch
 
 
 def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -49,18 +49,21 @@ def components(links: DataFrame) -> DataFrame:
     changes; every step is one aggregation and one join on a vertex, kept in the shared folder. Self
     links, nulls and repeated links change nothing. No task gathers more than its share of links.
     """
+    spark = links.sparkSession
     edges = links.where("a <> b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
     edges = checkpointed(edges.mapInArrow(_contracted, "v bigint, m bigint").distinct())
     before = _state(edges)
     while before[0]:
-        both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).union(edges.select(F.col("m").alias("u"), F.col("v").alias("w")))
-        least = checkpointed(both.groupBy("u").agg(F.min("w").alias("x")).select("u", F.least("u", "x").alias("least")))
-        large = both.join(least, "u").where("w > u").select(F.col("w").alias("v"), F.col("least").alias("m")).where("v <> m").distinct()
-        large = checkpointed(large)
-        low = checkpointed(large.groupBy("v").agg(F.min("m").alias("least")))
-        small = large.join(low, "v").select(F.col("m").alias("v"), F.col("least").alias("m")).where("v <> m").union(low.select("v", F.col("least").alias("m"))).distinct()
-        edges = checkpointed(small)
-        after = _state(edges)
+        with scratch(spark) as keep:
+            both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).union(edges.select(F.col("m").alias("u"), F.col("v").alias("w")))
+            least = checkpointed(both.groupBy("u").agg(F.min("w").alias("x")).select("u", F.least("u", "x").alias("least")))
+            large = both.join(least, "u").where("w > u").select(F.col("w").alias("v"), F.col("least").alias("m")).where("v <> m").distinct()
+            large = checkpointed(large)
+            low = checkpointed(large.groupBy("v").agg(F.min("m").alias("least")))
+            small = large.join(low, "v").select(F.col("m").alias("v"), F.col("least").alias("m")).where("v <> m").union(low.select("v", F.col("least").alias("m"))).distinct()
+            following = keep(checkpointed(small))
+        removed(spark, edges.table_path)
+        edges, after = following, _state(following)
         if after == before:
             break
         before = after
