@@ -10,6 +10,11 @@ to beams that hold the whole shard (every vector is reachable from the entries,
 Cosines of what was found are verified in double precision. A pair of shards returns link counts and
 a spanning forest, never its links; forests are united across pairs.
 
+Shards meet in blocks: a task gets the graphs of two blocks of shards and holds all pairs between them.
+A label of many shards has blocks of several, as many as `held` bytes of graphs allow, so that a graph is
+sent once per block of its label, not once per shard. Blocks are dealt by their numbers, so a task that
+is run again gets the same ones.
+
 Vectors that are null, zero, or hold null or non-finite components, and those with a null label or
 null id, link with nothing. Vectors of different lengths never compare. Repeated rows link with each
 other as equal vectors. An empty table gives an empty result; other columns are ignored.
@@ -18,19 +23,19 @@ other as equal vectors. An empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checkpointed, stored
+from seqloom.llm.common import checkpointed, scratch, stored
 from seqloom.llm.graph import components
 
 #: Vectors of a shard, links of a node, beam while building, first beam of a query, audited share.
 SHARD, LINKS, BUILD_BEAM, BEAM, AUDIT = 8192, 12, 48, 48, 16
+#: Bytes of the graphs of one block of shards, and blocks that a label should have at least, so that its pairs spread over tasks.
+HELD, BLOCKS = 64 << 20, 16
 
 
 class Graph:
@@ -247,7 +252,7 @@ def compare(a: dict, b: dict | None, least: float) -> tuple[np.ndarray, np.ndarr
     return ids[rows], links[rows], ids[rows][labelled(square)]
 
 
-def classes(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = SHARD) -> DataFrame:
+def classes(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = SHARD, held: int = HELD) -> DataFrame:
     """One row per row of df: id, n_links, component_id (the smallest id reachable), kept. Ids are integers."""
     v = F.col("embedding")
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0)
@@ -255,31 +260,32 @@ def classes(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_c
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("dim", F.size("embedding"))
     rows = rows.withColumn("h", F.when(F.col("fine"), F.struct(F.xxhash64(F.lit(1), "embedding").alias("p"), F.xxhash64(F.lit(2), "embedding").alias("q"))))
-    # copies have equal vectors but for chance in 128 bits of hash
-    reps = stored(rows.where("fine").groupBy("label", "dim", "h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "vectors")
-    counts = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    counts = checkpointed(counts)
-    dealt = reps.join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "id"), F.col("shards")).cast("int"))
-    label_type = rows.schema["label"].dataType.simpleString()
-    graphs = stored(dealt.select("label", "dim", "shard", "id", "copies", "embedding").groupBy("label", "dim", "shard").applyInPandas(build, f"label {label_type}, dim int, shard int, content binary"), "graphs")
-    met = graphs.select("label", "dim", "shard")
-    met = met.withColumnRenamed("shard", "i").join(met.withColumnRenamed("shard", "j"), ["label", "dim"]).where("i <= j")
-    left, right = graphs.withColumnsRenamed({"shard": "i", "content": "a"}), graphs.withColumnsRenamed({"shard": "j", "content": "b"})
-    met = met.join(left, ["label", "dim", "i"]).join(right, ["label", "dim", "j"])
-    met = met.select("a", F.when(F.col("i") != F.col("j"), F.col("b")).alias("b"), F.rand(7).alias("r")).repartition("r").drop("r")
+    with scratch(df.sparkSession) as keep:
+        # copies have equal vectors but for chance in 128 bits of hash
+        reps = stored(rows.where("fine").groupBy("label", "dim", "h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "vectors")
+        counts = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+        counts = checkpointed(counts)
+        dealt = reps.join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "id"), F.col("shards")).cast("int"))
+        label_type = rows.schema["label"].dataType.simpleString()
+        graphs = stored(dealt.select("label", "dim", "shard", "id", "copies", "embedding").groupBy("label", "dim", "shard").applyInPandas(build, f"label {label_type}, dim int, shard int, content binary"), "graphs")
+        room = F.greatest(F.lit(1), F.floor(F.lit(float(held)) / (shard * (F.col("dim") * 12 + 200.0))))
+        blocked = counts.withColumn("per", F.greatest(F.lit(1), F.least(room, F.floor(F.col("shards") / BLOCKS))).cast("int")).withColumn("blocks", F.ceil(F.col("shards") / F.col("per")).cast("int"))
+        own = graphs.join(blocked.select("label", "dim", "per", "blocks"), ["label", "dim"]).withColumn("block", F.floor(F.col("shard") / F.col("per")).cast("int"))
+        met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = met.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "shard", "content")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                ids, links, roots = compare(pickle.loads(a.as_buffer()), pickle.loads(b.as_buffer()) if b.is_valid else None, least)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(roots)], names=["id", "links", "root"])
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            sides = [[pickle.loads(c) for c in pdf.content[pdf.block == b]] for b in sorted({pdf.i.iat[0], pdf.j.iat[0]})]
+            pairs = [(a, b) for a in sides[0] for b in sides[1]] if len(sides) > 1 else [(a, b if k != n else None) for n, a in enumerate(sides[0]) for k, b in enumerate(sides[0]) if k >= n]
+            parts = [pd.DataFrame(dict(zip(("id", "links", "root"), compare(a, b, least), strict=True))) for a, b in pairs]
+            return pd.concat(parts) if parts else pd.DataFrame({"id": [], "links": [], "root": []}, dtype="int64")
 
-    found = stored(met.mapInArrow(run, "id bigint, links bigint, root bigint"), "links")
-    sums = found.groupBy("id").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    reps = reps.select("label", "dim", "h", F.col("id").alias("rep"), "copies")
-    reps = reps.join(sums.withColumnRenamed("id", "rep"), "rep", "left").join(labels.select(F.col("v").alias("rep"), "m"), "rep", "left")
-    reps = checkpointed(reps.select(F.col("label").alias("rl"), F.col("dim").alias("rd"), F.col("h").alias("rh"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("m", "rep").alias("m")))
+        found = stored(met.groupBy("label", "dim", "i", "j").applyInPandas(run, "id bigint, links bigint, root bigint"), "links")
+        sums = found.groupBy("id").agg(F.sum("links").alias("links"))
+        labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        reps = reps.select("label", "dim", "h", F.col("id").alias("rep"), "copies")
+        reps = reps.join(sums.withColumnRenamed("id", "rep"), "rep", "left").join(labels.select(F.col("v").alias("rep"), "m"), "rep", "left")
+        reps = keep(checkpointed(reps.select(F.col("label").alias("rl"), F.col("dim").alias("rd"), F.col("h").alias("rh"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("m", "rep").alias("m"))))
     out = rows.select("id", "label", "dim", "h").join(reps, (F.col("label") == F.col("rl")) & (F.col("dim") == F.col("rd")) & (F.col("h") == F.col("rh")), "left")
     component = F.coalesce("m", "id")
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
