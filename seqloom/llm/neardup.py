@@ -24,12 +24,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import CACHE_LIMIT, as_bytes, checkpointed, lowered_words, stored
+from seqloom.llm.common import CACHE_LIMIT, as_bytes, checkpointed, lowered_words, scratch, stored
 from seqloom.llm.graph import components, forest
 
 CHUNK = 4
@@ -176,9 +177,8 @@ def full_sets(ids: DataFrame, df: DataFrame, width: int, id_col: str, text_col:
     return stored(texts.mapInArrow(make, "id bigint, s binary"), "sets", "none")
 
 
-def verified(pairs: DataFrame, df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """pairs(a, b) with `linked`, decided on the full sets."""
-    sets = full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), df, width, id_col, text_col)
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) with `linked`, decided on the full sets(id, s)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,21 +234,18 @@ def near(pairs: DataFrame, reps: DataFrame, percent: int, radius: int) -> DataFr
     return both.select("a", "b", "ga", "gb").mapInArrow(run, "a bigint, b bigint, d bigint")
 
 
-def alone(ids: DataFrame, df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def alone(ids: DataFrame, sets: DataFrame) -> DataFrame:
     """(id, u): how many of a document's shingles none of the other documents named by ids(id) has; only where that's not 0."""
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_set(cache.of(lowered_words(x or b"")), width) for x in as_bytes(part.column(1))]
-                if sets:
-                    owner = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(owner, pa.int64())], names=["e", "id"])
+                held = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                owner = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in held])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(owner, pa.int64())], names=["e", "id"])
 
-    held = texts.mapInArrow(spread, "e bigint, id bigint").groupBy("e").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    held = sets.join(ids, "id", "left_semi").mapInArrow(spread, "e bigint, id bigint").groupBy("e").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
     return checkpointed(held.groupBy("id").agg(F.count("*").alias("u")))
 
 
@@ -260,12 +257,16 @@ class Rows:
         self.symbols, self.more = symbols_of(list(sigs))
         self.keys = all_keys(self.symbols.astype(np.uint64))
 
+    def may(self, r: int, other: Rows, percent: int) -> np.ndarray:
+        """Which of the other rows are in another component than row r, and of a size that allows a link."""
+        inner = np.minimum(self.n[r] - self.u[r], other.n - other.u)  # shingles that nobody else has are in no intersection
+        return (other.c != self.c[r]) & (100 * inner >= percent * (self.n[r] + other.n - inner))
+
     def pairs(self, key: int, percent: int, radius: int, most: int) -> np.ndarray:
         """(a, b, d) of pairs in different components that may be links, and for which this is the first key shared."""
         this, out = np.array([key], np.int64).view(np.uint64)[0], [np.empty((0, 3), np.int64)]
         for r in range(len(self.id)):
-            inner = np.minimum(self.n[r] - self.u[r], self.n - self.u)  # shingles that nobody else has are in no intersection
-            ok = (self.c != self.c[r]) & (100 * inner >= percent * (self.n[r] + self.n - inner))
+            ok = self.may(r, self, percent)
             ok[: r + 1] = False
             ok = np.flatnonzero(ok)
             d = (self.symbols[ok] != self.symbols[r]).sum(1)
@@ -281,8 +282,6 @@ class Rows:
 
 def block_links(pdf, percent: int):
     """A forest of the links between a block of minor rows and a block of all rows, decided on the full sets."""
-    import pandas as pd
-
     x, y = pdf[pdf.minor], pdf[~pdf.minor]
     if x.empty or y.empty:
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
@@ -294,14 +293,32 @@ def block_links(pdf, percent: int):
     return pd.DataFrame({"a": list(found), "b": list(found.values())}, dtype="int64")
 
 
-def across(keyed: DataFrame, labels: DataFrame, reps: DataFrame, df: DataFrame, width: int, percent: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+def block_survivors(pdf, percent: int, radius: int, most: int):
+    """Of a block of minor rows and a block of all rows, by sizes and signatures, those that may have a link in the other block."""
+    x, y = pdf[pdf.minor], pdf[~pdf.minor]
+    rows = [Rows(z.id, z.c, z.n, z.u, z.sig) for z in (x, y) if len(z)]
+    if len(rows) < 2:
+        return pdf[["key", "i", "j", "minor", "id"]].iloc[:0]
+    a, b = rows
+    hit_a, hit_b = np.zeros(len(a.id), bool), np.zeros(len(b.id), bool)
+    for r in range(len(a.id)):
+        ok = np.flatnonzero(a.may(r, b, percent))
+        d = (b.symbols[ok] != a.symbols[r]).sum(1)
+        ok, d = ok[d <= radius], d[d <= radius]
+        ok = ok[d + (b.more[ok] != a.more[r]).sum(1) <= most]
+        hit_a[r], hit_b[ok] = len(ok) > 0, True
+    return pd.concat([x[hit_a], y[hit_b]])[["key", "i", "j", "minor", "id"]]
+
+
+def across(keyed: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, radius: int) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (a, b, d) that meet in a small key, lie in different components and may be links; links(a, b) from large keys.
 
     keyed: (key, id, count) of keys with several rows. Only keys that span components are looked at.
     A document many of whose shingles are its own can't be linked, however many it resembles; what is
     left is compared by sizes and signatures in small keys. In large ones, rows outside the most frequent
-    component, in blocks, meet the blocks of all rows: full sets are compared there and then, and a block
-    returns a forest of its links, so nothing grows with the square of a group but arithmetic.
+    component, in blocks, meet the blocks of all rows. First their signatures meet, which are short, and name
+    the rows that may have a link in a block; full sets follow for these alone, and a block returns a forest
+    of its links. So a signature is sent once per block of the other side, a set only where it is needed.
     """
     most = allowed(percent, FUNCTIONS)
     named = keyed.join(labels.select(F.col("v").alias("id"), F.col("m").alias("c")), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
@@ -312,7 +329,7 @@ def across(keyed: DataFrame, labels: DataFrame, reps: DataFrame, df: DataFrame,
         return rows.join(checkpointed(span), "key")
 
     open_rows = checkpointed(spanning(named))
-    own = alone(open_rows.select("id").distinct(), df, width, id_col, text_col)
+    own = alone(open_rows.select("id").distinct(), sets)
     # rows that can't be linked go, and keys that no longer span components
     able = reps.join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent)
     able = checkpointed(able)
@@ -331,17 +348,18 @@ def across(keyed: DataFrame, labels: DataFrame, reps: DataFrame, df: DataFrame,
     few = rows.where(F.col("count") <= GROUP).groupBy("key").agg(F.collect_list(F.struct("id", "c", "n", "u", "sig")).alias("x"))
     found = few.mapInArrow(group, "a bigint, b bigint, d bigint").distinct()
 
-    many = checkpointed(rows.where(F.col("count") > GROUP).select("key", "id", "c", "n"))
+    many = checkpointed(rows.where(F.col("count") > GROUP).drop("count"))
     if many.isEmpty():
         return found, None
     sizes = many.groupBy("key", "c").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.sum("m").alias("all")).select("key", F.col("x.c").alias("main"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).alias("mb"), F.ceil(F.col("all") / BLOCK).alias("ab"))
-    sets = full_sets(many.select("id").distinct(), df, width, id_col, text_col)
-    marked = many.join(checkpointed(main), "key").join(sets, "id")
-    salt, columns = F.xxhash64("id"), ["id", "c", "n", "s"]
+    marked = many.join(checkpointed(main), "key")
+    salt, columns = F.xxhash64("id"), ["id", "c", "n", "u", "sig"]
     every = marked.select("key", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), F.pmod(salt, F.col("ab")).alias("j"), F.lit(False).alias("minor"), *columns)
     minor = marked.where("c <> main").select("key", F.pmod(salt, F.col("mb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), F.lit(True).alias("minor"), *columns)
-    links = every.union(minor).groupBy("key", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), "a bigint, b bigint")
+    met = every.union(minor).groupBy("key", "i", "j").applyInPandas(lambda pdf: block_survivors(pdf, percent, radius, most), "key bigint, i bigint, j bigint, minor boolean, id bigint")
+    full = checkpointed(met).join(many.select("key", "id", "c", "n"), ["key", "id"]).join(sets, "id")
+    links = full.groupBy("key", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), "a bigint, b bigint")
     return found, checkpointed(links.distinct())
 
 
@@ -357,32 +375,36 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     alike = stored(alike, "classes")
     reps = alike.select("id", "n", "sig")
 
-    every = keys(reps)
-    lead = checkpointed(every.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("count")).where("count > 1"))
-    keyed = stored(every.join(lead, "key"), "keyed")  # keys with one row end here
-    votes = keyed.where("lead <> id").groupBy("lead", "id").agg(F.count("*").alias("n"))
-    star = votes.groupBy("id").agg(F.max(F.struct("n", -F.col("lead"))).alias("x")).select((-F.col("x.col2")).alias("a"), F.col("id").alias("b"))
-    tried = verified(checkpointed(near(star, reps, percent, radius).select("a", "b")), df, width, percent, id_col, text_col)
-    links = tried.where("linked").select("a", "b")
-    labels = components(links)
-    narrow = keyed.select("key", "id")
-    enough = max(20_000, reps.count() // 4)
-    for rounds in range(3):
-        pairs, more = across(narrow, labels, reps, df, width, percent, radius, id_col, text_col)
-        pairs = checkpointed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        total = pairs.count()
-        last = rounds == 2 or total <= enough
-        if not last:  # hold each document against its nearest first; most pairs then fall within components
-            best = pairs.select(F.col("a").alias("x"), "a", "b", "d").union(pairs.select(F.col("b").alias("x"), "a", "b", "d"))
-            pairs = best.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("y")).select("y.a", "y.b").distinct()
-        known = labels.select(F.col("v").alias("a"), F.col("m").alias("b"))
-        if total:
-            new = verified(checkpointed(pairs.select("a", "b")), df, width, percent, id_col, text_col)
-            tried = checkpointed(tried.union(new))
-            known = known.union(new.where("linked").select("a", "b"))
-        labels = components(known.union(more) if more is not None else known)
-        if last:
-            break
+    with scratch(df.sparkSession) as keep:
+        every = keys(reps)
+        lead = checkpointed(every.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("count")).where("count > 1"))
+        keyed = stored(every.join(lead, "key"), "keyed")  # keys with one row end here
+        votes = keyed.where("lead <> id").groupBy("lead", "id").agg(F.count("*").alias("n"))
+        star = votes.groupBy("id").agg(F.max(F.struct("n", -F.col("lead"))).alias("x")).select((-F.col("x.col2")).alias("a"), F.col("id").alias("b"))
+        # texts are read a second time, once, for the sets of all documents that meet another in a key
+        sets = full_sets(keyed.select("id").distinct(), df, width, id_col, text_col)
+        tried = verified(checkpointed(near(star, reps, percent, radius).select("a", "b")), sets, percent)
+        links = tried.where("linked").select("a", "b")
+        labels = components(links)
+        narrow = keyed.select("key", "id")
+        enough = max(20_000, reps.count() // 4)
+        for rounds in range(3):
+            pairs, more = across(narrow, labels, reps, sets, percent, radius)
+            pairs = checkpointed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+            total = pairs.count()
+            last = rounds == 2 or total <= enough
+            if not last:  # hold each document against its nearest first; most pairs then fall within components
+                best = pairs.select(F.col("a").alias("x"), "a", "b", "d").union(pairs.select(F.col("b").alias("x"), "a", "b", "d"))
+                pairs = best.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("y")).select("y.a", "y.b").distinct()
+            known = labels.select(F.col("v").alias("a"), F.col("m").alias("b"))
+            if total:
+                new = verified(checkpointed(pairs.select("a", "b")), sets, percent)
+                tried = checkpointed(tried.union(new))
+                known = known.union(new.where("linked").select("a", "b"))
+            labels = components(known.union(more) if more is not None else known)
+            if last:
+                break
+        keep(labels)
     rep = alike.where("copies > 1").select("digest", F.col("id").alias("rep"))
     known = made.select("id", "n", "digest").join(rep, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     named = known.join(labels.select(F.col("v").alias("rep"), "m"), "rep", "left").select("id", "n", F.coalesce("m", "rep").alias("m"))
