@@ -46,6 +46,13 @@ def unpack_sorted(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(unpack(data, dtype), dtype=dtype)
 
 
+def stretches(group: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(group, from, to) of each run of equal numbers; none without numbers."""
+    cuts = np.flatnonzero(np.diff(group, prepend=group[:1] - 1)).tolist()
+    for lo, hi in zip(cuts, [*cuts[1:], len(group)][: len(cuts)], strict=True):
+        yield int(group[lo]), lo, hi
+
+
 class Numbers(dict):
     """Words numbered as they come."""
 

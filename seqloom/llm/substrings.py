@@ -1,21 +1,26 @@
 """Substring dedup with prefix-partitioned suffix trees over words.
 
-A suffix is a document from some word on; what matters of it are its first `window` words. Its path
-is coded in 64 bits whose order is the order of a tree: 8 bits for the first word, 8 for the first
-four, 8 for the first eight and 40 for the whole window, each from a hash of those words. Suffixes
-fall into groups by prefixes of variable length: a histogram over short prefixes shows which of them
-fit into memory together and which must be split by longer ones. Each group is one subtree, built from
-its sorted paths: where neighbours share all levels is a deep internal node, a repeat of at least a
-window. The node's leaf with the smallest document decides; the windows of all others are repeats, and
-runs of overlapping ones are maximal repeats.
-
-A chunk of documents sends each distinct path once, with its smallest document: for the chunk's other
-documents the path is a repeat already. So a passage that a third of all documents share reaches its
-group once per chunk. Replies are one bit per path sent.
+A suffix is a document from some word on; what matters of it are its first `window` words. Repeats are
+found in two passes over the chunks of the corpus (see corpus), both by request and reply:
+
+1. A sieve. Each suffix has a path code of 64 bits: 8 for its first word, 8 for the first four, 8 for the
+   first eight and 40 for the whole window, each from a hash of those words, so that codes of equal
+   beginnings lie together. A suffix whose code no other document has can't repeat and goes no further.
+2. Suffix trees. The suffixes that are left are dealt by prefixes of variable length: a histogram over
+   short prefixes shows which of them fit into memory together and which must be split by longer ones.
+   Every group builds its subtree from words: suffixes are sorted word by word, the lengths of common
+   prefixes of neighbours give the tree's internal nodes, and those as deep as the window are repeats.
+   The leaf with the smallest document decides; the windows of all others are repeats, and runs of
+   overlapping ones are maximal repeats. Codes decide nothing here, so equal codes of different words
+   (as will happen among very many windows) remove nothing.
+
+A chunk of documents sends each distinct window once, with its smallest document: for the chunk's other
+documents it is a repeat already. So a passage that a third of all documents share reaches its group once
+per chunk. Replies are one bit per window sent.
 
 Null texts have no words. Documents with a null id never count as smaller. Rows that repeat an id
-don't make each other's words repeats. An empty table gives an empty result. Windows are told apart
-by hashes of 64 bits, 40 of them for windows that share their first eight words.
+don't make each other's words repeats. An empty table gives an empty result, as do texts that are all
+shorter than a window.
 """
 
 from __future__ import annotations
@@ -25,20 +30,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checkpointed
-from seqloom.llm.corpus import CHUNK_TOKENS, GROUP_KEYS, NO_ID, Chunk, chunked, pack, pack_sorted, rows, unpack, unpack_sorted
+from seqloom.llm.common import checkpointed, scratch
+from seqloom.llm.corpus import CHUNK_TOKENS, GROUP_KEYS, NO_ID, Chunk, chunked, pack, pack_sorted, rows, stretches, unpack, unpack_sorted
 from seqloom.llm.neardup import mixed
 
 #: Bits of the prefixes that are counted, and of what follows them, by which large ones are split.
 COUNTED, SPLIT = 12, 24
+#: Suffixes of a tree, as each brings its words: fewer than the bare codes of a sieve.
+TREE_KEYS = GROUP_KEYS // 4
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def paths(chunk: Chunk, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(path, word position) of every suffix with at least a window of words in its document."""
+def paths(chunk: Chunk, window: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(path code, word position) of every suffix with at least a window of words in its document."""
     w = chunk.hashes()[chunk.tokens] if len(chunk.tokens) else np.empty(0, np.uint64)
     n = len(w) - window + 1
     if n <= 0:
@@ -53,7 +61,7 @@ def paths(chunk: Chunk, window: int) -> tuple[np.ndarray, np.ndarray]:
             out |= (mixed(h) >> np.uint64(56)) << np.uint64(levels[j + 1])
     out |= mixed(h) >> np.uint64(24)
     at = np.flatnonzero(room >= window)
-    return out[at], at
+    return (out[at] >> np.uint64(64 - bits)) << np.uint64(64 - bits), at
 
 
 class Prefixes:
@@ -78,95 +86,232 @@ class Prefixes:
         return self.base[prefix] + (below * self.pieces[prefix] >> SPLIT)
 
 
-def distinct(chunk: Chunk, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's sorted distinct paths with their smallest documents; then all positions in path order, and where each path's begin."""
-    path, at = paths(chunk, window)
-    order = np.argsort(path, kind="stable")
-    path, at = path[order], at[order]
-    first = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1]))) if len(path) else np.empty(0, np.int64)
-    doc = np.repeat(chunk.ids, chunk.lens)[at]
-    least = np.minimum.reduceat(doc, first) if len(first) else doc
-    return path[first], least, at, first
-
-
-class Subtree:
-    """The suffix tree of a group: its leaves are sorted paths, its deep internal nodes runs of equal ones."""
-
-    def __init__(self, path: np.ndarray, doc: np.ndarray):
-        self.order = np.argsort(path, kind="stable")
-        leaves = path[self.order]
-        self.nodes = np.flatnonzero(np.concatenate(([True], leaves[1:] != leaves[:-1])))
-        self.least = np.minimum.reduceat(doc[self.order], self.nodes)
-        self.doc = doc
-
-    def repeats(self) -> np.ndarray:
-        """For each leaf, in the order given, whether its node has a smaller document."""
-        out = np.empty(len(self.doc), bool)
-        sizes = np.diff(np.append(self.nodes, len(self.doc)))
-        out[self.order] = self.doc[self.order] > np.repeat(self.least, sizes)
+class Windows:
+    """A chunk's distinct windows in path order: code, smallest and largest document, positions and where each one's begin."""
+
+    def __init__(self, chunk: Chunk, window: int, bits: int):
+        path, at = paths(chunk, window, bits)
+        order = np.argsort(path, kind="stable")
+        path, at = path[order], at[order]
+        self.chunk, self.window = chunk, window
+        new = np.ones(len(path), bool)
+        if len(path):
+            new[1:] = path[1:] != path[:-1]
+            twin = np.flatnonzero(~new)
+            unlike = np.zeros(len(twin), bool)
+            for j in range(window):
+                unlike |= chunk.tokens[at[twin] + j] != chunk.tokens[at[twin - 1] + j]
+            if unlike.any():  # equal codes, other words: such a run is put in the order of its words
+                run = np.cumsum(new) - 1
+                for r in np.unique(run[twin[unlike]]):
+                    lo, hi = np.searchsorted(run, [r, r + 1])
+                    _, kind = np.unique(self._words(at[lo:hi]), axis=0, return_inverse=True)
+                    kind = kind.reshape(-1)
+                    turn = np.argsort(kind, kind="stable")
+                    at[lo:hi] = at[lo:hi][turn]
+                    new[lo + 1 : hi] = np.diff(kind[turn]) != 0
+        self.first = np.flatnonzero(new)
+        self.at, self.path = at, path[self.first]
+        doc = np.repeat(chunk.ids, chunk.lens)[at]
+        self.least = np.minimum.reduceat(doc, self.first) if len(doc) else doc
+        self.most = np.maximum.reduceat(doc, self.first) if len(doc) else doc
+
+    def _words(self, at: np.ndarray) -> np.ndarray:
+        out = np.empty((len(at), self.window), np.uint32)
+        for j in range(self.window):
+            out[:, j] = self.chunk.tokens[at + j]
         return out
 
+    def words(self, which: np.ndarray) -> np.ndarray:
+        """windows x words: the chunk's word numbers of some distinct windows."""
+        return self._words(self.at[self.first[which]])
+
+
+def common_prefixes(words: np.ndarray) -> np.ndarray:
+    """For each sorted suffix, how many words it shares with the one before; 0 for the first."""
+    out = np.zeros(len(words), np.int64)
+    alike = np.ones(max(0, len(words) - 1), bool)
+    for j in range(words.shape[1]):
+        alike &= words[1:, j] == words[:-1, j]
+        out[1:] += alike
+    return out
+
 
-def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The replies of one group: for each chunk, a bit per path sent."""
-    docs, found = [], []
-    for path, ids, which in zip(pdf.path, pdf.ids, pdf.which, strict=True):
-        found.append(unpack_sorted(path, np.uint64))
+class SuffixTree:
+    """The suffix tree of a group's windows, as an array of nodes.
+
+    words: suffixes x window, numbers that order words; doc: each suffix's document. Leaves are the sorted
+    suffixes. An internal node is a largest run of leaves whose neighbours share at least `depth` words, and
+    some no more; a node holds all nodes within its run.
+    """
+
+    def __init__(self, words: np.ndarray, doc: np.ndarray):
+        self.words, self.doc = words, doc
+        self.leaves = np.lexsort(self._packed())
+        self.lcp = common_prefixes(words[self.leaves])
+
+    def _packed(self) -> list[np.ndarray]:
+        """Sort keys, the last one first: as many word numbers as fit into 63 bits each."""
+        size = max(1, int(self.words.max(initial=0)).bit_length())
+        per = max(1, 63 // size)
+        keys = []
+        for lo in range(0, self.words.shape[1], per):
+            key = np.zeros(len(self.words), np.int64)
+            for j in range(lo, min(self.words.shape[1], lo + per)):
+                key = key << size | self.words[:, j].astype(np.int64)
+            keys.append(key)
+        return keys[::-1]
+
+    def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(depth, first leaf, last leaf) of the internal nodes of at least a depth, by their intervals of common prefixes, outer ones first."""
+        open_nodes: list[tuple[int, int]] = []  # (depth, first leaf) of the nodes that the last leaf is in
+        out = []
+        near = self.lcp >= depth
+        for i in np.flatnonzero(near | np.append(near[1:], False) | np.concatenate(([False], near[:-1]))).tolist():
+            d, first = int(self.lcp[i]) if near[i] else 0, i - 1
+            while open_nodes and open_nodes[-1][0] > d:
+                deep, first = open_nodes.pop()
+                out.append((deep, first, i - 1))
+            if d and (not open_nodes or open_nodes[-1][0] < d):
+                open_nodes.append((d, first))
+        out += [(deep, first, len(self.lcp) - 1) for deep, first in open_nodes]
+        found = np.array(sorted(out, key=lambda x: (x[1], -x[2])), np.int64).reshape(-1, 3)
+        return found[:, 0], found[:, 1], found[:, 2]
+
+    def repeats(self, window: int) -> np.ndarray:
+        """For each suffix, in the order given, whether a node as deep as a window holds a smaller document."""
+        out = np.zeros(len(self.doc), bool)
+        _, first, last = self.nodes(window)
+        if len(first):
+            doc = self.doc[self.leaves]
+            least = np.minimum.reduceat(doc, np.stack([first, last + 1], 1).ravel()[: -1 if last[-1] + 1 == len(doc) else None])[::2]
+            inside = np.repeat(first - np.concatenate(([0], np.cumsum(last - first + 1)[:-1])), last - first + 1) + np.arange((last - first + 1).sum())
+            out[self.leaves[inside]] = doc[inside] > np.repeat(least, last - first + 1)
+        return out
+
+
+def settle_codes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The replies of one group of the sieve: for each chunk, a bit per code sent, whether another document has it."""
+    found = [unpack_sorted(path, np.uint64) for path in pdf.path]
+    docs = [unpack_sorted(ids, np.int64)[unpack(which, np.uint32)] for ids, which in zip(pdf.ids, pdf.which, strict=True)]
+    path, doc = np.concatenate(found), np.concatenate(docs)
+    order = np.argsort(path, kind="stable")
+    first = np.flatnonzero(np.diff(path[order], prepend=~path[order[:1]]) != 0)
+    several = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
+    shared = np.empty(len(path), bool)
+    shared[order] = np.repeat(several, np.diff(np.append(first, len(path))))
+    return _replies(pdf, shared, [len(x) for x in found])
+
+
+def settle_words(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
+    """The replies of one subtree: for each chunk, a bit per suffix sent, whether a smaller document has its window."""
+    numbers: dict[bytes, int] = {}
+    local, docs = [], []
+    for vocab, words, ids, which in zip(pdf.vocab, pdf.words, pdf.ids, pdf.which, strict=True):
+        names = zstandard.ZstdDecompressor().decompress(vocab).split(b" ")
+        own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in names), np.uint32, len(names))
+        local.append(own[unpack(words, np.uint32)].reshape(-1, window))
         docs.append(unpack_sorted(ids, np.int64)[unpack(which, np.uint32)])
-    repeats = Subtree(np.concatenate(found), np.concatenate(docs)).repeats()
-    ends = np.cumsum([len(x) for x in found])
-    bits = [np.packbits(x).tobytes() for x in np.split(repeats, ends[:-1])]
-    return pd.DataFrame({"chunk": pdf.chunk, "group": pdf.group, "bits": bits})
+    rank = np.empty(len(numbers), np.uint32)  # numbers in the order of the words
+    rank[[numbers[w] for w in sorted(numbers)]] = np.arange(len(numbers))
+    tree = SuffixTree(rank[np.concatenate(local)], np.concatenate(docs))
+    return _replies(pdf, tree.repeats(window), [len(x) for x in local])
+
+
+def _replies(pdf: pd.DataFrame, bits: np.ndarray, sizes: list[int]) -> pd.DataFrame:
+    packed = [np.packbits(x).tobytes() for x in np.split(bits, np.cumsum(sizes)[:-1])]
+    return pd.DataFrame({"chunk": pdf.chunk, "group": pdf.group, "bits": packed})
+
+
+def answered(group: np.ndarray, replies: dict[int, bytes]) -> np.ndarray:
+    """The bits of replies by group, laid along sorted group numbers."""
+    out = np.zeros(len(group), bool)
+    for g, lo, hi in stretches(group):
+        out[lo:hi] = np.unpackbits(np.frombuffer(replies[g], np.uint8), count=hi - lo)
+    return out
 
 
-def deduplicated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", tokens: int = CHUNK_TOKENS, limit: int = GROUP_KEYS) -> DataFrame:
+def deduplicated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", tokens: int = CHUNK_TOKENS, limit: int = GROUP_KEYS, tree_limit: int = TREE_KEYS, bits: int = 64) -> DataFrame:
     """One row per row of df: id, n_words, repeats array<struct<start,end>> of word positions, kept text.
 
     A word is removed if a window that holds it also starts in a document with a smaller id; kept words
-    are joined by one space.
+    are joined by one space. tokens, limit and tree_limit bound chunks, groups of the sieve and trees; bits is
+    how many bits of path codes the sieve looks at. None of them changes the result.
     """
-    store = chunked(df, id_col, text_col, False, tokens)
+    spark = df.sparkSession
     columns = ["ids", "lens", "vocab", "tokens"]
+    parts = "group bigint, chunk bigint"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch], read) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTED, np.int64)
         for row in rows(batches):
-            path, _ = paths(Chunk(*row), window)
-            total += np.bincount((path >> np.uint64(64 - COUNTED)).astype(np.int64), minlength=len(total))
+            total += np.bincount((read(*row) >> np.uint64(64 - COUNTED)).astype(np.int64), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["prefix", "n"])
 
-    # one number for each of 2^COUNTED prefixes comes to the driver, whatever the corpus
-    counts = np.zeros(1 << COUNTED, np.int64)
-    for prefix, n in store.select(*columns).mapInArrow(count, "prefix int, n bigint").groupBy("prefix").agg(F.sum("n").alias("n")).collect():
-        counts[prefix] = n
-    groups = Prefixes(counts, limit)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, *row in rows(batches):
-            path, least, _, _ = distinct(Chunk(*row), window)
-            group = groups.of(path)
-            cuts = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else []
-            for lo, hi in zip(cuts, [*cuts[1:], len(group)], strict=True):
-                ids, which = np.unique(least[lo:hi], return_inverse=True)
-                cols = (pack_sorted(path[lo:hi]), pack_sorted(ids), pack(which.astype(np.uint32)))
-                yield pa.RecordBatch.from_arrays([pa.array([int(group[lo])], pa.int64()), pa.array([chunk], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], names=["group", "chunk", "path", "ids", "which"])
-
-    sent = store.select("chunk", *columns).mapInArrow(send, "group bigint, chunk bigint, path binary, ids binary, which binary")
-    replies = checkpointed(sent.groupBy("group").applyInPandas(settle, "chunk bigint, group bigint, bits binary"))
+    def groups_of(table: DataFrame, read, most: int) -> Prefixes:
+        # one number for each of 2^COUNTED prefixes comes to the driver, whatever the corpus
+        counts = np.zeros(1 << COUNTED, np.int64)
+        for prefix, n in table.mapInArrow(lambda b: counted(b, read), "prefix int, n bigint").groupBy("prefix").agg(F.sum("n").alias("n")).collect():
+            counts[prefix] = n
+        return Prefixes(counts, most)
+
+    def message(group: int, chunk: int, *packed: bytes) -> list[pa.Array]:
+        return [pa.array([group], pa.int64()), pa.array([chunk], pa.int64()), *(pa.array([c], pa.binary()) for c in packed)]
+
+    with scratch(spark) as keep:
+        store = keep(chunked(df, id_col, text_col, False, tokens))
+        sieve = groups_of(store.select(*columns), lambda *row: paths(Chunk(*row), window, bits)[0], limit)
+
+        def send_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk, *row in rows(batches):
+                w = Windows(Chunk(*row), window, bits)
+                for g, lo, hi in stretches(sieve.of(w.path)):
+                    ids, which = np.unique(w.least[lo:hi], return_inverse=True)
+                    yield pa.RecordBatch.from_arrays(message(g, chunk, pack_sorted(w.path[lo:hi]), pack_sorted(ids), pack(which.astype(np.uint32))), names=["group", "chunk", "path", "ids", "which"])
+
+        sent = store.select("chunk", *columns).mapInArrow(send_codes, f"{parts}, path binary, ids binary, which binary")
+        first = checkpointed(sent.groupBy("group").applyInPandas(settle_codes, "chunk bigint, group bigint, bits binary"))
+
+        def sift(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            """The windows of a chunk that another document may have: their numbers in the chunk and their codes."""
+            w = Windows(Chunk(*left.loc[0, columns]), window, bits)
+            shared = answered(sieve.of(w.path), dict(zip(right.group, right.bits, strict=True))) | (w.most > w.least)
+            which = np.flatnonzero(shared)
+            return pd.DataFrame({"chunk": left.chunk, "which": [pack(which)], "path": [pack(w.path[which])]})
+
+        left = checkpointed(store.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInPandas(sift, "chunk bigint, which binary, path binary"))
+        trees = groups_of(left.select("path"), lambda path: unpack(path, np.uint64), tree_limit)
+
+        def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk, which, *row in rows(batches):
+                c = Chunk(*row)
+                w, some = Windows(c, window, bits), unpack(which, np.int64)
+                for g, lo, hi in stretches(trees.of(w.path[some])):
+                    words = w.words(some[lo:hi])
+                    used = np.zeros(len(c.words), bool)
+                    used[words] = True
+                    number = np.cumsum(used, dtype=np.uint32) - np.uint32(1)
+                    vocab = zstandard.ZstdCompressor(level=1).compress(b" ".join([c.words[u] for u in np.flatnonzero(used).tolist()]))
+                    ids, of = np.unique(w.least[some[lo:hi]], return_inverse=True)
+                    yield pa.RecordBatch.from_arrays(message(g, chunk, vocab, pack(number[words].ravel()), pack_sorted(ids), pack(of.astype(np.uint32))), names=["group", "chunk", "vocab", "words", "ids", "which"])
+
+        asked = left.select("chunk", "which").join(store.select("chunk", *columns), "chunk").select("chunk", "which", *columns)
+        sent = asked.mapInArrow(send_words, f"{parts}, vocab binary, words binary, ids binary, which binary")
+        replies = checkpointed(sent.groupBy("group").applyInPandas(lambda pdf: settle_words(pdf, window), "chunk bigint, group bigint, bits binary"))
+        told = replies.select("chunk", "group", "bits", F.lit(None).cast("binary").alias("which")).union(left.select("chunk", F.lit(-1).cast("bigint").alias("group"), F.lit(None).cast("binary"), "which"))
+        told = keep(checkpointed(told))
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(*left.loc[0, columns])
-        path, least, at, first = distinct(chunk, window)
-        right = right.sort_values("group")
-        group, repeat = groups.of(path), np.zeros(len(path), bool)
-        for g, bits in zip(right.group, right.bits, strict=True):
-            lo, hi = np.searchsorted(group, [g, g + 1])
-            repeat[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo)
-        sizes = np.diff(np.append(first, len(at)))
+        w = Windows(chunk, window, bits)
+        some = unpack(right.which[right.group == -1].iat[0], np.int64)
+        repeat = np.zeros(len(w.path), bool)
+        repeat[some] = answered(trees.of(w.path[some]), dict(zip(right.group, right.bits, strict=True)))
+        sizes = np.diff(np.append(w.first, len(w.at)))
         doc = np.repeat(chunk.ids, chunk.lens)
         starts = np.zeros(len(chunk.tokens) + 1, np.int64)
-        starts[at[np.repeat(repeat, sizes) | (doc[at] > np.repeat(least, sizes))]] = 1
+        starts[w.at[np.repeat(repeat, sizes) | (doc[w.at] > np.repeat(w.least, sizes))]] = 1
         run = np.cumsum(starts[:-1])
         covered = run - np.concatenate((np.zeros(min(window, len(run)), np.int64), run[:-window])) > 0
         out = {"id": [], "n_words": [], "repeats": [], "kept": []}
@@ -181,7 +326,7 @@ def deduplicated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_c
             out["kept"].append(" ".join(words[tokens[~gone] if len(edges) else tokens].tolist()))
         return pd.DataFrame(out).astype({"id": "Int64"})
 
-    done = store.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(finish, "id bigint, n_words bigint, repeats array<struct<start:bigint,end:bigint>>, kept string")
+    done = store.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(finish, "id bigint, n_words bigint, repeats array<struct<start:bigint,end:bigint>>, kept string")
     return done.withColumn("id", F.col("id").cast(df.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 

@@ -127,12 +127,13 @@ def plain_repeats(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("tokens", "limit"), [(2_000_000, 2_000_000), (300, 200)])
-def test_repeated_windows_go_as_in_brute_force(spark, tokens, limit):
+@pytest.mark.parametrize(("tokens", "limit", "bits"), [(2_000_000, 2_000_000, 64), (300, 200, 64), (300, 200, 6)])
+def test_repeated_windows_go_as_in_brute_force(spark, tokens, limit, bits):
+    """With six bits, most codes are shared by windows of other words: words alone decide."""
     rows = awkward(seed=9)
     passage = " ".join(f"p{i}" for i in range(30))
     rows += [(1000 + i, f"start{i} " + passage + f" end{i}" * 3, None, None, None, None, None, None, None, None, None) for i in range(20)]
-    found = substrings.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(3), 13, tokens=tokens, limit=limit)
+    found = substrings.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(3), 13, tokens=tokens, limit=limit, tree_limit=limit, bits=bits)
     got = sorted(map(tuple, substrings.digest(found).collect()))
     assert got == plain_repeats(rows, 13)
     assert sum(r[2] for r in got) > 500
@@ -146,6 +147,35 @@ def test_null_ids_never_make_repeats(spark):
     assert substrings.deduplicated(df.where("false")).count() == 0
 
 
+def test_short_texts_have_no_windows(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None), (4, "")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.digest(substrings.deduplicated(df.repartition(3))).collect()) == [(1, 2, 0), (2, 1, 0), (3, 0, 0), (4, 0, 0)]
+    long = " ".join(f"w{i}" for i in range(20))
+    mixed = df.union(spark.createDataFrame([(9, long), (8, long)], "doc_id bigint, text string")).repartition(6)  # some chunks have no window
+    assert {r.doc_id: r.n_removed for r in substrings.digest(substrings.deduplicated(mixed)).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 8: 0, 9: 20}
+
+
+def test_a_suffix_tree_has_the_nodes_of_its_suffixes():
+    rng = np.random.default_rng(7)
+    words = rng.integers(0, 3, (200, 5)).astype(np.uint32)
+    doc = rng.integers(0, 40, 200)
+    tree = substrings.SuffixTree(words, doc)
+    order = [tuple(w) for w in words[tree.leaves].tolist()]
+    assert order == sorted(order)
+    for depth in (1, 2, 4, 5):
+        runs = {}
+        for d in range(depth, 6):
+            for prefix in {x[:d] for x in order}:
+                leaves = [i for i, x in enumerate(order) if x[:d] == prefix]
+                if len(leaves) > 1:
+                    runs[leaves[0], leaves[-1]] = d  # the deepest prefix that the leaves share
+        assert {(f, la): d for d, f, la in zip(*(x.tolist() for x in tree.nodes(depth)), strict=True)} == runs
+    least = {}
+    for w, d in zip(map(tuple, words.tolist()), doc.tolist(), strict=True):
+        least[w] = min(d, least.get(w, d))
+    assert tree.repeats(5).tolist() == [d > least[w] for w, d in zip(map(tuple, words.tolist()), doc.tolist(), strict=True)]
+
+
 def test_groups_follow_path_order():
     counts = np.random.default_rng(5).integers(0, 50, 1 << substrings.COUNTED)
     counts[7] = 5000
