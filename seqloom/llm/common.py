@@ -74,6 +74,26 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df written to the shared folder in as many buckets of key as shuffles have partitions, and read back.
+
+    What is grouped or joined by key later stays where it is; only the other side is shuffled to it. The name that
+    the catalog has for it is given up at once: the files are the table, and scratch() deletes them.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    table = f"seqloom_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "none").option("path", path).bucketBy(count, key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    out.table_path = path
+    if (tables := _SCRATCH.get()) is not None:
+        tables.append(path)
+    return out
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system, if it is there."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

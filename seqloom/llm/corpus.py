@@ -4,7 +4,8 @@ Documents of a task are gathered into chunks of about as many tokens; a chunk is
 table in the shared folder, with its own vocabulary and token numbers. Facts that depend on the whole
 corpus are found by request and reply: chunks send packed arrays of their distinct keys, sorted and cut
 into groups of bounded size; each group is settled by one task; replies go back in the order of the
-request. The table is written once, so chunk numbers mean the same in every later pass.
+request. The table is written once, so chunk numbers mean the same in every later pass; it is bucketed by
+them, so that chunks stay where they are while replies come to them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import as_bytes, stored
+from seqloom.llm.common import as_bytes, bucketed
 
 #: Tokens after which a chunk ends, and keys of a group.
 CHUNK_TOKENS, GROUP_KEYS = 2_000_000, 2_000_000
@@ -94,7 +95,7 @@ def chunked(df: DataFrame, id_col: str, text_col: str, lower: bool, tokens: int
             yield row()
 
     made = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "chunk bigint, ids binary, lens binary, vocab binary, tokens binary")
-    return stored(made, "chunks", "none")
+    return bucketed(made, "chunks", "chunk")
 
 
 class Chunk:

@@ -262,41 +262,81 @@ def test_harmed_records_are_refused(harm):
 
 
 # language model
-@pytest.mark.parametrize(("tokens", "limit", "buckets"), [(3_000_000, 2_000_000, None), (400, 150, 5)])
-def test_scores_equal_a_plain_model(spark, docs, tokens, limit, buckets):
-    rows = docs.collect()
-    got = lm.scored(docs.repartition(3), tokens=tokens, limit=limit, buckets=buckets).collect()
-    count, pair, kinds, after = Counter(), Counter(), defaultdict(set), Counter()
-    for r in rows:
-        if zlib.crc32(b"%d" % r.doc_id) % 10:
-            history = "start"
-            for w in [*lowered(r.text), "end"]:
-                count[w] += 1
-                pair[history, w] += 1
-                kinds[history].add(w)
-                after[history] += 1
-                history = w
-    n, v = sum(count.values()), len(count)
-
-    def plain(text):
-        tokens, history, base, score = [*lowered(text), "end"], "start", 0.0, 0.0
-        for w in tokens:
-            p = (count[w] + 0.1) / (n + 0.1 * (v + 1))
-            base += math.log10(p)
-            score += math.log10((pair[history, w] + len(kinds[history]) * p) / (after[history] + len(kinds[history])) if after[history] else p)
-            history = w
-        return len(tokens), sum(count[w] > 0 for w in tokens), base, score
-
+class PlainTrigrams:
+    """The model by its definition, from texts and whether each is held out."""
+
+    def __init__(self, texts, held):
+        self.count, self.two, self.three = Counter(), Counter(), Counter()
+        for text, out in zip(texts, held, strict=True):
+            if not out:
+                symbols = ["<start>", *lowered(text), "<end>"]
+                self.count.update(symbols[1:])
+                self.two.update(zip(symbols, symbols[1:], strict=False))
+                self.three.update(zip(symbols, symbols[1:], symbols[2:], strict=False))
+        self.after, self.kinds = Counter(), Counter()
+        for grams in (self.two, self.three):
+            for gram, n in grams.items():
+                self.after[gram[:-1]] += n
+                self.kinds[gram[:-1]] += 1
+        self.n, self.v = sum(self.count.values()), len(self.count)
+
+    def p(self, history, w):
+        if not history:
+            return (self.count[w] + 0.1) / (self.n + 0.1 * (self.v + 1))
+        lower = self.p(history[1:], w)
+        c, t = self.after[history], self.kinds[history]
+        grams = self.two if len(history) == 1 else self.three
+        return (grams[*history, w] + t * lower) / (c + t) if c else lower
+
+    def row(self, text):
+        symbols = ["<start>", *lowered(text), "<end>"]
+        score = sum(math.log10(self.p(tuple(symbols[max(0, i - 2) : i]), symbols[i])) for i in range(1, len(symbols)))
+        base = sum(math.log10(self.p((), w)) for w in symbols[1:])
+        return len(symbols) - 1, sum(self.count[w] > 0 for w in symbols[1:]), base, score
+
+
+def held(i):
+    return zlib.crc32(b"%d" % i if i is not None else b"") % 10 == 0
+
+
+def assert_plain(got, rows):
+    plain = PlainTrigrams([t for _, t in rows], [held(i) for i, _ in rows])
+    want = sorted((str(i), held(i), *plain.row(t)) for i, t in rows)
     assert len(got) == len(rows)
-    texts = {r.doc_id: r.text for r in rows}
-    for r in got:
-        tokens_, known, base, score = plain(texts[r.doc_id])
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(b"%d" % r.doc_id) % 10 == 0, tokens_, known, n)
+    for r, (i, out, n, known, base, score) in zip(sorted(got, key=lambda r: (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.base_score)), want, strict=True):
+        assert (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i, out, n, known, plain.n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
         assert math.isclose(r.score, score, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize(("tokens", "limit", "buckets"), [(3_000_000, 2_000_000, None), (400, 150, 5), (300, 2, 3)])
+def test_scores_equal_a_plain_model(spark, docs, tokens, limit, buckets):
+    """Chunks of a few hundred tokens share most bigrams; at a limit of two, histories are split by words."""
+    got = lm.scored(docs.repartition(3), tokens=tokens, limit=limit, buckets=buckets).collect()
+    assert_plain(got, [(r.doc_id, r.text) for r in docs.collect()])
     assert lm.scored(docs.where("false")).count() == 0
 
 
+def test_common_histories_are_split(spark):
+    """One pair of words with hundreds of words after it, in many chunks."""
+    rows = [(i, " ".join(f"of the w{(i * 7 + j) % 300} x{j}" for j in range(20))) for i in range(60)]
+    got = lm.scored(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), tokens=200, limit=20, buckets=4).collect()
+    assert_plain(got, rows)
+
+
+def test_scores_without_training_bigrams(spark):
+    only = [i for i in range(200) if held(i)][:4]
+    for rows in ([(i, f"a b c {i}") for i in only], [(only[0], "a b c"), (only[1], None), (next(i for i in range(200) if not held(i)), None)]):
+        assert_plain(lm.scored(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), limit=2).collect(), rows)
+
+
+def test_long_texts_are_read_in_pieces(spark):
+    rng = random.Random(4)
+    texts = [None, "", "w1", " ".join(f"w{rng.randrange(40)}" for _ in range(3000)), " ".join(f"w{rng.randrange(60)}" for _ in range(512)), " ".join(f"w{rng.randrange(60)}" for _ in range(511))]
+    rows = [(i + 1, t) for i, t in enumerate(texts)]
+    assert_plain(lm.scored(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows)
+
+
 def test_weights_of_each_state_sum_to_one():
     """Arcs and what the failure arc passes on are a distribution over words and one unseen word."""
     rng = np.random.default_rng(3)
