@@ -3,16 +3,21 @@
 Targets: source weights share the words of all documents; a source's target stops at `most` times
 its own words, and the excess goes to the others by weight until no target is above (water-filling).
 
-Rates: among document rates r in (0, most], those nearest to 1 in relative entropy under the measure
-of words that meet sum(size * r) = target for each source. The dual is convex and separates by
-source; its solution tilts exponentially, r = min(most, exp(lambda * tilt)), and Newton steps on the
-lambdas need two sums per source and step, which are aggregated over all documents.
-
-Copies: every document gets floor(r) copies; what that leaves of the target is handed out in the order
-of a hash of the document, within a source. A document that does not fit what is left is passed over;
-after the last one, further copies go out in the same order, until no document with fewer than `most`
-copies fits. Each round sums words per (source, hash bucket) and orders by row the bucket where what
-is left runs out; nothing limits the rounds. No window spans more than one bucket.
+Rates: among document rates r in (0, most], those nearest to 1 in relative entropy that meet
+sum(size * r) = target for each source. A document's divergence counts size / tilt: one of a larger tilt
+gives way more easily. The dual is convex and separates by source; its solution tilts exponentially,
+r = min(most, exp(lambda * tilt)). Newton steps on the lambdas, from 0 on, need two sums per source and
+step, which are aggregated over all documents; a step that leaves the interval known to hold the solution is
+replaced by its middle. Unless a tilt is named, it falls from 1.5 to 0.5 as documents grow, so that short
+ones are dropped or repeated first and long ones stay near one copy.
+
+Copies: every document gets floor(r) copies; what that leaves of the target is handed out in an order that
+a hash of the document draws by what floor(r) cuts off: first those whose draw lies under that fraction, then
+the others. A document that does not fit what is left is passed over; after the last one, further copies go
+out in the same order, until no document with fewer than `most` copies fits. Each round sums words per
+(source, stretch of the order) and orders by row the stretch where what is left runs out; nothing limits
+the rounds. The stretches grow in number with the root of the documents, and no window spans more than one
+of them, or more than the stretches of a source.
 
 Documents with a null text have size 0, take part and take nothing. A null source is a source of its
 own, last in order. Repeated rows count as often as they occur, get equal copies, and must fit together.
@@ -25,9 +30,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checkpointed
+from seqloom.llm.common import checkpointed, scratch
 
-#: Hash buckets of a source; the one where its words run out is ordered alone.
+#: The least number of stretches that either half of a source's order is cut into.
 BUCKETS = 4_096
 #: Sources up to which per-source rows are broadcast; the count is taken first, and beyond it they are shuffled.
 BROADCAST_SOURCES = 50_000
@@ -65,61 +70,87 @@ def targets(sources: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2,
     return ranked.withColumn("target", F.least(F.lit(float(level)) * F.col("weight"), (F.col("source_size") * most).cast("double")))
 
 
-def rates(docs: DataFrame, balanced: DataFrame, most: int = 3, tilt: str | None = None, steps: int = 40) -> DataFrame:
-    """balanced(source, source_size, target) with `lam`, the dual solution, by Newton steps.
-
-    docs holds source, size and, if named, the tilt column (positive). Steps start at the solution
-    for a tilt of 1 and stay between bounds, so that the cap at `most` can't throw them off.
-    """
-    f = F.col(tilt).cast("double") if tilt else F.lit(1.0)
-    lam = checkpointed(balanced.withColumn("lam", F.when((F.col("target") > 0) & (F.col("source_size") > 0), F.log(F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))))
-    if not tilt:  # rates are equal within a source: one sum per source holds all of its documents
-        docs = checkpointed(lam.select("source", F.col("source_size").alias("size")))
+def rates(docs: DataFrame, balanced: DataFrame, most: int = 3, steps: int = 80) -> DataFrame:
+    """balanced(source, source_size, target) with `lam`, the dual solution; docs holds source, size and tilt (positive)."""
+    f, rate = F.col("tilt"), F.least(F.lit(float(most)), F.exp(F.col("lam") * F.col("tilt")))
+    lam = checkpointed(balanced.withColumns({"lam": F.lit(0.0), "lo": F.lit(-100.0), "hi": F.lit(100.0), "off": F.lit(1.0)}))
+    count = lam.count()
     for _ in range(steps):
-        current = lam.select(F.col("source").alias("of"), "lam")
-        rate = F.least(F.lit(float(most)), F.exp(F.col("lam") * f))
-        free = F.when(rate < most, F.col("size") * f * f * rate).otherwise(0.0)
+        current = _small(lam.where("off > 0").select(F.col("source").alias("of"), "lam"), count)
+        free = F.when(rate < most, F.col("size") * f * rate).otherwise(0.0)
         sums = docs.join(current, F.col("source").eqNullSafe(F.col("of"))).groupBy("of").agg(F.sum(F.col("size") * rate).alias("got"), F.sum(free).alias("slope"))
-        stepped = lam.join(sums, F.col("source").eqNullSafe(F.col("of")), "left")
         gap = F.col("target") - F.coalesce("got", F.lit(0.0))
-        move = F.when((F.abs(gap) > 1e-9 * (F.col("target") + 1)) & (F.col("slope") > 0), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.col("slope")))).otherwise(0.0)
-        stepped = stepped.withColumn("move", move)
-        if (stepped.agg(F.max(F.abs("move")).alias("m")).first().m or 0.0) < 1e-9:
+        open_ = (F.col("off") > 0) & (F.abs(gap) > 1e-9 * (F.col("target") + 1)) & (F.col("target") > 0) & (F.col("target") < F.col("source_size") * (most * (1 - 1e-12)))
+        low, high = F.when(gap > 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap < 0, F.col("lam")).otherwise(F.col("hi"))
+        newton = F.col("lam") + gap / F.col("slope")
+        step = F.when((F.col("slope") > 0) & (newton > low) & (newton < high), newton).otherwise((low + high) / 2)
+        following = lam.join(_small(sums, count), F.col("source").eqNullSafe(F.col("of")), "left")
+        kept = [c for c in lam.columns if c not in ("lam", "lo", "hi", "off")]
+        lam = checkpointed(following.select(*kept, F.when(open_, step).otherwise(F.col("lam")).alias("lam"), low.alias("lo"), high.alias("hi"), F.when(open_, 1.0).otherwise(0.0).alias("off")))
+        if lam.where("off > 0").isEmpty():
             break
-        lam = checkpointed(stepped.select(*[c for c in lam.columns if c != "lam"], (F.col("lam") + F.col("move")).alias("lam")))
-    return lam.withColumn("lam", F.round("lam", 9))  # sums of doubles depend on their order in the last digits
+    return lam.select(*balanced.columns, F.round("lam", 9).alias("lam"))  # sums of doubles depend on their order in the last digits
+
+
+def identity(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col))
+
+
+class Mix:
+    """What decides copies: tables of sources, rules of handing out, and repeated rows, all far smaller than the documents."""
+
+    def __init__(self, docs: DataFrame, most: int, weights: tuple[int, ...], tilt: Column | None):
+        """docs(source, size, h) and what tilt needs."""
+        self.most = most
+        row = docs.agg(F.count("*").alias("n"), F.sum("size").alias("s")).first()
+        mean = max(1.0, (row.s or 0) / max(1, row.n))
+        self.tilt = tilt if tilt is not None else 0.5 + 1 / (1 + F.col("size") / mean)
+        self.buckets = max(BUCKETS, int(row.n**0.5))
+        spark = docs.sparkSession
+        with scratch(spark) as keep:
+            sized = docs.withColumn("tilt", self.tilt.cast("double"))
+            balanced = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), most, weights)
+            solved = keep(checkpointed(rates(sized, balanced, most)))
+            self.count = solved.count()
+            self.by = solved.select(F.col("source").alias("of"), "source_size", "target", "lam")
+            rated = checkpointed(self.rated(docs))
+            left = rated.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("left"))
+            units = checkpointed(rated.where(F.col("whole") < most).groupBy("source", "b", "h", "whole").agg(F.sum("size").alias("cost"), F.count("*").alias("n")).where("cost > 0"))
+            self.rules = keep(checkpointed(handed_out(units.drop("n"), left, most, self.count).withColumnRenamed("source", "rs")))
+            self.tables = [solved]
+            self.several = keep(checkpointed(units.where("n > 1").select(F.col("source").alias("us"), F.col("h").alias("uh"), F.col("whole").alias("uw"), F.col("cost").alias("together"))))
+            self.tables += [self.rules, self.several]
+
+    def rated(self, docs: DataFrame) -> DataFrame:
+        """docs with source_size, target, rate, whole (its floor) and b, its stretch of the order."""
+        out = docs.join(_small(self.by, self.count), F.col("source").eqNullSafe(F.col("of")))
+        full = F.col("target") >= F.col("source_size") * (self.most * (1 - 1e-12))
+        rate = F.when(full, F.lit(float(self.most))).otherwise(F.least(F.lit(float(self.most)), F.exp(F.col("lam") * self.tilt.cast("double"))))
+        out = out.withColumn("rate", F.when(F.col("target") > 0, rate).otherwise(0.0))
+        out = out.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate"))).withColumn("whole", F.floor("rate"))
+        draw, cut = (F.pmod("h", F.lit(1 << 52)) + 0.5) / float(1 << 52), F.col("rate") - F.col("whole")
+        order = F.when(draw < cut, draw / cut).otherwise(1 + (draw - cut) / (1 - cut))
+        return out.withColumn("b", F.floor(order * self.buckets)).drop("of", "lam")
+
+    def copied(self, docs: DataFrame) -> DataFrame:
+        """docs with rate and copies."""
+        ruled = self.rated(docs).join(_small(self.rules, self.count), F.col("source").eqNullSafe(F.col("rs")))
+        ruled = ruled.join(self.several, F.col("source").eqNullSafe(F.col("us")) & (F.col("h") == F.col("uh")) & (F.col("whole") == F.col("uw")), "left")
+        cost, place = F.coalesce("together", "size"), F.struct("b", "h", "whole")
+
+        def holds(rule: Column) -> Column:
+            after = rule["lo"].isNull() | (place > rule["lo"])
+            return (F.col("whole") + rule["turn"] <= self.most) & (cost <= rule["limit"]) & ((cost > 0) | rule["first"]) & after & (rule["hi"].isNull() | (place < rule["hi"]))
+
+        return ruled.withColumn("copies", (F.col("whole") + F.size(F.filter("rules", holds))).cast("int"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, weights: tuple[int, ...] = (1, 2, 3), tilt: str | None = None) -> DataFrame:
     """One row per document: id, source, size, source_size, target, rate, copies, taken = copies * size."""
-    columns = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col)).alias("h")]
-    docs = checkpointed(df.select(*columns, *([F.col(tilt).alias("tilt")] if tilt else [])))
-    balanced = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("size").alias("longest")), most, weights)
-    solved = checkpointed(rates(docs, balanced, most, "tilt" if tilt else None))
-    count = solved.count()
-    by = solved.select(F.col("source").alias("of"), "source_size", "target", "lam")
-    f = F.col("tilt").cast("double") if tilt else F.lit(1.0)
-    by = _small(by, count)
-    rated = docs.join(by, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", F.when(F.col("target") > 0, F.least(F.lit(float(most)), F.exp(F.col("lam") * f))).otherwise(0.0))
-    rated = rated.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate")))
-    rated = rated.withColumn("whole", F.floor("rate")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
-    rated = checkpointed(rated.drop("of", "lam"))
-
-    # what floor(rate) copies leave over goes out in hash order, by rules that hold for all documents of a source
-    left = rated.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("left"))
-    units = checkpointed(rated.where(F.col("whole") < most).groupBy("source", "b", "h", "whole").agg(F.sum("size").alias("cost"), F.count("*").alias("n")))
-    rules = handed_out(units.where("cost > 0").drop("n"), left, most, count)
-    ruled = rated.join(_small(rules.withColumnRenamed("source", "of"), count), F.col("source").eqNullSafe(F.col("of")))
-    several = units.where("n > 1 AND cost > 0").select(F.col("source").alias("us"), F.col("h").alias("uh"), F.col("whole").alias("uw"), F.col("cost").alias("all"))
-    ruled = ruled.join(several, F.col("source").eqNullSafe(F.col("us")) & (F.col("h") == F.col("uh")) & (F.col("whole") == F.col("uw")), "left")
-    cost, place = F.coalesce("all", "size"), F.struct("b", "h", "whole")
-
-    def holds(rule: Column) -> Column:
-        after = rule["lo"].isNull() | (place > rule["lo"])
-        return (F.col("whole") + rule["turn"] <= most) & (cost <= rule["limit"]) & ((cost > 0) | rule["first"]) & after & (rule["hi"].isNull() | (place < rule["hi"]))
-
-    copies = F.col("whole") + F.size(F.filter("rules", holds))
-    return ruled.select("doc_id", "source", "size", "source_size", "target", "rate", "h", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+    columns = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), identity(id_col, text_col).alias("h")]
+    docs = checkpointed(df.select(*columns, *([F.col(tilt).alias("given")] if tilt else [])))
+    out = Mix(docs, most, weights, F.col("given") if tilt else None).copied(docs)
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
 
 
 def handed_out(units: DataFrame, left: DataFrame, most: int, count: int) -> DataFrame:
@@ -165,9 +196,19 @@ def handed_out(units: DataFrame, left: DataFrame, most: int, count: int) -> Data
     return state.select("source", "rules")
 
 
-def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of df, all columns, each as often as the mix takes it."""
-    decided = mix(df, id_col, text_col, source_col, **options).where("copies > 0").groupBy("doc_id", "source", "h").agg(F.max("copies").alias("mix_copies")).withColumnsRenamed({"doc_id": "mix_id", "source": "mix_source", "h": "mix_h"})
-    own = F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col))
-    joined = df.withColumn("mix_own", own).join(decided, (F.col("mix_own") == F.col("mix_h")) & F.col(id_col).eqNullSafe(F.col("mix_id")) & F.col(source_col).eqNullSafe(F.col("mix_source")))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*df.columns)
+def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, weights: tuple[int, ...] = (1, 2, 3), tilt: str | None = None) -> DataFrame:
+    """The rows of df, all columns, each as often as the mix takes it.
+
+    Rows stay where they are: sources and rules, which are small, come to them. A row travels as one
+    column, so its names meet no others.
+    """
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    columns = [F.col(f"row.{source_col}").alias("source"), word_count(F.col(f"row.{text_col}")).alias("size"), identity(f"row.{id_col}", f"row.{text_col}").alias("h")]
+    given = [F.col(f"row.{tilt}").alias("given")] if tilt else []
+    with scratch(df.sparkSession) as keep:
+        docs = checkpointed(row.select(*columns, *given))
+        plan = Mix(docs, most, weights, F.col("given") if tilt else None)
+        for table in plan.tables:
+            keep(table)
+    taken = plan.copied(row.select("row", *columns, *given)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -390,6 +390,57 @@ def test_mix_comes_near_its_targets(spark, docs, tilt):
     assert math.isclose(sum(t for _, _, t in by.values()), sum(s for _, s, _ in by.values()))
 
 
+@pytest.mark.parametrize("tilt", [None, "v"])
+def test_rates_solve_the_dual(spark, docs, tilt):
+    """Rates against a plain bisection of each source's constraint, and copies against rates."""
+    rng = random.Random(6)
+    weight = {r.doc_id: rng.uniform(0.2, 2.0) for r in docs.collect()}
+    table = docs.drop("v").join(spark.createDataFrame(list(weight.items()), "doc_id bigint, v double"), "doc_id")
+    rows = mixing.mix(table, tilt=tilt).collect()
+    mean = sum(r.size for r in rows) / len(rows)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append((r, weight[r.doc_id] if tilt else 0.5 + 1 / (1 + r.size / mean)))
+    solved = set()
+    for some in by.values():
+        target, total = some[0][0].target, some[0][0].source_size
+        got = lambda lam: sum(r.size * min(3.0, math.exp(lam * f)) for r, f in some)  # noqa: B023, E731
+        low, high = -100.0, 100.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if got(mid) < target else (low, mid)
+        for r, f in some:
+            want = 3.0 if target >= 3 * total else min(3.0, math.exp(low * f))
+            assert math.isclose(r.rate, want, rel_tol=1e-6)
+            assert math.floor(r.rate) <= r.copies <= 3
+            solved.add(round(r.rate, 6))
+    assert len(solved) > 20  # rates differ between documents of a source
+
+
+def test_mix_follows_its_rates(spark):
+    """Of documents of a size, copies are within a few standard deviations of the sum of rates."""
+    rows = [(i, "w " * (1 + i % 40), "a" if i % 3 else "b") for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    for source in "ab":
+        for few, most in ((1, 10), (11, 25), (26, 40)):
+            some = [r for r in got if r.source == source and few <= r.size <= most]
+            assert abs(sum(r.copies for r in some) / sum(r.rate for r in some) - 1) < 0.1
+
+
+def test_mix_takes_any_column_names(spark):
+    names = ["mix_id", "mix_own", "mix_h", "mix_copies", "row", "copy", "size", "h", "of", "rs", "us", "b", "rate", "lam", "given", "tilt", "target", "x y"]
+    rows = [(i, f"w{i} " * (i % 7), "s" + str(i % 2), *[f"{n}{i}" for n in names]) for i in range(40)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    out = mixing.repeated(df)
+    assert out.columns == df.columns
+    given = {r[0]: r for r in rows}
+    copies = Counter()
+    for r in out.collect():
+        assert tuple(r) == given[r.doc_id]
+        copies[r.doc_id] += 1
+    assert copies == Counter({r.doc_id: r.copies for r in mixing.mix(df).collect() if r.copies})
+
+
 def test_mix_goes_on_behind_documents_that_do_not_fit(spark):
     """Long documents at any place of the hash order leave no room that short ones could take."""
     for longest in (20_000, 29_000):  # in a source of 2,000 documents of 10 words
