@@ -6,10 +6,13 @@ geometric mean of how many each holds. Landmarks, a bounded sample of training t
 map: kernels with the landmarks times the inverse root of the landmarks' own kernel. One-versus-rest
 ridge regression in that space yields a score per language. Scoring is a product of a batch's n-gram
 presence with the landmarks' presence, then with the regression weights; as both are linear, the two
-fixed factors are multiplied once, when the model is made.
+fixed factors are multiplied once, when the model is made, and a batch of texts is one matrix product.
 
-Bounds (documented parameters): `landmarks` landmark texts and `train` training texts, dealt equally
-to the languages and chosen by a hash of the id. Every text is scored whole.
+Bounds (documented parameters): about `landmarks` landmark texts and `train` training texts, dealt equally
+to the languages and chosen by a hash of the id. Of more languages than such a sample has texts, the most
+frequent ones are learned. Every text is scored whole.
+
+Letters are the characters of Unicode's category L; digits of any kind, such as superscripts, are none.
 
 Texts that are null or have no letter are `und` with score 0. Rows with a null language or text teach
 nothing. If nothing can be learned, all texts are `und`. Repeated rows get equal results. An empty table
@@ -19,6 +22,7 @@ gives an empty result; columns beside id, text and language are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that count as parts of words in patterns and are neither letters nor decimal digits.
+_OTHERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{re.escape(_OTHERS)}]+")
 LONGEST = 4
+#: Texts whose presence makes one matrix.
+BATCH = 64
 UNKNOWN = "und"
 
 
@@ -57,31 +65,42 @@ class Model:
     bias: np.ndarray
 
     def score(self, features: list[np.ndarray]) -> np.ndarray:
-        """texts x languages: regression values, by one product of presence and weights per batch."""
-        out = np.tile(self.bias, (len(features), 1))
-        at = [np.searchsorted(self.vocabulary, f) for f in features]
-        for i, (f, k) in enumerate(zip(features, at, strict=True)):
-            if len(f) and len(self.vocabulary):
-                k = np.minimum(k, len(self.vocabulary) - 1)
-                present = k[self.vocabulary[k] == f]
-                out[i] += np.ones(len(present), np.float32) @ self.weights[present] / np.sqrt(len(f))
-        return out
+        """texts x languages: regression values, a product of presence and weights per batch."""
+        if not len(self.vocabulary):
+            return np.tile(self.bias, (len(features), 1))
+        out = np.empty((len(features), len(self.bias)))
+        seen = np.zeros((min(len(features), BATCH), len(self.vocabulary)), np.float32)
+        for lo in range(0, len(features), BATCH):
+            part = features[lo : lo + BATCH]
+            at = present(part, self.vocabulary)
+            seen[at] = 1
+            out[lo : lo + BATCH] = seen[: len(part)] @ self.weights
+            seen[at] = 0
+        sizes = np.array([max(1, len(f)) for f in features])
+        return out / np.sqrt(sizes)[:, None] + self.bias
+
+
+def present(features: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, n-gram) numbers of the entries of a presence matrix that are 1."""
+    text = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    f = np.concatenate(features) if features else np.empty(0, np.uint64)
+    at = np.minimum(np.searchsorted(vocabulary, f), max(0, len(vocabulary) - 1))
+    hit = vocabulary[at] == f
+    return text[hit], at[hit]
 
 
 def kernel(features: list[np.ndarray], vocabulary: np.ndarray, presence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """texts x landmarks: n-grams shared, over the root of the product of both counts."""
     x = np.zeros((len(features), len(vocabulary)), np.float32)
-    for i, f in enumerate(features):
-        k = np.minimum(np.searchsorted(vocabulary, f), len(vocabulary) - 1)
-        x[i, k[vocabulary[k] == f]] = 1
+    x[present(features, vocabulary)] = 1
     shared = (x @ presence.astype(np.float32)).astype(np.float64)
     return shared / np.sqrt(np.maximum(1, np.array([len(f) for f in features]))[:, None] * sizes[None, :])
 
 
-def _sample(df: DataFrame, count: int, salt: str) -> DataFrame:
-    """About count rows of (id, text, lang), as many for each language, by a hash of the id."""
-    sizes = {r.lang: r.n for r in df.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    each = max(4, count // max(1, len(sizes)))
+def sample(df: DataFrame, count: int, salt: str) -> DataFrame:
+    """About count rows of (id, text, lang), as many for each language, by a hash of the id; at most `count` languages, the most frequent."""
+    sizes = {r.lang: r.n for r in df.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(count).collect()}
+    each = max(1, count // max(1, len(sizes)))
     rates = df.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in sizes.items()] or [("", 0.0)], "lang string, rate double")
     draw = F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1 << 30)) / float(1 << 30)
     return df.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("id", "text", "lang")
@@ -97,8 +116,8 @@ def fit(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["lang", "f"])
 
     # the features of `landmarks` texts, then a kernel row for each of `train` texts, come to the driver
-    marks = [(r.lang, np.array(r.f, np.int64).view(np.uint64)) for r in _sample(known, landmarks, "landmark").mapInArrow(features, "lang string, f array<bigint>").collect()]
-    marks = sorted(((lang, f) for lang, f in marks if len(f)), key=lambda x: (x[0], x[1].tobytes()))
+    marks = [(r.lang, np.array(r.f, np.int64).view(np.uint64)) for r in sample(known, landmarks, "landmark").mapInArrow(features, "lang string, f array<bigint>").collect()]
+    marks = sorted(((lang, f) for lang, f in marks if len(f)), key=lambda x: (x[0], x[1].tobytes()))  # in an order that doesn't depend on tasks
     if not marks:
         return Model([], np.empty(0, np.uint64), np.empty((0, 0), np.float32), np.empty(0))
     vocabulary = np.unique(np.concatenate([f for _, f in marks]))
@@ -116,7 +135,7 @@ def fit(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "
                 k = kernel(found, *shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(2), pa.array(list(k), pa.list_(pa.float64()))], names=["lang", "k"])
 
-    taught = [(r.lang, r.k) for r in _sample(known, train, "train").mapInArrow(rows, "lang string, k array<double>").collect() if any(r.k)]
+    taught = [(r.lang, r.k) for r in sample(known, train, "train").mapInArrow(rows, "lang string, k array<double>").collect() if any(r.k)]
     taught = sorted(taught) or [(lang, list(row)) for (lang, _), row in zip(marks, kernel([f for _, f in marks], vocabulary, presence, sizes), strict=True)]
     languages = sorted({lang for lang, _ in taught})
     k = np.array([row for _, row in taught])
