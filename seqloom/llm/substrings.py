@@ -5,7 +5,8 @@ found in two passes over the chunks of the corpus (see corpus), both by request
 
 1. A sieve. Each suffix has a path code of 64 bits: 8 for its first word, 8 for the first four, 8 for the
    first eight and 40 for the whole window, each from a hash of those words, so that codes of equal
-   beginnings lie together. A suffix whose code no other document has can't repeat and goes no further.
+   beginnings lie together. A suffix whose code no other chunk has can repeat within its chunk alone, where
+   words are compared; it goes no further.
 2. Suffix trees. The suffixes that are left are dealt by prefixes of variable length: a histogram over
    short prefixes shows which of them fit into memory together and which must be split by longer ones.
    Every group builds its subtree from words: suffixes are sorted word by word, the lengths of common
@@ -41,7 +42,7 @@ from seqloom.llm.neardup import mixed
 #: Bits of the prefixes that are counted, and of what follows them, by which large ones are split.
 COUNTED, SPLIT = 12, 24
 #: Suffixes of a tree, as each brings its words: fewer than the bare codes of a sieve.
-TREE_KEYS = GROUP_KEYS // 4
+TREE_KEYS = GROUP_KEYS // 2
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -163,20 +164,15 @@ class SuffixTree:
         return keys[::-1]
 
     def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(depth, first leaf, last leaf) of the internal nodes of at least a depth, by their intervals of common prefixes, outer ones first."""
-        open_nodes: list[tuple[int, int]] = []  # (depth, first leaf) of the nodes that the last leaf is in
-        out = []
-        near = self.lcp >= depth
-        for i in np.flatnonzero(near | np.append(near[1:], False) | np.concatenate(([False], near[:-1]))).tolist():
-            d, first = int(self.lcp[i]) if near[i] else 0, i - 1
-            while open_nodes and open_nodes[-1][0] > d:
-                deep, first = open_nodes.pop()
-                out.append((deep, first, i - 1))
-            if d and (not open_nodes or open_nodes[-1][0] < d):
-                open_nodes.append((d, first))
-        out += [(deep, first, len(self.lcp) - 1) for deep, first in open_nodes]
-        found = np.array(sorted(out, key=lambda x: (x[1], -x[2])), np.int64).reshape(-1, 3)
-        return found[:, 0], found[:, 1], found[:, 2]
+        """(depth, first leaf, last leaf) of the internal nodes of at least a depth, level by level."""
+        out = [np.empty((0, 3), np.int64)]
+        for d in range(depth, self.words.shape[1] + 1):
+            inside = np.concatenate((self.lcp >= d, [False])).astype(np.int8)
+            edges = np.flatnonzero(np.diff(inside)).reshape(-1, 2)  # neighbours of a run share d words; the first pair starts a leaf earlier
+            if len(edges):
+                least = np.minimum.reduceat(np.append(self.lcp, 0), (edges + 1).ravel())[::2]
+                out.append(np.column_stack((least, edges))[least == d])
+        return tuple(np.concatenate(out).T)
 
     def repeats(self, window: int) -> np.ndarray:
         """For each suffix, in the order given, whether a node as deep as a window holds a smaller document."""
@@ -184,14 +180,14 @@ class SuffixTree:
         _, first, last = self.nodes(window)
         if len(first):
             doc = self.doc[self.leaves]
-            least = np.minimum.reduceat(doc, np.stack([first, last + 1], 1).ravel()[: -1 if last[-1] + 1 == len(doc) else None])[::2]
+            least = np.minimum.reduceat(np.append(doc, 0), np.stack([first, last + 1], 1).ravel())[::2]
             inside = np.repeat(first - np.concatenate(([0], np.cumsum(last - first + 1)[:-1])), last - first + 1) + np.arange((last - first + 1).sum())
             out[self.leaves[inside]] = doc[inside] > np.repeat(least, last - first + 1)
         return out
 
 
 def settle_codes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The replies of one group of the sieve: for each chunk, a bit per code sent, whether another document has it."""
+    """The replies of one group of the sieve: for each chunk, a bit per code sent, whether another chunk with another document has it; then how many such suffixes short prefixes have."""
     found = [unpack_sorted(path, np.uint64) for path in pdf.path]
     docs = [unpack_sorted(ids, np.int64)[unpack(which, np.uint32)] for ids, which in zip(pdf.ids, pdf.which, strict=True)]
     path, doc = np.concatenate(found), np.concatenate(docs)
@@ -200,7 +196,9 @@ def settle_codes(pdf: pd.DataFrame) -> pd.DataFrame:
     several = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
     shared = np.empty(len(path), bool)
     shared[order] = np.repeat(several, np.diff(np.append(first, len(path))))
-    return _replies(pdf, shared, [len(x) for x in found])
+    prefix, n = np.unique((path[shared] >> np.uint64(64 - COUNTED)).astype(np.int64), return_counts=True)
+    counts = pd.DataFrame({"chunk": [None], "group": [pdf.group.iat[0]], "bits": [None], "prefix": [prefix], "n": [n]})
+    return pd.concat([_replies(pdf, shared, [len(x) for x in found]).assign(prefix=None, n=None), counts]).astype({"chunk": "Int64"})
 
 
 def settle_words(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -242,26 +240,26 @@ def deduplicated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_c
     columns = ["ids", "lens", "vocab", "tokens"]
     parts = "group bigint, chunk bigint"
 
-    def counted(batches: Iterator[pa.RecordBatch], read) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTED, np.int64)
         for row in rows(batches):
-            total += np.bincount((read(*row) >> np.uint64(64 - COUNTED)).astype(np.int64), minlength=len(total))
+            total += np.bincount((paths(Chunk(*row), window, bits)[0] >> np.uint64(64 - COUNTED)).astype(np.int64), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["prefix", "n"])
 
-    def groups_of(table: DataFrame, read, most: int) -> Prefixes:
+    def groups_of(counts: DataFrame, most: int) -> Prefixes:
         # one number for each of 2^COUNTED prefixes comes to the driver, whatever the corpus
-        counts = np.zeros(1 << COUNTED, np.int64)
-        for prefix, n in table.mapInArrow(lambda b: counted(b, read), "prefix int, n bigint").groupBy("prefix").agg(F.sum("n").alias("n")).collect():
-            counts[prefix] = n
-        return Prefixes(counts, most)
+        total = np.zeros(1 << COUNTED, np.int64)
+        for prefix, n in counts.groupBy("prefix").agg(F.sum("n").alias("n")).collect():
+            total[prefix] = n
+        return Prefixes(total, most)
 
     def message(group: int, chunk: int, *packed: bytes) -> list[pa.Array]:
         return [pa.array([group], pa.int64()), pa.array([chunk], pa.int64()), *(pa.array([c], pa.binary()) for c in packed)]
 
     with scratch(spark) as keep:
         store = keep(chunked(df, id_col, text_col, False, tokens))
-        sieve = groups_of(store.select(*columns), lambda *row: paths(Chunk(*row), window, bits)[0], limit)
+        sieve = groups_of(store.select(*columns).mapInArrow(counted, "prefix int, n bigint"), limit)
 
         def send_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk, *row in rows(batches):
@@ -271,43 +269,37 @@ def deduplicated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_c
                     yield pa.RecordBatch.from_arrays(message(g, chunk, pack_sorted(w.path[lo:hi]), pack_sorted(ids), pack(which.astype(np.uint32))), names=["group", "chunk", "path", "ids", "which"])
 
         sent = store.select("chunk", *columns).mapInArrow(send_codes, f"{parts}, path binary, ids binary, which binary")
-        first = checkpointed(sent.groupBy("group").applyInPandas(settle_codes, "chunk bigint, group bigint, bits binary"))
-
-        def sift(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            """The windows of a chunk that another document may have: their numbers in the chunk and their codes."""
-            w = Windows(Chunk(*left.loc[0, columns]), window, bits)
-            shared = answered(sieve.of(w.path), dict(zip(right.group, right.bits, strict=True))) | (w.most > w.least)
-            which = np.flatnonzero(shared)
-            return pd.DataFrame({"chunk": left.chunk, "which": [pack(which)], "path": [pack(w.path[which])]})
-
-        left = checkpointed(store.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInPandas(sift, "chunk bigint, which binary, path binary"))
-        trees = groups_of(left.select("path"), lambda path: unpack(path, np.uint64), tree_limit)
-
-        def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for chunk, which, *row in rows(batches):
-                c = Chunk(*row)
-                w, some = Windows(c, window, bits), unpack(which, np.int64)
-                for g, lo, hi in stretches(trees.of(w.path[some])):
-                    words = w.words(some[lo:hi])
-                    used = np.zeros(len(c.words), bool)
-                    used[words] = True
-                    number = np.cumsum(used, dtype=np.uint32) - np.uint32(1)
-                    vocab = zstandard.ZstdCompressor(level=1).compress(b" ".join([c.words[u] for u in np.flatnonzero(used).tolist()]))
-                    ids, of = np.unique(w.least[some[lo:hi]], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays(message(g, chunk, vocab, pack(number[words].ravel()), pack_sorted(ids), pack(of.astype(np.uint32))), names=["group", "chunk", "vocab", "words", "ids", "which"])
-
-        asked = left.select("chunk", "which").join(store.select("chunk", *columns), "chunk").select("chunk", "which", *columns)
-        sent = asked.mapInArrow(send_words, f"{parts}, vocab binary, words binary, ids binary, which binary")
-        replies = checkpointed(sent.groupBy("group").applyInPandas(lambda pdf: settle_words(pdf, window), "chunk bigint, group bigint, bits binary"))
-        told = replies.select("chunk", "group", "bits", F.lit(None).cast("binary").alias("which")).union(left.select("chunk", F.lit(-1).cast("bigint").alias("group"), F.lit(None).cast("binary"), "which"))
-        told = keep(checkpointed(told))
+        first = checkpointed(sent.groupBy("group").applyInPandas(settle_codes, "chunk bigint, group bigint, bits binary, prefix array<bigint>, n array<bigint>"))
+        trees = groups_of(first.where("chunk is null").select(F.explode(F.arrays_zip("prefix", "n")).alias("x")).select("x.prefix", "x.n"), tree_limit)
+        first = first.where("chunk is not null").select("chunk", "group", "bits")
+
+        def send_words(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            """The windows of a chunk that others may have, with their words."""
+            chunk = Chunk(*left.loc[0, columns])
+            w = Windows(chunk, window, bits)
+            some = np.flatnonzero(answered(sieve.of(w.path), dict(zip(right.group, right.bits, strict=True))))
+            out = []
+            for g, lo, hi in stretches(trees.of(w.path[some])):
+                words = w.words(some[lo:hi])
+                used = np.zeros(len(chunk.words), bool)
+                used[words] = True
+                number = np.cumsum(used, dtype=np.uint32) - np.uint32(1)
+                vocab = zstandard.ZstdCompressor(level=1).compress(b" ".join([chunk.words[u] for u in np.flatnonzero(used).tolist()]))
+                ids, of = np.unique(w.least[some[lo:hi]], return_inverse=True)
+                out.append((g, left.chunk.iat[0], vocab, pack(number[words].ravel()), pack_sorted(ids), pack(of.astype(np.uint32))))
+            return pd.DataFrame(out, columns=["group", "chunk", "vocab", "words", "ids", "which"])
+
+        sent = store.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInPandas(send_words, "group bigint, chunk bigint, vocab binary, words binary, ids binary, which binary")
+        second = checkpointed(sent.groupBy("group").applyInPandas(lambda pdf: settle_words(pdf, window), "chunk bigint, group bigint, bits binary"))
+        told = keep(checkpointed(first.withColumn("tree", F.lit(False)).union(second.withColumn("tree", F.lit(True)))))
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(*left.loc[0, columns])
         w = Windows(chunk, window, bits)
-        some = unpack(right.which[right.group == -1].iat[0], np.int64)
+        sieved, settled = (dict(zip(x.group, x.bits, strict=True)) for x in (right[~right.tree.astype(bool)], right[right.tree.astype(bool)]))
+        some = np.flatnonzero(answered(sieve.of(w.path), sieved))
         repeat = np.zeros(len(w.path), bool)
-        repeat[some] = answered(trees.of(w.path[some]), dict(zip(right.group, right.bits, strict=True)))
+        repeat[some] = answered(trees.of(w.path[some]), settled)
         sizes = np.diff(np.append(w.first, len(w.at)))
         doc = np.repeat(chunk.ids, chunk.lens)
         starts = np.zeros(len(chunk.tokens) + 1, np.int64)
