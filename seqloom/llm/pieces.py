@@ -1,18 +1,24 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A model file is compiled into three transducers: a normaliser (spaces to the visible space, an optional
-space in front, optional joining of spaces), a lexicon whose arcs are the pieces, and byte fallback
-for characters that are in no piece. An input is composed with them to a lattice over its characters,
-and the shortest path in the tropical semiring is its encoding.
+A model file is compiled into transducers:
 
-Arc weights say what kind of model it is. In a unigram model an arc weighs minus its piece's score.
-In a BPE model a path is the result of the merges if and only if each two neighbouring pieces are what
-merging their joint text gives, so the step from one piece to the next weighs 0 if that holds and
-infinity otherwise, and exactly one path is finite. Whether it holds is found once for a pair of
-pieces, by its merges.
+* the normaliser, whose states are the start of a text, inside it, and behind spaces that are to be
+  joined; it writes spaces as the visible space and one in front;
+* the lexicon, a tree whose arcs read characters and whose leaves write a piece and lead back to its root;
+* byte fallback, which reads a character that is no piece and writes its bytes, or the unknown piece;
+* the junction, an acceptor of pieces whose states are the pieces read last.
+
+An input is composed with them, one after the other and only as far as it leads, and the path of least weight
+in the tropical semiring is its encoding. Arc weights say what kind of model it is. In a unigram model a
+lexicon's leaf weighs minus its piece's score, and the junction has one state. In a BPE model a path is the
+result of the merges if and only if each two neighbouring pieces are what merging their joint text gives, so
+the junction's arc from one piece to the next weighs 0 if that holds and infinity otherwise, and exactly one
+path is finite. Whether it holds is found once for a pair of pieces, by its merges.
 
 Where no piece holds two neighbouring kinds of characters, which compiling checks, shortest paths never
-cross such a place, so the lattice is cut there and the parts are remembered.
+cross such a place, so inputs are cut there and the paths of their parts are remembered.
+
+Decoding is the way back: pieces and bytes to text, visible spaces to spaces.
 
 Texts are encoded whole. A null text gives null ids and null text. An empty text has no ids. Repeated
 rows give equal results; an empty table gives an empty one; columns beside id and text are ignored.
@@ -29,7 +35,6 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +49,14 @@ NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 # Ways to cut a text, finest first: letters, digits and others apart with the spaces before them; words; not at all.
 PARTS = (
-    rf"{SPACE}*[^\W\d_²³¹¼½¾]+|{SPACE}*\d|{SPACE}*(?:[^{SPACE}\w]|[_²³¹¼½¾])+|{SPACE}+",
-    rf"{SPACE}*[^{SPACE}]+|{SPACE}+",
+    rf"[ {SPACE}]*[^\W\d_²³¹¼½¾]+|[ {SPACE}]*\d|[ {SPACE}]*(?:[^ {SPACE}\w]|[_²³¹¼½¾])+|[ {SPACE}]+",
+    rf"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+",
     r"(?s).+",
 )
+#: States of the normaliser, and the junction's state before the first piece.
+BEGIN, INSIDE, GAP, NOTHING = 0, 1, 2, -1
 #: Entries that a cache of words or pairs may hold before it is emptied; numbers of unknown characters stay below Unicode's size.
-WORDS_KEPT, PAIRS_KEPT = 250_000, 400_000
+WORDS_KEPT, PAIRS_KEPT = 400_000, 400_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -89,6 +96,45 @@ class Cache(dict):
         return value
 
 
+class Normaliser:
+    """A transducer from characters to characters: for each state, what it writes for a space or before another character, and the next states."""
+
+    def __init__(self, prefix: bool, joined: bool):
+        front = SPACE if prefix else ""
+        if joined:  # spaces write nothing until something follows, at the start and at the end nothing at all
+            self.space = {BEGIN: ("", BEGIN), INSIDE: ("", GAP), GAP: ("", GAP)}
+            self.other = {BEGIN: front, INSIDE: "", GAP: SPACE}
+        else:
+            self.space = {BEGIN: (front + SPACE, INSIDE), INSIDE: (SPACE, INSIDE)}
+            self.other = {BEGIN: front, INSIDE: ""}
+
+    def compose(self, text: str, state: int = INSIDE) -> str:
+        """What it writes for a text: the composition of a text with it is a chain again."""
+        if " " not in text:
+            return self.other[state] + text if text else ""
+        out = []
+        for c in text:
+            if c == " ":
+                written, state = self.space[state]
+                out.append(written)
+            else:
+                out.append(self.other[state] + c)
+                state = INSIDE
+        return "".join(out)
+
+
+class Lexicon:
+    """The tree of pieces: a state is its arcs, by character the next state and the piece that is written there, -1 for none."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.root: dict[str, tuple[dict, int]] = {}
+        for text, number in sorted(pieces.items()):  # beginnings come before what goes on from them
+            state = self.root
+            for c in text[:-1]:
+                state = state.setdefault(c, ({}, -1))[0]
+            state[text[-1]] = ({}, number)
+
+
 class Transducer:
     """A compiled model."""
 
@@ -112,44 +158,79 @@ class Transducer:
                 charsmap, prefix, joined, escaped = norm.get(2, b""), norm.get(3, 1), norm.get(4, 1), norm.get(5, 1)
         if self.kind not in (UNIGRAM, BPE) or charsmap or suffix or not escaped or {USER, UNUSED} & set(self.kinds):
             raise ValueError("a model of this kind isn't supported")
-        self.prefix, self.joined = bool(prefix), bool(joined)
+        self.prefix = bool(prefix)
         self.unk = self.kinds.index(UNK)
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
         self.weights = {p: -scores[i] for p, i in self.ids.items()}
-        self.starts = {x for p in self.ids for x in accumulate(p)}  # states of the lexicon: beginnings of pieces
         lowest = min((scores[i] for i in self.ids.values()), default=0.0)
         self.unk_weight = -(lowest - 10.0)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE} if fallback else {}
-        # places where lattices are cut: the finest pattern by which every piece stays whole
+        self.normaliser, self.lexicon = Normaliser(self.prefix, bool(joined)), Lexicon(self.ids)
+        # what arcs of the lexicon weigh: in a BPE model the junction alone weighs
+        self.arc_weights = [0.0] * len(self.pieces) if self.kind == BPE else [-x for x in scores]
+        self.written = [(i,) for i in range(len(self.pieces))]  # ids that a symbol writes: pieces, then characters of the fallback
+        self.symbols = list(self.pieces)
+        self.numbers = Cache(self._fallback, 1 << 31)
+        # places where inputs are cut: the finest pattern by which every piece stays whole
         self.parts = next(x for x in map(re.compile, PARTS) if all(x.findall(p) == [p] for p in self.ids))
         self.stable = Cache(self._stable, PAIRS_KEPT)
-        self.symbols = list(self.pieces)
-        self.numbers = Cache(self._number, 1 << 31)
-        self.numbers.update(self.ids)
-        self.lexicon = dict.fromkeys(self.starts, -1) | self.ids  # ids of pieces, -1 for beginnings of pieces
         self.edges = Cache(self._edges, PAIRS_KEPT)
-        self.encoded = Cache(self._encoded, WORDS_KEPT)
+        self.encoded = Cache(lambda part: self._encoded(part, INSIDE), WORDS_KEPT)
+        self.encoded_first = Cache(lambda part: self._encoded(part, BEGIN), WORDS_KEPT)
         self.text = [self._text(i, unk_text) for i in range(len(self.pieces))]
 
-    # normaliser
     def normalise(self, text: str) -> str:
-        if self.joined:
-            text = re.sub(" +", " ", text.strip(" "))
-        if text and self.prefix:
-            text = " " + text
-        return text.replace(" ", SPACE)
-
-    # lexicon composed with an input: arcs of the lattice that leave a position
-    def arcs(self, text: str, at: int) -> Iterator[int]:
-        """Ends of the pieces that start at a position; a character that is no piece is an arc by itself."""
-        end, alone = at + 1, True
-        while end <= len(text) and (piece := text[at:end]) in self.starts:
-            if piece in self.ids:
-                alone &= end != at + 1
-                yield end
-            end += 1
-        if alone:
-            yield at + 1
+        return self.normaliser.compose(text, BEGIN)
+
+    def _fallback(self, character: str) -> int:
+        """The symbol of a character that is no piece; it writes bytes, or the unknown piece."""
+        self.symbols.append(character)
+        self.written.append(tuple(self.bytes[b] for b in character.encode()) if self.bytes else (self.unk,))
+        self.arc_weights.append(0.0 if self.kind == BPE else self.unk_weight)
+        return len(self.symbols) - 1
+
+    def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(end, symbol) of the arcs that lexicon and fallback have from a position of a chain."""
+        state, out = self.lexicon.root, []
+        for end in range(at, len(text)):
+            step = state.get(text[end])
+            if step is None:
+                break
+            state, symbol = step
+            if symbol >= 0:
+                out.append((end + 1, symbol))
+        if not out or out[0][0] != at + 1:
+            out.append((at + 1, self.numbers[text[at]]))
+        return out
+
+    def shortest_path(self, text: str) -> list[int]:
+        """The symbols on the path of least weight through a normalised text's composition with lexicon, fallback and junction.
+
+        A state of the composition is a position and a state of the junction; positions are in topological order.
+        A state is kept as (weight, symbol read last, state before). With a junction of one state, the best of a
+        position is enough; else each state has its own junction state, and infinite steps lead nowhere.
+        """
+        n, weights, stable, arcs = len(text), self.arc_weights, self.stable, self.arcs
+        reached: list[list] = [[] for _ in range(n + 1)]
+        reached[0].append((0.0, NOTHING, None))
+        if self.kind == BPE:
+            for at in range(n):
+                if here := reached[at]:
+                    for end, symbol in arcs(text, at):
+                        for state in here:
+                            last = state[1]
+                            if last < 0 or stable[last << 32 | symbol]:
+                                reached[end].append((0.0, symbol, state))
+        else:
+            for at in range(n):
+                state = min(reached[at], key=lambda s: s[0])
+                for end, symbol in arcs(text, at):
+                    reached[end].append((state[0] + weights[symbol], symbol, state))
+        out, state = [], min(reached[n], key=lambda s: s[0])
+        while state[2] is not None:
+            out.append(state[1])
+            state = state[2]
+        return out[::-1]
 
     def merged(self, text: str) -> Iterator[list[str]]:
         """The states of merging a text: of all neighbours that form a piece, the best scored, leftmost first."""
@@ -201,77 +282,18 @@ class Transducer:
             else:
                 j += 1
 
-    def _number(self, symbol: str) -> int:
-        """A piece's id; characters that are in no piece get numbers beyond."""
-        self.symbols.append(symbol)
-        return len(self.symbols) - 1
-
-    def shortest_path(self, text: str) -> list[str]:
-        """The pieces of the lattice's shortest path."""
-        if self.kind == BPE:
-            return [self.symbols[i] for i in self._finite_path(text)]
-        n, best, came = len(text), [float("inf")] * (len(text) + 1), [-1] * (len(text) + 1)
-        best[0] = 0.0
-        for at in range(n):
-            for end in self.arcs(text, at):
-                cost = best[at] + self.weights.get(text[at:end], self.unk_weight)
-                if cost < best[end]:
-                    best[end], came[end] = cost, at
-        out, at = [], n
-        while at > 0:
-            out.append(text[came[at] : at])
-            at = came[at]
-        return out[::-1]
-
-    def _finite_path(self, text: str) -> list[int]:
-        """Numbers of the pieces of the one path whose weights are all 0. A position has one finite path from the start at most, so the
-        search goes depth first, longest arcs first, and ends with the first path that reaches the end."""
-        n, lexicon, stable, numbers = len(text), self.lexicon, self.stable, self.numbers
-        at, before, trail = 0, -1, []
-        ends: list[int] | None = None
-        while at < n:
-            if ends is None:
-                end, ends = at + 1, []
-                first = found = lexicon.get(text[at:end])
-                while found is not None:
-                    if found >= 0:
-                        ends.append(end)
-                    end += 1
-                    found = lexicon.get(text[at:end]) if end <= n else None
-                if first is None or first < 0:
-                    ends.insert(0, at + 1)
-            while ends:
-                end = ends.pop()
-                piece = numbers[text[at:end]]
-                if before < 0 or stable[before << 32 | piece]:
-                    trail.append((at, before, ends))
-                    at, before, ends = end, piece, None
-                    break
-            else:
-                at, before, ends = trail.pop()
-        return [*[t[1] for t in trail[1:]], before] if n else []
-
-    def spelled(self, piece: str) -> list[int]:
-        """Ids of a piece; a character that is none is written as bytes, or unknown."""
-        if (known := self.ids.get(piece)) is not None:
-            return [known]
-        return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unk]
-
-    def _encoded(self, part: str) -> bytes:
-        ids: list[int] = []
-        if self.kind == BPE:
-            ids = self._finite_path(part)
-            if max(ids) < len(self.pieces):
-                return array("i", ids).tobytes()
-            ids = []
-        for piece in self.shortest_path(part):
-            new = self.spelled(piece)
-            if new != [self.unk] or ids[-1:] != [self.unk]:  # neighbouring unknowns are one
-                ids += new
-        return array("i", ids).tobytes()
+    def _encoded(self, part: str, state: int) -> bytes:
+        """The ids of a part of a text, from the normaliser's state before it."""
+        text = self.normaliser.compose(part, state)
+        return array("i", [i for symbol in self.shortest_path(text) for i in self.written[symbol]]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.encoded.__getitem__, self.parts.findall(self.normalise(text)))), np.int32)
+        first, *rest = self.parts.findall(text) or [""]
+        ids = np.frombuffer(b"".join([self.encoded_first[first], *map(self.encoded.__getitem__, rest)]), np.int32)
+        if not self.bytes and len(ids):  # neighbouring unknowns are one
+            unknown = ids == self.unk
+            ids = ids[~(unknown & np.concatenate(([False], unknown[:-1])))]
+        return ids
 
     def _text(self, i: int, unknown: str) -> bytes:
         kind, piece = self.kinds[i], self.pieces[i]
@@ -300,7 +322,8 @@ def load(path: str = MODEL) -> bytes:
 def tokenized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """One row per row of df: id, n_tokens, ids array<int>, decoded string (the ids decoded again), exact (whether that is the text).
 
-    The file is read once by the driver; its bytes, whose size the vocabulary bounds, go to the workers.
+    The file is read once by the driver; its bytes, whose size the vocabulary bounds, go to the workers, which
+    compile them.
     """
     proto = df.sparkSession.sparkContext.broadcast(load(model))
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -186,13 +187,43 @@ def test_unigram_paths_have_the_least_weight():
 
     rng = random.Random(5)
     for _ in range(300):
-        text = fst.normalise("".join(rng.choice("thersing aéxq") for _ in range(rng.randint(1, 25)))).replace("▁▁", "▁")
+        text = fst.normalise("".join(rng.choice("thersing aéxq") for _ in range(rng.randint(1, 25))))
         for part in fst.parts.findall(text):
-            path = fst.shortest_path(part)
+            path = [fst.symbols[i] for i in fst.shortest_path(part)]
             assert "".join(path) == part
             assert math.isclose(sum(fst.weights.get(p, fst.unk_weight) for p in path), least(part))
 
 
+def test_the_normaliser_joins_spaces_where_the_model_says_so():
+    for prefix, joined in ((False, False), (True, False), (False, True), (True, True)):
+        machine = pieces.Normaliser(prefix, joined)
+        for text in ("", " ", "a", " a", "a  b", "  a b  ", "▁a ", "   "):
+            plain = re.sub(" +", " ", text.strip(" ")) if joined else text
+            plain = f" {plain}" if plain and prefix else plain
+            assert machine.compose(text, pieces.BEGIN) == plain.replace(" ", "▁")
+
+
+def test_the_junction_leaves_one_finite_path():
+    """Of all cuts of a text into pieces, those without an infinite step are one, the one that merging gives."""
+    fst = pieces.Transducer(pieces.load())
+    rng = random.Random(11)
+
+    def cuts(text, at=0, before=None):
+        if at == len(text):
+            yield []
+            return
+        for end, symbol in fst.arcs(text, at):
+            if before is None or fst.stable[before << 32 | symbol]:
+                yield from ([symbol, *rest] for rest in cuts(text, end, symbol))
+
+    for _ in range(200):
+        text = "".join(rng.choice("thersingaé") for _ in range(rng.randint(1, 10)))
+        (path,) = cuts(text)
+        assert path == fst.shortest_path(text)
+        *_, merged = fst.merged(text)
+        assert [fst.symbols[i] for i in path] == merged
+
+
 def test_broken_bytes_are_replaced():
     fst = pieces.Transducer(pieces.load())
     assert fst.decode(np.array([fst.bytes[0xFF], fst.ids["a"]])) == "�a"
