@@ -1,11 +1,14 @@
 """Secret scans: fixed patterns, plus zstandard novelty of strings in sensitive context.
 
-A string of 16 characters or more that lies within 64 of a sensitive word, before or after it, or goes
-on from such a string as a line of one block, is measured by its marginal compressed bytes: a frame holding the
-surrounding code followed by the string, less a frame holding the surrounding code alone, both
-primed with a dictionary of common identifiers. Names and prose repeat something the dictionary or
-the surroundings already hold and cost little; key material costs nearly its full length. Strings
-whose marginal bytes reach `novelty` of their length are reported beside the fixed patterns.
+A string of `shortest` characters or more that lies within `reach` of a sensitive word, before or after it, or
+goes on from such a string as a line of one block, is measured by its marginal compressed bytes: a frame
+holding the surrounding code, `around` characters on either side, followed by the string, less a frame
+holding the surrounding code alone, both primed with a dictionary of common identifiers. Names and prose
+repeat something the dictionary or the surroundings already hold and cost little; key material costs nearly its
+full length. Strings whose marginal bytes reach `novelty` of their length are reported beside the fixed
+patterns. What a sensitive word or a fixed pattern covers is measured no further. These four numbers are
+parameters of scan() and redact(), with the defaults of Context; they say what sensitive context is, and hold
+alike at every size of text and corpus. The time a text takes grows with its length.
 
 A null text counts as an empty one and has no spans. Repeated rows give equal results; every
 column of the input other than the id and the text is left out, so clashing names cannot arise.
@@ -13,9 +16,9 @@ column of the input other than the id and the text is left out, so clashing name
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
@@ -38,13 +41,22 @@ IDENTIFIERS = (
     "https://www. http://localhost .com .org .json .yaml index.html /usr/local/ /var/lib/ getElementById addEventListener toString document.window request response header "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 xxxxxxxx XXXXXXXX ________ ======== ........ --------"
 )
-LEAST, REACH, AROUND = 16, 64, 1024
-RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 #: What may lie between two lines of one key block, and the short last line of an armoured one.
 BETWEEN = re.compile(r"""[\s"',;\\>#*|]*""")
 TAIL = re.compile(r"""[\s"',;\\>#*|]+([A-Za-z0-9+/=]+)(?=[\s"',;\\>#*|]+-----END)""")
 
 
+@dataclass(frozen=True)
+class Context:
+    """What is measured: strings of at least `shortest` characters within `reach` of a sensitive word, against `around` characters on either side; reported from `novelty` marginal bytes a byte."""
+
+    shortest: int = 16
+    reach: int = 64
+    around: int = 1024
+    novelty: float = 0.6
+
+
 class Novelty:
     """Marginal compressed bytes of a string against its surroundings and the identifier dictionary."""
 
@@ -69,14 +81,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def sensitive_runs(text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs of LEAST characters or more within REACH of a sensitive word on either side, and those that go on from such a run as lines of one block."""
-    runs = [(m.start(), m.end()) for m in RUN.finditer(text)] if words else []
+def sensitive_runs(text: str, words: list[tuple[int, int]], context: Context) -> list[tuple[int, int]]:
+    """Runs that are long enough and near a sensitive word on either side, and those that go on from such a run as lines of one block."""
+    runs = [(m.start(), m.end()) for m in RUN.finditer(text) if m.end() - m.start() >= context.shortest] if words else []
     near, at = [], 0
     for start, end in runs:
-        while at < len(words) and words[at][1] + REACH <= start:
+        while at < len(words) and words[at][1] + context.reach <= start:
             at += 1
-        near.append(at < len(words) and words[at][0] - REACH < end)
+        near.append(at < len(words) and words[at][0] - context.reach < end)
     follows = [k > 0 and BETWEEN.fullmatch(text, runs[k - 1][1], runs[k][0]) is not None for k in range(len(runs))]
     for k in range(1, len(runs)):
         near[k] |= near[k - 1] and follows[k]
@@ -85,30 +97,31 @@ def sensitive_runs(text: str, words: list[tuple[int, int]]) -> list[tuple[int, i
     return [run for run, chosen in zip(runs, near, strict=True) if chosen]
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, context: Context = Context()) -> list[tuple[int, int, int]]:
     """Incompressible strings in sensitive context, without what sensitive words and base spans cover of them."""
     found: list[tuple[int, int, int]] = []
     words = [(m.start(), m.end()) for m in SENSITIVE.finditer(text)]
     covered = sorted(words + [(s, e) for s, _, e in base])
     first = 0
-    for start, end in sensitive_runs(text, words):
+    for start, end in sensitive_runs(text, words, context):
         pieces, at = [], start
         while first < len(covered) and covered[first][1] <= start:
             first += 1
-        for s, e in covered[first:]:
-            if s >= end:
-                break
+        k = first
+        while k < len(covered) and covered[k][0] < end:
+            s, e = covered[k]
             if e > at:
                 pieces.append((at, s))
                 at = e
+            k += 1
         for s, e in [*pieces, (at, end)]:
-            if e - s < LEAST:
+            if e - s < context.shortest:
                 continue
-            around = text[max(0, s - AROUND) : s] + text[e : e + AROUND]
-            if novelty.ratio(around, text[s:e]) >= least:
+            around = text[max(0, s - context.around) : s] + text[e : e + context.around]
+            if novelty.ratio(around, text[s:e]) >= context.novelty:
                 found.append((s, 3, e))
                 tail = TAIL.match(text, e) if e == end else None
-                if tail and len(tail[1]) < LEAST:
+                if tail and len(tail[1]) < context.shortest:
                     found.append((tail.start(1), 3, tail.end(1)))
     return found
 
@@ -117,7 +130,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelty: float = 0.6) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: Context = Context()) -> DataFrame:
     """One row per input row: the id, spans array<struct<kind,start,end>> in code points (end exclusive).
 
     Texts are scanned whole and one by one, within the partitions of the input: there is no shuffle.
@@ -129,7 +142,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelty:
             out = []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text or "")
-                spans = sorted(base + novel_spans(text or "", base, measure, novelty))
+                spans = sorted(base + novel_spans(text or "", base, measure, context))
                 out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["id", "spans"])
@@ -139,7 +152,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelty:
     return found.withColumnRenamed("id", id_col)
 
 
-def redact(df: DataFrame, text_col: str = "text", novelty: float = 0.6, mask: str = "[SECRET]") -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", context: Context = Context(), mask: str = "[SECRET]") -> DataFrame:
     """df with each span of its texts, overlapping ones merged, replaced by a mask; null texts stay null."""
 
     @F.pandas_udf("string")
@@ -151,7 +164,7 @@ def redact(df: DataFrame, text_col: str = "text", novelty: float = 0.6, mask: st
             if text:
                 base = base_spans(text)
                 at, parts = 0, []
-                for start, _, end in sorted(base + novel_spans(text, base, measure, novelty)):
+                for start, _, end in sorted(base + novel_spans(text, base, measure, context)):
                     if start >= at:
                         parts += [text[at:start], mask]
                     at = max(at, end)
@@ -181,20 +194,3 @@ def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
         text_of(F.col("spans")).alias("spans"),
         count("novel").alias("n_novel"),
     )
-
-
-def brute_spans(text: str | None) -> tuple[str, str]:
-    """For tests: the base spans found character by character, and their digest."""
-    text, found = text or "", []
-    for kind, pattern, least in ((0, ASSIGN, None), (1, ACCESS, ACCESS_LEAST), (2, re.compile(r"[0-9a-f]+"), 16)):
-        at = 0
-        while at <= len(text):
-            m = pattern.match(text, at)
-            if not m:
-                at += 1
-                continue
-            if (len(m[2]) >= ASSIGN_LEAST) if least is None else (m.end() - m.start() >= least):
-                found.append((m.start(), kind, m.end()))
-            at = m.end()
-    spans = joined(sorted(found))
-    return spans, hashlib.sha256(spans.encode()).hexdigest()

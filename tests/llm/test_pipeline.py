@@ -42,6 +42,34 @@ def test_stages_do_what_they_say(spark):
     assert coded.where("n_tokens = 0").count() == 0
 
 
+def test_documents_that_share_an_id_stay_apart(spark):
+    near = " ".join(f"w{i}" for i in range(50))
+    rows = [(7, "one text of its own", 1), (7, "another text, not like it at all", 2), (7, near, 3), (3, near + " end", 4), (None, "a text without an id", 5), (None, near, 6), (8, "one text of its own", 7), (7, "one text of its own", 8)]
+    out = p.dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string, key int"), "")
+    got = sorted((str(r.doc_id), r.text) for r in out.collect())
+    assert got == sorted([("7", rows[0][1]), ("7", rows[1][1]), ("3", near + " end"), ("None", rows[4][1])])
+
+
+def test_dedup_keeps_what_brute_force_keeps(spark):
+    """Near copies by brute force over sets of shingles, on what the first stage keeps."""
+    docs = table(spark)
+    kept = p.identify(spark, docs, "").collect()
+    sets = []
+    for r in kept:
+        w = lowered(r.text)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    rank = lambda r: (r.doc_id is None, r.doc_id or 0)
+    label = list(range(len(kept)))
+    for _ in kept:
+        for i in range(len(kept)):
+            for j in range(len(kept)):
+                if len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    first = {g: min((r for r, x in zip(kept, label, strict=True) if x == g), key=rank) for g in set(label)}
+    got = p.dedup(spark, spark.createDataFrame(kept, docs.schema), "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, first.values()))
+
+
 def test_names_and_order():
     assert [f.__name__ for _, f in p.STAGES] == ["identify", "dedup", "redact", "blend", "encode"]
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in catalog.queries() if k != "pipeline"}
