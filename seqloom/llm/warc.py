@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import as_bytes, checkpointed, stored
 
+#: Revisits up to which their marks, some 60 bytes each, are broadcast, so that payloads stay where they are; more are joined by a shuffle.
+BROADCAST_MARKS = 200_000
 #: Compressed bytes after which a new archive is begun, and bytes fed to the reader at a time.
 ARCHIVE_BYTES, FEED = 16 << 20, 1 << 16
 URN = "urn:x-page:"
@@ -117,7 +119,9 @@ def revisits(df: DataFrame, id_col: str, payload_col: str, least: int) -> DataFr
 
 def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(archive, content): whole .warc.gz files of at most about archive_bytes, or one record, each."""
-    marks = revisits(df, id_col, payload_col, least)
+    marks = checkpointed(revisits(df, id_col, payload_col, least))
+    if marks.count() <= BROADCAST_MARKS:
+        marks = F.broadcast(marks)
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.coalesce("payload", F.lit("")).cast("binary")))
     rows = rows.join(marks, ["id", "digest"], "left").select("id", "url", "payload", "digest", "refers_to")
