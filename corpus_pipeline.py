@@ -1,7 +1,7 @@
 """A training-data pipeline over `documents`: language ID, near-dedup, secrets, mixing, token ids.
 
-Each stage works on all that its predecessor kept. Rows with a null id are never compared and stay;
-null texts have no language and go in the first stage. Extra columns of documents pass through.
+Each stage works on all that its predecessor kept. Null texts have no language and go in the first stage; rows
+with a null id are documents like others. Extra columns of documents pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +22,19 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8: the smallest id."""
+    """One document of each group linked by five-word shingles at a similarity of 0.8: the one of the smallest id.
+
+    Rows are told apart by a hash of id and text, as ids may repeat: rows that repeat both are one document, rows of
+    one id and other texts are compared like any others. A null id comes after all others. Of documents of a
+    group with equal ids, the one of the smallest hash stays.
+    """
     importable_on_workers(spark)
     prepare(spark)
-    kept = neardup.classes(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.lit("document"), "doc_id", "text").alias("key"))
+    groups = neardup.classes(row.select("key", F.col("row.text").alias("text")), width=5, percent=80, id_col="key").select("key", F.col("component_id").alias("group")).distinct()
+    ids = row.select("key", F.col("row.doc_id").alias("id")).distinct().join(groups, "key")
+    first = ids.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")).select("x.key")
+    return row.join(first, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
