@@ -43,7 +43,7 @@ from seqloom.llm.corpus import GROUP_KEYS, NO_ID, Chunk, chunked, pack, pack_sor
 from seqloom.llm.neardup import mixed
 
 #: Tokens of a chunk; bits of history hashes that are counted to form groups, and bits that split a group.
-CHUNK_TOKENS, COUNTED, SPLIT = 2_000_000, 12, 16
+CHUNK_TOKENS, COUNTED, SPLIT = 1_250_000, 12, 16
 #: Tokens of a piece of a text that is read side by side with others.
 PIECE = 512
 ADD = 0.1
