@@ -21,85 +21,148 @@ def batch(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+#: Pairs of sequence and model that the ungapped filter takes at once, and models of one table of gains.
+PAIRS, MODELS = 256, 64
+#: A gain that no score survives: it stands before the first node and behind the last one of short models.
+CLOSED = -30000
+
+
+def _third_bits(s) -> int:
+    return int(min(255, max(0, np.floor(-3 / np.log(2) * s + 0.5))))
+
+
+def _ungapped(profiles: list[Profile], codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(xJ, overflow), codes x profiles, of the 8-bit multihit ungapped filter; codes have one residue at least, long ones first.
+
+    The rows of all pairs lie in one array, a closed cell before each, so that a step along the diagonal is a
+    shift of the whole array by one. Unsigned saturation at 0 needs no step of its own, as the entry score, which is
+    no less, replaces what lies below it; saturation at 255 is an overflow, which stays one. The running best
+    of each cell holds what xJ needs, unless some cell is so high that J raises the entry: then its row is looked at.
+    """
+    k, lengths = len(profiles[0].msc), np.array([len(c) for c in codes])
+    base, jump, width = 190, _third_bits(np.log(0.5)), max(p.m for p in profiles) + 1
+    gain = np.full((len(profiles) * k, width), CLOSED, np.int16)
+    enter, bias = np.empty(len(profiles), np.int16), np.empty(len(profiles), np.int16)
+    for n, p in enumerate(profiles):
+        cost, bias[n] = quantise_msv(p)
+        gain[n * k : (n + 1) * k, 1 : p.m + 1] = bias[n] - cost[:, 1:]
+        enter[n] = _third_bits(np.log(2 / (p.m * (p.m + 1))))
+    x = np.zeros((int(lengths[0]), len(codes)), np.uint8)
+    for n, c in enumerate(codes):
+        x[: len(c), n] = c
+    pairs = len(codes) * len(profiles)
+    which, row = np.repeat(np.arange(len(codes)), len(profiles)), np.tile(np.arange(len(profiles)) * k, len(codes))
+    ends = np.searchsorted(-lengths, -np.arange(len(x)), side="left") * len(profiles)  # pairs that go on at each position
+    move = np.add.outer([_third_bits(np.log(3 / (n + 3))) for n in lengths], enter).ravel().astype(np.int16)
+    limit, floor = (255 - np.tile(bias, len(codes))).astype(np.int16), np.maximum(0, base - move).astype(np.int16)
+    prev, new, best = (np.full(pairs * width, CLOSED, np.int16) for _ in range(3))
+    step = np.empty((pairs, width), np.int16)
+    entry = np.repeat(floor, width)
+    xj, over, high = np.zeros(pairs, np.int16), np.zeros(pairs, bool), min(base + jump, int(limit.min()) - 1)
+    for i in range(len(x)):
+        live = int(ends[i])
+        n = live * width
+        np.take(gain, row[:live] + x[i][which[:live]], axis=0, out=step[:live], mode="clip")
+        np.maximum(prev[: n - 1], entry[1:n], out=new[1:n])
+        np.add(new[1:n], step.reshape(-1)[1:n], out=new[1:n])
+        np.maximum(best[:n], new[:n], out=best[:n])
+        if new[:n].max() > high:
+            top = new[:n].reshape(live, width).max(1)
+            at = np.flatnonzero(top > high)
+            over[at] |= top[at] >= limit[at]
+            xj[at] = np.maximum(xj[at], top[at] - jump)
+            raised = np.maximum(floor[at], xj[at] - move[at])
+            later = raised > entry.reshape(pairs, width)[at, 0]
+            entry.reshape(pairs, width)[at[later]] = raised[later, None]
+        prev, new = new, prev
+    xj = np.maximum(xj, best.reshape(pairs, width).max(1) - jump).astype(np.int32)
+    return xj.reshape(len(codes), -1), over.reshape(len(codes), -1)
+
+
 def msv_int(p: Profile, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(xJ, overflow) of the 8-bit multihit ungapped filter: saturated unsigned arithmetic in third-bits."""
-    cost, bias = quantise_msv(p)
-    scale, base, m = 3 / np.log(2), 190, p.m
-    unit = lambda s: int(min(255, max(0, np.floor(-scale * s + 0.5))))
-    tjb = np.array([unit(np.log(3 / (n + 3))) for n in lengths], np.int32)
-    tbm, tec = unit(np.log(2 / (m * (m + 1)))), unit(np.log(0.5))
-    n = len(x)
-    order = np.argsort(-lengths, kind="stable")  # long rows first: those that go on are a prefix
-    x, tjb = x[order], tjb[order]
-    ends = np.searchsorted(-lengths[order], -np.arange(x.shape[1] + 1), side="left")
-    cost = np.ascontiguousarray(cost[:, 1:])
-    dp = np.zeros((n, m + 1), np.int32)  # a column of zeros in front
-    xj, over = np.zeros(n, np.int32), np.zeros(n, bool)
-    floor = np.maximum(0, base - tjb - tbm).astype(np.int32)
-    xb = floor.copy()
-    for i in range(x.shape[1]):
-        k = int(ends[i])
-        if not k:
-            break
-        new = np.maximum(dp[:k, :-1], xb[:k, None])
-        new += bias
-        np.minimum(new, 255, out=new)
-        new -= cost[x[:k, i]]
-        np.maximum(new, 0, out=new)
-        dp[:k, 1:] = new
-        top = new.max(1)
-        over[:k] |= top >= 255 - bias
-        j = np.maximum(xj[:k], top - tec, out=xj[:k])
-        np.maximum(floor[:k], j - tjb[:k] - tbm, out=xb[:k])
-    out_j, out_over = np.empty(n, np.int32), np.empty(n, bool)
-    out_j[order], out_over[order] = xj, over
-    return out_j, out_over
+    xj, over = np.zeros(len(x), np.int32), np.zeros(len(x), bool)
+    order = np.argsort(-lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    for lo in range(0, len(order), PAIRS):
+        part = order[lo : lo + PAIRS]
+        j, o = _ungapped([p], [x[i, : lengths[i]] for i in part])
+        xj[part], over[part] = j[:, 0], o[:, 0]
+    return xj, over
 
 
-def msv(p: Profile, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """MSV scores in nats, +inf on overflow."""
-    xj, over = msv_int(p, x, lengths)
+def _msv_nats(xj: np.ndarray, over: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     scale = 3 / np.log(2)
     tjb = np.floor(-scale * np.log(3 / (lengths + 3)) + 0.5).clip(0, 255)
     return np.where(over, np.inf, ((xj - tjb) - 190) / scale - 3.0)
 
 
+def msv(p: Profile, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """MSV scores in nats, +inf on overflow."""
+    return _msv_nats(*msv_int(p, x, lengths), lengths)
+
+
+def msv_many(profiles: list[Profile], codes: list[np.ndarray]) -> np.ndarray:
+    """codes x profiles: MSV scores in nats, +inf on overflow, -inf for an empty sequence. Sequences and models of like lengths are taken together."""
+    out = np.full((len(codes), len(profiles)), -np.inf)
+    lengths = np.array([len(c) for c in codes], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    by_size = np.argsort([p.m for p in profiles], kind="stable")
+    for at in range(0, len(profiles), MODELS):
+        some = by_size[at : at + MODELS]
+        size = max(1, PAIRS // len(some))
+        for lo in range(0, len(order), size):
+            part = order[lo : lo + size]
+            xj, over = _ungapped([profiles[j] for j in some], [codes[i] for i in part])
+            out[np.ix_(part, some)] = _msv_nats(xj, over, lengths[part, None])
+    return out
+
+
 def viterbi_int(p: Profile, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Scores in nats of the 16-bit gapped filter, +inf on overflow, -inf without a path."""
+    """Scores in nats of the 16-bit gapped filter, +inf on overflow, -inf without a path.
+
+    Sums are taken in 32 bits: no path that counts comes near the lower end of 16 bits, and the upper end is an overflow.
+    """
     scale, base, low, n, m = 500 / np.log(2), 12000, -32768, len(x), p.m
-    t, e = quantise_viterbi(p.tsc).astype(np.int64), quantise_viterbi(p.msc)
-    passed = np.concatenate([[0, 0], np.cumsum(t[1:-1, DD])])
-    entry = quantise_viterbi(p.entry)
-    move = np.floor(scale * np.log(3 / (lengths + 3)) - 0.5 + 1).astype(np.int64)
+    t, e = quantise_viterbi(p.tsc).astype(np.int32), quantise_viterbi(p.msc).astype(np.int32)
+    passed = np.concatenate([[0, 0], np.cumsum(t[1:-1, DD])]).astype(np.int32)
+    entry = quantise_viterbi(p.entry).astype(np.int32)[1:]
+    order = np.argsort(-lengths, kind="stable")  # long rows first: those that go on are a prefix
+    x, lengths = x[order], lengths[order]
+    ends = np.searchsorted(-lengths, -np.arange(x.shape[1] + 1), side="left")
+    move = np.floor(scale * np.log(3 / (lengths + 3)) - 0.5 + 1).astype(np.int32)
     half = int(np.floor(scale * np.log(0.5) + 0.5))
-    add = lambda a, b: np.clip(a + b, low, 32767)
-    full = lambda: np.full((n, m + 1), low, np.int64)
-    mm, ii, dd = full(), full(), full()
-    xn = np.full(n, base, np.int64)
-    xb, xj, xc = add(xn, move), np.full(n, low, np.int64), np.full(n, low, np.int64)
+    mm, ii, dd, work = (np.full((n, m + 1), low, np.int32) for _ in range(4))
+    xn = np.full(n, base, np.int32)
+    xb, xj, xc = xn + move, np.full(n, low, np.int32), np.full(n, low, np.int32)
     over = np.zeros(n, bool)
     for i in range(x.shape[1]):
-        live = x[:, i] >= 0
-        if not live.any():
+        k = int(ends[i])
+        if not k:
             break
-        emit = e[np.maximum(x[:, i], 0)].astype(np.int64)
-        nm, ni, nd = full(), full(), full()
-        best = np.maximum(add(mm[:, :-1], t[:-1, MM]), add(ii[:, :-1], t[:-1, IM]))
+        a, b, c, w = mm[:k], ii[:k], dd[:k], work[:k]
+        best = a[:, :-1] + t[:-1, MM]
+        np.maximum(best, np.add(b[:, :-1], t[:-1, IM], out=w[:, :-1]), out=best)
+        np.maximum(best, np.add(c[:, :-1], t[:-1, DM], out=w[:, :-1]), out=best)
         best[:, 0] = low
-        best = np.maximum(best, add(dd[:, :-1], t[:-1, DM]))
-        best = np.maximum(best, add(xb[:, None], entry[None, 1:]))
-        nm[:, 1:] = add(best, emit[:, 1:])
-        ni[:, 1:m] = np.maximum(add(mm[:, 1:m], t[1:m, MI]), add(ii[:, 1:m], t[1:m, II]))
+        np.maximum(best, np.add(xb[:k, None], entry, out=w[:, :-1]), out=best)
+        best += e[x[:k, i], 1:]
         if m > 1:
-            nd[:, 2:] = np.clip(np.maximum.accumulate(nm[:, 1:-1] + t[1:-1, MD] - passed[2:], axis=1) + passed[2:], low, 32767)
-        xe = np.maximum(nm[:, 1:].max(1), nd[:, 1:].max(1))
-        over |= live & (xe >= 32767)
-        nc, nj = np.maximum(xc, add(xe, half)), np.maximum(xj, add(xe, half))
-        nb = np.maximum(add(nj, move), add(xn, move))
-        for old, new in ((mm, nm), (ii, ni), (dd, nd), (xc, nc), (xj, nj), (xb, nb)):
-            old[live] = new[live]
+            np.maximum(a[:, 1:m] + t[1:m, MI], np.add(b[:, 1:m], t[1:m, II], out=w[:, 1:m]), out=b[:, 1:m])
+            np.maximum.accumulate(best[:, :-1] + (t[1:-1, MD] - passed[2:]), axis=1, out=c[:, 2:])
+            c[:, 2:] += passed[2:]
+        a[:, 1:] = best
+        xe = np.maximum(best.max(1), c[:, 1:].max(1))
+        over[:k] |= xe >= 32767
+        np.maximum(xc[:k], xe + half, out=xc[:k])
+        np.maximum(xj[:k], xe + half, out=xj[:k])
+        np.maximum(xj[:k], xn[:k], out=xb[:k])
+        xb[:k] += move[:k]
     score = (xc + move - base) / scale - 3.0
-    return np.where(over, np.inf, np.where(xc <= low, NEVER, score))
+    out = np.empty(n)
+    out[order] = np.where(over, np.inf, np.where(xc <= low // 2, NEVER, score))
+    return out
 
 
 class Lattice:
@@ -310,15 +373,21 @@ def optimal_accuracy(p: Profile, post: Posterior) -> tuple[float, list[tuple[str
     mm, ii, dd = (np.full((n + 1, m + 1), NEVER) for _ in range(3))
     e, nn, jj, bb, cc = (np.full(n + 1, NEVER) for _ in range(5))
     nn[0], bb[0] = 0, 0
+    if n == 0:
+        return 0.0, []
     multi = p.end[1] > NEVER
+    free_deletes = bool((t[1:-1, MD] > NEVER).all() and (t[1:-1, DD] > NEVER).all())
     for i in range(1, n + 1):
         best = np.full(m + 1, NEVER)
         best[1:] = np.where(p.entry[1:] > NEVER, bb[i - 1], NEVER)
         best[2:] = np.maximum.reduce([best[2:], allow(t[1:m, MM], mm[i - 1, 1:m]), allow(t[1:m, IM], ii[i - 1, 1:m]), allow(t[1:m, DM], dd[i - 1, 1:m])])
         mm[i, 1:] = best[1:] + post.match[i, 1:]
         ii[i, 1:m] = np.maximum(allow(t[1:m, MI], mm[i - 1, 1:m]), allow(t[1:m, II], ii[i - 1, 1:m])) + post.insert[i, 1:m]
-        for k in range(2, m + 1):
-            dd[i, k] = max(mm[i, k - 1] if t[k - 1, MD] > NEVER else NEVER, dd[i, k - 1] if t[k - 1, DD] > NEVER else NEVER)
+        if free_deletes:
+            dd[i, 2:] = np.maximum.accumulate(mm[i, 1:m])
+        else:
+            for k in range(2, m + 1):
+                dd[i, k] = max(mm[i, k - 1] if t[k - 1, MD] > NEVER else NEVER, dd[i, k - 1] if t[k - 1, DD] > NEVER else NEVER)
         e[i] = max(mm[i, 1:].max(), dd[i, 1:].max()) if p.local else max(mm[i, m], dd[i, m])
         nn[i] = nn[i - 1] + post.n[i]
         jj[i] = max(jj[i - 1] + post.j[i], e[i] if multi else NEVER)
@@ -377,17 +446,29 @@ def null2(p: Profile, post: Posterior, i: int, j: int) -> np.ndarray:
     return (np.exp(np.where(np.isfinite(p.msc), p.msc, NEVER)) @ np.where(np.arange(p.m + 1) > 0, use_m, 0) + flank) / total
 
 
-def bias_null(f: np.ndarray, compo: np.ndarray, m: int, codes: np.ndarray) -> float:
-    """ln odds of a sequence under the two-state composition null, against the background."""
+def bias_nulls(f: np.ndarray, compo: np.ndarray, m: int, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """ln odds of sequences under the two-state composition null, against the background."""
     odds = np.append(compo / f, 1.0)
     stay0, stay1 = 400 / 401, (m / 8) / (m / 8 + 1)
-    a, b, out = 0.999, 0.001, 0.0
-    for c in codes:
-        e = odds[c]
-        if out != 0.0 or a != 0.999:
-            a, b = a * stay0 + b * (1 - stay1), a * (1 - stay0) + b * stay1
-        b *= e
-        total = a + b
-        out += np.log(total)
-        a, b = a / total, b / total
-    return float(out)
+    order = np.argsort(-lengths, kind="stable")  # long rows first: those that go on are a prefix
+    x, ends = x[order], np.searchsorted(-lengths[order], -np.arange(x.shape[1] + 1), side="left")
+    a, b, sums = np.full(len(x), 0.999), np.full(len(x), 0.001), np.zeros(len(x))
+    for i in range(x.shape[1]):
+        k = int(ends[i])
+        if not k:
+            break
+        if i:
+            a[:k], b[:k] = a[:k] * stay0 + b[:k] * (1 - stay1), a[:k] * (1 - stay0) + b[:k] * stay1
+        b[:k] *= odds[x[:k, i]]
+        total = a[:k] + b[:k]
+        sums[:k] += np.log(total)
+        a[:k] /= total
+        b[:k] /= total
+    out = np.empty(len(x))
+    out[order] = sums
+    return out
+
+
+def bias_null(f: np.ndarray, compo: np.ndarray, m: int, codes: np.ndarray) -> float:
+    """bias_nulls of one sequence."""
+    return float(bias_nulls(f, compo, m, *batch([codes]))[0])

@@ -8,6 +8,7 @@ follow as aggregations over the hits, which are few.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -85,6 +86,23 @@ def calibrated(model: Model, seed: int = 42, n: int = 200, stages: tuple[str, ..
     return replace(model, stats=stats)
 
 
+def calibrated_all(spark, models: list[Model], seed: int = 42, stages: tuple[str, ...] = ("msv", "vit", "fwd"), alone: int = 4) -> list[Model]:
+    """The models, each calibrated; more than a few are simulated in tasks."""
+    wanted = {"msv": "msv_mu", "vit": "vit_mu", "fwd": "fwd_tau"}
+    todo = [k for k, m in enumerate(models) if not {wanted[s] for s in stages} <= m.stats.keys()]
+    if len(todo) <= alone:
+        return [calibrated(m, seed, stages=stages) for m in models]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"k": pdf.k, "stats": [calibrated(pickle.loads(m), seed, stages=stages).stats for m in pdf.model]})
+
+    rows = spark.createDataFrame([(k, pickle.dumps(models[k])) for k in todo], "k int, model binary")
+    parts = rows.repartition(min(len(todo), 4 * spark.sparkContext.defaultParallelism), "k")
+    stats = {r.k: r.stats for r in parts.mapInPandas(run, "k int, stats map<string,double>").collect()}  # three numbers a model
+    return [replace(m, stats=stats[k]) if k in stats else m for k, m in enumerate(models)]
+
+
 def fit_gumbel(x: np.ndarray) -> tuple[float, float]:
     """Maximum-likelihood (mu, lambda) by Newton steps on lambda."""
     lam = np.pi / np.sqrt(6 * max(1e-9, x.var()))
@@ -149,11 +167,11 @@ def domains(p, post: K.Posterior, seq: str, codes: np.ndarray, consensus: str, s
     return len(spans), found
 
 
-def cascade(model: Model, config: Config, ids: list, names: list, seqs: list[str]) -> pd.DataFrame:
-    """Counters and hits of a batch of targets against one calibrated model."""
+def cascade(model: Model, config: Config, ids: list, names: list, seqs: list[str], codes: list[np.ndarray] | None = None, msv: np.ndarray | None = None) -> pd.DataFrame:
+    """Counters and hits of a batch of targets against one calibrated model; codes and scores of the first filter may be given."""
     f, p, stats = model.bg, configure(model), model.stats
     compo = composition(model)
-    codes = [digitize(s, model.alphabet) for s in seqs]
+    codes = [digitize(s, model.alphabet) for s in seqs] if codes is None else codes
     lengths = np.array([len(c) for c in codes])
     some = np.flatnonzero(lengths > 0)
     null = np.zeros(len(codes))
@@ -161,36 +179,36 @@ def cascade(model: Model, config: Config, ids: list, names: list, seqs: list[str
     filters = null.copy()
 
     def run(kernel, which: np.ndarray) -> np.ndarray:
+        """kernel(codes, lengths) of some targets, in batches of like lengths."""
         out = np.full(len(codes), -np.inf)
         which = which[np.argsort(lengths[which], kind="stable")]
         at = 0
         while at < len(which):
             size = max(1, min(512, BATCH_CELLS // (int(lengths[which[min(len(which) - 1, at + 511)]]) + model.m)))
             part = which[at : at + size]
-            out[part] = kernel(p, *K.batch([codes[i] for i in part]))
+            out[part] = kernel(*K.batch([codes[i] for i in part]))
             at += size
         return out
 
     gumbel = lambda x, mu, lam: -np.expm1(-np.exp(-lam * (x - mu)))
-    msv = run(K.msv, some)
+    msv = run(lambda x, n: K.msv(p, x, n), some) if msv is None else msv
     msv_bits = (msv - null) / LN2
     with np.errstate(over="ignore"):
         past = some[gumbel(msv_bits[some], stats["msv_mu"], stats["msv_lambda"]) <= config.f1]
         counts = {"past_msv": len(past)}
         if config.bias:
-            for i in past:
-                filters[i] += K.bias_null(f, compo, model.m, codes[i])
+            filters[past] += run(lambda x, n: K.bias_nulls(f, compo, model.m, x, n), past)[past]
             past = past[gumbel((msv[past] - filters[past]) / LN2, stats["msv_mu"], stats["msv_lambda"]) <= config.f1]
         counts["past_bias"] = len(past)
         vit = np.full(len(codes), np.nan)
         sure = gumbel((msv[past] - filters[past]) / LN2, stats["msv_mu"], stats["msv_lambda"]) <= config.f2
         weak = past[~sure]
         if len(weak):
-            vit[weak] = run(K.viterbi_int, weak)[weak]
+            vit[weak] = run(lambda x, n: K.viterbi_int(p, x, n), weak)[weak]
             passed = gumbel((vit[weak] - filters[weak]) / LN2, stats["vit_mu"], stats["vit_lambda"]) <= config.f2
             past = np.sort(np.concatenate([past[sure], weak[passed]]))
         counts["past_vit"] = len(past)
-        fwd = run(K.forward, past)
+        fwd = run(lambda x, n: K.forward(p, x, n), past)
         tail = np.minimum(0, -stats["fwd_lambda"] * ((fwd[past] - filters[past]) / LN2 - stats["fwd_tau"]))
         past = past[np.exp(tail) <= config.f3]
     counts["past_fwd"] = len(past)
@@ -233,12 +251,12 @@ def balanced(df: DataFrame) -> DataFrame:
 
 
 def grouped(models: list[Model]) -> list[list[Model]]:
-    """models in groups of at most MODEL_BYTES, each broadcast at once."""
+    """models in groups of one alphabet and at most MODEL_BYTES, each broadcast at once."""
     groups: list[list[Model]] = [[]]
     size = 0
-    for m in models:
+    for m in sorted(models, key=lambda m: m.alphabet):
         own = m.mat.nbytes * 3 + m.t.nbytes * 2
-        if groups[-1] and size + own > MODEL_BYTES:
+        if groups[-1] and (size + own > MODEL_BYTES or groups[-1][0].alphabet != m.alphabet):
             groups.append([])
             size = 0
         groups[-1].append(m)
@@ -249,13 +267,18 @@ def grouped(models: list[Model]) -> list[list[Model]]:
 def raw_hits(sequences: DataFrame, models: list[Model], config: Config) -> DataFrame:
     """sequences(seq_id, name, seq) against every model: rows of kind count and hit."""
     out = None
-    for group in grouped([calibrated(m, config.seed) for m in models]):
+    for group in grouped(calibrated_all(sequences.sparkSession, models, config.seed)):
         shared = sequences.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            models = shared.value
+            profiles = [configure(m) for m in models]
             for pdf in batches:
-                for model in shared.value:
-                    yield cascade(model, config, pdf.seq_id.tolist(), pdf.name.tolist(), pdf.seq.fillna("").tolist())
+                ids, names, seqs = pdf.seq_id.tolist(), pdf.name.tolist(), pdf.seq.fillna("").tolist()
+                codes = [digitize(s, models[0].alphabet) for s in seqs]
+                scores = K.msv_many(profiles, codes)
+                for k, model in enumerate(models):
+                    yield cascade(model, config, ids, names, seqs, codes, scores[:, k])
 
         part = balanced(sequences.select("seq_id", "name", "seq")).mapInPandas(run, RAW)
         out = part if out is None else out.unionByName(part)
@@ -331,28 +354,31 @@ def msv_search(sequences: DataFrame, models: list[Model], config: Config | None
     """
     config = config or Config()
     some = sequences.where("seq is not null and seq <> ''").select("seq_id", "name", "seq")
+    z = float(config.z) if config.z is not None else float(some.count())
     scored = None
-    for group in grouped([calibrated(m, config.seed, stages=("msv",)) for m in models]):
+    for group in grouped(calibrated_all(sequences.sparkSession, models, config.seed, ("msv",))):
         shared = sequences.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            profiles = [(m, configure(m)) for m in shared.value]
+            models = shared.value
+            profiles = [configure(m) for m in models]
+            mu, lam = (np.array([m.stats[c] for m in models]) for c in ("msv_mu", "msv_lambda"))
+            names = np.array([m.name for m in models], object)
             for pdf in batches:
-                for model, p in profiles:
-                    codes = [digitize(s, model.alphabet) for s in pdf.seq]
-                    lengths = np.array([len(c) for c in codes])
-                    out, order = np.empty(len(codes)), np.argsort(lengths, kind="stable")
-                    for at in range(0, len(order), 256):
-                        part = order[at : at + 256]
-                        out[part] = K.msv(p, *K.batch([codes[i] for i in part]))
-                    yield pd.DataFrame({"model": model.name, "mu": model.stats["msv_mu"], "lambda": model.stats["msv_lambda"], "seq_id": pdf.seq_id, "name": pdf.name, "len": lengths, "nats": out})
+                codes = [digitize(s, models[0].alphabet) for s in pdf.seq]
+                lengths = np.array([len(c) for c in codes])
+                nats = K.msv_many(profiles, codes)
+                # pairs that no count of targets can bring under the threshold stay where they are
+                with np.errstate(over="ignore"):
+                    p = -np.expm1(-np.exp(-lam * ((nats - (lengths * np.log(lengths / (lengths + 1)) + np.log(1 / (lengths + 1)))[:, None]) / LN2 - mu)))
+                i, k = np.nonzero(p * z <= config.e * (1 + 1e-9))
+                yield pd.DataFrame({"model": names[k], "mu": mu[k], "lambda": lam[k], "seq_id": pdf.seq_id.to_numpy()[i], "name": pdf.name.to_numpy()[i], "len": lengths[i], "nats": nats[i, k]})
 
         part = balanced(some).mapInPandas(run, "model string, mu double, lambda double, seq_id bigint, name string, len int, nats double")
         scored = part if scored is None else scored.unionByName(part)
     scored = scored.withColumn("bits", S.bits(F.col("nats"), S.null1(F.col("len"))))
     scored = scored.withColumn("p", S.gumbel_p(F.col("bits"), F.col("mu"), F.col("lambda")))
-    z = F.lit(float(config.z)) if config.z is not None else F.lit(float(some.count()))
-    hits = scored.withColumn("evalue", F.col("p") * z).where(F.col("evalue") <= config.e)
+    hits = scored.withColumn("evalue", F.col("p") * F.lit(z)).where(F.col("evalue") <= config.e)
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy("p", F.col("bits").desc(), "seq_id"))).drop("nats", "mu", "lambda")  # hits are few: thresholds bound them
 
 
