@@ -18,6 +18,7 @@ from seqloom.operators import intervals as I
 from seqloom.operators import kernels as K
 from seqloom.operators import profile as P
 from seqloom.operators import search as R
+from seqloom.plans.recursions import Recursion, bias_sql
 from seqloom.sources.fasta import render_fasta
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +178,15 @@ def word_model() -> P.Model:
     return P.single_sequence("word", WORD)
 
 
+def word_recursion() -> Recursion:
+    return Recursion(word_model(), PARTS, "p_partkey")
+
+
+def _score_sql(best: bool) -> str:
+    w = word_recursion()
+    return f"WITH RECURSIVE {w.emissions()}, {w.sequences()}, {w.forward(best=best)} SELECT p_partkey, round(ln(cc * mv), 6) AS score FROM f WHERE i = n"
+
+
 def _kernel(df: DataFrame, key: str, kernel, column: str, kind: str = "double") -> DataFrame:
     """key and a kernel's value for every row."""
     kt = df.schema[key].dataType.simpleString()
@@ -223,7 +233,16 @@ def msv_score_int(spark, d):
     return _kernel(parts(spark, d).where("seq <> ''"), "p_partkey", lambda x, n: K.msv_int(p, x, n)[0].astype(np.int64), "xj", "bigint")
 
 
-@query()
+def _msv_p_sql() -> str:
+    """P-values of the filter's scores under the model's calibrated distribution, which doesn't depend on the data."""
+    st, scale = R.calibrated(word_model()).stats, float(3 / np.log(2))
+    return f"""SELECT p_partkey, round(bits, 6) AS bits, round(p, 6) AS p FROM (
+    SELECT *, 1 - exp(-exp(-{st['msv_lambda']!r} * (bits - {st['msv_mu']!r}))) AS p FROM (
+        SELECT p_partkey, ((xj - floor(-{scale!r} * ln(3.0 / (n + 3)) + 0.5) - 190) / {scale!r} - 3.0 - (n * ln(n / (n + 1)) + ln(1 / (n + 1)))) / ln(2) AS bits
+        FROM ({_msv_sql()}) JOIN (SELECT p_partkey, length(seq)::DOUBLE AS n FROM {{PARTS}}) USING (p_partkey))) WHERE p <= 0.3"""
+
+
+@query(_msv_p_sql())
 def msv_pvalue_filter(spark, d):
     model = R.calibrated(word_model())
     p, st = P.configure(model), model.stats
@@ -231,23 +250,23 @@ def msv_pvalue_filter(spark, d):
     return s.withColumn("p", S.gumbel_p(F.col("bits"), st["msv_mu"], st["msv_lambda"])).where(F.col("p") <= 0.3).select("p_partkey", r6(F.col("bits")).alias("bits"), r6(F.col("p")).alias("p"))
 
 
-@query()
+@query(_score_sql(True))
 def viterbi_score(spark, d):
     p = P.configure(word_model())
     return _kernel(parts(spark, d).where("seq <> ''"), "p_partkey", lambda x, n: np.round(K.viterbi(p, x, n), 6), "score")
 
 
-@query()
+@query(_score_sql(False))
 def forward_score(spark, d):
     p = P.configure(word_model())
     return _kernel(parts(spark, d).where("seq <> ''"), "p_partkey", lambda x, n: np.round(K.forward(p, x, n), 6), "score")
 
 
-@query()
+@query(f"WITH {bias_sql(word_model(), PARTS, 'p_partkey')} SELECT p_partkey, round(lnodds, 6) AS score FROM bs")
 def bias_filter_score(spark, d):
     m = word_model()
     f, compo = m.bg, P.composition(m)
-    return _kernel(parts(spark, d).where("seq <> ''"), "p_partkey", lambda x, n: np.array([round(K.bias_null(f, compo, m.m, c[:k]), 6) for c, k in zip(x, n, strict=True)]), "score")
+    return _kernel(parts(spark, d).where("seq <> ''"), "p_partkey", lambda x, n: np.round(K.bias_nulls(f, compo, m.m, x, n), 6), "score")
 
 
 def corpus_background(df: DataFrame) -> np.ndarray:
@@ -772,22 +791,28 @@ def _posterior(df: DataFrame, key: str, make, schema: str) -> DataFrame:
     return R.balanced(df.where("seq <> ''").select(key, "seq")).mapInPandas(run, f"{key} {kt}, {schema}")
 
 
-@query()
+WORD_CELLS = word_recursion()
+
+
+@query(f"WITH {WORD_CELLS.decoded()} SELECT p_partkey, round(ln(z), 6) AS forward, round(ln(nn), 6) AS backward FROM z JOIN b USING (p_partkey) WHERE i = 0")
 def forward_backward_posterior(spark, d):
     return _posterior(parts(spark, d), "p_partkey", lambda p, post, s: [(round(post.score, 6), round(post.back_score, 6))], "forward double, backward double")
 
 
-@query()
+@query(f"WITH {WORD_CELLS.decoded()} SELECT p_partkey, i AS pos, round(mocc, 6) AS mocc, round(btot, 6) AS btot, round(etot, 6) AS etot FROM po WHERE i > 0")
 def domain_decoding(spark, d):
     return _posterior(parts(spark, d), "p_partkey", lambda p, post, s: [(i, round(float(post.mocc[i]), 6), round(float(post.btot[i]), 6), round(float(post.etot[i]), 6)) for i in range(1, len(post.mocc))], "pos int, mocc double, btot double, etot double")
 
 
-@query()
+@query(f"WITH {WORD_CELLS.regions()} SELECT p_partkey, first, last FROM rg")
 def region_trigger(spark, d):
     return _posterior(parts(spark, d), "p_partkey", lambda p, post, s: K.regions(post), "first int, last int")
 
 
-@query()
+@query(f"""WITH {WORD_CELLS.regions()}
+SELECT p_partkey, first, last, max(least(p.etot - a.etot, e.btot - q.btot)) >= 0.2 AS multi
+FROM rg JOIN po p USING (p_partkey) JOIN po q USING (p_partkey) JOIN po a USING (p_partkey) JOIN po e USING (p_partkey)
+WHERE p.i BETWEEN first AND last AND q.i = p.i - 1 AND a.i = first - 1 AND e.i = last GROUP BY ALL""")
 def multidomain_test(spark, d):
     return _posterior(parts(spark, d), "p_partkey", lambda p, post, s: [(i, j, K.is_multidomain(post, i, j)) for i, j in K.regions(post)], "first int, last int, multi boolean")
 
@@ -801,7 +826,15 @@ def optimal_accuracy(spark, d):
     return _posterior(parts(spark, d), "p_partkey", make, "accuracy double, path string")
 
 
-@query()
+def _null2_sql() -> str:
+    w = WORD_CELLS
+    use, rest = ", ".join(f"sum(u{k}) AS u{k}" for k in w.nodes), " + ".join(f"v{k}" for k in range(1, w.m))
+    odds = " + ".join(f"u{k} * e{k}" for k in w.nodes)
+    return f"""WITH {w.decoded()}, us AS (SELECT p_partkey, {use}, sum(gone + {rest}) AS flank FROM po WHERE i > 0 GROUP BY p_partkey)
+SELECT p_partkey, r AS residue, round(({odds} + flank) / ({' + '.join(f'u{k}' for k in w.nodes)} + flank), 6) AS odds FROM us, em"""
+
+
+@query(_null2_sql())
 def null2_expectation(spark, d):
     return _posterior(parts(spark, d), "p_partkey", lambda p, post, s: [(AMINO[i], round(float(v), 6)) for i, v in enumerate(K.null2(p, post, 1, len(s))[:20])], "residue string, odds double")
 
