@@ -45,7 +45,7 @@ from seqloom.llm.neardup import mixed
 #: Tokens of a chunk; bits of history hashes that are counted to form groups, and bits that split a group.
 CHUNK_TOKENS, COUNTED, SPLIT = 1_250_000, 12, 16
 #: Tokens of a piece of a text that is read side by side with others.
-PIECE = 512
+PIECE = 256
 ADD = 0.1
 # Hashes of the two symbols that are no words.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" start"))
@@ -76,8 +76,11 @@ class Reading:
         token = np.ones(total, bool)
         token[self.first] = False
         self.tokens = np.flatnonzero(token)
+
+    def words(self) -> None:
+        """count: training tokens of each symbol; order, place: symbols by hash, and back."""
         self.count = np.bincount(self.symbol[self.tokens], self.train[self.tokens], minlength=len(self.hash)).astype(np.int64)
-        self.order = np.argsort(self.hash, kind="stable")
+        self.order = np.argsort(self.hash)
         self.place = np.empty_like(self.order)
         self.place[self.order] = np.arange(len(self.order))
 
@@ -90,6 +93,7 @@ class Reading:
 
     def bigrams(self) -> None:
         """pair_u, pair_v, pair_count: distinct bigrams in the order of their first, then second symbol's hash; pair: each token's."""
+        self.words()
         s, size = self.place, len(self.hash)
         key = s[self.symbol[self.tokens - 1]] * size + s[self.symbol[self.tokens]]
         kinds, which = np.unique(key, return_inverse=True)
@@ -101,13 +105,14 @@ class Reading:
     def trigrams(self) -> None:
         """three_h, three_t, three_count: distinct trigrams as the bigrams that they begin with and end in, by the hash of the former, then that of the last symbol."""
         self.pair_key = self.pair_hash(self.pair_u, self.pair_v)
-        by = np.argsort(self.pair_key, kind="stable")
+        by = np.argsort(self.pair_key)
         place = np.empty_like(by)
         place[by] = np.arange(len(by))
         at = self.tokens[self.pair[self.tokens - 1] >= 0]
         key = place[self.pair[at - 1]] * len(self.hash) + self.place[self.symbol[at]]
-        kinds, where, which = np.unique(key, return_index=True, return_inverse=True)
-        self.three_h, self.three_t = by[kinds // len(self.hash)], self.pair[at[where]]
+        kinds, which = np.unique(key, return_inverse=True)
+        self.three_h, self.three_t = by[kinds // len(self.hash)], np.empty(len(kinds), np.int64)
+        self.three_t[which] = self.pair[at]
         self.three_count = np.bincount(which, self.train[at], minlength=len(kinds)).astype(np.int64)
 
     def elsewhere(self, shared: np.ndarray) -> np.ndarray:
@@ -153,7 +158,8 @@ class BackoffAutomaton:
         order = np.argsort(key)
         self.key, self.weight, self.following = key[order], weight[order], following[order]
         self.shift = np.uint64(64 - max(1, len(key).bit_length()))
-        self.begin = np.searchsorted(self.key >> self.shift, np.arange((1 << int(64 - self.shift)) + 1, dtype=np.uint64))
+        cells = np.bincount((self.key >> self.shift).astype(np.int64), minlength=1 << int(64 - self.shift))
+        self.begin = np.concatenate([[0], np.cumsum(cells)])
         self.fail, self.fail_weight, self.root, self.root_next = fail, fail_weight, root, root_next
 
     def _key(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -342,6 +348,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", every:
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, *row in rows(batches):
             r = Reading(Chunk(*row), every)
+            r.words()
             h, c = r.hash[r.order], r.count[r.order].astype(np.uint32)
             c[h == START] = (~r.held).sum()  # a start is followed by a token, and is none
             made = [(b, chunk, pack_sorted(h[lo:hi]), pack(c[lo:hi])) for b, lo, hi in stretches(bucket_of(h))]
