@@ -634,34 +634,74 @@ def filter_power(spark, d):
     return scored(spark, d).groupBy("model").agg(r6(F.count(F.when(F.col("score") >= 20, 1)) / F.count("*")).alias("power"))
 
 
-def _segment_models(spark, d) -> list[P.Model]:
-    """A model of each nation's segments: 25 nations, five words."""
-    words = segments(spark, d).groupBy("msa_id", "aseq").agg(F.count("*").alias("n")).collect()
-    by: dict[int, list] = {}
-    for r in sorted(words, key=lambda r: (r.msa_id, r.aseq)):
-        by.setdefault(r.msa_id, []).append(r)
-    return [B.from_alignment(f"nation{k}", [r.aseq for r in rows], weights=np.array([r.n for r in rows], float)) for k, rows in sorted(by.items())]
+# models of the nations' segments: plain counts, one added to each, and all rows counted in full
+NATION_MODEL = """RECURSIVE c AS (SELECT msa_id, row_idx, apos, substr(aseq, apos::INT, 1) AS c FROM {MSA}, (SELECT unnest(range(1, 11)) AS apos)),
+mc AS (SELECT *, sum(CASE WHEN is_match THEN 1 ELSE 0 END) OVER (PARTITION BY msa_id ORDER BY apos)::BIGINT AS k FROM (SELECT msa_id, apos, avg(CASE WHEN c <> '-' THEN 1.0 ELSE 0.0 END) >= 0.5 AS is_match FROM c GROUP BY ALL)),
+ml AS (SELECT msa_id, max(k) AS m FROM mc GROUP BY ALL),
+st AS (SELECT msa_id, row_idx, apos, k, c, CASE WHEN is_match AND c <> '-' THEN 'M' WHEN is_match THEN 'D' WHEN c <> '-' THEN 'I' END AS state FROM c JOIN mc USING (msa_id, apos)),
+sx AS (SELECT *, lag(state) OVER v AS fs, lag(k) OVER v AS fk, lead(state) OVER v AS ns FROM st WHERE state IS NOT NULL WINDOW v AS (PARTITION BY msa_id, row_idx ORDER BY apos)),
+mo AS (SELECT msa_id, coalesce(fk, 0) AS k, coalesce(fs, 'M') || state AS move FROM sx UNION ALL SELECT msa_id, k, state || 'M' FROM sx JOIN ml USING (msa_id) WHERE ns IS NULL AND k = m),
+kk AS (SELECT msa_id, m, unnest(range(0, m + 1)) AS k FROM ml),
+ct AS (SELECT msa_id, m, k, count(CASE WHEN move = 'MM' THEN 1 END)::DOUBLE AS mm, count(CASE WHEN move = 'MI' THEN 1 END)::DOUBLE AS mi, count(CASE WHEN move = 'MD' THEN 1 END)::DOUBLE AS md,
+       count(CASE WHEN move = 'IM' THEN 1 END)::DOUBLE AS im, count(CASE WHEN move = 'II' THEN 1 END)::DOUBLE AS ii, count(CASE WHEN move = 'DM' THEN 1 END)::DOUBLE AS dm, count(CASE WHEN move = 'DD' THEN 1 END)::DOUBLE AS dd
+       FROM kk LEFT JOIN mo USING (msa_id, k) GROUP BY ALL),
+tr AS (SELECT msa_id, m, k, CASE WHEN k = m THEN (mm + 1) / (mm + mi + 2) ELSE (mm + 1) / (mm + mi + md + 3) END AS mm, CASE WHEN k = m THEN (mi + 1) / (mm + mi + 2) ELSE (mi + 1) / (mm + mi + md + 3) END AS mi,
+       CASE WHEN k = m THEN 0 ELSE (md + 1) / (mm + mi + md + 3) END AS md, (im + 1) / (im + ii + 2) AS im, (ii + 1) / (im + ii + 2) AS ii,
+       CASE WHEN k IN (0, m) THEN 1 ELSE (dm + 1) / (dm + dd + 2) END AS dm, CASE WHEN k IN (0, m) THEN 0 ELSE (dd + 1) / (dm + dd + 2) END AS dd FROM ct),
+ec AS (SELECT msa_id, k, c AS residue, count(*) AS n FROM st WHERE state = 'M' GROUP BY ALL),
+em AS (SELECT msa_id, m, k, residue, f, (coalesce(n, 0) + 1.0::DOUBLE) / (sum(coalesce(n, 0)) OVER (PARTITION BY msa_id, k) + 20) AS p FROM kk CROSS JOIN (SELECT * FROM {BG}) b LEFT JOIN ec USING (msa_id, k, residue) WHERE k > 0),
+oc AS (SELECT msa_id, 1::BIGINT AS k, m, mm + mi AS occ FROM tr WHERE k = 0 UNION ALL SELECT o.msa_id, o.k + 1, o.m, occ * (t.mm + t.mi) + (1 - occ) * t.dm FROM oc o JOIN tr t ON t.msa_id = o.msa_id AND t.k = o.k WHERE o.k < o.m),
+vi AS (SELECT msa_id, sum(CASE WHEN k = 0 THEN 1 ELSE occ END * mi / im) AS visits FROM tr LEFT JOIN oc USING (msa_id, k) GROUP BY msa_id),
+co AS (SELECT msa_id, residue, f, (x + visits / 20) / sum(x + visits / 20) OVER (PARTITION BY msa_id) AS q FROM (SELECT msa_id, residue, f, sum(occ * p) AS x FROM em JOIN oc USING (msa_id, k) GROUP BY ALL) JOIN vi USING (msa_id))"""
+
+
+def nation_models(spark, d, make, schema: str) -> DataFrame:
+    """(name, ...): what make(model) gives for the model of each nation's segments. A task builds a model from its distinct rows and their numbers."""
+    rows = segments(spark, d).groupBy("msa_id", "aseq").agg(F.count("*").alias("n"))
+    columns = ["name", *[c.split(" ")[0] for c in schema.split(", ")]]
 
+    def run(pdf):
+        import pandas as pd
 
-@query()
+        from seqloom.operators.priors import laplace
+
+        pdf = pdf.sort_values("aseq")
+        n = pdf.n.to_numpy(float)
+        model = B.from_alignment(f"nation{pdf.msa_id.iat[0]}", pdf.aseq.tolist(), weights=n, copies=n, prior=laplace(20), eff=float(n.sum()))
+        return pd.DataFrame([(model.name, *row) for row in make(model)], columns=columns)
+
+    return rows.groupBy("msa_id").applyInPandas(run, f"name string, {schema}")
+
+
+def rounded(values) -> list[float]:
+    return [round(float(v), 6) for v in values]
+
+
+@query(f"""WITH {NATION_MODEL}, e AS (SELECT msa_id, k, sum(p * log2(p / f)) AS r, -sum(p * log2(p)) AS h FROM em GROUP BY ALL), q AS (SELECT msa_id, sum(q * log2(q / f)) AS kl, -sum(f * log2(f)) AS h0 FROM co GROUP BY ALL)
+SELECT 'nation' || msa_id AS name, n::INT AS nseq, n::DOUBLE AS eff_nseq, count(*)::INT AS m, round(avg(r), 6) AS relent, round(h0 - avg(h), 6) AS info, round(kl, 6) AS comp_kl
+FROM e JOIN q USING (msa_id) JOIN (SELECT msa_id, count(*) AS n FROM {{MSA}} GROUP BY ALL) USING (msa_id) GROUP BY msa_id, n, h0, kl""")
 def model_stats(spark, d):
-    rows = [tuple(P.statistics(m)[k] for k in ("name", "nseq", "eff_nseq", "m", "relent", "info", "comp_kl")) for m in _segment_models(spark, d)]
-    return spark.createDataFrame(rows, "name string, nseq int, eff_nseq double, m int, relent double, info double, comp_kl double")
+    def make(m):
+        s = P.statistics(m)
+        return [(s["nseq"], s["eff_nseq"], s["m"], *rounded(s[k] for k in ("relent", "info", "comp_kl")))]
 
+    return nation_models(spark, d, make, "nseq int, eff_nseq double, m int, relent double, info double, comp_kl double")
 
-@query()
+
+@query(f"""WITH {NATION_MODEL}, b AS (SELECT *, row_number() OVER (PARTITION BY msa_id, k ORDER BY p DESC, residue) AS r FROM em)
+SELECT 'nation' || msa_id AS name, string_agg(CASE WHEN p >= 0.5 THEN residue ELSE lower(residue) END, '' ORDER BY k) AS consensus FROM b WHERE r = 1 GROUP BY msa_id""")
 def emit_consensus(spark, d):
-    return spark.createDataFrame([(m.name, P.consensus(m)) for m in _segment_models(spark, d)], "name string, consensus string")
+    return nation_models(spark, d, lambda m: [(P.consensus(m),)], "consensus string")
 
 
 @query()
 def emit_sequences(spark, d):
-    return spark.createDataFrame([(m.name, i, s) for m in _segment_models(spark, d) for i, s in enumerate(B.emit(m, 5))], "name string, n int, seq string")
+    return nation_models(spark, d, lambda m: list(enumerate(B.emit(m, 5))), "n int, seq string")
 
 
-@query()
+@query(f"WITH {NATION_MODEL} SELECT 'nation' || msa_id AS name, k::INT AS k, round(mi, 6) AS insert_p, round(1 / (1 - ii), 6) AS insert_len, round(occ, 6) AS occupancy FROM tr JOIN oc USING (msa_id, k)")
 def indel_values(spark, d):
-    return spark.createDataFrame([(m.name, k + 1, *map(float, v)) for m in _segment_models(spark, d) for k, v in enumerate(P.indels(m))], "name string, k int, insert_p double, insert_len double, occupancy double")
+    return nation_models(spark, d, lambda m: [(k + 1, *rounded(v)) for k, v in enumerate(P.indels(m))], "k int, insert_p double, insert_len double, occupancy double")
 
 
 @query()
@@ -840,43 +880,51 @@ def null2_expectation(spark, d):
 
 
 # profiles of the nations' segments
-def _per_model(spark, d, make, schema: str) -> DataFrame:
-    return spark.createDataFrame([(m.name, *row) for m in _segment_models(spark, d) for row in make(m)], f"name string, {schema}")
-
-
-@query()
+@query(f"WITH {NATION_MODEL} SELECT 'nation' || msa_id AS name, k::INT AS k, round(occ, 6) AS occ FROM oc")
 def occupancy(spark, d):
-    return _per_model(spark, d, lambda m: [(k, float(v)) for k, v in enumerate(P.occupancy(m.t)) if k], "k int, occ double")
+    return nation_models(spark, d, lambda m: [(k, round(float(v), 6)) for k, v in enumerate(P.occupancy(m.t)) if k], "k int, occ double")
 
 
-@query()
+@query(f"WITH {NATION_MODEL} SELECT 'nation' || msa_id AS name, residue, round(q, 6) AS f FROM co")
 def model_composition(spark, d):
-    return _per_model(spark, d, lambda m: [(a, float(v)) for a, v in zip(AMINO, P.composition(m), strict=True)], "residue string, f double")
+    return nation_models(spark, d, lambda m: list(zip(AMINO, rounded(P.composition(m)), strict=True)), "residue string, f double")
 
 
-@query()
+@query(f"WITH {NATION_MODEL} SELECT 'nation' || msa_id AS name, k::INT AS k, residue, round(ln(p / f), 6) AS score FROM em")
 def profile_logodds(spark, d):
-    return _per_model(spark, d, lambda m: [(k, a, float(v)) for i, a in enumerate(AMINO) for k, v in enumerate(P.configure(m).msc[i]) if k], "k int, residue string, score double")
+    return nation_models(spark, d, lambda m: [(k, a, round(float(v), 6)) for i, a in enumerate(AMINO) for k, v in enumerate(P.configure(m).msc[i]) if k], "k int, residue string, score double")
 
 
-@query()
+@query(f"WITH {NATION_MODEL} SELECT 'nation' || msa_id AS name, k::INT AS k, round(ln(occ / sum(occ * (m - k + 1)) OVER (PARTITION BY msa_id)), 6) AS entry FROM oc")
 def local_entry(spark, d):
-    return _per_model(spark, d, lambda m: [(k, float(v)) for k, v in enumerate(P.configure(m).entry) if k], "k int, entry double")
+    return nation_models(spark, d, lambda m: [(k, round(float(v), 6)) for k, v in enumerate(P.configure(m).entry) if k], "k int, entry double")
 
 
-@query()
+QUANTISED = f"{NATION_MODEL}, qs AS (SELECT msa_id, k, residue, ln(p / f) * 3 / ln(2) AS x, round(max(ln(p / f)) OVER (PARTITION BY msa_id) * 3 / ln(2)) AS bias FROM em)"
+
+
+@query(f"WITH {QUANTISED} SELECT 'nation' || msa_id AS name, k::INT AS k, residue, greatest(0, least(255, bias - sign(x) * floor(abs(x) + 0.5)))::INT AS cost FROM qs")
 def quantize_msv(spark, d):
-    return _per_model(spark, d, lambda m: [(k, a, int(P.quantise_msv(P.configure(m))[0][i, k])) for i, a in enumerate(AMINO) for k in range(1, m.m + 1)], "k int, residue string, cost int")
+    def make(m):
+        cost, _ = P.quantise_msv(P.configure(m))
+        return [(k, a, int(cost[i, k])) for i, a in enumerate(AMINO) for k in range(1, m.m + 1)]
 
+    return nation_models(spark, d, make, "k int, residue string, cost int")
 
-@query()
+
+def _vit_sql() -> str:
+    part = lambda c: f"CASE WHEN {c} = 0 THEN -32768 ELSE (sign(ln({c})) * floor(abs(ln({c})) * 500 / ln(2) + 0.5)) END::INT AS {c}"
+    return f"WITH {NATION_MODEL} SELECT 'nation' || msa_id AS name, k::INT AS k, {', '.join(part(c) for c in ('mm', 'mi', 'md', 'im', 'ii', 'dm', 'dd'))} FROM tr"
+
+
+@query(_vit_sql())
 def quantize_vit(spark, d):
-    return _per_model(spark, d, lambda m: [(k, *map(int, row)) for k, row in enumerate(P.quantise_viterbi(P.configure(m).tsc))], "k int, mm int, mi int, md int, im int, ii int, dm int, dd int")
+    return nation_models(spark, d, lambda m: [(k, *map(int, row)) for k, row in enumerate(P.quantise_viterbi(P.configure(m).tsc))], "k int, mm int, mi int, md int, im int, ii int, dm int, dd int")
 
 
 @query()
 def max_length_w(spark, d):
-    return _per_model(spark, d, lambda m: [(P.max_length(m),)], "w int")
+    return nation_models(spark, d, lambda m: [(P.max_length(m),)], "w int")
 
 
 @query("SELECT p_partkey, round(ln(3.0 / (n + 3)), 6) AS move, round(ln(n / (n + 3)), 6) AS loop FROM (SELECT p_partkey, length(seq)::DOUBLE AS n FROM {PARTS}) WHERE n > 0")
