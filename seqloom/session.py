@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -18,6 +21,23 @@ def importable_on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([ROOT, *parts])
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that the cluster names in spark.checkpoint.dir; a lost executor costs its own tasks alone.
+
+    Where no folder is named, a master that runs in this process alone gets a temporary one, any other is refused.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if named is None:
+            if master != "local" and not master.startswith("local["):
+                raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+            named = tempfile.mkdtemp(prefix="seqloom-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint()
+
+
 def local_session(cpus: int = 8, app: str = "seqloom", memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own settings."""
     return (
