@@ -140,3 +140,161 @@ def trace_domains(spark, d):
     """First and last node, and residue, of each row's passage through the model."""
     nodes = F.transform(F.filter("trace", lambda x: x["state"] == "M"), lambda x: x["k"])
     return _trace(spark, d).select("msa_id", "row_idx", F.array_min(nodes).cast("bigint").alias("k1"), F.array_max(nodes).cast("bigint").alias("k2"), F.lit(1).cast("bigint").alias("i1"), F.size(F.filter("trace", lambda x: x["state"] != "D")).cast("bigint").alias("i2"))
+
+
+# exact strings by a transform index
+STRINGS = "(SELECT s_suppkey AS query, substr(seq, 2, 3) AS pattern FROM supplier JOIN {PARTS} ON p_partkey = s_suppkey WHERE length(seq) >= 4)"
+PLACES = f"(SELECT query, p_partkey AS target, i::BIGINT AS pos FROM (SELECT p_partkey, seq, unnest(range(1, length(seq) + 1)) AS i FROM {{PARTS}}) JOIN {STRINGS} ON substr(seq, i::INT, length(pattern)) = pattern)"
+
+
+def _part_index(spark, d):
+    from seqloom.operators import fmindex
+    from seqloom.plans.catalog import parts
+
+    return fmindex.build_index(parts(spark, d).select(F.col("p_partkey").alias("target"), "seq"), overlap=50, block=1 << 14)
+
+
+def _strings(spark, d):
+    """Letters 2 to 4 of the part that has a supplier's number."""
+    from seqloom.plans.catalog import parts
+
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query"))
+    return parts(spark, d).join(s, F.col("p_partkey") == F.col("query")).where("length(seq) >= 4").select("query", F.substring("seq", 2, 3).alias("pattern"))
+
+
+@query(f"SELECT query, target, pos FROM {PLACES}")
+def fm_positions(spark, d):
+    from seqloom.operators import fmindex
+
+    return fmindex.find(_part_index(spark, d), _strings(spark, d))
+
+
+@query(f"SELECT query, count(target)::BIGINT AS n FROM {STRINGS} LEFT JOIN {PLACES} USING (query) GROUP BY query")
+def fm_counts(spark, d):
+    from seqloom.operators import fmindex
+
+    return fmindex.find(_part_index(spark, d), _strings(spark, d), counts_only=True).groupBy("query").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT p_partkey AS target, md5(seq) AS digest FROM {PARTS} WHERE seq <> ''")
+def fm_text(spark, d):
+    """Sequences read back from the transform."""
+    from seqloom.operators import fmindex
+
+    return fmindex.restored(_part_index(spark, d)).select("target", F.md5("part").alias("digest"))
+
+
+@query("SELECT sum(length(seq))::BIGINT AS letters, count(*)::BIGINT AS parts FROM {PARTS} WHERE seq <> ''")
+def fm_metadata(spark, d):
+    return _part_index(spark, d).agg(F.sum("n").cast("bigint").alias("letters"), F.sum(F.size("parts")).cast("bigint").alias("parts"))
+
+
+@query("""SELECT page_id, unnest(list_transform(range(1, len(runs) + 1), lambda i: runs[i])) AS run FROM (SELECT page_id, list_transform(regexp_extract_all(coalesce(html, ''), '[BDEFHIJKLMNOPQRSUVWXYZbdefhijklmnopqrsuvwxyz]+'), lambda x: upper(x)) AS runs FROM pages)""")
+def ambiguity_runs(spark, d):
+    """Runs of letters that are none of A, C, G and T."""
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("[BDEFHIJKLMNOPQRSUVWXYZbdefhijklmnopqrsuvwxyz]+"), F.lit(0))).alias("run")).select("page_id", F.upper("run").alias("run"))
+
+
+@query("""SELECT p_partkey, substr(s, 3, 6) AS forward, reverse(translate(substr(s, 3, 6), 'ACGT', 'TGCA')) AS backward FROM (SELECT p_partkey, regexp_replace(upper(p_name || p_type), '[^ACGT]', '', 'g') AS s FROM part)""")
+def extract_range(spark, d):
+    from seqloom.functions.alphabet import reverse_complement
+
+    part = F.substring(F.regexp_replace(F.upper(F.concat("p_name", "p_type")), "[^ACGT]", ""), 3, 6)
+    return table(spark, d, "part").select("p_partkey", part.alias("forward"), reverse_complement(part).alias("backward"))
+
+
+# exchange and reports
+@query("SELECT o_orderkey AS hit, o_custkey AS target, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice::DOUBLE END AS score, o_orderpriority AS label FROM orders")
+def hits_roundtrip(spark, d):
+    """Hits packed into Arrow streams and unpacked again."""
+    from seqloom.sources import wire
+
+    hits = table(spark, d, "orders").select(F.col("o_orderkey").alias("hit"), F.struct(F.col("o_custkey").alias("target"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice").cast("double")).alias("score")).alias("domain"), F.col("o_orderpriority").alias("label"))
+    back = wire.unpacked(wire.packed(hits), hits.schema)
+    return back.select("hit", "domain.target", "domain.score", "label")
+
+
+@query("SELECT o_custkey % 50 AS model, count(*)::BIGINT AS nhits, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)::BIGINT AS nreported FROM orders GROUP BY ALL")
+def statistics_roundtrip(spark, d):
+    """Counters as JSON and back."""
+    from seqloom.sources import wire
+
+    stats = table(spark, d, "orders").groupBy((F.col("o_custkey") % 50).alias("model")).agg(F.count("*").alias("nhits"), F.sum((F.col("o_totalprice") > 100000).cast("bigint")).alias("nreported"))
+    kind = stats.schema["model"].dataType.simpleString()
+    return stats.select(wire.as_json(F.struct("*")).alias("json")).select(wire.from_json(F.col("json"), f"model {kind}, nhits bigint, nreported bigint").alias("x")).select("x.*")
+
+
+REQUESTS = "(SELECT n_nationkey AS id, n_name AS name, length(n_name) AS e FROM nation)"
+
+
+@query(f"SELECT id, 'nation' || id AS name, upper(name) AS seq, CAST(e AS VARCHAR) AS e, CASE WHEN id % 2 = 0 THEN '' END AS maxi, '1..' || id AS ranges, NULL::VARCHAR AS problem FROM {REQUESTS}")
+def parse_requests(spark, d):
+    """Requests of a search service, one per nation, taken apart."""
+    from seqloom.sources import wire
+
+    n = table(spark, d, "nation")
+    options = F.concat(F.lit("@--seqdb_ranges 1.."), "n_nationkey", F.lit(" -E "), F.length("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(" --max")).otherwise(F.lit("")))
+    text = F.concat(options, F.lit("\n>nation"), "n_nationkey", F.lit(" a nation\n"), F.upper("n_name"), F.lit("\n//"))
+    c = wire.parsed_request(text)
+    return n.select(F.col("n_nationkey").alias("id"), c["name"].alias("name"), c["seq"].alias("seq"), c["options"]["-E"].alias("e"), c["options"]["--max"].alias("maxi"), c["options"]["--seqdb_ranges"].alias("ranges"), c["problem"].alias("problem"))
+
+
+@query("SELECT (doc_id % 4)::BIGINT AS shard, count(*)::BIGINT AS sequences, sum(length(seq))::BIGINT AS residues FROM {DOCS} GROUP BY ALL")
+def shard_counts(spark, d):
+    """Sequences and residues of each shard of a collection dealt in turn."""
+    from seqloom.plans.catalog import docs
+    from seqloom.sources import wire
+
+    s = docs(spark, d).select("doc_id", F.length("seq").alias("n"))
+    parts = [s.where(wire.of_shard(F.col("doc_id"), k, 4)).agg(F.lit(k).cast("bigint").alias("shard"), F.count("*").alias("sequences"), F.sum("n").alias("residues")) for k in range(4)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.where("sequences > 0")
+
+
+@query("""SELECT o_orderkey AS rank, rtrim(lpad(format('{:.2g}', o_totalprice::DOUBLE * pow(10, -(o_custkey % 12))), 9, ' ') || ' ' || lpad(printf('%.1f', o_orderkey / 8.0::DOUBLE), 6, ' ') || ' ' || lpad(printf('%.1f', (o_custkey % 40) / 8.0::DOUBLE), 5, ' ') || '  ' || lpad(printf('%.1f', (o_custkey % 16) / 4.0::DOUBLE), 5, ' ') || ' ' || lpad((o_custkey % 7)::VARCHAR, 2, ' ') || '  ' || rpad('target' || o_custkey, 18, ' ') || ' ' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END) AS line FROM orders""")
+def target_report(spark, d):
+    from seqloom.sources import report
+
+    o = table(spark, d, "orders")
+    hits = o.select(F.col("o_orderkey").alias("rank"), (F.col("o_totalprice").cast("double") * F.pow(F.lit(10.0), -(F.col("o_custkey") % 12))).alias("evalue"), (F.col("o_orderkey") / 8.0).alias("score"), ((F.col("o_custkey") % 40) / 8.0).alias("bias"),
+                    ((F.col("o_custkey") % 16) / 4.0).alias("exp"), (F.col("o_custkey") % 7).alias("n"), F.concat(F.lit("target"), "o_custkey").alias("name"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("descr"))
+    return report.target_lines(hits)
+
+
+@query("""WITH x AS (SELECT a.c_custkey AS key, rpad(upper(a.c_mktsegment || a.c_name), 40, '-') AS m, rpad(upper(a.c_mktsegment || 'X' || a.c_name), 40, '-') AS t FROM customer a)
+SELECT key, block::INT AS block, substr(m, (block * 16 + 1)::INT, 16) AS model_line, (SELECT string_agg(CASE WHEN substr(m, i::INT, 1) = substr(t, i::INT, 1) THEN substr(m, i::INT, 1) ELSE ' ' END, '' ORDER BY i) FROM (SELECT unnest(range(block * 16 + 1, least(40, block * 16 + 16) + 1)) AS i)) AS match_line,
+substr(t, (block * 16 + 1)::INT, 16) AS target_line, substr(m, (block * 16 + 1)::INT, 16) AS pp_line FROM x, (SELECT unnest(range(0, 3)) AS block)""")
+def alignment_report(spark, d):
+    from seqloom.sources import report
+
+    c = table(spark, d, "customer")
+    m, t = F.rpad(F.upper(F.concat("c_mktsegment", "c_name")), 40, "-"), F.rpad(F.upper(F.concat("c_mktsegment", F.lit("X"), "c_name")), 40, "-")
+    return report.alignment_blocks(c.select(F.col("c_custkey").alias("key"), m.alias("hmm_line"), t.alias("ali_line"), m.alias("pp_line")), 16)
+
+
+@query("SELECT max(length(c_name))::INT AS c_name, max(length(c_custkey::VARCHAR))::INT AS c_custkey, max(length(c_mktsegment))::INT AS c_mktsegment FROM customer")
+def format_widths(spark, d):
+    from seqloom.sources import report
+
+    return report.widths(table(spark, d, "customer"), "c_name", "c_custkey", "c_mktsegment")
+
+
+def _udtf_sql() -> str:
+    from seqloom.plans.catalog import _msv_sql
+
+    scale = 4.328085122666891
+    return f"""SELECT p_partkey::BIGINT AS seq_id, round(((xj - floor(-{scale!r} * ln(3.0 / (n + 3)) + 0.5) - 190) / {scale!r} - 3.0 - (n * ln(n / (n + 1)) + ln(1 / (n + 1)))) / ln(2), 6) AS bits
+        FROM ({_msv_sql()}) JOIN (SELECT p_partkey, length(seq)::DOUBLE AS n FROM {{PARTS}}) USING (p_partkey)"""
+
+
+@query(_udtf_sql())
+def sql_table_function(spark, d):
+    """A search as a table function in SQL."""
+    from seqloom.functions import tables
+    from seqloom.plans.catalog import parts
+
+    tables.register(spark)
+    parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), "seq").createOrReplaceTempView("seqloom_targets")
+    return spark.sql("SELECT seq_id, round(bits, 6) AS bits FROM word_search(TABLE(seqloom_targets), 'STEEL')")
