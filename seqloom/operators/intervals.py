@@ -36,12 +36,16 @@ def merged(df: DataFrame, keys: list[str]) -> DataFrame:
 def without_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hits less those that repeat the hit kept before: same ends, or within it, of worse or equal P.
 
-    A pass in order of position within a target, model and strand, as each decision depends on the last.
+    A pass in order of position, as each decision depends on the last. A hit is only ever held against one that
+    it overlaps, so a target is cut at its gaps first: a task walks over one stretch of overlapping hits.
     """
     schema = df.schema
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = df.withColumn("_island", F.sum(F.when(F.col("start") <= before, 0).otherwise(1)).over(w))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end"], ascending=[True, False], kind="stable")
+        pdf = pdf.drop(columns="_island").sort_values(["start", "end", "lnp"], kind="stable")
         kept: list[int] = []
         rows = list(pdf[["start", "end", "lnp"]].itertuples(index=False))
         for i, r in enumerate(rows):
@@ -55,7 +59,7 @@ def without_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
             kept.append(i)
         return pdf.iloc[kept]
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return island.groupBy(*keys, "_island").applyInPandas(run, schema)
 
 
 def kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
@@ -75,7 +79,7 @@ def exact_matches(targets: DataFrame, queries: DataFrame, k: int = 12) -> DataFr
 
     Few patterns, by a check of their bytes, form one automaton, and each target is read once. Beyond
     that, the queries' first k-mers join the targets' k-mers, and whole patterns are checked; work then
-    follows the seeds found, and patterns shorter than k are refused.
+    follows the seeds found. Patterns shorter than k are searched by automata of their own, group by group.
     """
     some = queries.where("pattern is not null and pattern <> ''")
     if (some.agg(F.sum(F.octet_length("pattern")).alias("n")).first().n or 0) <= PATTERN_BYTES:
@@ -97,8 +101,13 @@ def exact_matches(targets: DataFrame, queries: DataFrame, k: int = 12) -> DataFr
 
         types = targets.schema["target"].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
         return targets.select("target", "seq").mapInPandas(run, f"target {types[0]}, query {types[1]}, pos bigint")
-    if not some.where(F.length("pattern") < k).isEmpty():
-        raise ValueError(f"patterns shorter than {k}")
+    short = some.where(F.length("pattern") < k)
+    groups = -(-(short.agg(F.sum(F.octet_length("pattern")).alias("n")).first().n or 0) // PATTERN_BYTES)
+    few = [exact_matches(targets, short.where(F.pmod(F.xxhash64("pattern"), F.lit(2 * groups)) == g), k) for g in range(2 * groups)]  # automata of about half the size each
+    some = some.where(F.length("pattern") >= k)
     seeds = some.select("query", "pattern", F.substring("pattern", 1, k).alias("kmer"))
     whole = kmers(targets, "target", "seq", k).join(seeds, "kmer").join(targets, "target")
-    return whole.where(F.substring(F.col("seq"), F.col("pos"), F.length("pattern")) == F.col("pattern")).select("target", "query", F.col("pos").cast("bigint").alias("pos"))
+    found = whole.where(F.substring(F.col("seq"), F.col("pos"), F.length("pattern")) == F.col("pattern")).select("target", "query", F.col("pos").cast("bigint").alias("pos"))
+    for part in few:
+        found = found.unionByName(part)
+    return found

@@ -71,6 +71,15 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return o.select((F.col("o_custkey") % 50).alias("model"), F.col("o_orderkey").alias("hit"), F.col("o_custkey").alias("target"), F.round(-price / 10000.0, 6).alias("lnp"), F.round(price / 7000.0, 6).alias("score"))
 
 
+def order_hits(spark: SparkSession, d: str, key: str) -> DataFrame:
+    """Orders in the shape of a search's raw hits: each order a domain of the hit that `key` names, and Z counted per model."""
+    domain = F.struct("lnp", F.col("score").alias("bits"), F.col("hit").cast("int").alias("iali"), F.lit(0.0).alias("dombias"))
+    h = scored(spark, d).withColumn("key", F.col(key)).groupBy("model", "key")
+    hits = h.agg(F.min("lnp").alias("lnp"), F.max("score").alias("score"), F.min("target").alias("target"), F.collect_list(domain).alias("domains"))
+    hits = hits.select(F.col("model").cast("string").alias("model"), F.col("key").alias("seq_id"), F.lpad(F.col("target").cast("string"), 12, "0").alias("name"), "lnp", "score", "domains", F.lit("hit").alias("kind"), F.lit(1).cast("bigint").alias("n"))
+    return hits.unionByName(hits.withColumn("kind", F.lit("count")))
+
+
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 
@@ -349,18 +358,14 @@ def exp_tail_pvalue(spark, d):
 
 @query("WITH z AS (SELECT model, count(*) AS z FROM {HITS} GROUP BY model) SELECT hit, model, round(exp(lnp) * z, 6) AS evalue FROM {HITS} JOIN z USING (model) WHERE exp(lnp) * z <= 10")
 def evalue_report(spark, d):
-    h = scored(spark, d)
-    z = h.groupBy("model").agg(F.count("*").alias("z"))
-    e = S.evalue(F.exp("lnp"), F.col("z"))
-    return h.join(z, "model").where(e <= S.E_REPORT).select("hit", "model", r6(e).alias("evalue"))
+    found = R.thresholded(order_hits(spark, d, "hit"), R.Config())
+    return found.where("reported").select(F.col("seq_id").alias("hit"), F.col("model").cast(scored(spark, d).schema["model"].dataType).alias("model"), r6(F.col("evalue")).alias("evalue"))
 
 
 @query("WITH z AS (SELECT model, count(*) AS z FROM {HITS} GROUP BY model) SELECT model, count(*)::BIGINT AS reported, count(CASE WHEN exp(lnp) * z <= 0.01 THEN 1 END)::BIGINT AS included FROM {HITS} JOIN z USING (model) WHERE exp(lnp) * z <= 10 GROUP BY model")
 def evalue_inclusion(spark, d):
-    h = scored(spark, d)
-    z = h.groupBy("model").agg(F.count("*").alias("z"))
-    e = S.evalue(F.exp("lnp"), F.col("z"))
-    return h.join(z, "model").where(e <= S.E_REPORT).groupBy("model").agg(F.count("*").alias("reported"), F.count(F.when(e <= S.E_INCLUDE, 1)).alias("included"))
+    found = R.thresholded(order_hits(spark, d, "hit"), R.Config()).where("reported")
+    return found.groupBy(F.col("model").cast(scored(spark, d).schema["model"].dataType).alias("model")).agg(F.count("*").alias("reported"), F.count(F.when(F.col("included"), 1)).alias("included"))
 
 
 @query("SELECT hit, model, score FROM {HITS} WHERE score >= 20 + model % 7")
@@ -372,18 +377,15 @@ def bit_cutoffs_ga(spark, d):
 r AS (SELECT model, target FROM t JOIN z USING (model) WHERE exp(best) * z <= 1), dz AS (SELECT model, count(*) AS dom_z FROM r GROUP BY model)
 SELECT hit, model, round(exp(lnp) * dom_z, 6) AS c_evalue FROM {HITS} JOIN r USING (model, target) JOIN dz USING (model) WHERE exp(lnp) * dom_z <= 1""")
 def domz_second_pass(spark, d):
-    h = scored(spark, d)
-    t = h.groupBy("model", "target").agg(F.min("lnp").alias("best"))
-    reported = t.join(t.groupBy("model").agg(F.count("*").alias("z")), "model").where(F.exp("best") * F.col("z") <= 1).select("model", "target")
-    dom_z = reported.groupBy("model").agg(F.count("*").alias("dom_z"))
-    c = F.exp("lnp") * F.col("dom_z")
-    return h.join(reported, ["model", "target"]).join(dom_z, "model").where(c <= 1).select("hit", "model", r6(c).alias("c_evalue"))
+    found = R.thresholded(order_hits(spark, d, "target"), R.Config(e=1.0, dom_e=1.0))
+    doms = found.select("model", F.explode(F.filter("domains", lambda x: x["reported"])).alias("x"))
+    return doms.select(F.col("x.iali").cast("bigint").alias("hit"), F.col("model").cast(scored(spark, d).schema["model"].dataType).alias("model"), r6(F.col("x.c_evalue")).alias("c_evalue"))
 
 
 @query("SELECT model, target, arg_max(hit, score * 1e6 - hit / 1e6) AS hit, max(score) AS score FROM {HITS} GROUP BY ALL")
 def best_domain(spark, d):
-    best = F.max(F.struct(F.col("score"), (-F.col("hit")).alias("h")))
-    return scored(spark, d).groupBy("model", "target").agg(best.alias("x")).select("model", "target", (-F.col("x.h")).alias("hit"), F.col("x.score").alias("score"))
+    found = R.thresholded(order_hits(spark, d, "target"), R.Config())
+    return found.select(F.col("model").cast(scored(spark, d).schema["model"].dataType).alias("model"), F.col("seq_id").alias("target"), (-F.col("best.at")).cast("bigint").alias("hit"), F.col("best.bits").alias("score"))
 
 
 # joins
@@ -465,8 +467,8 @@ def db_mask_filter(spark, d):
 # ranking and clustering
 @query("SELECT hit, model, row_number() OVER (PARTITION BY model ORDER BY lnp, target, hit)::BIGINT AS rank FROM {HITS}")
 def tophits_rank(spark, d):
-    w = Window.partitionBy("model").orderBy("lnp", "target", "hit")
-    return scored(spark, d).select("hit", "model", F.row_number().over(w).cast("bigint").alias("rank"))
+    found = R.ranked(R.thresholded(order_hits(spark, d, "hit"), R.Config(e=float("inf"))))
+    return found.select(F.col("seq_id").alias("hit"), F.col("model").cast(scored(spark, d).schema["model"].dataType).alias("model"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("SELECT hit, model, rank FROM (SELECT hit, model, row_number() OVER (PARTITION BY model ORDER BY lnp, hit)::BIGINT AS rank FROM {HITS}) WHERE rank <= 5")
@@ -493,7 +495,20 @@ def window_extend_merge(spark, d):
     return I.merged(I.extended(s, ["target"], F.lit(2), "limit"), ["target"]).select("target", F.col("start").alias("first"), F.col("end").alias("last"), "n")
 
 
-@query()
+def _dedup_sql(keys: str) -> str:
+    """The walk over hits in order of position, as steps of a recursion: what is kept last, and the best of what was kept before."""
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    return f"""WITH RECURSIVE h AS (SELECT {keys}, start, stop, lnp, row_number() OVER (PARTITION BY {keys} ORDER BY start, stop, lnp, id) AS r FROM (SELECT *, id % 5 AS model FROM {SPANS})),
+w AS (
+    SELECT {keys}, r, 1::BIGINT AS kept, start AS s, stop AS e, lnp AS l, 0::DOUBLE AS before FROM h WHERE r = 1
+    UNION ALL
+    SELECT {', '.join('w.' + k for k in keys.split(', '))}, h.r, CASE WHEN x THEN kept ELSE kept + 1 END, CASE WHEN x AND NOT h.lnp < l THEN s ELSE h.start END, CASE WHEN x AND NOT h.lnp < l THEN e ELSE h.stop END,
+           CASE WHEN x AND NOT h.lnp < l THEN l ELSE h.lnp END, CASE WHEN x THEN before ELSE least(before, l) END
+    FROM (SELECT w.*, h.start = w.s OR h.stop = w.e OR (h.start >= w.s AND h.stop <= w.e) AS x FROM w JOIN h ON {same('w', 'h')} AND h.r = w.r + 1) w JOIN h ON {same('w', 'h')} AND h.r = w.r + 1)
+SELECT {keys}, kept, least(before, l) AS best FROM w QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY r DESC) = 1"""
+
+
+@query(_dedup_sql("target"))
 def dedup_order_search(spark, d):
     return I.without_duplicates(spans(spark, d), ["target"]).groupBy("target").agg(F.count("*").alias("kept"), F.min("lnp").alias("best"))
 
@@ -958,7 +973,7 @@ def dup_domain_workaround(spark, d):
     return best.select("target", F.col("start").alias("first"), F.col("end").alias("last"), F.col("x.id").cast("bigint").alias("id"))
 
 
-@query()
+@query(f"SELECT target, model, kept FROM ({_dedup_sql('target, model')})")
 def dedup_order_scan(spark, d):
     s = spans(spark, d).withColumn("model", F.col("id") % 5)
     return I.without_duplicates(s, ["target", "model"]).groupBy("target", "model").agg(F.count("*").alias("kept"))
