@@ -63,7 +63,7 @@ class Numbers(dict):
 
 
 def chunked(df: DataFrame, id_col: str, text_col: str, lower: bool, tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """(chunk, ids, lens, vocab, tokens, hashes): chunk a number, the others packed.
+    """(chunk, size, ids, lens, vocab, tokens): chunk and size (its words) numbers, the others packed.
 
     ids and lens have an entry per document, tokens one per word: its number in vocab, the chunk's
     words joined by spaces. A document is never cut, so a very long one makes a chunk of its size.
@@ -79,7 +79,7 @@ def chunked(df: DataFrame, id_col: str, text_col: str, lower: bool, tokens: int
             words = b" ".join(numbers)
             all_tokens = np.concatenate(parts) if parts else np.empty(0, np.uint32)
             cols = (pack(np.array(ids, np.int64)), pack(np.array(lens, np.uint32)), zstandard.ZstdCompressor(level=1).compress(words), pack(all_tokens))
-            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + count], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], names=["chunk", "ids", "lens", "vocab", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + count], pa.int64()), pa.array([len(all_tokens)], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], names=["chunk", "size", "ids", "lens", "vocab", "tokens"])
 
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -94,7 +94,7 @@ def chunked(df: DataFrame, id_col: str, text_col: str, lower: bool, tokens: int
         if ids:
             yield row()
 
-    made = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "chunk bigint, ids binary, lens binary, vocab binary, tokens binary")
+    made = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "chunk bigint, size bigint, ids binary, lens binary, vocab binary, tokens binary")
     return bucketed(made, "chunks", "chunk")
 
 

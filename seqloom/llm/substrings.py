@@ -3,12 +3,13 @@
 A suffix is a document from some word on; what matters of it are its first `window` words. Repeats are
 found in two passes over the chunks of the corpus (see corpus), both by request and reply:
 
-1. A sieve. Each suffix has a path code of 64 bits: 8 for its first word, 8 for the first four, 8 for the
-   first eight and 40 for the whole window, each from a hash of those words, so that codes of equal
-   beginnings lie together. A suffix whose code no other chunk has can repeat within its chunk alone, where
-   words are compared; it goes no further.
-2. Suffix trees. The suffixes that are left are dealt by prefixes of variable length: a histogram over
-   short prefixes shows which of them fit into memory together and which must be split by longer ones.
+1. A sieve. Each suffix has a code of 64 bits: 40 for the whole window, by which suffixes spread evenly over
+   groups, and 8 each for the first word, the first four and the first eight, all from hashes of those words.
+   A suffix whose code no other chunk has can repeat within its chunk alone, where words are compared; it goes
+   no further.
+2. Suffix trees. The suffixes that are left are dealt by prefixes of variable length: put first, the bits of
+   prefixes order codes so that equal beginnings lie together, and a histogram over short prefixes shows which
+   of them fit into memory together and which must be split by longer ones.
    Every group builds its subtree from words: suffixes are sorted word by word, the lengths of common
    prefixes of neighbours give the tree's internal nodes, and those as deep as the window are repeats.
    The leaf with the smallest document decides; the windows of all others are repeats, and runs of
@@ -47,26 +48,31 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def paths(chunk: Chunk, window: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(path code, word position) of every suffix with at least a window of words in its document."""
+    """(code, word position) of every suffix with at least a window of words in its document."""
     w = chunk.hashes()[chunk.tokens] if len(chunk.tokens) else np.empty(0, np.uint64)
     n = len(w) - window + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     room = np.repeat(chunk.starts + chunk.lens, chunk.lens)[:n] - np.arange(n)
     h, out = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    levels = {1: 56, max(1, window // 3): 48, max(1, 2 * window // 3): 40}
+    levels = {1: 16, max(1, window // 3): 8, max(1, 2 * window // 3): 0}
     for j in range(window):
         h = (h ^ w[j : j + n]) * _MULTIPLIER
         h ^= h >> np.uint64(29)
         if j + 1 in levels:
             out |= (mixed(h) >> np.uint64(56)) << np.uint64(levels[j + 1])
-    out |= mixed(h) >> np.uint64(24)
+    out |= mixed(h) & np.uint64(0xFFFFFFFFFF000000)
     at = np.flatnonzero(room >= window)
     return (out[at] >> np.uint64(64 - bits)) << np.uint64(64 - bits), at
 
 
+def prefixed(code: np.ndarray) -> np.ndarray:
+    """Codes with the bits of prefixes first."""
+    return code << np.uint64(40) | code >> np.uint64(24)
+
+
 class Prefixes:
-    """Groups of suffixes by prefixes of variable length, in path order."""
+    """Groups of suffixes by prefixes of variable length, in the order of prefixes."""
 
     def __init__(self, counts: np.ndarray, limit: int):
         self.pieces = np.maximum(1, -(-counts // limit))
@@ -88,7 +94,7 @@ class Prefixes:
 
 
 class Windows:
-    """A chunk's distinct windows in path order: code, smallest and largest document, positions and where each one's begin."""
+    """A chunk's distinct windows in the order of codes: code (`path`), smallest and largest document, positions and where each one's begin."""
 
     def __init__(self, chunk: Chunk, window: int, bits: int):
         path, at = paths(chunk, window, bits)
@@ -141,7 +147,7 @@ def common_prefixes(words: np.ndarray) -> np.ndarray:
 class SuffixTree:
     """The suffix tree of a group's windows, as an array of nodes.
 
-    words: suffixes x window, numbers that order words; doc: each suffix's document. Leaves are the sorted
+    words: suffixes x window, a number for each word; doc: each suffix's document. Leaves are the sorted
     suffixes. An internal node is a largest run of leaves whose neighbours share at least `depth` words, and
     some no more; a node holds all nodes within its run.
     """
@@ -196,7 +202,7 @@ def settle_codes(pdf: pd.DataFrame) -> pd.DataFrame:
     several = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
     shared = np.empty(len(path), bool)
     shared[order] = np.repeat(several, np.diff(np.append(first, len(path))))
-    prefix, n = np.unique((path[shared] >> np.uint64(64 - COUNTED)).astype(np.int64), return_counts=True)
+    prefix, n = np.unique((prefixed(path[shared]) >> np.uint64(64 - COUNTED)).astype(np.int64), return_counts=True)
     counts = pd.DataFrame({"chunk": [None], "group": [pdf.group.iat[0]], "bits": [None], "prefix": [prefix], "n": [n]})
     return pd.concat([_replies(pdf, shared, [len(x) for x in found]).assign(prefix=None, n=None), counts]).astype({"chunk": "Int64"})
 
@@ -210,9 +216,7 @@ def settle_words(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
         own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in names), np.uint32, len(names))
         local.append(own[unpack(words, np.uint32)].reshape(-1, window))
         docs.append(unpack_sorted(ids, np.int64)[unpack(which, np.uint32)])
-    rank = np.empty(len(numbers), np.uint32)  # numbers in the order of the words
-    rank[[numbers[w] for w in sorted(numbers)]] = np.arange(len(numbers))
-    tree = SuffixTree(rank[np.concatenate(local)], np.concatenate(docs))
+    tree = SuffixTree(np.concatenate(local), np.concatenate(docs))  # in the order in which words came, which serves as well as any
     return _replies(pdf, tree.repeats(window), [len(x) for x in local])
 
 
@@ -222,10 +226,11 @@ def _replies(pdf: pd.DataFrame, bits: np.ndarray, sizes: list[int]) -> pd.DataFr
 
 
 def answered(group: np.ndarray, replies: dict[int, bytes]) -> np.ndarray:
-    """The bits of replies by group, laid along sorted group numbers."""
+    """The bits of replies by group, put where the group's number stands."""
     out = np.zeros(len(group), bool)
-    for g, lo, hi in stretches(group):
-        out[lo:hi] = np.unpackbits(np.frombuffer(replies[g], np.uint8), count=hi - lo)
+    order = np.argsort(group, kind="stable")
+    for g, lo, hi in stretches(group[order]):
+        out[order[lo:hi]] = np.unpackbits(np.frombuffer(replies[g], np.uint8), count=hi - lo)
     return out
 
 
@@ -240,13 +245,6 @@ def deduplicated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_c
     columns = ["ids", "lens", "vocab", "tokens"]
     parts = "group bigint, chunk bigint"
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTED, np.int64)
-        for row in rows(batches):
-            total += np.bincount((paths(Chunk(*row), window, bits)[0] >> np.uint64(64 - COUNTED)).astype(np.int64), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["prefix", "n"])
-
     def groups_of(counts: DataFrame, most: int) -> Prefixes:
         # one number for each of 2^COUNTED prefixes comes to the driver, whatever the corpus
         total = np.zeros(1 << COUNTED, np.int64)
@@ -259,12 +257,16 @@ def deduplicated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_c
 
     with scratch(spark) as keep:
         store = keep(chunked(df, id_col, text_col, False, tokens))
-        sieve = groups_of(store.select(*columns).mapInArrow(counted, "prefix int, n bigint"), limit)
+        total = store.agg(F.sum("size").alias("n")).first().n or 0
+        width = np.uint64(max(1, -(-total // limit)))
+
+        def sieve(code: np.ndarray) -> np.ndarray:
+            return ((code >> np.uint64(32)) * width >> np.uint64(32)).astype(np.int64)
 
         def send_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk, *row in rows(batches):
                 w = Windows(Chunk(*row), window, bits)
-                for g, lo, hi in stretches(sieve.of(w.path)):
+                for g, lo, hi in stretches(sieve(w.path)):
                     ids, which = np.unique(w.least[lo:hi], return_inverse=True)
                     yield pa.RecordBatch.from_arrays(message(g, chunk, pack_sorted(w.path[lo:hi]), pack_sorted(ids), pack(which.astype(np.uint32))), names=["group", "chunk", "path", "ids", "which"])
 
@@ -277,15 +279,18 @@ def deduplicated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_c
             """The windows of a chunk that others may have, with their words."""
             chunk = Chunk(*left.loc[0, columns])
             w = Windows(chunk, window, bits)
-            some = np.flatnonzero(answered(sieve.of(w.path), dict(zip(right.group, right.bits, strict=True))))
+            some = np.flatnonzero(answered(sieve(w.path), dict(zip(right.group, right.bits, strict=True))))
             out = []
-            for g, lo, hi in stretches(trees.of(w.path[some])):
-                words = w.words(some[lo:hi])
+            group = trees.of(prefixed(w.path[some]))
+            order = np.argsort(group, kind="stable")
+            for g, lo, hi in stretches(group[order]):
+                mine = some[order[lo:hi]]
+                words = w.words(mine)
                 used = np.zeros(len(chunk.words), bool)
                 used[words] = True
                 number = np.cumsum(used, dtype=np.uint32) - np.uint32(1)
                 vocab = zstandard.ZstdCompressor(level=1).compress(b" ".join([chunk.words[u] for u in np.flatnonzero(used).tolist()]))
-                ids, of = np.unique(w.least[some[lo:hi]], return_inverse=True)
+                ids, of = np.unique(w.least[mine], return_inverse=True)
                 out.append((g, left.chunk.iat[0], vocab, pack(number[words].ravel()), pack_sorted(ids), pack(of.astype(np.uint32))))
             return pd.DataFrame(out, columns=["group", "chunk", "vocab", "words", "ids", "which"])
 
@@ -297,9 +302,9 @@ def deduplicated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_c
         chunk = Chunk(*left.loc[0, columns])
         w = Windows(chunk, window, bits)
         sieved, settled = (dict(zip(x.group, x.bits, strict=True)) for x in (right[~right.tree.astype(bool)], right[right.tree.astype(bool)]))
-        some = np.flatnonzero(answered(sieve.of(w.path), sieved))
+        some = np.flatnonzero(answered(sieve(w.path), sieved))
         repeat = np.zeros(len(w.path), bool)
-        repeat[some] = answered(trees.of(w.path[some]), settled)
+        repeat[some] = answered(trees.of(prefixed(w.path[some])), settled)
         sizes = np.diff(np.append(w.first, len(w.at)))
         doc = np.repeat(chunk.ids, chunk.lens)
         starts = np.zeros(len(chunk.tokens) + 1, np.int64)
