@@ -69,6 +69,70 @@ def transition_counts(state: DataFrame, weights: DataFrame) -> DataFrame:
     return step.join(weights, ["msa_id", "row_idx"]).groupBy("msa_id", F.col("node").alias("k"), "move").agg(F.sum("weight").alias("count"))
 
 
+def capped_inserts(counts: DataFrame, longest: float) -> DataFrame:
+    """transition_counts' rows, the steps within an insert of a node being at most `longest` times those that begin one."""
+    begun = counts.where("move = 'MI'").select("msa_id", "k", F.col("count").alias("begun"))
+    cap = F.least("count", F.coalesce("begun", F.lit(0.0)) * longest)
+    return counts.join(begun, ["msa_id", "k"], "left").withColumn("count", F.when(F.col("move") == "II", cap).otherwise(F.col("count"))).drop("begun")
+
+
+def renormalised(counts: DataFrame, *keys: str) -> DataFrame:
+    """counts as shares of their sum over keys: probabilities without a prior; nothing where the sum is 0."""
+    return counts.withColumn("p", F.col("count") / F.nullif(F.sum("count").over(Window.partitionBy(*keys)), F.lit(0.0)))
+
+
+def is_valid_row(aseq: Column) -> Column:
+    """Whether missing data stands at the ends of a row alone."""
+    return aseq.rlike("^~*[^~]*~*$")
+
+
+def model_names(msa: DataFrame, given: str | None = None, file: str | None = None) -> DataFrame:
+    """msa(msa_id, msa_name) with `name` and `problem`: the name given, else the alignment's own, else the file's without directory and suffix.
+
+    Only the name that the alignment has itself will do where there are several alignments.
+    """
+    several = F.count("*").over(Window.partitionBy()) > 1 if msa.limit(2).count() > 1 else F.lit(False)
+    tail = F.lit(file.rsplit("/", 1)[-1].rsplit(".", 1)[0] if file else None).cast("string")
+    own = F.col("msa_name")
+    name = F.when(~several, F.coalesce(F.lit(given).cast("string"), own, tail)).otherwise(own)
+    problem = F.when(several & F.lit(given is not None), "a name is given for several alignments").when(several & own.isNull(), "an alignment has no name").when(name.isNull(), "no name")
+    return msa.withColumn("name", name).withColumn("problem", problem)
+
+
+def checksum(rows: DataFrame) -> DataFrame:
+    """(msa_id, checksum): Jenkins' one-at-a-time hash, 32 bits, of an alignment's rows in order. An alignment is gathered in one row."""
+    mask = F.lit(0xFFFFFFFF)
+    cut = lambda v: v.bitwiseAND(mask)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "aseq"))), lambda x: x["aseq"]), "")
+
+    def step(v, c):
+        v = cut(v + F.ascii(c))
+        v = cut(v + F.shiftleft(v, 10))
+        return v.bitwiseXOR(F.shiftright(v, 6))
+
+    def last(v):
+        v = cut(v + F.shiftleft(v, 3))
+        v = v.bitwiseXOR(F.shiftright(v, 11))
+        return cut(v + F.shiftleft(v, 15))
+
+    folded = F.aggregate(F.filter(F.split("t", ""), lambda c: c != ""), F.lit(0).cast("bigint"), step, last)
+    return rows.groupBy("msa_id").agg(text.alias("t")).select("msa_id", folded.alias("checksum"))
+
+
+def justified(inserts: Column, width: Column) -> Column:
+    """Inserted residues in a gap of a width: the first half flush left, the rest flush right."""
+    left = F.ceil(F.length(inserts) / 2).cast("int")
+    return F.concat(F.substring(inserts, F.lit(1), left), F.repeat(F.lit("."), (width - F.length(inserts)).cast("int")), F.substring(inserts, left + 1, F.length(inserts)))
+
+
+def annotation_lines(columns: DataFrame, masked: DataFrame | None = None) -> DataFrame:
+    """(msa_id, rf, mm): a letter per column, x or . for match columns, m or . for masked(msa_id, k) nodes."""
+    mask = columns.withColumn("masked", F.lit(False)) if masked is None else columns.join(masked.withColumn("masked", F.lit(True)), ["msa_id", "k"], "left")
+    line = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("apos", test.alias("c")))), lambda x: x["c"]), "")
+    m = F.col("is_match") & F.coalesce("masked", F.lit(False))
+    return mask.groupBy("msa_id").agg(line(F.when(F.col("is_match"), "x").otherwise(".")).alias("rf"), line(F.when(m, "m").otherwise(".")).alias("mm"))
+
+
 # numbers of one alignment: models are small, alignments of one family bounded by their columns
 def dirichlet_mean(counts: np.ndarray, mixture: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Mean posterior probabilities of counts under a Dirichlet mixture (weights, components x letters)."""
@@ -239,54 +303,77 @@ def mark_fragments(rows: list[str], threshold: float = 0.5) -> list[str]:
     return out
 
 
-def align(model: Model, names: list[str], seqs: list[str]) -> list[tuple[str, str, str]]:
-    """(name, aligned row, posterior row) of each sequence: match columns in upper case, inserts in lower case with '.' for padding."""
+def aligned_parts(model: Model, seq: str) -> tuple[list[str], list[str], list[str], list[str]]:
+    """(match letters, their posterior codes, inserts, their codes) of a sequence on the path of best accuracy, by node 0..M; node 0 and M hold the flanks."""
     from seqloom.operators import kernels as K
     from seqloom.operators.profile import configure
 
-    p = configure(model, multihit=False)
-    paths, widths = [], np.zeros(model.m + 1, int)
-    for s in seqs:
-        if not s:
-            paths.append([])
-            continue
-        _, path = K.optimal_accuracy(p, K.Posterior(p, digitize(s, model.alphabet)))
-        paths.append(path)
-        used: dict[int, int] = {}
-        node = 0
-        for state, k, _, _ in path:
-            node = k if state in "MD" else node if state == "I" else (0 if state == "N" else model.m)
-            if state in "INC":
-                used[node] = used.get(node, 0) + 1
-        for k, n in used.items():
-            widths[k] = max(widths[k], n)
-    out = []
-    for name, s, path in zip(names, seqs, paths, strict=True):
-        match, post = ["-"] * (model.m + 1), ["."] * (model.m + 1)
-        inserts: list[list[str]] = [[] for _ in range(model.m + 1)]
-        marks: list[list[str]] = [[] for _ in range(model.m + 1)]
-        node = 0
+    m = model.m
+    match, post = ["-"] * (m + 1), ["."] * (m + 1)
+    inserts, marks = [""] * (m + 1), [""] * (m + 1)
+    if seq:
+        p = configure(model, multihit=False)
+        _, path = K.optimal_accuracy(p, K.Posterior(p, digitize(seq, model.alphabet)))
         for state, k, i, q in path:
-            digit = "*" if q + 0.05 >= 1 else str(int((q + 0.05) * 10))
+            code = "*" if q + 0.05 >= 1 else str(int((q + 0.05) * 10))
             if state == "M":
-                node, match[k], post[k] = k, s[i - 1].upper(), digit
-            elif state == "D":
-                node = k
+                match[k], post[k] = seq[i - 1].upper(), code
             elif state in "INC":
-                node = 0 if state == "N" else model.m if state == "C" else k
-                inserts[node].append(s[i - 1].lower())
-                marks[node].append(digit)
-        row, pp = "", ""
-        for k in range(model.m + 1):
-            if k:
-                row, pp = row + match[k], pp + post[k]
-            gap = int(widths[k]) - len(inserts[k])
-            # flanks and inserts: the first half keeps left, the second right, and the N-terminal flank is flush right
-            cut = 0 if k == 0 else len(inserts[k]) if k == model.m else (len(inserts[k]) + 1) // 2
-            row += "".join(inserts[k][:cut]) + "." * gap + "".join(inserts[k][cut:])
-            pp += "".join(marks[k][:cut]) + "." * gap + "".join(marks[k][cut:])
-        out.append((name, row, pp))
-    return out
+                node = 0 if state == "N" else m if state == "C" else k
+                inserts[node] += seq[i - 1].lower()
+                marks[node] += code
+    return match, post, inserts, marks
+
+
+def laid_out(match: list[str], post: list[str], inserts: list[str], marks: list[str], widths: list[int]) -> tuple[str, str]:
+    """(aligned row, posterior row) for the widths of the insert columns behind each node: the first half of an insert keeps left, the
+    second right; the flank before the first node is flush right, the one after the last flush left."""
+    m, row, pp = len(match) - 1, [], []
+    for k in range(m + 1):
+        if k:
+            row.append(match[k])
+            pp.append(post[k])
+        n = len(inserts[k])
+        cut, gap = 0 if k == 0 else n if k == m else (n + 1) // 2, "." * (widths[k] - n)
+        row.append(inserts[k][:cut] + gap + inserts[k][cut:])
+        pp.append(marks[k][:cut] + gap + marks[k][cut:])
+    return "".join(row), "".join(pp)
+
+
+def align(model: Model, names: list[str], seqs: list[str]) -> list[tuple[str, str, str]]:
+    """(name, aligned row, posterior row) of each sequence: match columns in upper case, inserts in lower case with '.' for padding."""
+    parts = [aligned_parts(model, s) for s in seqs]
+    widths = [max((len(p[2][k]) for p in parts), default=0) for k in range(model.m + 1)]
+    return [(name, *laid_out(*p, widths)) for name, p in zip(names, parts, strict=True)]
+
+
+def alignment(sequences: DataFrame, model: Model) -> DataFrame:
+    """(name, aseq, pp): sequences(name, seq) as rows of one alignment to a model.
+
+    Each sequence is aligned by itself; the width of every insert column is the greatest that any row needs, which
+    is one aggregation; then rows are laid out with these widths. Only the widths, one per node, come to the driver.
+    """
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from seqloom.session import cut
+
+    def parts(batches):
+        for pdf in batches:
+            found = [aligned_parts(model, s or "") for s in pdf.seq]
+            yield pd.DataFrame({"name": pdf.name, **{c: [f[i] for f in found] for i, c in enumerate(("match", "post", "inserts", "marks"))}})
+
+    made = cut(sequences.select("name", "seq").mapInPandas(parts, "name string, match array<string>, post array<string>, inserts array<string>, marks array<string>"))
+    need = made.select(F.posexplode(F.transform("inserts", F.length)).alias("k", "w")).groupBy("k").agg(F.max("w").alias("w")).collect()
+    widths = [0] * (model.m + 1)
+    for r in need:
+        widths[r.k] = r.w
+
+    def rows(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(n, *laid_out(list(a), list(b), list(c), list(d), widths)) for n, a, b, c, d in zip(pdf.name, pdf.match, pdf.post, pdf.inserts, pdf.marks, strict=True)], columns=["name", "aseq", "pp"])
+
+    return made.mapInPandas(rows, "name string, aseq string, pp string")
 
 
 def emit(model: Model, n: int, seed: int = 42) -> list[str]:

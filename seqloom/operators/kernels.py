@@ -179,7 +179,7 @@ def _passed(t: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0, 0.0], np.cumsum(dd[1:-1])])
 
 
-def _forward(p: Profile, x: np.ndarray, lengths: np.ndarray, plus, keep: bool) -> tuple[np.ndarray, Lattice]:
+def _forward(p: Profile, x: np.ndarray, lengths: np.ndarray, plus, keep: bool, inside: np.ndarray | None = None) -> tuple[np.ndarray, Lattice]:
     n, m = len(x), p.m
     span = x.shape[1] if keep else 1
     lat = Lattice(n, span, m)
@@ -201,8 +201,12 @@ def _forward(p: Profile, x: np.ndarray, lengths: np.ndarray, plus, keep: bool) -
             into[:, 0] = NEVER
             nm[:, 1:] = plus(into, xb[:, None] + p.entry[1:]) + emit[:, 1:]
             ni[:, 1:m] = plus(mm[:, 1:m] + t[1:m, MI], ii[:, 1:m] + t[1:m, II])
+            if inside is not None:
+                nm[:, ~inside[i]] = ni[:, ~inside[i]] = NEVER
             if m > 1:
                 nd[:, 2:] = plus.accumulate(nm[:, 1:-1] + t[1:-1, MD] - passed[2:], axis=1) + passed[2:]
+            if inside is not None:
+                nd[:, ~inside[i]] = NEVER
             xe = total(nm[:, 1:], axis=1)
             if p.local:
                 xe = plus(xe, total(nd[:, 1:], axis=1))
@@ -232,6 +236,20 @@ def forward(p: Profile, x: np.ndarray, lengths: np.ndarray, keep: bool = False):
     return (score, lat) if keep else score
 
 
+def hybrid(p: Profile, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The best score of a path's end over all paths up to it: the largest match cell of the Forward lattice."""
+    _, lat = _forward(p, x, lengths, np.logaddexp, True)
+    return lat.m.max((1, 2))
+
+
+def forward_banded(p: Profile, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
+    """Forward score of one sequence over the cells of bands alone: nodes low[i]..high[i] at position i + 1; none where low exceeds high."""
+    nodes = np.arange(p.m + 1)
+    inside = (nodes >= low[:, None]) & (nodes <= high[:, None])
+    score, _ = _forward(p, x[None, :], np.array([len(x)]), np.logaddexp, False, inside)
+    return float(score[0])
+
+
 def _forward_odds(p: Profile, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Forward in odds, every row divided by its own size now and then."""
     n, m = len(x), p.m

@@ -228,6 +228,24 @@ def max_length(model: Model, beta: float = 1e-7) -> int:
     return limit
 
 
+def window_shares(model: Model, beta: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix, suffix) of each node 1..M: the share of a match's greatest length that comes before and after it.
+
+    A node's own length is where the tail of its insertions falls under beta; the ends have none.
+    """
+    m, t = model.m, model.t
+    own = np.zeros(m + 1)
+    for k in range(1, m):
+        own[k] = 1 if t[k, MI] == 0 else 1 + int(np.log(beta / t[k, MI]) / np.log(t[k, II]))
+    share = own / max(1.0, own.sum())
+    prefix = np.concatenate([np.cumsum(share[:m]), [0.0]])
+    suffix = np.zeros(m + 1)
+    suffix[m] = share[m - 1]
+    for k in range(m - 1, 0, -1):
+        suffix[k] = suffix[k + 1] + share[k - 1]
+    return prefix[1:], suffix[1:]
+
+
 # quantised forms
 def quantise_msv(p: Profile) -> tuple[np.ndarray, int]:
     """(match costs in third-bits, bias), 0 to 255."""

@@ -22,6 +22,7 @@ from seqloom.functions.alphabet import digitize
 from seqloom.operators import kernels as K
 from seqloom.operators.ensemble import envelopes
 from seqloom.operators.profile import Model, composition, configure, relative_entropy
+from seqloom.session import cut
 
 LN2 = float(np.log(2))
 #: Bytes of models broadcast at once; more models are searched in further passes.
@@ -383,9 +384,9 @@ def msv_search(sequences: DataFrame, models: list[Model], config: Config | None
 
 
 def search(sequences: DataFrame, models: list[Model], config: Config | None = None) -> tuple[DataFrame, DataFrame]:
-    """(hits with thresholds, counters) of every model against every sequence; computed once and kept."""
+    """(hits with thresholds, counters) of every model against every sequence; computed once and kept in the checkpoint folder."""
     config = config or Config()
-    raw = raw_hits(sequences, models, config).persist()
+    raw = cut(raw_hits(sequences, models, config))
     return thresholded(raw, config), counters(raw)
 
 
@@ -404,15 +405,15 @@ def iterate(sequences: DataFrame, query: Model, rebuild, rounds: int = 5, config
     rebuild(model, hits) gives the next model; it sees included hits alone, whose number thresholds bound.
     """
     config = config or Config(inc_e=1e-3, inc_dom_e=1e-3)
-    known: set[int] = set()
+    known = None
     model, hits = query, None
     for step in range(1, rounds + 1):
         hits, _ = search(sequences, [model], config)
         included = hits.where("included")
-        new = {r.seq_id for r in included.select("seq_id").collect()}
-        if new <= known:
+        found = included.select("seq_id").distinct()
+        if (found if known is None else found.join(known, "seq_id", "left_anti")).isEmpty():
             return hits, step
-        known |= new
+        known = cut(found if known is None else known.union(found).distinct())
         model = rebuild(model, included)
     return hits, rounds
 

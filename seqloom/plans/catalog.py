@@ -538,7 +538,7 @@ def kadane_extension(spark, d):
 
 # model building, on segments as alignments
 def _alignment(spark, d):
-    cell = B.cells(segments(spark, d)).persist()
+    cell = B.cells(segments(spark, d))
     weights = B.position_weights(cell)
     return cell, weights, B.consensus_columns(cell, weights)
 
@@ -721,14 +721,19 @@ def indel_values(spark, d):
 
 @query()
 def align_to_model(spark, d):
-    m = P.single_sequence("word", "STEEL")
+    return B.alignment(parts(spark, d).select(F.col("p_partkey").cast("string").alias("name"), "seq"), P.single_sequence("word", "STEEL"))
 
-    def run(pdf):
-        import pandas as pd
 
-        return pd.DataFrame(B.align(m, pdf.p_partkey.astype(str).tolist(), pdf.seq.tolist()), columns=["name", "aseq", "pp"])
+@query("SELECT p_partkey, lower(seq) AS seq FROM {PARTS}")
+def aligned_rows_degapped(spark, d):
+    """Every row of an alignment to a model, without its gaps, is the sequence again."""
+    return align_to_model(spark, d).select(F.col("name").cast(parts(spark, d).schema["p_partkey"].dataType).alias("p_partkey"), F.lower(F.regexp_replace("aseq", "[-.]", "")).alias("seq"))
+
 
-    return parts(spark, d).groupBy((F.col("p_partkey") % 64).alias("block")).applyInPandas(run, "name string, aseq string, pp string")
+@query("SELECT 1::BIGINT AS widths")
+def aligned_rows_width(spark, d):
+    """All rows of an alignment are equally long, letters and posteriors alike."""
+    return align_to_model(spark, d).select(F.explode(F.array(F.length("aseq"), F.length("pp"))).alias("w")).agg(F.count_distinct("w").alias("widths"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN p + 0.05 >= 1 THEN '*' ELSE floor((p + 0.05) * 10)::INT::VARCHAR END AS code FROM (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE / 50 AS p FROM lineitem)")

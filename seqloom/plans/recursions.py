@@ -43,14 +43,16 @@ class Recursion:
     def _total(self, terms: list[str], best: bool) -> str:
         return f"greatest({', '.join(terms)})" if best and len(terms) > 1 else f"({' + '.join(terms)})"
 
-    def forward(self, name: str = "f", best: bool = False) -> str:
-        """CTE name(key, i, m1.., i1.., d2.., en, nn, jj, bb, cc) in odds; with best, the best path instead of all."""
+    def forward(self, name: str = "f", best: bool = False, only: tuple[int, ...] = ()) -> str:
+        """CTE name(key, i, m1.., i1.., d2.., en, nn, jj, bb, cc) in odds; with best, the best path instead of all; only: the nodes of a band."""
         t, m = self.t, self.m
         total = lambda *x: self._total(list(x), best)
         states = [*[f"m{k}" for k in self.nodes], *[f"i{k}" for k in range(1, m)], *[f"d{k}" for k in range(2, m + 1)]]
         new_m = {k: total(*([f"m{k - 1} * {t[k - 1, MM]!r}", f"i{k - 1} * {t[k - 1, IM]!r}"] if k > 1 else []), *([f"d{k - 1} * {t[k - 1, DM]!r}"] if k > 2 else []), f"bb * {self.entry[k]!r}") + f" * e{k}" for k in self.nodes}
         new_i = {k: total(f"m{k} * {t[k, MI]!r}", f"i{k} * {t[k, II]!r}") for k in range(1, m)}
         dele = self.deletes(lambda k: f"m{k}", best)
+        if only:
+            new_m, new_i, dele = ({k: v if k in only else "0.0::DOUBLE" for k, v in cells.items()} for cells in (new_m, new_i, dele))
         inner = ", ".join([f"{v} AS m{k}" for k, v in new_m.items()] + [f"{v} AS i{k}" for k, v in new_i.items()])
         ends = total(*[f"m{k}" for k in self.nodes], *[f"d{k}" for k in range(2, m + 1)])
         carry = f"{self.key}, seq, n, lp, mv"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from seqloom.functions.alphabet import AMINO, background
 from seqloom.operators import clusters as C
-from seqloom.plans.catalog import NATION_MODEL, query, r6, segments, table
+from seqloom.operators import profile as P
+from seqloom.plans.catalog import LOGO, NATION_MODEL, QUANTISED, SQL, WORD_CELLS, nation_models, query, r6, segments, table
 
 # part names as rows of one alignment per brand
 BRANDS = "(SELECT p_brand AS msa_id, p_partkey AS row_idx, rpad(upper(replace(p_name, ' ', '-')), 16, '-') AS aseq FROM part)"
@@ -298,3 +301,244 @@ def sql_table_function(spark, d):
     tables.register(spark)
     parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), "seq").createOrReplaceTempView("seqloom_targets")
     return spark.sql("SELECT seq_id, round(bits, 6) AS bits FROM word_search(TABLE(seqloom_targets), 'STEEL')")
+
+
+# kernels and paths against a model of one word
+def _paths(spark, d, make, schema: str):
+    from seqloom.operators import profile as P
+    from seqloom.plans.catalog import parts, word_model
+
+    p = P.configure(word_model())
+    df = parts(spark, d).where("seq <> ''").select("p_partkey", "seq")
+    names = ["p_partkey", *[c.split(" ")[0] for c in schema.split(", ")]]
+
+    def run(batches):
+        import pandas as pd
+
+        from seqloom.functions.alphabet import digitize
+
+        for pdf in batches:
+            yield pd.DataFrame([(k, *row) for k, s in zip(pdf.p_partkey, pdf.seq, strict=True) for row in make(p, digitize(s))], columns=names)
+
+    return df.mapInPandas(run, f"p_partkey {df.schema['p_partkey'].dataType.simpleString()}, {schema}")
+
+
+@query(SQL["viterbi_score"])
+def viterbi_trace_score(spark, d):
+    """The best path's score, summed again over its states and steps."""
+    from seqloom.operators import tracing
+
+    return _paths(spark, d, lambda p, x: [(round(tracing.path_score(p, x, tracing.viterbi_path(p, x)), 6),)], "score double")
+
+
+@query(f"WITH RECURSIVE {WORD_CELLS.emissions()}, {WORD_CELLS.sequences()}, {WORD_CELLS.forward()} SELECT p_partkey, round(ln(max(greatest({', '.join(f'm{k}' for k in WORD_CELLS.nodes)}))), 6) AS score FROM f WHERE i > 0 GROUP BY p_partkey")
+def hybrid_score(spark, d):
+    from seqloom.operators import kernels as K
+
+    return _paths(spark, d, lambda p, x: [(round(float(K.hybrid(p, x[None, :], np.array([len(x)]))[0]), 6),)], "score double")
+
+
+@query(f"WITH RECURSIVE {WORD_CELLS.emissions()}, {WORD_CELLS.sequences()}, {WORD_CELLS.forward(only=(2, 3, 4))} SELECT p_partkey, round(ln(cc * mv), 6) AS score FROM f WHERE i = n")
+def forward_banded(spark, d):
+    """Forward over the band of the three inner nodes."""
+    from seqloom.operators import kernels as K
+
+    return _paths(spark, d, lambda p, x: [(round(K.forward_banded(p, x, np.full(len(x), 2), np.full(len(x), 4)), 6),)], "score double")
+
+
+@query()
+def viterbi_trace_domains(spark, d):
+    """Passages of the best path through the model, with the composition that their states have."""
+    from seqloom.operators import tracing
+
+    def make(p, x):
+        path = tracing.viterbi_path(p, x)
+        return [(n, *dom, round(float(tracing.null2_of_path(p, path)[0]), 6)) for n, dom in enumerate(tracing.path_domains(path), 1)]
+
+    return _paths(spark, d, make, "domain int, first int, last int, first_node int, last_node int, null2_a double")
+
+
+# other forms of models
+@query(f"WITH {NATION_MODEL} SELECT 'nation' || msa_id AS name, k::INT AS k, residue, floor(0.5 + 1000 * log2(p / f))::INT AS score FROM em")
+def model_text_v2(spark, d):
+    """Scores as version 2 text has them."""
+    from seqloom.sources import modelforms
+
+    def make(m):
+        lines = modelforms.render_v2(m).splitlines()
+        at = next(i for i, x in enumerate(lines) if x.startswith("HMM "))
+        return [(k, a, int(s)) for k in range(1, m.m + 1) for a, s in zip(AMINO, lines[at + 3 * k].split()[1:21], strict=True)]
+
+    return nation_models(spark, d, make, "k int, residue string, score int")
+
+
+@query(f"WITH {NATION_MODEL} SELECT 'nation' || msa_id AS name, k::INT AS k, residue, round(p, 5) AS p FROM em")
+def model_binary_roundtrip(spark, d):
+    from seqloom.sources import modelforms
+
+    def make(m):
+        (back,) = modelforms.models_of(modelforms.to_binary(m))
+        return [(k, a, round(float(back.mat[k, i]) + 1e-9, 5)) for k in range(1, m.m + 1) for i, a in enumerate(AMINO)]
+
+    return nation_models(spark, d, make, "k int, residue string, p double")
+
+
+@query("SELECT residue, round(f, 5) AS f FROM {BG}")
+def background_file(spark, d):
+    from seqloom.sources import modelforms
+
+    _, f = modelforms.parse_background(modelforms.render_background(background("amino")))
+    return spark.createDataFrame([(a, round(float(x), 5)) for a, x in zip(AMINO, f, strict=True)], "residue string, f double")
+
+
+@query(f"WITH {QUANTISED} SELECT 'nation' || msa_id AS name, k::INT AS k, residue, (bias - greatest(0, least(255, bias - sign(x) * floor(abs(x) + 0.5))))::INT AS gain FROM qs")
+def ssv_scores(spark, d):
+    """What a cell of the ungapped filter adds."""
+    def make(m):
+        cost, bias = P.quantise_msv(P.configure(m))
+        return [(k, a, int(bias - cost[i, k])) for i, a in enumerate(AMINO) for k in range(1, m.m + 1)]
+
+    return nation_models(spark, d, make, "k int, residue string, gain int")
+
+
+@query(f"""WITH {NATION_MODEL}, ow AS (SELECT msa_id, m, k, CASE WHEN k = m THEN 0 ELSE 1 + trunc(ln(1e-7 / mi) / ln(ii)) END AS own FROM tr WHERE k > 0),
+sh AS (SELECT msa_id, m, k, own / sum(own) OVER (PARTITION BY msa_id) AS s FROM ow)
+SELECT 'nation' || a.msa_id AS name, a.k::INT AS k, round(CASE WHEN a.k = a.m THEN 0 ELSE sum(CASE WHEN b.k <= a.k THEN b.s ELSE 0 END) END, 6) AS prefix, round(sum(CASE WHEN b.k >= a.k - 1 AND b.k < a.m THEN b.s ELSE 0 END), 6) AS suffix
+FROM sh a JOIN sh b ON a.msa_id = b.msa_id GROUP BY a.msa_id, a.k, a.m""")
+def window_shares(spark, d):
+    """Shares of a match's length before and after each node."""
+    return nation_models(spark, d, lambda m: [(k, round(float(a), 6), round(float(b), 6)) for k, (a, b) in enumerate(zip(*P.window_shares(m), strict=True), 1)], "k int, prefix double, suffix double")
+
+
+@query(f"WITH {NATION_MODEL} SELECT 'nation' || msa_id AS name, round(sum(exp(e) * (m - k + 1)), 6) AS total FROM (SELECT *, ln(occ / sum(occ * (m - k + 1)) OVER (PARTITION BY msa_id)) AS e FROM oc) GROUP BY msa_id")
+def profile_validation(spark, d):
+    """Local entries, each counted as often as it has exits, sum to one."""
+    def make(m):
+        e = np.exp(P.configure(m).entry[1:])
+        return [(round(float((e * np.arange(m.m, 0, -1)).sum()), 6),)]
+
+    return nation_models(spark, d, make, "total double")
+
+
+# alignments
+@query(f"WITH {NATION_MODEL} SELECT msa_id, k::BIGINT AS k, move, round(CASE WHEN move = 'II' THEN least(n, coalesce(mi, 0) * 2) ELSE n END, 6) AS n FROM (SELECT *, max(CASE WHEN move = 'MI' THEN n END) OVER (PARTITION BY msa_id, k) AS mi FROM (SELECT msa_id, coalesce(fk, 0) AS k, coalesce(fs, 'M') || state AS move, count(*)::DOUBLE AS n FROM sx GROUP BY ALL))")
+def insert_cap(spark, d):
+    from seqloom.operators import build as B
+
+    unit = _states(spark, d).select("msa_id", "row_idx").distinct().withColumn("weight", F.lit(1.0))
+    return B.capped_inserts(B.transition_counts(_states(spark, d), unit), 2.0).select("msa_id", F.col("k").cast("bigint").alias("k"), "move", r6(F.col("count")).alias("n"))
+
+
+@query(f"WITH {NATION_MODEL} SELECT msa_id, k::BIGINT AS k, residue, round(n / sum(n) OVER (PARTITION BY msa_id, k), 6) AS p FROM ec")
+def renormalised_emissions(spark, d):
+    from seqloom.operators import build as B
+
+    cell = B.cells(segments(spark, d))
+    match = _states(spark, d).where("state = 'M'").join(cell, ["msa_id", "row_idx", "apos"])
+    counts = match.groupBy("msa_id", "k", F.col("c").alias("residue")).agg(F.count("*").cast("double").alias("count"))
+    return B.renormalised(counts, "msa_id", "k").select("msa_id", F.col("k").cast("bigint").alias("k"), "residue", r6(F.col("p")).alias("p"))
+
+
+@query("SELECT c_custkey, regexp_matches(s, '^~*[^~]*~*$') AS valid FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '~~' || c_name || '~' WHEN c_custkey % 3 = 1 THEN c_name || '~' || c_name ELSE c_name END AS s FROM customer)")
+def msa_validation(spark, d):
+    from seqloom.operators import build as B
+
+    name, k = F.col("c_name"), F.col("c_custkey") % 3
+    row = F.when(k == 0, F.concat(F.lit("~~"), name, F.lit("~"))).when(k == 1, F.concat(name, F.lit("~"), name)).otherwise(name)
+    return table(spark, d, "customer").select("c_custkey", B.is_valid_row(row).alias("valid"))
+
+
+@query("SELECT n_nationkey AS msa_id, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS name, CASE WHEN n_nationkey % 2 = 1 THEN 'an alignment has no name' END AS problem FROM nation")
+def model_naming(spark, d):
+    from seqloom.operators import build as B
+
+    named = table(spark, d, "nation").select(F.col("n_nationkey").alias("msa_id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("msa_name"))
+    return B.model_names(named, file="dir/family.sto").select("msa_id", "name", "problem")
+
+
+@query("""WITH RECURSIVE t AS (SELECT msa_id, string_agg(aseq, '' ORDER BY row_idx) AS t FROM {MSA} GROUP BY msa_id),
+w AS (SELECT msa_id, t, 0 AS i, 0::BIGINT AS v FROM t UNION ALL
+      SELECT msa_id, t, i + 1, xor(b, b >> 6) FROM (SELECT *, (a + (a << 10)) & 4294967295 AS b FROM (SELECT *, (v + ascii(substr(t, i + 1, 1))) & 4294967295 AS a FROM w WHERE i < length(t))))
+SELECT msa_id, (y + (y << 15)) & 4294967295 AS checksum FROM (SELECT msa_id, xor(x, x >> 11) AS y FROM (SELECT msa_id, (v + (v << 3)) & 4294967295 AS x FROM w WHERE i = length(t)))""")
+def msa_checksum(spark, d):
+    from seqloom.operators import build as B
+
+    return B.checksum(segments(spark, d))
+
+
+@query("SELECT p_partkey, substr(s, 1, ceil(length(s) / 2.0)::INT) || repeat('.', 40 - length(s)) || substr(s, ceil(length(s) / 2.0)::INT + 1) AS line FROM (SELECT p_partkey, lower(seq) AS s FROM {PARTS})")
+def insert_justification(spark, d):
+    from seqloom.operators import build as B
+    from seqloom.plans.catalog import parts
+
+    s = F.lower("seq")
+    return parts(spark, d).select("p_partkey", B.justified(s, F.lit(40)).alias("line"))
+
+
+@query(f"WITH {NATION_MODEL} SELECT msa_id, string_agg(CASE WHEN is_match THEN 'x' ELSE '.' END, '' ORDER BY apos) AS rf, string_agg(CASE WHEN is_match AND k % 3 = 0 THEN 'm' ELSE '.' END, '' ORDER BY apos) AS mm FROM mc GROUP BY msa_id")
+def msa_annotation(spark, d):
+    from pyspark.sql import Window
+
+    from seqloom.operators import build as B
+
+    cell = B.cells(segments(spark, d))
+    share = cell.groupBy("msa_id", "apos").agg((F.avg(F.when(B.is_residue(F.col("c")), 1.0).otherwise(0.0)) >= 0.5).alias("is_match"))
+    columns = share.withColumn("k", F.sum(F.col("is_match").cast("int")).over(Window.partitionBy("msa_id").orderBy("apos")))
+    return B.annotation_lines(columns, columns.where("is_match AND k % 3 = 0").select("msa_id", "k").distinct())
+
+
+# statistics, sets and scans
+@query(f"WITH {LOGO}, h AS (SELECT msa_id, k, -sum(p * log2(p)) AS h FROM p GROUP BY ALL) SELECT msa_id, round((SELECT -sum(f * log2(f)) FROM {{BG}}) - avg(h), 6) AS info FROM h GROUP BY msa_id")
+def mean_match_info(spark, d):
+    from seqloom.plans.catalog import _logo
+
+    f = background("amino")
+    h0 = float(-(f * np.log2(f)).sum())
+    h = _logo(spark, d).groupBy("msa_id", "k").agg((-F.sum(F.col("p") * F.log2("p"))).alias("h"))
+    return h.groupBy("msa_id").agg(r6(F.lit(h0) - F.avg("h")).alias("info"))
+
+
+@query("SELECT DISTINCT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0")
+def set_except(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT source, count(CASE WHEN lang = 'en' THEN 1 END)::BIGINT AS en, count(CASE WHEN lang = 'de' THEN 1 END)::BIGINT AS de, count(CASE WHEN lang = 'fr' THEN 1 END)::BIGINT AS fr FROM documents GROUP BY source")
+def pivot_counts(spark, d):
+    p = table(spark, d, "documents").groupBy("source").pivot("lang", ["en", "de", "fr"]).agg(F.count(F.lit(1)))
+    return p.select("source", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("en", "de", "fr")])
+
+
+@query("SELECT l_suppkey, round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 4) AS median, round(quantile_cont(l_extendedprice::DOUBLE, 0.9), 4) AS high FROM lineitem GROUP BY l_suppkey")
+def exact_percentiles(spark, d):
+    q = lambda x: F.round(F.percentile(F.col("l_extendedprice").cast("double"), F.lit(x)), 4)
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(q(0.5).alias("median"), q(0.9).alias("high"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey + 5 AS k, count(*)::BIGINT AS n FROM customer GROUP BY ALL) a FULL JOIN (SELECT s_nationkey AS k, count(*)::BIGINT AS n FROM supplier GROUP BY ALL) b ON a.k = b.k")
+def full_outer_counts(spark, d):
+    a = table(spark, d, "customer").groupBy((F.col("c_nationkey") + 5).alias("k")).agg(F.count("*").alias("customers"))
+    return a.join(table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers")), "k", "full")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, dayofweek(ts)::INT + 1 AS weekday, date_diff('day', DATE '2020-01-01', ts::DATE)::BIGINT AS days FROM events")
+def date_functions(spark, d):
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"), F.dayofweek("ts").alias("weekday"), F.datediff(F.to_date("ts"), F.lit("2020-01-01").cast("date")).cast("bigint").alias("days"))
+
+
+@query("SELECT doc_id, floor(start / 50000)::BIGINT AS block FROM (SELECT doc_id, coalesce(sum(length(seq)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {DOCS})")
+def residue_blocks(spark, d):
+    """Targets in blocks of about as many residues, in the order of their ids."""
+    from seqloom.plans.catalog import cumulative, docs
+
+    s = docs(spark, d).select("doc_id", F.length("seq").cast("bigint").alias("n"))
+    return cumulative(s, "doc_id", "n").select("doc_id", F.floor(F.col("start") / 50000).alias("block"))
+
+
+@query("SELECT page_id, length(regexp_replace(coalesce(html, ''), '[^A-Za-z]', '', 'g'))::BIGINT AS n FROM pages WHERE length(regexp_replace(coalesce(html, ''), '[^A-Za-z]', '', 'g')) > 0")
+def target_lengths(spark, d):
+    """Lengths of targets found again from their windows."""
+    from seqloom.operators import intervals as I
+
+    s = table(spark, d, "pages").select("page_id", F.regexp_replace(F.coalesce("html", F.lit("")), "[^A-Za-z]", "").alias("seq"))
+    return I.windows(s, "seq", 400, 100).groupBy("page_id").agg(F.max(F.col("start") + F.length("part") - 1).cast("bigint").alias("n"))
