@@ -56,7 +56,7 @@ PARTS = (
 #: States of the normaliser, and the junction's state before the first piece.
 BEGIN, INSIDE, GAP, NOTHING = 0, 1, 2, -1
 #: Entries that a cache of words or pairs may hold before it is emptied; numbers of unknown characters stay below Unicode's size.
-WORDS_KEPT, PAIRS_KEPT = 400_000, 400_000
+WORDS_KEPT, PAIRS_KEPT = 500_000, 600_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -112,6 +112,8 @@ class Normaliser:
         """What it writes for a text: the composition of a text with it is a chain again."""
         if " " not in text:
             return self.other[state] + text if text else ""
+        if self.space[state][1] == state and not self.other[state]:  # from here on, every character is written by itself
+            return text.replace(" ", self.space[state][0])
         out = []
         for c in text:
             if c == " ":
@@ -207,31 +209,53 @@ class Transducer:
         """The symbols on the path of least weight through a normalised text's composition with lexicon, fallback and junction.
 
         A state of the composition is a position and a state of the junction; positions are in topological order.
-        A state is kept as (weight, symbol read last, state before). With a junction of one state, the best of a
-        position is enough; else each state has its own junction state, and infinite steps lead nowhere.
+        A junction of one state leaves one state a position, kept as (weight, symbol read last, state before).
         """
-        n, weights, stable, arcs = len(text), self.arc_weights, self.stable, self.arcs
-        reached: list[list] = [[] for _ in range(n + 1)]
-        reached[0].append((0.0, NOTHING, None))
         if self.kind == BPE:
-            for at in range(n):
-                if here := reached[at]:
-                    for end, symbol in arcs(text, at):
-                        for state in here:
-                            last = state[1]
-                            if last < 0 or stable[last << 32 | symbol]:
-                                reached[end].append((0.0, symbol, state))
-        else:
-            for at in range(n):
-                state = min(reached[at], key=lambda s: s[0])
-                for end, symbol in arcs(text, at):
-                    reached[end].append((state[0] + weights[symbol], symbol, state))
-        out, state = [], min(reached[n], key=lambda s: s[0])
+            return self._finite_path(text)
+        reached: list[list] = [[(0.0, NOTHING, None)], *([] for _ in text)]
+        for at in range(len(text)):
+            state = min(reached[at], key=lambda s: s[0])
+            for end, symbol in self.arcs(text, at):
+                reached[end].append((state[0] + self.arc_weights[symbol], symbol, state))
+        out, state = [], min(reached[-1], key=lambda s: s[0])
         while state[2] is not None:
             out.append(state[1])
             state = state[2]
         return out[::-1]
 
+    def _finite_path(self, text: str) -> list[int]:
+        """shortest_path() where steps weigh 0 or infinity: every state that is reached has weight 0, and is kept as (symbol read last, state before)."""
+        n, stable, root = len(text), self.stable, self.lexicon.root
+        reached: list[list | None] = [None] * (n + 1)
+        reached[0] = [(NOTHING, None)]
+        for at in range(n):
+            here = reached[at]
+            if here is None:
+                continue
+            arcs, end, alone = root, at, True
+            while end < n and (step := arcs.get(text[end])):
+                arcs, symbol = step
+                end += 1
+                if symbol >= 0:
+                    alone &= end > at + 1
+                    for state in here:
+                        if state[0] < 0 or stable[state[0] << 32 | symbol]:
+                            if (there := reached[end]) is None:
+                                reached[end] = [(symbol, state)]
+                            else:
+                                there.append((symbol, state))
+            if alone:
+                symbol = self.numbers[text[at]]
+                for state in here:
+                    if state[0] < 0 or stable[state[0] << 32 | symbol]:
+                        reached[at + 1] = [*(reached[at + 1] or ()), (symbol, state)]
+        out, state = [], reached[n][0]
+        while state[1] is not None:
+            out.append(state[0])
+            state = state[1]
+        return out[::-1]
+
     def merged(self, text: str) -> Iterator[list[str]]:
         """The states of merging a text: of all neighbours that form a piece, the best scored, leftmost first."""
         parts = list(text)
@@ -284,8 +308,10 @@ class Transducer:
 
     def _encoded(self, part: str, state: int) -> bytes:
         """The ids of a part of a text, from the normaliser's state before it."""
-        text = self.normaliser.compose(part, state)
-        return array("i", [i for symbol in self.shortest_path(text) for i in self.written[symbol]]).tobytes()
+        path = self.shortest_path(self.normaliser.compose(part, state))
+        if path and max(path) >= len(self.pieces):
+            path = [i for symbol in path for i in self.written[symbol]]
+        return array("i", path).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         first, *rest = self.parts.findall(text) or [""]
