@@ -8,51 +8,64 @@ from seqloom.operators.kernels import Lattice, forward
 from seqloom.operators.profile import DD, DM, IM, II, MD, MI, MM, NEVER, Profile
 
 
-def sampled(p: Profile, lat: Lattice, n: int, codes: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int, int, int]]:
-    """(i, j, k, m) of each domain of one path drawn from the posterior: first and last position, first and last node."""
+def sampled(p: Profile, lat: Lattice, n: int, paths: int, rng: np.random.Generator) -> np.ndarray:
+    """Rows (path, i, j, k, m) of the domains of paths drawn from the posterior: first and last position, first and last node.
+
+    All paths walk back at once: in each step, those that are in a state of one kind draw where they came from.
+    """
     loop, move = (float(v) for v in p.length_model(n))
     to_c, to_j = p.end
-    t, entry = p.tsc, p.entry
-    fm, fi, fd = lat.m[0], lat.i[0], lat.d[0]
+    t, entry, fm, fi, fd = p.tsc, p.entry, lat.m[0], lat.i[0], lat.d[0]
+    e, b, xn, xj, xc = lat.e[0], lat.b[0], lat.n[0], lat.j[0], lat.c[0]
+    leave = np.concatenate([fm[:, 1:], fd[:, 1:]], 1) if p.local else np.concatenate([np.full((n + 1, p.m - 1), NEVER), fm[:, -1:], np.full((n + 1, p.m - 1), NEVER), fd[:, -1:]], 1)
+    top = leave.max(1, keepdims=True)
+    exits = np.cumsum(np.exp(leave - np.where(np.isfinite(top), top, 0)), 1)
 
-    def pick(scores) -> int:
-        w = np.exp(np.asarray(scores) - np.max(scores))
-        return int(np.searchsorted(np.cumsum(w), rng.random() * w.sum(), side="right").clip(0, len(w) - 1))
+    def draw(*scores: np.ndarray) -> np.ndarray:
+        w = np.stack(scores)
+        w = np.cumsum(np.exp(w - w.max(0)), 0)
+        return (w <= rng.random(w.shape[1]) * w[-1]).sum(0).clip(0, len(scores) - 1)
 
-    out, state, i, k, last = [], "C", n, 0, (0, 0)
-    while state != "N":
-        if state == "C":
-            if i > 0 and pick([lat.c[0, i - 1] + loop, lat.e[0, i] + to_c]) == 0:
-                i -= 1
-            else:
-                state = "E"
-        elif state == "J":
-            if i > 0 and pick([lat.j[0, i - 1] + loop, lat.e[0, i] + to_j]) == 0:
-                i -= 1
-            else:
-                state = "E"
-        elif state == "E":
-            both = np.concatenate([fm[i, 1:], fd[i, 1:]]) if p.local else np.concatenate([np.full(p.m - 1, NEVER), fm[i, -1:], np.full(p.m - 1, NEVER), fd[i, -1:]])
-            at = pick(both)
-            state, k = ("M", at + 1) if at < p.m else ("D", at - p.m + 1)
-            last = (0, 0)
-        elif state == "M":
-            if last == (0, 0):
-                last = (i, k)
-            from_state = pick([fm[i - 1, k - 1] + t[k - 1, MM] if k > 1 else NEVER, fi[i - 1, k - 1] + t[k - 1, IM] if k > 1 else NEVER, fd[i - 1, k - 1] + t[k - 1, DM] if k > 1 else NEVER, lat.b[0, i - 1] + entry[k]])
-            if from_state == 3:
-                out.append((i, last[0], k, last[1]))
-            state = "MIDB"[from_state]
-            i, k = i - 1, k - 1
-        elif state == "I":
-            state = "MI"[pick([fm[i - 1, k] + t[k, MI], fi[i - 1, k] + t[k, II]])]
-            i -= 1
-        elif state == "D":
-            state = "MD"[pick([fm[i, k - 1] + t[k - 1, MD], fd[i, k - 1] + t[k - 1, DD]])]
-            k -= 1
-        else:
-            state = "NJ"[pick([lat.n[0, i], lat.j[0, i]])]
-    return out[::-1]
+    state, at, node = np.full(paths, "C"), np.full(paths, n), np.zeros(paths, int)
+    last = np.zeros((paths, 2), int)
+    out = []
+    with np.errstate(invalid="ignore"):
+        while (state != "N").any():
+            now = state.copy()
+            for kind, own, to in (("C", xc, to_c), ("J", xj, to_j)):
+                q = np.flatnonzero(now == kind)
+                if len(q):
+                    i = at[q]
+                    stay = draw(np.where(i > 0, own[i - 1] + loop, NEVER), e[i] + to) == 0
+                    at[q[stay]] -= 1
+                    state[q[~stay]] = "E"
+            q = np.flatnonzero(now == "E")
+            if len(q):
+                c = exits[at[q]]
+                pick = (c <= (rng.random(len(q)) * c[:, -1])[:, None]).sum(1).clip(0, 2 * p.m - 1)
+                state[q], node[q], last[q] = np.where(pick < p.m, "M", "D"), pick % p.m + 1, 0
+            q = np.flatnonzero(now == "M")
+            if len(q):
+                i, k = at[q], node[q]
+                fresh = last[q, 0] == 0
+                last[q[fresh]] = np.stack([i, k], 1)[fresh]
+                inner = k > 1
+                way = draw(*(np.where(inner, f[i - 1, k - 1] + t[k - 1, move_], NEVER) for f, move_ in ((fm, MM), (fi, IM), (fd, DM))), b[i - 1] + entry[k])
+                ends = way == 3
+                out += [np.column_stack([q, i, last[q, 0], k, last[q, 1]])[ends]]
+                state[q] = np.array(list("MIDB"))[way]
+                at[q], node[q] = i - 1, k - 1
+            for kind, f1, f2, m1, m2 in (("I", fm, fi, MI, II), ("D", fm, fd, MD, DD)):
+                q = np.flatnonzero(now == kind)
+                if len(q):
+                    i, k = at[q], node[q]
+                    j, r = (k, i - 1) if kind == "I" else (k - 1, i)
+                    state[q] = np.array(["M", kind])[draw(f1[r, j] + t[j, m1], f2[r, j] + t[j, m2])]
+                    at[q], node[q] = r, j
+            q = np.flatnonzero(now == "B")
+            if len(q):
+                state[q] = np.array(["N", "J"])[draw(xn[at[q]], xj[at[q]])]
+    return np.concatenate(out) if out else np.empty((0, 5), int)
 
 
 def linked(s: np.ndarray, overlap: float = 0.8, diagonal: int = 4) -> np.ndarray:
@@ -69,10 +82,9 @@ def envelopes(p: Profile, codes: np.ndarray, paths: int = 200, least: float = 0.
     n = len(codes)
     _, lat = forward(p, codes[None, :], np.array([n]), keep=True)
     rng = np.random.default_rng(seed)
-    drawn = [(path, *segment) for path in range(paths) for segment in sampled(p, lat, n, codes, rng)]
-    if not drawn:
+    s = sampled(p, lat, n, paths, rng)
+    if not len(s):
         return []
-    s = np.array(drawn)
     kinds, which = np.unique(s[:, 1:], axis=0, return_inverse=True)
     which = which.reshape(-1)
     link = linked(kinds)

@@ -74,6 +74,28 @@ def kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
 PATTERN_BYTES = 32 << 20
 
 
+def _by_automaton(targets: DataFrame, some: DataFrame) -> DataFrame:
+    """exact_matches() with one automaton over all patterns, which goes to every worker."""
+    by: dict[str, list] = {}
+    for r in some.select("query", "pattern").collect():
+        by.setdefault(r.pattern, []).append(r.query)
+    shared = targets.sparkSession.sparkContext.broadcast(by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for pattern, ids in shared.value.items():
+            machine.add_word(pattern, (len(pattern), ids))
+        machine.make_automaton()
+        for pdf in batches:
+            out = [(t, q, end - n + 2) for t, s in zip(pdf.target, pdf.seq, strict=True) if s and shared.value for end, (n, ids) in machine.iter(s) for q in ids]
+            yield pd.DataFrame(out, columns=["target", "query", "pos"])
+
+    types = targets.schema["target"].dataType.simpleString(), some.schema["query"].dataType.simpleString()
+    return targets.select("target", "seq").mapInPandas(run, f"target {types[0]}, query {types[1]}, pos bigint")
+
+
 def exact_matches(targets: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
     """(target, query, pos) of every place where a query (query, pattern) occurs in a target (target, seq).
 
@@ -82,28 +104,12 @@ def exact_matches(targets: DataFrame, queries: DataFrame, k: int = 12) -> DataFr
     follows the seeds found. Patterns shorter than k are searched by automata of their own, group by group.
     """
     some = queries.where("pattern is not null and pattern <> ''")
-    if (some.agg(F.sum(F.octet_length("pattern")).alias("n")).first().n or 0) <= PATTERN_BYTES:
-        by: dict[str, list] = {}
-        for r in some.select("query", "pattern").collect():
-            by.setdefault(r.pattern, []).append(r.query)
-        shared = targets.sparkSession.sparkContext.broadcast(by)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            machine = ahocorasick.Automaton()
-            for pattern, ids in shared.value.items():
-                machine.add_word(pattern, (len(pattern), ids))
-            machine.make_automaton()
-            for pdf in batches:
-                out = [(t, q, end - n + 2) for t, s in zip(pdf.target, pdf.seq, strict=True) if s and shared.value for end, (n, ids) in machine.iter(s) for q in ids]
-                yield pd.DataFrame(out, columns=["target", "query", "pos"])
-
-        types = targets.schema["target"].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
-        return targets.select("target", "seq").mapInPandas(run, f"target {types[0]}, query {types[1]}, pos bigint")
+    size = lambda q: q.agg(F.sum(F.octet_length("pattern")).alias("n")).first().n or 0
+    if size(some) <= PATTERN_BYTES:
+        return _by_automaton(targets, some)
     short = some.where(F.length("pattern") < k)
-    groups = -(-(short.agg(F.sum(F.octet_length("pattern")).alias("n")).first().n or 0) // PATTERN_BYTES)
-    few = [exact_matches(targets, short.where(F.pmod(F.xxhash64("pattern"), F.lit(2 * groups)) == g), k) for g in range(2 * groups)]  # automata of about half the size each
+    groups = 2 * -(-size(short) // max(1, PATTERN_BYTES))  # of about half the size each
+    few = [_by_automaton(targets, short.where(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g)) for g in range(groups)]
     some = some.where(F.length("pattern") >= k)
     seeds = some.select("query", "pattern", F.substring("pattern", 1, k).alias("kmer"))
     whole = kmers(targets, "target", "seq", k).join(seeds, "kmer").join(targets, "target")

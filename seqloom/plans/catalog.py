@@ -18,7 +18,7 @@ from seqloom.operators import intervals as I
 from seqloom.operators import kernels as K
 from seqloom.operators import profile as P
 from seqloom.operators import search as R
-from seqloom.plans.recursions import Recursion, bias_sql
+from seqloom.plans.recursions import CascadeSql, Recursion, bias_sql
 from seqloom.sources.fasta import render_fasta
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -288,14 +288,24 @@ def corpus_background(df: DataFrame) -> np.ndarray:
 WORDS = ("STEEL", "ANTIQVE", "PLATED", "SMALL", "PRINT", "LINEN")
 
 
+#: Filter thresholds for part names: so short that the usual ones, made for whole sequences, would leave nothing to look at.
+PART_FILTERS = {"f1": 0.3, "f2": 0.2, "f3": 0.1}
+
+
+def _counters_sql() -> str:
+    """The counters of all words' models, each stage a recursion of its own."""
+    made = [CascadeSql(R.calibrated(P.single_sequence(w.lower(), w)), PARTS, "p_partkey", f"x{i}").counters(**PART_FILTERS) for i, w in enumerate(WORDS)]
+    return "WITH RECURSIVE " + ",\n".join(c for c, _ in made) + "\n" + " UNION ALL ".join(row for _, row in made)
+
+
 def search_parts(spark: SparkSession, d: str, config: R.Config | None = None, words: tuple[str, ...] = WORDS) -> tuple[DataFrame, DataFrame]:
     """Part names searched with models of words."""
     target = parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), F.concat(F.lit("part"), "p_partkey").alias("name"), "seq")
     models = [P.single_sequence(w.lower(), w) for w in words]
-    return R.search(target, models, config or R.Config(f1=0.1, f2=0.05, f3=0.02))
+    return R.search(target, models, config or R.Config(**PART_FILTERS))
 
 
-@query()
+@query(_counters_sql())
 def cascade_counters(spark, d):
     return search_parts(spark, d)[1]
 
@@ -306,7 +316,7 @@ def cascade_survivors(spark, d):
     return hits.select("model", "seq_id", r6(F.col("score")).alias("score"), r6(F.col("lnp")).alias("lnp"), "reported", "included")
 
 
-@query()
+@query("SELECT 'steel' AS model, count(*)::BIGINT AS n, sum(length(seq))::BIGINT AS residues, " + ", ".join(f"count(CASE WHEN seq <> '' THEN 1 END)::BIGINT AS past_{x}" for x in ("msv", "bias", "vit", "fwd")) + " FROM {PARTS}")
 def max_mode(spark, d):
     return search_parts(spark, d, R.Config().maximal(), WORDS[:1])[1]
 
@@ -342,7 +352,7 @@ def simulate_scores(spark, d):
 def scan_swap_z(spark, d):
     target = parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), F.concat(F.lit("part"), "p_partkey").alias("name"), "seq")
     models = [P.single_sequence(w.lower(), w) for w in ("STEEL", "PLATED", "LINEN")]
-    return R.scan(target, models, R.Config(f1=0.1, f2=0.05, f3=0.02)).select("seq_id", "model", "rank", r6(F.col("evalue")).alias("evalue"))
+    return R.scan(target, models, R.Config(**PART_FILTERS)).select("seq_id", "model", "rank", r6(F.col("evalue")).alias("evalue"))
 
 
 # P-values, E-values, thresholds
@@ -984,18 +994,18 @@ def dedup_order_scan(spark, d):
     return I.without_duplicates(s, ["target", "model"]).groupBy("target", "model").agg(F.count("*").alias("kept"))
 
 
-@query()
+@query("SELECT model, n AS targets, residues, " + ", ".join(f"round(past_{x} / n, 6) AS {x}_rate" for x in ("msv", "bias", "vit", "fwd")) + ", 0.3::DOUBLE AS msv_expected, 0.2::DOUBLE AS vit_expected, 0.1::DOUBLE AS fwd_expected FROM (" + _counters_sql() + ")")
 def pipeline_statistics(spark, d):
     """Pass rates of each filter beside the expected ones."""
     c = search_parts(spark, d)[1]
     rate = lambda x: r6(F.col(x) / F.col("n"))
-    return c.select("model", F.col("n").alias("targets"), "residues", *[rate(f"past_{x}").alias(f"{x}_rate") for x in ("msv", "bias", "vit", "fwd")], F.lit(0.1).alias("msv_expected"), F.lit(0.05).alias("vit_expected"), F.lit(0.02).alias("fwd_expected"))
+    return c.select("model", F.col("n").alias("targets"), "residues", *[rate(f"past_{x}").alias(f"{x}_rate") for x in ("msv", "bias", "vit", "fwd")], *[F.lit(PART_FILTERS[f]).alias(f"{x}_expected") for x, f in (("msv", "f1"), ("vit", "f2"), ("fwd", "f3"))])
 
 
 @query()
 def iterate_to_convergence(spark, d):
     target = parts(spark, d).select(F.col("p_partkey").cast("bigint").alias("seq_id"), F.concat(F.lit("part"), "p_partkey").alias("name"), "seq")
-    config = R.Config(f1=0.1, f2=0.05, f3=0.02, e=1000.0, inc_e=500.0, inc_dom_e=500.0)
+    config = R.Config(**PART_FILTERS, e=1000.0, inc_e=500.0, inc_dom_e=500.0)
     hits, rounds = R.iterate(target, P.single_sequence("steel", "STEEL"), B.rebuilder("STEEL"), 3, config)
     return hits.where("included").select("seq_id", r6(F.col("score")).alias("score"), F.lit(rounds).alias("rounds"))
 

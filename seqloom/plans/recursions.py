@@ -136,3 +136,81 @@ w AS (
     SELECT {key}, seq, n, i + 1, a2, b2 * o FROM (
         SELECT *, CASE WHEN i = 0 THEN a ELSE a * {stay0!r} + b * {1 - stay1!r} END AS a2, CASE WHEN i = 0 THEN b ELSE a * {1 - stay0!r} + b * {stay1!r} END AS b2 FROM w WHERE i < n) JOIN od ON r = substr(seq, i + 1, 1)),
 bs AS (SELECT {key}, ln(a + b) AS lnodds FROM w WHERE i = n)"""
+
+
+class CascadeSql:
+    """SQL of the counters of a cascade of filters for one calibrated model, without the library's batching: a pass of its own for each stage."""
+
+    def __init__(self, model: Model, source: str, key: str, prefix: str):
+        self.model, self.source, self.key, self.x = model, source, key, prefix
+        self.r = Recursion(model, source, key)
+
+    def msv(self) -> str:
+        """CTE {x}m(key, n, xj, over): the 8-bit ungapped filter."""
+        x, r, m = self.x, self.r, self.r.m
+        cost, bias = P.quantise_msv(r.p)
+        scale = float(3 / np.log(2))
+        unit = lambda s: int(min(255, max(0, np.floor(-scale * s + 0.5))))
+        tbm, tec = unit(np.log(2 / (m * (m + 1)))), unit(np.log(0.5))
+        rows = ", ".join(f"('{a}', {', '.join(str(cost[i, k]) for k in r.nodes)})" for i, a in enumerate(AMINO))
+        before = lambda k: f"d{k - 1}" if k > 1 else "0"
+        cells = ", ".join(f"greatest(0, least(255, greatest({before(k)}, b) + {bias}) - c{k}) AS e{k}" for k in r.nodes)
+        top = f"greatest({', '.join(f'e{k}' for k in r.nodes)})"
+        return f"""{x}c AS (SELECT * FROM (VALUES {rows}) AS t(r, {', '.join(f'c{k}' for k in r.nodes)})),
+{x}w AS (
+    SELECT {self.key}, seq, n, tjb, 0 AS i, 0 AS j, FALSE AS over, greatest(0, {190 - tbm} - tjb) AS b, {', '.join(f'0 AS d{k}' for k in r.nodes)} FROM (
+        SELECT {self.key}, seq, length(seq) AS n, greatest(0, least(255, floor(-{scale!r} * ln(3.0 / (length(seq) + 3)) + 0.5)))::INT AS tjb FROM {self.source} WHERE length(seq) > 0)
+    UNION ALL
+    SELECT {self.key}, seq, n, tjb, i, nj, over OR {top} >= {255 - bias}, greatest(0, greatest(190, nj) - tjb - {tbm}), {', '.join(f'e{k}' for k in r.nodes)} FROM (
+        SELECT *, greatest(j, greatest(0, {top} - {tec})) AS nj FROM (SELECT {self.key}, seq, n, tjb, i + 1 AS i, j, over, {cells} FROM {x}w JOIN {x}c ON r = substr(seq, i + 1, 1) WHERE i < n))),
+{x}m AS (SELECT {self.key}, n, over, (j - tjb - 190) / {scale!r} - 3.0 AS nats FROM {x}w WHERE i = n)"""
+
+    def viterbi(self) -> str:
+        """CTE {x}v(key, nats): the 16-bit gapped filter."""
+        x, r, m = self.x, self.r, self.r.m
+        t, e, entry = (P.quantise_viterbi(v) for v in (r.p.tsc, r.p.msc, r.p.entry))
+        scale = float(500 / np.log(2))
+        half = int(np.floor(scale * np.log(0.5) + 0.5))
+        rows = ", ".join(f"('{a}', {', '.join(str(e[i, k]) for k in r.nodes)})" for i, a in enumerate(AMINO))
+        top = lambda *v: f"greatest({', '.join(v)})"
+        new_m = {k: top(*([f"m{k - 1} + {t[k - 1, MM]}", f"i{k - 1} + {t[k - 1, IM]}"] if k > 1 else []), *([f"d{k - 1} + {t[k - 1, DM]}"] if k > 2 else []), f"b + {entry[k]}", "-99999") + f" + s{k}" for k in r.nodes}
+        new_i = {k: top(f"m{k} + {t[k, MI]}", f"i{k} + {t[k, II]}") for k in range(1, m)}
+        dele = {k: top(*[f"m{j} + {t[j, MD] + int(t[j + 1 : k, DD].sum())}" for j in range(1, k)], "-99999") for k in range(2, m + 1)}
+        names = [*[f"m{k}" for k in r.nodes], *[f"i{k}" for k in range(1, m)], *[f"d{k}" for k in range(2, m + 1)]]
+        ends = top(*[f"m{k}" for k in r.nodes], *[f"d{k}" for k in range(2, m + 1)])
+        carry = f"{self.key}, seq, n, mv"
+        return f"""{x}s AS (SELECT * FROM (VALUES {rows}) AS t(r, {', '.join(f's{k}' for k in r.nodes)})),
+{x}z AS (
+    SELECT {carry}, 0 AS i, {', '.join(f'-32768 AS {c}' for c in names)}, 12000 + mv AS b, -32768 AS j, -32768 AS c FROM (SELECT {self.key}, seq, length(seq) AS n, floor({scale!r} * ln(3.0 / (length(seq) + 3)) - 0.5 + 1)::INT AS mv FROM {self.source} WHERE length(seq) > 0)
+    UNION ALL
+    SELECT {carry}, i, {', '.join(names)}, greatest(12000, greatest(j, en + {half})) + mv, greatest(j, en + {half}), greatest(c, en + {half}) FROM (
+        SELECT *, {ends} AS en FROM (
+            SELECT *, {', '.join(f'{v} AS d{k}' for k, v in dele.items())} FROM (
+                SELECT {carry}, i + 1 AS i, {', '.join([f'{v} AS m{k}' for k, v in new_m.items()] + [f'{v} AS i{k}' for k, v in new_i.items()])}, j, c FROM {x}z JOIN {x}s ON r = substr(seq, i + 1, 1) WHERE i < n)))),
+{x}v AS (SELECT {self.key}, (c + mv - 12000) / {scale!r} - 3.0 AS vit FROM {x}z WHERE i = n)"""
+
+    def forward(self) -> str:
+        """CTE {x}f(key, fwd)."""
+        x, r = self.x, self.r
+        return ", ".join([r.emissions().replace("em AS", f"{x}em AS", 1), r.sequences().replace("s AS", f"{x}sq AS", 1), r.forward(f"{x}fo").replace("FROM s\n", f"FROM {x}sq\n").replace("JOIN em ON", f"JOIN {x}em ON"), f"{x}f AS (SELECT {self.key}, ln(cc * mv) AS fwd FROM {x}fo WHERE i = n)"])
+
+    def bias(self) -> str:
+        """CTE {x}b(key, lnodds)."""
+        x = self.x
+        text = bias_sql(self.model, self.source, self.key).removeprefix("RECURSIVE ")
+        for old, new in (("od AS", f"{x}od AS"), ("JOIN od", f"JOIN {x}od"), ("\ns AS", f"\n{x}bq AS"), ("FROM s\n", f"FROM {x}bq\n"), ("\nw AS", f"\n{x}bw AS"), ("FROM w WHERE", f"FROM {x}bw WHERE"), ("\nbs AS", f"\n{x}b AS")):
+            text = text.replace(old, new)
+        return text
+
+    def counters(self, f1: float, f2: float, f3: float) -> tuple[str, str]:
+        """(CTEs, SELECT) of the model's row of counters."""
+        x, st, key = self.x, self.model.stats, self.key
+        p = lambda v, stage: f"(1 - exp(-exp(-{st[stage + '_lambda']!r} * ({v} / ln(2) - {st[stage + '_mu']!r}))))"
+        first = f"(over OR {p('(nats - nul)', 'msv')} <= {f1})"
+        second = f"(over OR {p('(nats - nul - lnodds)', 'msv')} <= {f1})"
+        third = f"(over OR {p('(nats - nul - lnodds)', 'msv')} <= {f2} OR {p('(vit - nul - lnodds)', 'vit')} <= {f2})"
+        fourth = f"(exp(least(0, -{st['fwd_lambda']!r} * ((fwd - nul - lnodds) / ln(2) - {st['fwd_tau']!r}))) <= {f3})"
+        ctes = ",\n".join([self.msv(), self.viterbi(), self.forward(), self.bias(), f"{x}a AS (SELECT *, n * ln(n / (n + 1.0::DOUBLE)) + ln(1 / (n + 1.0::DOUBLE)) AS nul FROM {x}m JOIN {x}v USING ({key}) JOIN {x}f USING ({key}) JOIN {x}b USING ({key}))"])
+        passed = lambda *tests: f"count(CASE WHEN {' AND '.join(tests)} THEN 1 END)::BIGINT"
+        row = f"SELECT '{self.model.name}' AS model, (SELECT count(*) FROM {self.source})::BIGINT AS n, (SELECT sum(length(seq)) FROM {self.source})::BIGINT AS residues, {passed(first)} AS past_msv, {passed(first, second)} AS past_bias, {passed(first, second, third)} AS past_vit, {passed(first, second, third, fourth)} AS past_fwd FROM {x}a"
+        return ctes, row

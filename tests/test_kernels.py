@@ -128,7 +128,8 @@ def test_sampled_paths_follow_the_posterior_and_find_both_copies():
     x = np.concatenate([digitize("WCHMKWYFHC"), RNG.choice([0, 9, 15], 6), digitize("WCHMKWYFHC")])
     _, lat = K.forward(p, x[None, :], np.array([len(x)]), keep=True)
     rng = np.random.default_rng(1)
-    drawn = [E.sampled(p, lat, len(x), x, rng) for _ in range(300)]
+    rows = E.sampled(p, lat, len(x), 300, rng)
+    drawn = [sorted(rows[rows[:, 0] == path, 1:].tolist()) for path in range(300)]
     covered = np.zeros(len(x) + 1)
     for path in drawn:
         assert all(a[1] < b[0] for a, b in zip(path, path[1:], strict=False))
@@ -137,3 +138,41 @@ def test_sampled_paths_follow_the_posterior_and_find_both_copies():
             covered[i : j + 1] += 1 / len(drawn)
     assert np.abs(covered - K.Posterior(p, x).mocc)[1:].max() < 0.12
     assert E.envelopes(p, x) == [(1, 10), (17, 26)]
+
+
+def test_pairs_of_the_ungapped_filter_equal_single_rows():
+    """Many models at once against the definition, row by row, in wide integers."""
+    models = [P.single_sequence(f"m{i}", "".join(RNG.choice(list(AMINO), RNG.integers(1, 60)))) for i in range(9)]
+    profiles = [P.configure(m) for m in models]
+    codes = [RNG.integers(0, 21, RNG.integers(0, 90)) for _ in range(14)] + [digitize(models[8].consensus * 3), digitize(models[3].consensus)]
+
+    def plain(p, x):
+        cost, bias = P.quantise_msv(p)
+        unit = lambda s: int(min(255, max(0, np.floor(-3 / np.log(2) * s + 0.5))))
+        tjb, tbm, tec = unit(np.log(3 / (len(x) + 3))), unit(np.log(2 / (p.m * (p.m + 1)))), unit(np.log(0.5))
+        row, xj, xb, over = [0] * (p.m + 1), 0, max(0, 190 - tjb - tbm), False
+        for c in x:
+            row = [0, *(max(0, min(255, max(row[k - 1], xb) + bias) - int(cost[c, k])) for k in range(1, p.m + 1))]
+            over |= max(row) >= 255 - bias
+            xj = max(xj, max(0, max(row[1:]) - tec))
+            xb = max(0, max(190, xj) - tjb - tbm)
+        return np.inf if over else (xj - tjb - 190) / (3 / np.log(2)) - 3
+
+    got = K.msv_many(profiles, codes)
+    for i, x in enumerate(codes):
+        for j, p in enumerate(profiles):
+            assert got[i, j] == -np.inf if not len(x) else np.isclose(got[i, j], plain(p, x))
+    assert np.isinf(got[-2, 8]) and got[-2, 8] > 0
+
+
+def test_bias_null_of_a_batch_equals_single_sequences():
+    m = P.single_sequence("m", "WWCCHH")
+    codes = [RNG.integers(0, 21, n) for n in (1, 30, 7, 7, 2)]
+    odds, stay0, stay1 = np.append(P.composition(m) / m.bg, 1.0), 400 / 401, (6 / 8) / (6 / 8 + 1)
+    for x, got in zip(codes, K.bias_nulls(m.bg, P.composition(m), 6, *K.batch(codes)), strict=True):
+        a, b = 0.999, 0.001
+        for i, c in enumerate(x):
+            if i:
+                a, b = a * stay0 + b * (1 - stay1), a * (1 - stay0) + b * stay1
+            b *= odds[c]
+        assert math.isclose(got, math.log(a + b), rel_tol=1e-9)
