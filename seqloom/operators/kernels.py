@@ -7,6 +7,8 @@ space is a running (log-)sum of what enters, each shifted by the deletes passed:
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 
 from seqloom.operators.profile import DD, DM, IM, II, MD, MI, MM, NEVER, Profile, quantise_msv, quantise_viterbi
@@ -360,6 +362,146 @@ class Posterior:
         self.etot = np.concatenate([[0.0], np.cumsum(self.end[1:])])
 
 
+class Sweep:
+    """Forward or Backward of a batch as odds, every row divided by its own size now and then.
+
+    Rows are sorted, long ones first. log has the logarithm of what a row was divided by up to each position; n, j, c, b and e
+    the special states by (row, position); with full, m and i the match and insert states by (row, position, node).
+    """
+
+    def __init__(self, rows: int, length: int, nodes: int, full: bool):
+        self.log, self.n, self.j, self.c, self.b, self.e = (np.zeros((rows, length + 1)) for _ in range(6))
+        self.m, self.i = (np.zeros((rows, length + 1, nodes + 1)) for _ in range(2)) if full else (None, None)
+
+
+def _sweep_forward(p: Profile, x: np.ndarray, lengths: np.ndarray, targets: np.ndarray, full: bool) -> Sweep:
+    rows, m = len(x), p.m
+    t, emit, entry, passed = np.exp(p.tsc), np.exp(p.msc), np.exp(p.entry[1:]), np.exp(_passed(p.tsc))
+    loop, move = (np.exp(v) for v in p.length_model(targets))
+    to_c, to_j = (float(np.exp(v)) for v in p.end)
+    mm, im, dm = t[:-1, MM], t[:-1, IM], t[:-1, DM]
+    mi, ii_, gone = t[1:m, MI], t[1:m, II], t[1:-1, MD] / passed[2:]
+    out = Sweep(rows, x.shape[1], m, full)
+    ends = np.searchsorted(-lengths, -np.arange(x.shape[1] + 1), side="left")
+    M, I, D = (np.zeros((rows, m + 1)) for _ in range(3))
+    xn, xj, xc, xb, logs = np.ones(rows), np.zeros(rows), np.zeros(rows), move.copy(), np.zeros(rows)
+    out.n[:, 0], out.b[:, 0] = 1, move
+    for i in range(x.shape[1]):
+        k = int(ends[i])
+        a, b, c = M[:k], I[:k], D[:k]
+        into = a[:, :-1] * mm + b[:, :-1] * im + c[:, :-1] * dm
+        into[:, 0] = 0
+        into += xb[:k, None] * entry
+        into *= emit[x[:k, i], 1:]
+        b[:, 1:m] = a[:, 1:m] * mi + b[:, 1:m] * ii_
+        a[:, 1:] = into
+        c[:, 2:] = np.cumsum(into[:, :-1] * gone, axis=1) * passed[2:]
+        xe = into.sum(1) + c[:, 1:].sum(1)
+        xj[:k] = xj[:k] * loop[:k] + xe * to_j
+        xc[:k] = xc[:k] * loop[:k] + xe * to_c
+        xn[:k] *= loop[:k]
+        xb[:k] = (xn[:k] + xj[:k]) * move[:k]
+        if i % 4 == 3:
+            size = np.maximum(xn[:k] + xj[:k] + xc[:k] + xe, 1e-300)
+            for whole in (a, b, c):
+                whole /= size[:, None]
+            for part in (xn, xj, xc, xb):
+                part[:k] /= size
+            xe /= size
+            logs[:k] += np.log(size)
+        at = i + 1
+        out.log[:k, at], out.n[:k, at], out.j[:k, at], out.c[:k, at], out.b[:k, at], out.e[:k, at] = logs[:k], xn[:k], xj[:k], xc[:k], xb[:k], xe
+        if full:
+            out.m[:k, at], out.i[:k, at] = a, b
+    return out
+
+
+def _sweep_backward(p: Profile, x: np.ndarray, lengths: np.ndarray, targets: np.ndarray, full: bool) -> Sweep:
+    rows, m, length = len(x), p.m, x.shape[1]
+    t, emit, entry, passed = np.exp(p.tsc), np.exp(p.msc), np.exp(p.entry[1:]), np.exp(_passed(p.tsc))[1:]
+    loop, move = (np.exp(v) for v in p.length_model(targets))
+    to_c, to_j = (float(np.exp(v)) for v in p.end)
+    mm, im, dm, mi, ii_, md = (t[1:m, s] for s in (MM, IM, DM, MI, II, MD))
+    out = Sweep(rows, length, m, full)
+    reach = np.searchsorted(-lengths, -np.arange(length + 1), side="right")  # rows that are at least as long as each position
+    M, I = np.zeros((rows, m)), np.zeros((rows, m))  # nodes 1..M
+    xn, xj, xc, logs = np.zeros(rows), np.zeros(rows), np.zeros(rows), np.zeros(rows)
+    for i in range(length, -1, -1):
+        k, old = int(reach[i]), int(reach[i + 1]) if i < length else 0
+        xc[old:k] = move[old:k]  # rows that end here
+        later, xb = np.zeros((k, m)), np.zeros(k)
+        if old:
+            later[:old] = M[:old] * emit[x[:old, i], 1:]
+            xb[:old] = later[:old] @ entry
+            xc[:old] *= loop[:old]
+            xj[:old] = xj[:old] * loop[:old] + xb[:old] * move[:old]
+            xn[:old] = xn[:old] * loop[:old] + xb[:old] * move[:old]
+        xe = xc[:k] * to_c + xj[:k] * to_j
+        enters = np.repeat(xe[:, None], m, 1)
+        enters[:, :-1] += later[:, 1:] * dm
+        d = np.cumsum((enters * passed)[:, ::-1], axis=1)[:, ::-1] / passed
+        M[:k] = xe[:, None]
+        M[:k, :-1] += later[:, 1:] * mm + I[:k, :-1] * mi + d[:, 1:] * md
+        I[:k, :-1] = later[:, 1:] * im + I[:k, :-1] * ii_
+        if i % 4 == 0:
+            size = np.maximum(np.maximum(M[:k].max(1), xn[:k] + xj[:k] + xc[:k]), 1e-300)
+            for whole in (M, I):
+                whole[:k] /= size[:, None]
+            for part in (xn, xj, xc):
+                part[:k] /= size
+            xe, xb = xe / size, xb / size
+            logs[:k] += np.log(size)
+        out.log[:k, i], out.n[:k, i], out.j[:k, i], out.c[:k, i], out.b[:k, i], out.e[:k, i] = logs[:k], xn[:k], xj[:k], xc[:k], xb, xe
+        if full and i:
+            out.m[:k, i, 1:], out.i[:k, i, 1:] = M[:k], I[:k]
+    return out
+
+
+class Decoded:
+    """Posterior decoding of one sequence of a batch: what Posterior has, match and insert only if they were asked for."""
+
+    def __init__(self, f: Sweep, b: Sweep, row: int, n: int, loop: float, move: float):
+        at = slice(0, n + 1)
+        with np.errstate(divide="ignore"):
+            self.score = float(np.log(f.c[row, n]) + f.log[row, n] + np.log(move))
+        scale = np.exp(f.log[row, at] + b.log[row, at] - self.score)
+        step = np.exp(f.log[row, :n] + b.log[row, 1 : n + 1] - self.score) * loop
+        passing = lambda fw, bw: np.concatenate([[0.0], fw[row, :n] * bw[row, 1 : n + 1] * step])
+        self.n, self.j, self.c = passing(f.n, b.n), passing(f.j, b.j), passing(f.c, b.c)
+        self.begin, self.end = f.b[row, at] * b.b[row, at] * scale, f.e[row, at] * b.e[row, at] * scale
+        self.mocc = 1 - (self.n + self.j + self.c)
+        self.mocc[0] = 0
+        self.btot = np.concatenate([[0.0], np.cumsum(self.begin[:-1])])
+        self.etot = np.concatenate([[0.0], np.cumsum(self.end[1:])])
+        if f.m is not None:
+            self.match, self.insert = f.m[row, at] * b.m[row, at] * scale[:, None], f.i[row, at] * b.i[row, at] * scale[:, None]
+
+
+def decoded(p: Profile, codes: list[np.ndarray], targets: list[int] | None = None, full: bool = False, cells: int = 1 << 22) -> list:
+    """Posterior decoding of many sequences at once, each with the length model of its target (its own length unless given).
+
+    Without full, memory goes with the positions alone: enough to find regions. Batches are of like lengths and, with full,
+    bounded by their cells. Glocal profiles, and those whose deletes underflow, are decoded one by one.
+    """
+    if not p.local or p.m < 2 or _passed(p.tsc).min() <= -550:
+        return [Posterior(p if targets is None else replace(p, target=targets[i]), c) for i, c in enumerate(codes)]
+    lengths = np.array([len(c) for c in codes])
+    own = lengths if targets is None else np.array(targets)
+    order, out, at = np.argsort(-lengths, kind="stable"), [None] * len(codes), 0
+    free = replace(p, target=None)
+    while at < len(order):
+        longest = int(lengths[order[at]]) + 1
+        size = max(1, min(256, cells // (longest * (4 * p.m if full else 12) + 12 * p.m)))
+        part = order[at : at + size]
+        at += size
+        x, n = batch([codes[i] for i in part])
+        loop, move = (np.exp(v) for v in free.length_model(own[part]))
+        f, b = (sweep(free, x, n, own[part], full) for sweep in (_sweep_forward, _sweep_backward))
+        for row, i in enumerate(part):
+            out[i] = Decoded(f, b, row, int(n[row]), float(loop[row]), float(move[row]))
+    return out
+
+
 def regions(post: Posterior, rt1: float = 0.25, rt2: float = 0.10) -> list[tuple[int, int]]:
     """Homologous regions (1-based, closed): opened where occupancy minus new starts falls under rt2, triggered at rt1, closed where occupancy minus new ends falls under rt2."""
     out, start, on = [], -1, False

@@ -133,39 +133,54 @@ def _aligned(seq: str, path: list, consensus: str) -> tuple[str, str, str]:
     return "".join(top), "".join(bottom), "".join(pp)
 
 
-def domains(p, post: K.Posterior, seq: str, codes: np.ndarray, consensus: str, stats: dict, f: np.ndarray, use_null2: bool = True) -> tuple[int, list[dict]]:
-    """(regions, domains of one target). A region with several domains is divided by an ensemble of sampled paths."""
-    n = len(codes)
-    whole = replace(p, target=n)  # parts of the target are scored with the whole one's length model
-    found, spans = [], []
+def spans_of(p, post, codes: np.ndarray) -> list[tuple[int, int]]:
+    """Envelopes of a target's domains. A region with several domains is divided by an ensemble of sampled paths."""
+    whole = replace(p, target=len(codes))  # parts of the target are scored with the whole one's length model
+    spans = []
     for i, j in K.regions(post):
         if K.is_multidomain(post, i, j):
             spans += [(a + i - 1, b + i - 1) for a, b in envelopes(whole, codes[i - 1 : j])] or [(i, j)]
         else:
             spans.append((i, j))
-    uni = replace(whole, multihit=False)
+    return spans
+
+
+def domain(uni, sub, seq: str, codes: np.ndarray, i: int, j: int, consensus: str, stats: dict, use_null2: bool = True) -> dict | None:
+    """The domain in an envelope i..j of a target, from the decoding of that part; None if its best path has no node."""
+    n, part = len(codes), codes[i - 1 : j]
     null = n * np.log(n / (n + 1)) + np.log(1 / (n + 1))
-    flank = lambda length: (n - length) * np.log(n / (n + 3))
-    for i, j in spans:
-        part = codes[i - 1 : j]
-        sub = K.Posterior(uni, part)
-        envsc = sub.score
-        oasc, path = K.optimal_accuracy(uni, sub)
-        path = [(s, k, r + i - 1, q) for s, k, r, q in path if s in "MID"]
-        while path and path[0][0] == "D":
-            path.pop(0)
-        while path and path[-1][0] == "D":
-            path.pop()
-        if not path:
-            continue
-        odds = K.null2(uni, sub, 1, len(part))
-        corr = float(np.log(odds[part]).sum()) if use_null2 else 0.0
-        dombias = float(np.logaddexp(0, np.log(S.OMEGA) + corr)) if use_null2 else 0.0
-        bits = (envsc + flank(j - i + 1) - (null + dombias)) / LN2
-        lnp = min(0.0, -stats["fwd_lambda"] * (bits - stats["fwd_tau"]))
-        top, bottom, pp = _aligned(seq, path, consensus)
-        found.append({"ienv": i, "jenv": j, "iali": path[0][2], "jali": path[-1][2], "hmm_from": path[0][1], "hmm_to": path[-1][1], "envsc": envsc, "corr": corr, "oasc": oasc, "bits": bits, "dombias": dombias, "lnp": lnp, "model": top, "aseq": bottom, "pp": pp})
-    return len(spans), found
+    flank = (n - (j - i + 1)) * np.log(n / (n + 3))
+    oasc, path = K.optimal_accuracy(uni, sub)
+    path = [(s, k, r + i - 1, q) for s, k, r, q in path if s in "MID"]
+    while path and path[0][0] == "D":
+        path.pop(0)
+    while path and path[-1][0] == "D":
+        path.pop()
+    if not path:
+        return None
+    odds = K.null2(uni, sub, 1, len(part))
+    corr = float(np.log(odds[part]).sum()) if use_null2 else 0.0
+    dombias = float(np.logaddexp(0, np.log(S.OMEGA) + corr)) if use_null2 else 0.0
+    bits = (sub.score + flank - (null + dombias)) / LN2
+    lnp = min(0.0, -stats["fwd_lambda"] * (bits - stats["fwd_tau"]))
+    top, bottom, pp = _aligned(seq, path, consensus)
+    return {"ienv": i, "jenv": j, "iali": path[0][2], "jali": path[-1][2], "hmm_from": path[0][1], "hmm_to": path[-1][1], "envsc": sub.score, "corr": corr, "oasc": oasc, "bits": bits, "dombias": dombias, "lnp": lnp, "model": top, "aseq": bottom, "pp": pp}
+
+
+def domains(p, seqs: list[str], codes: list[np.ndarray], consensus: str, stats: dict, use_null2: bool = True) -> list[tuple[int, list[dict]]]:
+    """(envelopes, domains) of each of some targets: all are decoded at once, then all envelopes."""
+    spans = [spans_of(p, post, c) for post, c in zip(K.decoded(p, codes), codes, strict=True)]
+    flat = [(t, i, j) for t, some in enumerate(spans) for i, j in some]
+    uni = replace(p, multihit=False)
+    found: list[list[dict]] = [[] for _ in codes]
+    for lo in range(0, len(flat), 512):  # lattices are held for as many envelopes
+        part = flat[lo : lo + 512]
+        subs = K.decoded(uni, [codes[t][i - 1 : j] for t, i, j in part], [len(codes[t]) for t, _, _ in part], full=True)
+        for (t, i, j), sub in zip(part, subs, strict=True):
+            d = domain(uni, sub, seqs[t], codes[t], i, j, consensus, stats, use_null2)
+            if d:
+                found[t].append(d)
+    return [(len(s), d) for s, d in zip(spans, found, strict=True)]
 
 
 def cascade(model: Model, config: Config, ids: list, names: list, seqs: list[str], codes: list[np.ndarray] | None = None, msv: np.ndarray | None = None) -> pd.DataFrame:
@@ -215,9 +230,7 @@ def cascade(model: Model, config: Config, ids: list, names: list, seqs: list[str
     counts["past_fwd"] = len(past)
     rows = [{"model": model.name, "kind": "count", "n": len(codes), "residues": int(lengths.sum()), **counts}]
     consensus = model.consensus or "x" * model.m
-    for i in past:
-        post = K.Posterior(p, codes[i])
-        count, doms = domains(p, post, seqs[i], codes[i], consensus, stats, f, config.null2)
+    for i, (count, doms) in zip(past, domains(p, [seqs[i] for i in past], [codes[i] for i in past], consensus, stats, config.null2), strict=True):
         if not doms:
             continue
         n = int(lengths[i])
