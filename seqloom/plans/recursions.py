@@ -103,10 +103,28 @@ class Recursion:
 z AS (SELECT {k}, cc * mv AS z FROM f WHERE i = n),
 x AS (SELECT f.{k}, f.i, f.n, z, f.lp, {match}, {ins}, f.bb * b.bb / z AS begins, f.en * b.en / z AS ends, b.nn AS bn, b.jj AS bj, b.cc AS bc, f.nn AS fn, f.jj AS fj, f.cc AS fc
       FROM f JOIN b ON f.{k} = b.{k} AND f.i = b.i JOIN z ON z.{k} = f.{k}),
-g AS (SELECT *, coalesce(lag(fn) OVER w * lp * bn / z + lag(fj) OVER w * lp * bj / z + lag(fc) OVER w * lp * bc / z, 0) AS gone FROM x WINDOW w AS (PARTITION BY {k} ORDER BY i)),
+g AS (SELECT *, pn + pj + pc AS gone FROM (SELECT *, coalesce(lag(fn) OVER w * lp * bn / z, 0) AS pn, coalesce(lag(fj) OVER w * lp * bj / z, 0) AS pj, coalesce(lag(fc) OVER w * lp * bc / z, 0) AS pc FROM x WINDOW w AS (PARTITION BY {k} ORDER BY i))),
 po AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE 1 - gone END AS mocc, coalesce(sum(begins) OVER (PARTITION BY {k} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS btot,
        coalesce(sum(CASE WHEN i > 0 THEN ends END) OVER (PARTITION BY {k} ORDER BY i), 0) AS etot FROM g)"""
 
+    def accuracy(self) -> str:
+        """CTEs up to oa(key, i, n, cc): the most residues that a path can be expected to place right, up to each position."""
+        k, m = self.key, self.m
+        top = lambda *v: f"greatest({', '.join(v)})"
+        cells = [*[f"m{j}" for j in self.nodes], *[f"i{j}" for j in range(1, m)], *[f"d{j}" for j in range(2, m + 1)]]
+        new_m = {j: top("o.bb", *([f"o.m{j - 1}", f"o.i{j - 1}"] if j > 1 else []), *([f"o.d{j - 1}"] if j > 2 else []), "-1e9") + f" + p.u{j}" for j in self.nodes}
+        new_i = {j: top(f"o.m{j}", f"o.i{j}") + f" + p.v{j}" for j in range(1, m)}
+        dele = {j: top(*[f"m{q}" for q in range(1, j)], "-1e9") for j in range(2, m + 1)}
+        low = ", ".join(f"-1e9::DOUBLE AS {c}" for c in cells)
+        return f"""{self.decoded()},
+oa AS (
+    SELECT {k}, 0 AS i, n, {low}, 0::DOUBLE AS nn, -1e9::DOUBLE AS jj, 0::DOUBLE AS bb, -1e9::DOUBLE AS cc FROM po WHERE i = 0
+    UNION ALL
+    SELECT {k}, i, n, {', '.join(cells)}, nn + pn, greatest(jj + pj, en), greatest(nn + pn, jj + pj, en), greatest(cc + pc, en) FROM (
+        SELECT *, {top(*[f'm{j}' for j in self.nodes], *[f'd{j}' for j in range(2, m + 1)])} AS en FROM (
+            SELECT *, {', '.join(f'{v} AS d{j}' for j, v in dele.items())} FROM (
+                SELECT o.{k}, p.i, o.n, {', '.join([f'{v} AS m{j}' for j, v in new_m.items()] + [f'{v} AS i{j}' for j, v in new_i.items()])}, o.nn, o.jj, o.cc, p.pn, p.pj, p.pc FROM oa o JOIN po p ON p.{k} = o.{k} AND p.i = o.i + 1))))"""
+
     def regions(self) -> str:
         """CTEs up to rg(key, first, last), the regions, by a walk over positions."""
         k = self.key

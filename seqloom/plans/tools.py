@@ -542,3 +542,66 @@ def target_lengths(spark, d):
 
     s = table(spark, d, "pages").select("page_id", F.regexp_replace(F.coalesce("html", F.lit("")), "[^A-Za-z]", "").alias("seq"))
     return I.windows(s, "seq", 400, 100).groupBy("page_id").agg(F.max(F.col("start") + F.length("part") - 1).cast("bigint").alias("n"))
+
+
+@query(f"WITH {WORD_CELLS.accuracy()} SELECT p_partkey, round(cc, 6) AS accuracy FROM oa WHERE i = n")
+def optimal_accuracy_score(spark, d):
+    from seqloom.operators import kernels as K
+
+    return _paths(spark, d, lambda p, x: [(round(K.optimal_accuracy(p, K.Posterior(p, x))[0], 6),)], "accuracy double")
+
+
+@query(SQL["forward_backward_posterior"])
+def batched_decoding(spark, d):
+    """Forward scores of the batched decoding, and the same total put together from both of its sweeps at the first position."""
+    from seqloom.operators import kernels as K
+    from seqloom.operators import profile as P_
+    from seqloom.plans.catalog import parts, word_model
+
+    p = P_.configure(word_model())
+    df = parts(spark, d).where("seq <> ''").select("p_partkey", "seq")
+
+    def run(batches):
+        import pandas as pd
+
+        from seqloom.functions.alphabet import digitize
+
+        for pdf in batches:
+            found = K.decoded(p, [digitize(s) for s in pdf.seq])
+            # every path emits the first residue somewhere, so the posteriors there sum to one
+            total = [float(np.log(f.n[1] + f.j[1] + f.c[1] + f.match[1].sum() + f.insert[1].sum())) for f in K.decoded(p, [digitize(s) for s in pdf.seq], full=True)]
+            yield pd.DataFrame({"p_partkey": pdf.p_partkey, "forward": [round(f.score, 6) for f in found], "backward": [round(f.score + t, 6) for f, t in zip(found, total, strict=True)]})
+
+    return df.mapInPandas(run, f"p_partkey {df.schema['p_partkey'].dataType.simpleString()}, forward double, backward double")
+
+
+def _matrix_sql() -> str:
+    from seqloom.sources import matrix
+
+    f = background("amino")
+    lam = matrix.scale_of(matrix.parse_matrix(matrix.plain_matrix(5, -4)), f)
+    return f"""WITH j AS (SELECT a.residue AS a, b.residue AS b, a.f * b.f * exp({lam!r} * CASE WHEN a.residue = b.residue THEN 5 ELSE -4 END) AS p FROM {{BG}} a CROSS JOIN {{BG}} b)
+SELECT a, b, round(p / sum(p) OVER (PARTITION BY a), 6) AS p FROM j""".replace("{BG} a", "(SELECT * FROM {BG}) a").replace("{BG} b", "(SELECT * FROM {BG}) b")
+
+
+@query(_matrix_sql())
+def matrix_conditionals(spark, d):
+    """What single-sequence models emit under a matrix of scores."""
+    from seqloom.sources import matrix
+
+    f = background("amino")
+    joint = matrix.joint_probabilities(matrix.parse_matrix(matrix.plain_matrix(5, -4)), f)
+    m = P.single_sequence("all", AMINO, joint)
+    return spark.createDataFrame([(a, b, round(float(m.mat[i + 1, j]), 6)) for i, a in enumerate(AMINO) for j, b in enumerate(AMINO)], "a string, b string, p double")
+
+
+@query("SELECT id, target AS first, row_number() OVER (PARTITION BY target ORDER BY lnp, id)::BIGINT AS rank FROM (SELECT id, target, lnp FROM " + "(SELECT l_suppkey AS target, l_orderkey * 10 + l_linenumber AS id, -l_extendedprice::DOUBLE AS lnp FROM lineitem)" + ") QUALIFY rank <= 3")
+def merged_hit_lists(spark, d):
+    """The best three hits of each target, from lists that were sorted apart: each list sends its best three, not all."""
+    from pyspark.sql import Window
+
+    from seqloom.plans.catalog import spans
+
+    h = spans(spark, d).select("id", "target", "lnp").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(8)))
+    best = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("lnp", "id"))).where("rank <= 3")
+    return best(best(h, "target", "part"), "target").select("id", F.col("target").alias("first"), F.col("rank").cast("bigint").alias("rank"))

@@ -164,3 +164,18 @@ def test_clusters_follow_links_and_empty_alignments_have_none(spark):
     assert got == {(1, 1): 1, (1, 2): 1, (1, 3): 1, (1, 4): 4, (1, 5): 1, (2, 1): 1, (2, 2): 1}
     assert C.single_linkage(df.where("false"), 0.7).count() == 0
     assert C.independent_set(df.where("false"), 0.7).count() == 0
+
+
+def test_matrices_become_probabilities():
+    from seqloom.sources import matrix
+
+    f = P.single_sequence("w", "AC").bg
+    scores = matrix.parse_matrix(matrix.plain_matrix(5, -4))
+    joint = matrix.joint_probabilities(scores, f)
+    assert np.isclose(joint.sum(), 1) and np.allclose(joint, joint.T)
+    odds = np.log(joint / np.outer(f, f))
+    assert np.allclose(odds, matrix.scale_of(scores, f) * scores, atol=1e-6)
+    with pytest.raises(ValueError, match="negative on average"):
+        matrix.scale_of(np.ones((20, 20)), f)
+    with pytest.raises(ValueError, match="no scores for"):
+        matrix.parse_matrix("A C\nA 1 2\nC 2 1\n")
