@@ -121,6 +121,43 @@ def msv_many(profiles: list[Profile], codes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def ssv_threshold(p: Profile, bits: float, length: int) -> int:
+    """The third-bits that an ungapped stretch must have for the ungapped filter to give a target of a length that many bits."""
+    null = length * np.log(length / (length + 1)) + np.log(1 / (length + 1))
+    spent = 2 * _third_bits(np.log(3 / (length + 3))) + _third_bits(np.log(2 / (p.m * (p.m + 1)))) + _third_bits(np.log(0.5))
+    return int(np.ceil((bits * np.log(2) + null + 3.0) * 3 / np.log(2) + spent))
+
+
+def ssv_windows(p: Profile, x: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    """(first position, last position, last node, score) of ungapped stretches with at least so many third-bits.
+
+    A stretch begins on a diagonal where nothing was left of its score, ends at its best place, and is one until nothing
+    is left again. Residues and nodes count from 1. One pass over all diagonals finds those that reach the threshold
+    at all; only these are looked at by themselves.
+    """
+    cost, bias = quantise_msv(p)
+    gain = (bias - cost).astype(np.int32)
+    run, best = np.zeros(p.m + 1, np.int32), {}
+    for i, c in enumerate(x, 1):
+        run[1:] = np.maximum(run[:-1] + gain[c, 1:], 0)
+        run[0] = 0
+        for k in np.flatnonzero(run >= least):
+            best[i - int(k)] = True
+    out = []
+    for diagonal in sorted(best):  # position less node
+        first = max(1, diagonal + 1)
+        positions = np.arange(first, min(len(x), diagonal + p.m) + 1)
+        total = np.cumsum(gain[x[positions - 1], positions - diagonal])
+        low = np.minimum.accumulate(np.concatenate(([0], total)))
+        part = np.cumsum(total <= low[:-1])  # a new lowest total: nothing is left here
+        score = total - low[1:]
+        for s in np.unique(part[score >= least]):
+            inside = np.flatnonzero((part == s) & (score > 0))
+            end = inside[score[inside].argmax()]
+            out.append((int(positions[inside[0]]), int(positions[end]), int(positions[end] - diagonal), int(score[end])))
+    return out
+
+
 def viterbi_int(p: Profile, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Scores in nats of the 16-bit gapped filter, +inf on overflow, -inf without a path.
 

@@ -605,3 +605,40 @@ def merged_hit_lists(spark, d):
     h = spans(spark, d).select("id", "target", "lnp").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(8)))
     best = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("lnp", "id"))).where("rank <= 3")
     return best(best(h, "target", "part"), "target").select("id", F.col("target").alias("first"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def _ssv_sql(least: int = 14) -> str:
+    """Ungapped stretches by diagonals: sums along each, cut where a sum is lowest so far."""
+    p = P.configure(P.single_sequence("word", "STEEL"))
+    cost, bias = P.quantise_msv(p)
+    rows = ", ".join(f"('{a}', {k}, {int(bias - cost[i, k])})" for i, a in enumerate(AMINO) for k in range(1, p.m + 1))
+    return f"""WITH g AS (SELECT * FROM (VALUES {rows}) AS t(r, k, gain)),
+c AS (SELECT p_partkey, i - k AS diagonal, i, k, sum(gain) OVER (PARTITION BY p_partkey, i - k ORDER BY i) AS total FROM (SELECT p_partkey, seq, unnest(range(1, length(seq) + 1)) AS i FROM {{PARTS}}) JOIN g ON r = substr(seq, i::INT, 1)),
+l AS (SELECT *, least(0, coalesce(min(total) OVER (PARTITION BY p_partkey, diagonal ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM c),
+s AS (SELECT *, total - least(low, total) AS score, sum(CASE WHEN total <= low THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey, diagonal ORDER BY i) AS part FROM l)
+SELECT p_partkey, min(i)::INT AS first, arg_max(i, score * 1000 - i)::INT AS last, arg_max(k, score * 1000 - i)::INT AS node, max(score)::INT AS score FROM s WHERE score > 0 GROUP BY p_partkey, diagonal, part HAVING max(score) >= {least}"""
+
+
+@query(_ssv_sql())
+def ssv_windows(spark, d):
+    """Ungapped stretches of part names that resemble a word."""
+    from seqloom.operators import kernels as K
+
+    return _paths(spark, d, lambda p, x: K.ssv_windows(p, x, 14), "first int, last int, node int, score int")
+
+
+def _pages_dna(spark, d):
+    return table(spark, d, "pages").select(F.col("page_id").cast("bigint").alias("seq_id"), F.concat(F.lit("page"), "page_id").alias("name"), F.regexp_replace(F.upper(F.coalesce("html", F.lit(""))), "[^ACGT]", "").alias("seq"))
+
+
+@query()
+def long_target_scan(spark, d):
+    """Letters A, C, G and T of pages against models of two strings, seeds first: hits ranked per page."""
+    from seqloom.operators import search as R
+
+    models = []
+    for name, word in (("one", "ACGTTGCAAGGCTTACCGATGCATTGACCA"), ("two", "TTACATTCACAGATTCAGTTACCTAGATTC")):
+        m = P.single_sequence(name, word, popen=0.03125, pextend=0.75, alphabet="dna")
+        m.max_length = 60
+        models.append(m)
+    return R.long_scan(_pages_dna(spark, d), models).select("model", "seq_id", "strand", "ali_from", "ali_to", r6(F.col("bits")).alias("bits"), "rank")

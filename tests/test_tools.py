@@ -179,3 +179,25 @@ def test_matrices_become_probabilities():
         matrix.scale_of(np.ones((20, 20)), f)
     with pytest.raises(ValueError, match="no scores for"):
         matrix.parse_matrix("A C\nA 1 2\nC 2 1\n")
+
+
+def test_ungapped_stretches_are_those_of_a_plain_walk():
+    for _ in range(60):
+        p = P.configure(P.single_sequence("w", "".join(RNG.choice(list(AMINO[:6]), RNG.integers(2, 12)))))
+        x = RNG.integers(0, 6, RNG.integers(1, 60))
+        cost, bias = P.quantise_msv(p)
+        want = []
+        for diagonal in range(-p.m, len(x)):
+            run, begun, best = 0, 0, None
+            for i in range(max(1, diagonal + 1), min(len(x), diagonal + p.m) + 1):
+                gain = int(bias - cost[x[i - 1], i - diagonal])
+                if run + gain <= 0:
+                    want += [best] if best else []
+                    run, best = 0, None
+                    continue
+                begun = i if run == 0 else begun
+                run += gain
+                if run >= 12 and (best is None or run > best[3]):
+                    best = (begun, i, i - diagonal, run)
+            want += [best] if best else []
+        assert sorted(K.ssv_windows(p, x, 12)) == sorted(want)
