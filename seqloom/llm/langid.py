@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that count as parts of words in patterns and are neither letters nor decimal digits.
-_OTHERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{re.escape(_OTHERS)}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that count as parts of words in patterns and are neither letters nor decimal digits: taken for spaces.
+OTHERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 LONGEST = 4
 #: Texts whose presence makes one matrix.
 BATCH = 64
@@ -42,10 +42,12 @@ UNKNOWN = "und"
 
 def ngrams(text: str | None) -> np.ndarray:
     """Sorted 64-bit hashes of a text's distinct n-grams."""
-    words = set(LETTERS.findall(text.lower())) if text else ()
-    if not words:
+    joined = " ".join(set(LETTERS.findall(text.lower()))) if text else ""
+    if not joined.isascii() and not OTHERS.isdisjoint(joined):
+        joined = " ".join(set("".join(" " if c in OTHERS else c for c in joined).split()))
+    if not joined:
         return np.empty(0, np.uint64)
-    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    c = np.frombuffer(f" {joined} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
     space = c == 32
     out, h, inner = [], np.zeros(len(c), np.uint64), np.zeros(len(c), bool)
     for p in range(LONGEST):
