@@ -641,4 +641,4 @@ def long_target_scan(spark, d):
         m = P.single_sequence(name, word, popen=0.03125, pextend=0.75, alphabet="dna")
         m.max_length = 60
         models.append(m)
-    return R.long_scan(_pages_dna(spark, d), models).select("model", "seq_id", "strand", "ali_from", "ali_to", r6(F.col("bits")).alias("bits"), "rank")
+    return R.long_scan(_pages_dna(spark, d), models, R.Config(f1=0.1, f2=0.1, f3=0.1, e=1e4)).select("model", "seq_id", "strand", "ali_from", "ali_to", r6(F.col("bits")).alias("bits"), "rank")
