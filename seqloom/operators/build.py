@@ -347,26 +347,20 @@ def align(model: Model, names: list[str], seqs: list[str]) -> list[tuple[str, st
     return [(name, *laid_out(*p, widths)) for name, p in zip(names, parts, strict=True)]
 
 
-def alignment(sequences: DataFrame, model: Model) -> DataFrame:
-    """(name, aseq, pp): sequences(name, seq) as rows of one alignment to a model.
+PARTS = "name string, match array<string>, post array<string>, inserts array<string>, marks array<string>"
 
-    Each sequence is aligned by itself; the width of every insert column is the greatest that any row needs, which
-    is one aggregation; then rows are laid out with these widths. Only the widths, one per node, come to the driver.
-    """
+
+def rows_of(parts: DataFrame, m: int) -> DataFrame:
+    """(name, aseq, pp) of aligned parts: the width of every insert column is the greatest that any row needs, which is one
+    aggregation; then rows are laid out with these widths. Only the widths, one per node, come to the driver."""
     import pandas as pd
     from pyspark.sql import functions as F
 
     from seqloom.session import cut
 
-    def parts(batches):
-        for pdf in batches:
-            found = [aligned_parts(model, s or "") for s in pdf.seq]
-            yield pd.DataFrame({"name": pdf.name, **{c: [f[i] for f in found] for i, c in enumerate(("match", "post", "inserts", "marks"))}})
-
-    made = cut(sequences.select("name", "seq").mapInPandas(parts, "name string, match array<string>, post array<string>, inserts array<string>, marks array<string>"))
-    need = made.select(F.posexplode(F.transform("inserts", F.length)).alias("k", "w")).groupBy("k").agg(F.max("w").alias("w")).collect()
-    widths = [0] * (model.m + 1)
-    for r in need:
+    made = cut(parts)
+    widths = [0] * (m + 1)
+    for r in made.select(F.posexplode(F.transform("inserts", F.length)).alias("k", "w")).groupBy("k").agg(F.max("w").alias("w")).collect():
         widths[r.k] = r.w
 
     def rows(batches):
@@ -376,6 +370,47 @@ def alignment(sequences: DataFrame, model: Model) -> DataFrame:
     return made.mapInPandas(rows, "name string, aseq string, pp string")
 
 
+def alignment(sequences: DataFrame, model: Model) -> DataFrame:
+    """(name, aseq, pp): sequences(name, seq) as rows of one alignment to a model, each aligned by itself."""
+    import pandas as pd
+
+    def parts(batches):
+        for pdf in batches:
+            found = [aligned_parts(model, s or "") for s in pdf.seq]
+            yield pd.DataFrame({"name": pdf.name, **{c: [f[i] for f in found] for i, c in enumerate(("match", "post", "inserts", "marks"))}})
+
+    return rows_of(sequences.select("name", "seq").mapInPandas(parts, PARTS), model.m)
+
+
+def domain_alignment(hits: DataFrame, m: int) -> DataFrame:
+    """(name, aseq, pp): the included domains of hits to a model of m nodes as rows of one alignment, on the paths they were found with.
+
+    A row is named by its target and the residues that it spans.
+    """
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    d = hits.select("name", F.explode(F.filter("domains", lambda d: d["included"])).alias("d"))
+    d = d.select(F.concat("name", F.lit("/"), "d.iali", F.lit("-"), "d.jali").alias("name"), F.col("d.hmm_from").alias("first"), F.col("d.model").alias("top"), F.col("d.aseq").alias("bottom"), F.col("d.pp").alias("codes"))
+
+    def parts(batches):
+        for pdf in batches:
+            out = []
+            for name, first, top, bottom, codes in zip(pdf.name, pdf["first"], pdf.top, pdf.bottom, pdf.codes, strict=True):
+                match, post, inserts, marks, k = ["-"] * (m + 1), ["."] * (m + 1), [""] * (m + 1), [""] * (m + 1), first - 1
+                for node, residue, code in zip(top, bottom, codes, strict=True):
+                    if node == ".":
+                        inserts[k] += residue.lower()
+                        marks[k] += code
+                    else:
+                        k += 1
+                        match[k], post[k] = residue, code
+                out.append((name, match, post, inserts, marks))
+            yield pd.DataFrame(out, columns=["name", "match", "post", "inserts", "marks"])
+
+    return rows_of(d.mapInPandas(parts, PARTS), m)
+
+
 def emit(model: Model, n: int, seed: int = 42) -> list[str]:
     """n sequences sampled from the core model, begin to end."""
     rng = np.random.default_rng(seed)

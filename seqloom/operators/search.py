@@ -412,10 +412,11 @@ def scan(sequences: DataFrame, models: list[Model], config: Config | None = None
     return hits.where("reported").withColumn("rank", F.row_number().over(order))
 
 
-def iterate(sequences: DataFrame, query: Model, rebuild, rounds: int = 5, config: Config | None = None) -> tuple[DataFrame, int]:
+def iterate(sequences: DataFrame, query: Model, rebuild, rounds: int = 5, config: Config | None = None, keep: str | None = None) -> tuple[DataFrame, int]:
     """Search, rebuild the model from included hits, and repeat until no new target is included.
 
-    rebuild(model, hits) gives the next model; it sees included hits alone, whose number thresholds bound.
+    rebuild(model, hits) gives the next model; it sees included hits alone, whose number thresholds bound. With keep, a
+    folder, each round's model and alignment of included domains are left there, as round1/model, round1/alignment and so on.
     """
     config = config or Config(inc_e=1e-3, inc_dom_e=1e-3)
     known = None
@@ -424,6 +425,12 @@ def iterate(sequences: DataFrame, query: Model, rebuild, rounds: int = 5, config
         hits, _ = search(sequences, [model], config)
         included = hits.where("included")
         found = included.select("seq_id").distinct()
+        if keep:
+            from seqloom.operators.build import domain_alignment
+            from seqloom.sources.hmmfile import SCHEMA, record
+
+            sequences.sparkSession.createDataFrame([record(model)], SCHEMA).write.mode("overwrite").parquet(f"{keep}/round{step}/model")
+            domain_alignment(included, model.m).write.mode("overwrite").parquet(f"{keep}/round{step}/alignment")
         if (found if known is None else found.join(known, "seq_id", "left_anti")).isEmpty():
             return hits, step
         known = cut(found if known is None else known.union(found).distinct())

@@ -642,3 +642,15 @@ def long_target_scan(spark, d):
         m.max_length = 60
         models.append(m)
     return R.long_scan(_pages_dna(spark, d), models, R.Config(f1=0.1, f2=0.1, f3=0.1, e=1e4)).select("model", "seq_id", "strand", "ali_from", "ali_to", r6(F.col("bits")).alias("bits"), "rank")
+
+
+@query("SELECT TRUE AS even")
+def hits_alignment(spark, d):
+    """Included domains of a search as one alignment: all rows are equally long, posteriors too."""
+    from seqloom.operators import build as B
+    from seqloom.operators import search as R
+    from seqloom.plans.catalog import PART_FILTERS, search_parts
+
+    hits, _ = search_parts(spark, d, R.Config(**PART_FILTERS, e=1000.0, inc_e=500.0, inc_dom_e=500.0), ("STEEL",))
+    rows = B.domain_alignment(hits.where("included"), 5)
+    return rows.agg((F.count_distinct(F.length("aseq")) + F.count_if(F.length("aseq") != F.length("pp")) <= 1).alias("even"))

@@ -201,3 +201,19 @@ def test_ungapped_stretches_are_those_of_a_plain_walk():
                     best = (begun, i, i - diagonal, run)
             want += [best] if best else []
         assert sorted(K.ssv_windows(p, x, 12)) == sorted(want)
+
+
+def test_domains_are_laid_out_as_one_alignment(spark, tmp_path):
+    from seqloom.operators import search as R
+    from seqloom.sources.hmmfile import from_record
+
+    rows = [(1, "a", "GGWCHMKYFHCGG"), (2, "b", "WCHAAAMKYFHC"), (3, "c", "WCHYFHC"), (4, "d", "GGGG")]
+    df = spark.createDataFrame(rows, "seq_id bigint, name string, seq string")
+    query = P.single_sequence("q", "WCHMKYFHC")
+    config = R.Config(inc_e=1e6, inc_dom_e=1e6, e=1e6).maximal()
+    hits, _ = R.iterate(df, query, B.rebuilder("WCHMKYFHC"), 2, config, str(tmp_path))
+    made = {r.name.split("/")[0]: r.aseq for r in spark.read.parquet(str(tmp_path / "round1" / "alignment")).collect()}
+    assert len({len(a) for a in made.values()}) == 1 and {"a", "b"} <= made.keys()
+    assert made["a"].replace(".", "") == "WCHMKYFHC" and "aaa" in made["b"]
+    back = from_record(spark.read.parquet(str(tmp_path / "round1" / "model")).first())
+    assert np.allclose(back.mat, query.mat) and back.name == "q"
