@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import contextvars
+import gc
 import shutil
 import tempfile
 import uuid
@@ -104,7 +105,9 @@ def removed(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that stored() and checkpointed() write within the block are deleted at its end.
 
-    What the block yields is a function that keeps a table, and hands it to the block around, if any.
+    What the block yields is a function that keeps a table, and hands it to the block around, if any. At the end of an
+    outermost block both sides of the driver collect their garbage, so that shuffle files, broadcasts and generated
+    classes of the steps go now and not at some later time.
     """
     mine: list[str] = []
     kept: list[str] = []
@@ -124,6 +127,9 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         for path in mine:
             if path not in kept:
                 removed(spark, path)
+        if outer is None:
+            gc.collect()
+            spark._jvm.java.lang.System.gc()
 
 
 def as_bytes(column: pa.Array) -> list:

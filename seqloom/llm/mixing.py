@@ -74,19 +74,19 @@ def rates(docs: DataFrame, balanced: DataFrame, most: int = 3, steps: int = 80)
     """balanced(source, source_size, target) with `lam`, the dual solution; docs holds source, size and tilt (positive)."""
     f, rate = F.col("tilt"), F.least(F.lit(float(most)), F.exp(F.col("lam") * F.col("tilt")))
     lam = checkpointed(balanced.withColumns({"lam": F.lit(0.0), "lo": F.lit(-100.0), "hi": F.lit(100.0), "off": F.lit(1.0)}))
-    count = lam.count()
+    count, kept = lam.count(), [c for c in balanced.columns if c != "source"]
     for _ in range(steps):
-        current = _small(lam.where("off > 0").select(F.col("source").alias("of"), "lam"), count)
+        # a source's row goes along with its sums, so that a step needs no join but the one with the documents
+        current = _small(lam.withColumnRenamed("source", "of"), count)
         free = F.when(rate < most, F.col("size") * f * rate).otherwise(0.0)
-        sums = docs.join(current, F.col("source").eqNullSafe(F.col("of"))).groupBy("of").agg(F.sum(F.col("size") * rate).alias("got"), F.sum(free).alias("slope"))
-        gap = F.col("target") - F.coalesce("got", F.lit(0.0))
+        met = docs.select("source", "size", "tilt").join(current, F.col("source").eqNullSafe(F.col("of")))
+        sums = met.groupBy(F.col("of").alias("source"), *kept, "lam", "lo", "hi", "off").agg(F.sum(F.col("size") * rate).alias("got"), F.sum(free).alias("slope"))
+        gap = F.col("target") - F.col("got")
         open_ = (F.col("off") > 0) & (F.abs(gap) > 1e-9 * (F.col("target") + 1)) & (F.col("target") > 0) & (F.col("target") < F.col("source_size") * (most * (1 - 1e-12)))
         low, high = F.when(gap > 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap < 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") + gap / F.col("slope")
         step = F.when((F.col("slope") > 0) & (newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        following = lam.join(_small(sums, count), F.col("source").eqNullSafe(F.col("of")), "left")
-        kept = [c for c in lam.columns if c not in ("lam", "lo", "hi", "off")]
-        lam = checkpointed(following.select(*kept, F.when(open_, step).otherwise(F.col("lam")).alias("lam"), low.alias("lo"), high.alias("hi"), F.when(open_, 1.0).otherwise(0.0).alias("off")))
+        lam = checkpointed(sums.select("source", *kept, F.when(open_, step).otherwise(F.col("lam")).alias("lam"), low.alias("lo"), high.alias("hi"), F.when(open_, 1.0).otherwise(0.0).alias("off")))
         if lam.where("off > 0").isEmpty():
             break
     return lam.select(*balanced.columns, F.round("lam", 9).alias("lam"))  # sums of doubles depend on their order in the last digits

@@ -294,7 +294,8 @@ def block_links(pdf, percent: int):
 
 
 def block_survivors(pdf, percent: int, radius: int, most: int):
-    """Of a block of minor rows and a block of all rows, by sizes and signatures, those that may have a link in the other block."""
+    """Of a block of minor rows and a block of all rows, by sizes and signatures, those that may have a link in the other block, for which this is the first key shared."""
+    this = np.array([pdf.key.iat[0]], np.int64).view(np.uint64)[0]
     x, y = pdf[pdf.minor], pdf[~pdf.minor]
     rows = [Rows(z.id, z.c, z.n, z.u, z.sig) for z in (x, y) if len(z)]
     if len(rows) < 2:
@@ -306,6 +307,8 @@ def block_survivors(pdf, percent: int, radius: int, most: int):
         d = (b.symbols[ok] != a.symbols[r]).sum(1)
         ok, d = ok[d <= radius], d[d <= radius]
         ok = ok[d + (b.more[ok] != a.more[r]).sum(1) <= most]
+        if len(ok):
+            ok = ok[a.keys[r][(b.keys[ok] == a.keys[r]).argmax(1)] == this]
         hit_a[r], hit_b[ok] = len(ok) > 0, True
     return pd.concat([x[hit_a], y[hit_b]])[["key", "i", "j", "minor", "id"]]
 
