@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqloom.llm import hnsw, langid, lm, media, mixing, neardup, pieces, secrets, substrings, warc
+from seqloom.llm import alignment, hnsw, langid, lm, media, mixing, neardup, negatives, pieces, secrets, substrings, tokencount, warc
 from seqloom.llm.common import prepare
 
 
@@ -60,6 +60,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("bigint")
+    moved = rows.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    return negatives.mine(moved, F.col("vec_id") % 100 == 0)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op1_hnsw": """
         WITH RECURSIVE x AS (
@@ -114,11 +129,25 @@ SQL = {
         SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)
     """,
+    "op11_negatives": """
+        WITH x AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        s AS (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM x a JOIN x b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+        p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+        n AS (
+            SELECT p.a, p.b, p.score, s.b AS n, s.score AS t FROM p JOIN s ON p.a = s.a AND NOT same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+        SELECT a AS anchor_id, b AS positive_id, (row_number() OVER w)::INTEGER AS rank, n AS negative_id, score AS positive_score, t AS negative_score
+        FROM n WINDOW w AS (PARTITION BY a, b ORDER BY t DESC, n) QUALIFY rank <= 5
+    """,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_hnsw, op2_langid, op3_sentencepiece, op4_minhash, op5_media, op6_warc, op7_substrings, op8_secrets, op9_lm, op10_mixing)
+    named = (op1_hnsw, op2_langid, op3_sentencepiece, op4_minhash, op5_media, op6_warc, op7_substrings, op8_secrets, op9_lm, op10_mixing, op11_negatives, op12_alignment, op13_tokencount)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
