@@ -112,7 +112,7 @@ class Normaliser:
         """What it writes for a text: the composition of a text with it is a chain again."""
         if " " not in text:
             return self.other[state] + text if text else ""
-        if self.space[state][1] == state and not self.other[state]:  # from here on, every character is written by itself
+        if state == INSIDE == self.space[state][1] and not self.other[state]:  # from here on, every character is written by itself
             return text.replace(" ", self.space[state][0])
         out = []
         for c in text:
