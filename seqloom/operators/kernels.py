@@ -204,6 +204,92 @@ def viterbi_int(p: Profile, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def ssv_windows_many(p: Profile, codes: list[np.ndarray], least: int) -> list[list[tuple[int, int, int, int]]]:
+    """ssv_windows of several sequences; diagonals that reach the threshold are found for all of them at once."""
+    x, lengths = batch(codes)
+    cost, bias = quantise_msv(p)
+    gain = np.vstack([(bias - cost).astype(np.int32), np.full((1, p.m + 1), -(1 << 20), np.int32)])  # the last row ends a short sequence
+    run, reached = np.zeros((len(codes), p.m + 1), np.int32), []
+    nodes = np.arange(p.m + 1)
+    for i in range(x.shape[1]):
+        np.maximum(run[:, :-1] + gain[x[:, i], 1:], 0, out=run[:, 1:])
+        if run.max() >= least:
+            row, node = np.nonzero(run >= least)
+            reached.append(np.stack([row, i + 1 - nodes[node]]))
+    found = np.unique(np.concatenate(reached, axis=1), axis=1) if reached else np.empty((2, 0), np.int64)
+    return [stretches_of(p, gain, codes[r], found[1, found[0] == r], least) if (found[0] == r).any() else [] for r in range(len(codes))]
+
+
+def stretches_of(p: Profile, gain: np.ndarray, x: np.ndarray, diagonals: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    """The stretches of ssv_windows on some diagonals (position less node) of a sequence."""
+    out = []
+    for diagonal in diagonals.tolist():
+        positions = np.arange(max(1, diagonal + 1), min(len(x), diagonal + p.m) + 1)
+        total = np.cumsum(gain[x[positions - 1], positions - diagonal])
+        low = np.minimum.accumulate(np.concatenate(([0], total)))
+        part = np.cumsum(total <= low[:-1])  # a new lowest total: nothing is left here
+        score = total - low[1:]
+        for s in np.unique(part[score >= least]):
+            inside = np.flatnonzero((part == s) & (score > 0))
+            end = inside[score[inside].argmax()]
+            out.append((int(positions[inside[0]]), int(positions[end]), int(positions[end] - diagonal), int(score[end])))
+    return out
+
+
+def viterbi_least(p: Profile, nats: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """The 16-bit score at a match's end with which the gapped filter would give a target of a length so many nats."""
+    scale, base = 500 / np.log(2), 12000
+    move = np.floor(scale * np.log(3 / (targets + 3)) - 0.5 + 1)
+    half = np.floor(scale * np.log(0.5) + 0.5)
+    return np.ceil(np.minimum((nats + 3.0) * scale - half - move + base, 1 << 40)).astype(np.int64)
+
+
+def viterbi_crossings(p: Profile, x: np.ndarray, lengths: np.ndarray, targets: np.ndarray, least: np.ndarray) -> list[list[tuple[int, int]]]:
+    """For each sequence (position, node) of every place where the 16-bit gapped filter reaches a score, with the length model of its target.
+
+    Where it is reached, the nodes that have that row's best score are given, and nothing of the row is carried on: what follows is
+    a match of its own. Rows between crossings are those of viterbi_int.
+    """
+    scale, base, low, n, m = 500 / np.log(2), 12000, -32768, len(x), p.m
+    t, e = quantise_viterbi(p.tsc).astype(np.int32), quantise_viterbi(p.msc).astype(np.int32)
+    passed = np.concatenate([[0, 0], np.cumsum(t[1:-1, DD])]).astype(np.int32)
+    entry = quantise_viterbi(p.entry).astype(np.int32)[1:]
+    order = np.argsort(-lengths, kind="stable")  # long rows first: those that go on are a prefix
+    x, lengths, targets, least = x[order], lengths[order], targets[order], least[order]
+    ends = np.searchsorted(-lengths, -np.arange(x.shape[1] + 1), side="left")
+    move = np.floor(scale * np.log(3 / (targets + 3)) - 0.5 + 1).astype(np.int32)
+    half = int(np.floor(scale * np.log(0.5) + 0.5))
+    mm, ii, dd = (np.full((n, m + 1), low, np.int32) for _ in range(3))
+    xb, xj = np.full(n, base, np.int32) + move, np.full(n, low, np.int32)
+    found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for i in range(x.shape[1]):
+        k = int(ends[i])
+        if not k:
+            break
+        a, b, c = mm[:k], ii[:k], dd[:k]
+        best = np.maximum(np.maximum(a[:, :-1] + t[:-1, MM], b[:, :-1] + t[:-1, IM]), c[:, :-1] + t[:-1, DM])
+        best[:, 0] = low
+        np.maximum(best, xb[:k, None] + entry, out=best)
+        best += e[x[:k, i], 1:]
+        if m > 1:
+            b[:, 1:m] = np.maximum(a[:, 1:m] + t[1:m, MI], b[:, 1:m] + t[1:m, II])
+            c[:, 2:] = np.maximum.accumulate(best[:, :-1] + (t[1:-1, MD] - passed[2:]), axis=1) + passed[2:]
+        np.maximum(best, low, out=a[:, 1:])  # what 16 bits hold
+        xe = best.max(1)
+        crossed = np.flatnonzero(xe >= least[:k])
+        on = np.ones(k, bool)
+        on[crossed] = False
+        for r in crossed.tolist():
+            found[r] += [(i + 1, int(node) + 1) for node in np.flatnonzero(best[r] == xe[r])]
+            a[r] = b[r] = c[r] = low
+        xj[:k][on] = np.maximum(xj[:k], xe + half)[on]
+        xb[:k][on] = (np.maximum(xj[:k], base) + move[:k])[on]
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for row, i in enumerate(order.tolist()):
+        out[i] = found[row]
+    return out
+
+
 class Lattice:
     """Scores of every cell of a batch: match, insert, delete by (sequence, position, node), and E N J B C."""
 

@@ -438,83 +438,6 @@ def iterate(sequences: DataFrame, query: Model, rebuild, rounds: int = 5, config
     return hits, rounds
 
 
-def seeded_windows(cut: DataFrame, model: Model, config: Config, longest: int) -> DataFrame:
-    """(seq_id, strand, start, part) of what surrounds ungapped stretches in windows (seq_id, strand, start, part) of sequences.
-
-    Stretches must reach the score whose P-value in a target as long as the longest match is f1. Around each, the model's
-    shares of a match's length say how much may come before and after; what then overlaps within a window is one.
-    """
-    from seqloom.operators.profile import window_shares
-
-    p, (prefix, suffix), stats = configure(model), window_shares(model), model.stats
-    least = K.ssv_threshold(p, stats["msv_mu"] - float(np.log(-np.log1p(-config.f1))) / stats["msv_lambda"], longest)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for seq_id, strand, start, part in zip(pdf.seq_id, pdf.strand, pdf.start, pdf.part, strict=True):
-                spans = []
-                for i, j, k, _ in K.ssv_windows(p, digitize(part, model.alphabet), least):
-                    before, after = longest * (0.1 + prefix[max(0, k - (j - i) - 1)]), longest * (0.1 + suffix[k - 1])
-                    spans.append((max(1, int(i - before)), min(len(part), int(j + after))))
-                joined: list[list[int]] = []
-                for i, j in sorted(spans):
-                    if joined and i <= joined[-1][1] + 1:
-                        joined[-1][1] = max(joined[-1][1], j)
-                    else:
-                        joined.append([i, j])
-                # a window of the other strand begins at its sequence's end
-                rows += [(seq_id, strand, start + (i - 1 if strand == "+" else len(part) - j), part[i - 1 : j]) for i, j in joined]
-            yield pd.DataFrame(rows, columns=["seq_id", "strand", "start", "part"])
-
-    return balanced(cut.select("seq_id", "strand", "start", "part")).mapInPandas(run, f"seq_id {cut.schema['seq_id'].dataType.simpleString()}, strand string, start int, part string")
-
-
-def long_search(sequences: DataFrame, model: Model, config: Config | None = None, window: int | None = None, seeded: bool = False) -> DataFrame:
-    """Hits on both strands of long DNA sequences (seq_id, name, seq): a row per domain, best first.
-
-    Sequences are cut into windows that share twice the model's longest match, so every match lies whole in
-    one; windows of both strands go through the cascade like targets of their own, or, if seeded, what
-    surrounds their ungapped stretches does. A domain's P-value counts
-    the residues searched over the model's length, coordinates on the other strand run downwards, and a
-    match found in two windows is kept once.
-    """
-    from seqloom.functions.alphabet import reverse_complement
-    from seqloom.operators.intervals import windows, without_duplicates
-    from seqloom.operators.profile import max_length
-
-    config = config or Config(f2=3e-3, f3=3e-5)
-    longest = model.max_length or max_length(model)
-    size = window or max(4 * longest, 2000)
-    cut = windows(sequences.where("seq is not null"), "seq", size, min(size - 1, 2 * longest))
-    both = cut.withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-")))).withColumn("part", F.when(F.col("strand") == "+", F.upper("part")).otherwise(reverse_complement(F.upper("part"))))
-    if seeded:
-        model = calibrated(model, config.seed)
-        both = seeded_windows(both, model, config, longest)
-    key = F.concat_ws("|", F.col("seq_id").cast("string"), F.col("start").cast("string"), "strand", F.length("part").cast("string"))
-    raw = raw_hits(both.select(F.lit(0).cast("bigint").alias("seq_id"), key.alias("name"), F.col("part").alias("seq")), [model], config)
-    residues = sequences.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("n")).first().n * 2
-    d = raw.where("kind = 'hit'").select("model", F.split("name", r"\|").alias("k"), F.explode("domains").alias("d"))
-    start, length = F.col("k")[1].cast("int"), F.col("k")[3].cast("int")
-    place = lambda x: F.when(F.col("k")[2] == "+", start + x - 1).otherwise(start + length - x)
-    hits = d.select("model", F.col("k")[0].cast("bigint").alias("seq_id"), F.col("k")[2].alias("strand"), place(F.col("d.iali")).alias("ali_from"), place(F.col("d.jali")).alias("ali_to"), "d.hmm_from", "d.hmm_to", F.col("d.bits").alias("bits"), (F.col("d.lnp") + float(np.log(max(1.0, residues / longest)))).alias("lnp"))
-    hits = hits.where((F.abs(F.col("ali_to") - F.col("ali_from")) >= 7) & (F.exp("lnp") <= config.e))
-    hits = hits.withColumn("start", F.least("ali_from", "ali_to")).withColumn("end", F.greatest("ali_from", "ali_to"))
-    kept = without_duplicates(hits, ["model", "seq_id", "strand"]).withColumn("evalue", F.exp("lnp"))
-    names = sequences.select(F.col("seq_id").alias("sid"), "name")
-    return kept.join(names, F.col("seq_id") == F.col("sid")).drop("sid", "start", "end").withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy("lnp", F.col("bits").desc(), "seq_id", F.col("strand").desc(), "ali_from")))
-
-
-def long_scan(sequences: DataFrame, models: list[Model], config: Config | None = None, seeded: bool = True) -> DataFrame:
-    """Long sequences against a collection of models: hits of all, ranked within each sequence; P-values count the models too."""
-    found = None
-    for model in models:
-        part = long_search(sequences, model, config, seeded=seeded).drop("rank")
-        found = part if found is None else found.unionByName(part)
-    hits = found.withColumn("lnp", F.col("lnp") + float(np.log(len(models)))).withColumn("evalue", F.exp("lnp")).where(F.col("evalue") <= (config or Config()).e)
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("seq_id").orderBy("lnp", F.col("bits").desc(), "model", "ali_from")))
-
-
 def compact_sequences(hits: DataFrame) -> DataFrame:
     """A short table of reported targets: n counts all domains, reported or not."""
     return ranked(hits).select("name", F.col("score").alias("bits"), "evalue", F.size("domains").alias("n"), (F.col("pre_score") - F.col("score")).alias("bias"), "rank")

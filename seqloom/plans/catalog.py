@@ -1010,16 +1010,6 @@ def iterate_to_convergence(spark, d):
     return hits.where("included").select("seq_id", r6(F.col("score")).alias("score"), F.lit(rounds).alias("rounds"))
 
 
-@query()
-def long_target_search(spark, d):
-    """Letters A, C, G and T of pages as DNA, searched on both strands for what the first page begins with."""
-    s = table(spark, d, "pages").select(F.col("page_id").cast("bigint").alias("seq_id"), F.concat(F.lit("page"), "page_id").alias("name"), F.regexp_replace(F.upper(F.coalesce("html", F.lit(""))), "[^ACGT]", "").alias("seq"))
-    first = s.where("length(seq) >= 40").orderBy("seq_id").first()
-    model = P.single_sequence("acgt", first.seq[:40] if first else "ACGT", popen=0.03125, pextend=0.75, alphabet="dna")
-    model.max_length = 60
-    return R.long_search(s, model).select("seq_id", "strand", "ali_from", "ali_to", "hmm_from", "hmm_to", r6(F.col("bits")).alias("bits"), "rank")
-
-
 @query()
 def approx_distinct(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.approx_count_distinct("l_partkey").alias("parts"))
@@ -1063,7 +1053,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from seqloom.plans import tools  # noqa: F401  (registers its queries)
+    from seqloom.plans import longtargets, tools  # noqa: F401  (register their queries)
 
     return dict(QUERIES)
 

@@ -207,6 +207,32 @@ class CascadeSql:
                 SELECT {carry}, i + 1 AS i, {', '.join([f'{v} AS m{k}' for k, v in new_m.items()] + [f'{v} AS i{k}' for k, v in new_i.items()])}, j, c FROM {x}z JOIN {x}s ON r = substr(seq, i + 1, 1) WHERE i < n)))),
 {x}v AS (SELECT {self.key}, (c + mv - 12000) / {scale!r} - 3.0 AS vit FROM {x}z WHERE i = n)"""
 
+    def crossings(self, nats: float) -> str:
+        """CTE {x}y(key, pos, node): where the gapped filter reaches so many nats and begins anew, in targets of their own length."""
+        x, r, m = self.x, self.r, self.r.m
+        t, e, entry = (P.quantise_viterbi(v) for v in (r.p.tsc, r.p.msc, r.p.entry))
+        scale = float(500 / np.log(2))
+        half = int(np.floor(scale * np.log(0.5) + 0.5))
+        rows = ", ".join(f"('{a}', {', '.join(str(e[i, k]) for k in r.nodes)})" for i, a in enumerate(AMINO))
+        top = lambda *v: f"greatest({', '.join(v)})"
+        new_m = {k: top(*([f"m{k - 1} + {t[k - 1, MM]}", f"i{k - 1} + {t[k - 1, IM]}"] if k > 1 else []), *([f"d{k - 1} + {t[k - 1, DM]}"] if k > 2 else []), f"b + {entry[k]}", "-32768") + f" + s{k}" for k in r.nodes}
+        new_i = {k: top(f"m{k} + {t[k, MI]}", f"i{k} + {t[k, II]}") for k in range(1, m)}
+        dele = {k: top(*[f"m{j} + {t[j, MD] + int(t[j + 1 : k, DD].sum())}" for j in range(1, k)], "-99999") for k in range(2, m + 1)}
+        names = [*[f"m{k}" for k in r.nodes], *[f"i{k}" for k in range(1, m)], *[f"d{k}" for k in range(2, m + 1)]]
+        carry = f"{self.key}, seq, n, mv, least"
+        anew = ", ".join(f"CASE WHEN crossed THEN -32768 ELSE {c} END AS {c}" for c in names)
+        return f"""{x}s AS (SELECT * FROM (VALUES {rows}) AS t(r, {', '.join(f's{k}' for k in r.nodes)})),
+{x}z AS (
+    SELECT {carry}, 0 AS i, {', '.join(f'-32768 AS {c}' for c in names)}, 12000 + mv AS b, -32768 AS j, -32768 AS en, FALSE AS crossed FROM (
+        SELECT *, ceil(({nats!r} + 3.0) * {scale!r} - ({half}) - mv + 12000) AS least FROM (
+            SELECT {self.key}, seq, length(seq) AS n, floor({scale!r} * ln(3.0 / (length(seq) + 3)) - 0.5 + 1)::INT AS mv FROM {self.source} WHERE length(seq) > 0))
+    UNION ALL
+    SELECT {carry}, i, {', '.join(names)}, CASE WHEN en >= least THEN b ELSE greatest(12000, greatest(j, en + {half})) + mv END, CASE WHEN en >= least THEN j ELSE greatest(j, en + {half}) END, en, en >= least FROM (
+        SELECT *, {top(*[f'm{k}' for k in r.nodes])} AS en FROM (
+            SELECT *, {', '.join(f'{v} AS d{k}' for k, v in dele.items())} FROM (
+                SELECT {carry}, i + 1 AS i, {', '.join([f'{v} AS m{k}' for k, v in new_m.items()] + [f'{v} AS i{k}' for k, v in new_i.items()])}, b, j FROM (SELECT * REPLACE ({anew}) FROM {x}z) JOIN {x}s ON r = substr(seq, i + 1, 1) WHERE i < n)))),
+{x}y AS (SELECT * FROM (SELECT {self.key}, i AS pos, en, unnest([{', '.join(map(str, r.nodes))}]) AS node, unnest([{', '.join(f'm{k}' for k in r.nodes)}]) AS best FROM {x}z WHERE crossed) WHERE best = en)"""
+
     def forward(self) -> str:
         """CTE {x}f(key, fwd)."""
         x, r = self.x, self.r

@@ -627,23 +627,6 @@ def ssv_windows(spark, d):
     return _paths(spark, d, lambda p, x: K.ssv_windows(p, x, 14), "first int, last int, node int, score int")
 
 
-def _pages_dna(spark, d):
-    return table(spark, d, "pages").select(F.col("page_id").cast("bigint").alias("seq_id"), F.concat(F.lit("page"), "page_id").alias("name"), F.regexp_replace(F.upper(F.coalesce("html", F.lit(""))), "[^ACGT]", "").alias("seq"))
-
-
-@query()
-def long_target_scan(spark, d):
-    """Letters A, C, G and T of pages against models of two strings, seeds first: hits ranked per page."""
-    from seqloom.operators import search as R
-
-    models = []
-    for name, word in (("one", "ACGTTGCAAGGCTTACCGATGCATTGACCA"), ("two", "TTACATTCACAGATTCAGTTACCTAGATTC")):
-        m = P.single_sequence(name, word, popen=0.03125, pextend=0.75, alphabet="dna")
-        m.max_length = 60
-        models.append(m)
-    return R.long_scan(_pages_dna(spark, d), models, R.Config(f1=0.1, f2=0.1, f3=0.1, e=1e4)).select("model", "seq_id", "strand", "ali_from", "ali_to", r6(F.col("bits")).alias("bits"), "rank")
-
-
 @query("SELECT TRUE AS even")
 def hits_alignment(spark, d):
     """Included domains of a search as one alignment: all rows are equally long, posteriors too."""

@@ -40,7 +40,7 @@ def test_every_query_has_a_plan(spark):
 def test_long_targets_have_envelopes_in_order(spark):
     """Regions whose frequent starts and ends cross, or that have none, as pages at sf0.01 do."""
     if os.path.isdir("/root/testdata/sf0.01"):
-        for r in catalog.long_target_search(spark, "/root/testdata/sf0.01").collect():
+        for r in catalog.queries()["long_target_search"](spark, "/root/testdata/sf0.01").collect():
             assert (r.ali_from <= r.ali_to) == (r.strand == "+")
 
 

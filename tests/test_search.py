@@ -10,6 +10,7 @@ from seqloom.functions import scores as S
 from seqloom.functions.alphabet import AMINO, letters
 from seqloom.operators import build as B
 from seqloom.operators import intervals as I
+from seqloom.operators import longtarget as L
 from seqloom.operators import profile as P
 from seqloom.operators import search as R
 from seqloom.sources import fasta, hmmfile, stockholm
@@ -227,8 +228,8 @@ def test_windows_cover_a_sequence(spark):
     assert rows == [("abcdefghij", 1, "abcde"), ("abcdefghij", 4, "defgh"), ("abcdefghij", 7, "ghij"), ("abc", 1, "abc")]
 
 
-@pytest.mark.parametrize("seeded", [False, True])
-def test_long_targets_are_searched_on_both_strands(spark, seeded):
+@pytest.mark.parametrize("filtered", [False, True])
+def test_long_targets_are_searched_on_both_strands(spark, filtered):
     rng = np.random.default_rng(5)
     word = "ACGTTGCAAGGCTTACCGATGCATTGACCA"
     other = word[::-1].translate(str.maketrans("ACGT", "TGCA"))
@@ -237,7 +238,8 @@ def test_long_targets_are_searched_on_both_strands(spark, seeded):
     df = spark.createDataFrame([(1, "chr", seq), (2, "none", None)], "seq_id bigint, name string, seq string")
     model = P.single_sequence("w", word, popen=0.03125, pextend=0.75, alphabet="dna")
     model.max_length = 60
-    rows = R.long_search(df, model, window=400, seeded=seeded).collect()
+    config = L.Config() if filtered else L.Config().maximal()
+    rows = L.search(df, [model], config, chunk=400).collect()
     found = {(r.strand, r.ali_from, r.ali_to) for r in rows if r.bits > 25}
     assert found == {("+", 701, 730), ("-", 1660, 1631)}
 
