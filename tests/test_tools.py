@@ -111,20 +111,23 @@ def test_the_transform_index_finds_what_a_plain_search_finds():
         text = "".join(rng.choice("ab\x01c") for _ in range(rng.randint(0, 300))).encode()
         index = fmindex.Index(text)
         assert index.text() == text
-        q = "".join(rng.choice("abc") for _ in range(rng.randint(1, 4))).encode()
-        low, high = index.interval(q)
-        assert sorted(index.place(r) for r in range(low, high)) == [m.start() for m in re.finditer(b"(?=" + re.escape(q) + b")", text)]
-        row, letter = rng.randint(0, index.n), rng.randrange(len(index.letters))
-        assert index.smaller(letter, row) == int((index.bwt[:row] < index.letters[letter]).sum())
+        some = ["".join(rng.choice("abcz") for _ in range(rng.randint(1, 5))).encode() for _ in range(6)]
+        for q, low, high in zip(some, *index.intervals(some), strict=True):
+            assert sorted(index.located(np.arange(low, high))) == [m.start() for m in re.finditer(b"(?=" + re.escape(q) + b")", text)]
+        rows, letters = np.array([rng.randint(0, index.n) for _ in range(9)]), np.array([rng.randrange(len(index.letters)) for _ in range(9)])
+        assert index.smaller(letters, rows).tolist() == [int((index.bwt[:r] < index.letters[c]).sum()) for r, c in zip(rows, letters, strict=True)]
+        assert index.all_occurrences(rows)[np.arange(9), letters].tolist() == index.occurrences(letters, rows).tolist() == [int((index.bwt[:r] == index.letters[c]).sum()) for r, c in zip(rows, letters, strict=True)]
 
 
-def test_long_sequences_are_indexed_in_parts(spark):
+@pytest.mark.parametrize("limit", [1 << 24, 100])
+def test_long_sequences_are_indexed_in_parts(spark, monkeypatch, limit):
+    monkeypatch.setattr(fmindex, "PATTERN_BYTES", limit)  # beyond it, patterns go in groups
     rng = random.Random(2)
     seqs = [(i, "".join(rng.choice("acgt") for _ in range(n))) for i, n in enumerate((900, 40, 0, 333))] + [(9, None)]
     df = spark.createDataFrame(seqs, "target bigint, seq string")
-    queries = spark.createDataFrame([(1, "acgt"), (2, "ttt"), (3, "g"), (4, None), (5, "")], "query int, pattern string")
+    queries = spark.createDataFrame([(1, "acgt"), (2, "ttt"), (3, "g"), (4, None), (5, ""), (6, "acgt")], "query int, pattern string")
     index = fmindex.build_index(df, overlap=20, block=128)
-    want = {(q, t, m.start() + 1) for q, p in ((1, "acgt"), (2, "ttt"), (3, "g")) for t, s in seqs if s for m in re.finditer(f"(?={p})", s)}
+    want = {(q, t, m.start() + 1) for q, p in ((1, "acgt"), (2, "ttt"), (3, "g"), (6, "acgt")) for t, s in seqs if s for m in re.finditer(f"(?={p})", s)}
     assert {tuple(r) for r in fmindex.find(index, queries).collect()} == want
     parts = {(r.target, r.start): r.part for r in fmindex.restored(index).collect()}
     assert all(dict(seqs)[t][s - 1 : s - 1 + len(p)] == p for (t, s), p in parts.items()) and len(parts) > 8
