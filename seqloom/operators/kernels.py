@@ -11,6 +11,7 @@ from dataclasses import replace
 
 import numpy as np
 
+from seqloom.operators import checkpoint
 from seqloom.operators.profile import DD, DM, IM, II, MD, MI, MM, NEVER, Profile, quantise_msv, quantise_viterbi
 
 
@@ -25,6 +26,8 @@ def batch(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 #: Pairs of sequence and model that the ungapped filter takes at once, and models of one table of gains.
 PAIRS, MODELS = 256, 64
+#: Cells (residues x nodes) of a sequence beyond which its posteriors are not all held at once.
+LATTICE = 1 << 21
 #: A gain that no score survives: it stands before the first node and behind the last one of short models.
 CLOSED = -30000
 
@@ -612,6 +615,9 @@ def decoded(p: Profile, codes: list[np.ndarray], targets: list[int] | None = Non
     own = lengths if targets is None else np.array(targets)
     order, out, at = np.argsort(-lengths, kind="stable"), [None] * len(codes), 0
     free = replace(p, target=None)
+    while full and at < len(order) and lengths[order[at]] * p.m > LATTICE:  # in stretches, as their lattices would be large
+        out[order[at]] = checkpoint.Decoded(free, codes[order[at]], int(own[order[at]]))
+        at += 1
     while at < len(order):
         longest = int(lengths[order[at]]) + 1
         size = max(1, min(256, cells // (longest * (4 * p.m if full else 12) + 12 * p.m)))
@@ -650,6 +656,8 @@ def is_multidomain(post: Posterior, i: int, j: int, rt3: float = 0.20) -> bool:
 
 def optimal_accuracy(p: Profile, post: Posterior) -> tuple[float, list[tuple[str, int, int, float]]]:
     """(expected correct residues, path) of the path that maximises the sum of posteriors; path as (state, node, position, posterior)."""
+    if isinstance(post, checkpoint.Decoded):
+        return post.accuracy, post.path
     n, m = len(post.mocc) - 1, p.m
     t = p.tsc
     allow = lambda s, v: np.where(s > NEVER, v, NEVER)
@@ -723,7 +731,12 @@ def optimal_accuracy(p: Profile, post: Posterior) -> tuple[float, list[tuple[str
 
 def null2(p: Profile, post: Posterior, i: int, j: int) -> np.ndarray:
     """Odds of each residue under the composition that positions i..j (1-based) use, by expected state usage."""
-    use_m, use_i = post.match[i : j + 1].sum(0), post.insert[i : j + 1].sum(0)
+    if isinstance(post, checkpoint.Decoded):
+        if (i, j) != (1, len(post.mocc) - 1):
+            raise ValueError("usage is known for the whole of a sequence that was decoded in stretches")
+        use_m, use_i = post.usage
+    else:
+        use_m, use_i = post.match[i : j + 1].sum(0), post.insert[i : j + 1].sum(0)
     flank = (post.n[i : j + 1] + post.j[i : j + 1] + post.c[i : j + 1]).sum() + use_i.sum()
     total = use_m.sum() + flank
     return (np.exp(np.where(np.isfinite(p.msc), p.msc, NEVER)) @ np.where(np.arange(p.m + 1) > 0, use_m, 0) + flank) / total

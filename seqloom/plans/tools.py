@@ -575,6 +575,18 @@ def batched_decoding(spark, d):
     return df.mapInPandas(run, f"p_partkey {df.schema['p_partkey'].dataType.simpleString()}, forward double, backward double")
 
 
+@query(f"WITH {WORD_CELLS.accuracy()} SELECT p_partkey, round(ln(z), 6) AS forward, round(cc, 6) AS accuracy FROM oa JOIN z USING (p_partkey) WHERE i = n")
+def checkpointed_accuracy(spark, d):
+    """Forward scores and expected accuracies of part names, decoded in stretches between kept rows."""
+    from seqloom.operators import checkpoint
+
+    def both(p, x):
+        found = checkpoint.Decoded(p, x)
+        return [(round(found.score, 6), round(found.accuracy, 6))]
+
+    return _paths(spark, d, both, "forward double, accuracy double")
+
+
 def _matrix_sql() -> str:
     from seqloom.sources import matrix
 
