@@ -6,6 +6,11 @@ distinct rows of an alignment alone; identity is a Column expression over both r
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,22 +152,118 @@ def classified(query: Column, target: Column) -> Column:
     return F.when(F.startswith(target, F.concat(query, F.lit("/"))), 1).when(F.startswith(target, F.lit("decoy")), -1).otherwise(0)
 
 
+def in_ranges(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """df with `bucket`: ranges of keys of about as many rows each, whatever the keys' scale, ties included if the keys tell rows apart.
+
+    Spark cuts ranges at quantiles of a sample; rows are kept as they were dealt, as a sample drawn again might cut elsewhere.
+    """
+    return cut(df.repartitionByRange(buckets, *keys).withColumn("bucket", F.spark_partition_id()))
+
+
 def roc_curve(results: DataFrame, steps: int = 3, buckets: int = 256) -> DataFrame:
     """(x, false_per_query, true_positives): positives ranked before more than 10^(x / steps) decoys a query, for results(id, query, target, evalue).
 
-    Ranks need a total order: results are cut into ranges of E-values, decoys are counted by range and then within
+    Ranks need a total order: results are cut into ranges of E-values and ids, decoys are counted by range and then within
     one. Ties are broken by id. The first point holds all that comes before the first decoy.
     """
     r = results.withColumn("class", classified(F.col("query"), F.col("target"))).where(F.col("class") != 0)
-    ends = r.agg(F.min("evalue").alias("lo"), F.max("evalue").alias("hi"), F.count_distinct("query").alias("nq"))
-    width = F.greatest(F.lit(1e-300), (F.col("hi") - F.col("lo")) / buckets)
-    cut_ = r.crossJoin(F.broadcast(ends)).withColumn("bucket", F.floor((F.col("evalue") - F.col("lo")) / width))  # one row of ends
+    cut_ = in_ranges(r, ["evalue", "id"], buckets)
+    queries = cut_.agg(F.count_distinct("query").alias("nq"))
     decoy = (F.col("class") == -1).cast("bigint")
     sums = cut_.groupBy("bucket").agg(F.sum(decoy).alias("s"))
     before = sums.select("bucket", (F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).alias("base"))  # at most `buckets` rows
     inner = F.sum(decoy).over(Window.partitionBy("bucket").orderBy("evalue", "id"))
-    ranked = cut_.withColumn("inner", inner).join(F.broadcast(before), "bucket").where("class = 1").withColumn("fp", F.col("base") + F.col("inner"))
+    ranked = cut_.withColumn("inner", inner).join(F.broadcast(before), "bucket").where("class = 1").withColumn("fp", F.col("base") + F.col("inner")).crossJoin(F.broadcast(queries))  # one row
     least = F.ceil(-F.log10(F.col("nq").cast("double")) * steps)  # where one decoy lies
     x = F.when(F.col("fp") == 0, least - 1).otherwise(F.ceil(F.round(F.log10(F.col("fp") / F.col("nq")) * steps, 9)))
     points = ranked.groupBy(x.alias("x")).agg(F.count("*").alias("n"))
     return points.select("x", F.round(F.pow(F.lit(10.0), F.col("x") / steps), 6).alias("false_per_query"), F.sum("n").over(Window.orderBy("x")).alias("true_positives"))  # a row per step of a decade
+
+
+# intervals of ROC curves
+def draws(name: str, samples: int, seed: int) -> np.ndarray:
+    """A draw from the unit exponential for each sample: 32 bits of md5(seed:block:name) each, four to a block, so that a name draws the same wherever it is met."""
+    data = b"".join(hashlib.md5(f"{seed}:{k}:{name}".encode()).digest() for k in range(-(-samples // 4)))
+    return -np.log((np.frombuffer(data, ">u4")[:samples] + 0.5) / 2**32)
+
+
+def summed(names: DataFrame, column: str, samples: int, seed: int) -> tuple[int, np.ndarray]:
+    """(how many, sum of their draws by sample) of distinct names. Tasks sum their own; a row for each sample comes to the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(samples), 0
+        for pdf in batches:
+            for name in pdf.iloc[:, 0]:
+                total += draws(name, samples, seed)
+                n += 1
+        yield pd.DataFrame({"b": np.arange(samples + 1), "s": np.append(total, n)})
+
+    rows = names.select(F.col(column)).distinct().mapInPandas(run, "b int, s double").groupBy("b").agg(F.sum("s").alias("s")).collect()
+    by = {r.b: r.s for r in rows}
+    return int(by.get(samples, 0)), np.array([by.get(b, 0.0) for b in range(samples)])
+
+
+def roc_intervals(results: DataFrame, samples: int = 500, interval: float = 0.95, steps: int = 3, top: float = 10.0, seed: int = 42, buckets: int = 256) -> DataFrame:
+    """(x, false_per_query, mean, lower, upper): shares of positives before more than 10^(x / steps) decoys a query, by Bayesian bootstrap.
+
+    Each sample weighs queries and targets by Dirichlet draws; a result weighs as its query times its target, and a curve is
+    made with these weights. results(id, query, target, evalue) are ranked by E-value and id, once for all samples: a task has a range
+    of ranks, adds up decoys' weights of all samples side by side, and gives the positives' weights for each step. What comes to
+    the driver is a number for each sample and range, and one for each sample and step. Positives are those among results;
+    a curve without any gives no rows. A null E-value, query, target or id takes no part.
+    """
+    whole = results.where("id is not null and query is not null and target is not null and evalue is not null")
+    r = whole.withColumn("class", classified(F.col("query"), F.col("target")))
+    dealt = in_ranges(r.where(F.col("class") != 0).select("id", "query", "target", "evalue", "class"), ["evalue", "id"], buckets)
+    (n_queries, query_sums), (n_targets, target_sums) = summed(dealt, "query", samples, seed), summed(dealt, "target", samples, seed)
+    if not n_queries:
+        return results.sparkSession.createDataFrame([], "x int, false_per_query double, mean double, lower double, upper double")
+    base, last = int(np.floor(round(-np.log10(n_queries) * steps, 9))), int(np.ceil(round(np.log10(top) * steps, 9)))
+    scale = n_targets / (query_sums * target_sums)  # of a decoy's weight in decoys a query
+
+    def weights(pdf: pd.DataFrame, lo: int, known: dict) -> np.ndarray:
+        rows = []
+        for query, target in zip(pdf["query"].iloc[lo : lo + 512], pdf["target"].iloc[lo : lo + 512], strict=True):
+            if query not in known:
+                if len(known) * samples > 1 << 22:
+                    known.clear()
+                known[query] = draws(query, samples, seed)
+            rows.append(known[query] * draws(target, samples, seed))
+        return np.array(rows) * scale
+
+    def decoys(pdf: pd.DataFrame) -> pd.DataFrame:
+        bad, known = pdf[pdf["class"] == -1], {}
+        total = np.zeros(samples)
+        for lo in range(0, len(bad), 512):
+            total += weights(bad, lo, known).sum(0)
+        return pd.DataFrame({"bucket": [pdf.bucket.iat[0]], "s": [total]})
+
+    sums = {x.bucket: np.array(x.s) for x in dealt.groupBy("bucket").applyInPandas(decoys, "bucket int, s array<double>").collect()}
+    before, total = {}, np.zeros(samples)
+    for bucket in sorted(sums):
+        before[bucket] = total
+        total = total + sums[bucket]
+    shared = results.sparkSession.sparkContext.broadcast(before)
+
+    def positives_by_step(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, known = pdf.sort_values(["evalue", "id"], kind="stable"), {}
+        false = shared.value[pdf.bucket.iat[0]].copy()
+        out = np.zeros((last - base + 2, samples))
+        for lo in range(0, len(pdf), 512):
+            w = weights(pdf, lo, known)
+            good = pdf["class"].iloc[lo : lo + 512].to_numpy() == 1
+            passed = np.cumsum(np.where(good[:, None], 0, w), axis=0) + false
+            with np.errstate(divide="ignore"):
+                x = np.ceil(np.round(np.log10(passed[good]) * steps, 9))
+            at = np.clip(np.nan_to_num(x, neginf=base), base, last + 1).astype(int) - base
+            for b in range(samples):
+                out[:, b] += np.bincount(at[:, b], w[good, b], minlength=len(out))
+            false = passed[-1]
+        return pd.DataFrame({"x": np.repeat(np.arange(base, last + 2), samples), "b": np.tile(np.arange(samples), last - base + 2), "tp": out.ravel()})
+
+    points = dealt.groupBy("bucket").applyInPandas(positives_by_step, "x int, b int, tp double").groupBy("x", "b").agg(F.sum("tp").alias("tp"))
+    share = F.try_divide(F.sum("tp").over(Window.partitionBy("b").orderBy("x")), F.sum("tp").over(Window.partitionBy("b")))
+    tail = int(samples * (1 - interval) / 2 + 1e-9)
+    curve = points.withColumn("share", share).where((F.col("x") <= last) & F.col("share").isNotNull()).groupBy("x").agg(F.avg("share").alias("mean"), F.array_sort(F.collect_list("share")).alias("all"))
+    # a row for each step and sample
+    return curve.select("x", F.round(F.pow(F.lit(10.0), F.col("x") / steps), 6).alias("false_per_query"), "mean", F.col("all")[tail].alias("lower"), F.col("all")[min(samples - 1, samples - tail)].alias("upper"))

@@ -110,6 +110,28 @@ def roc_curve(spark, d):
     return C.roc_curve(results(spark, d))
 
 
+#: A sample's draw for a name, in SQL.
+DRAW = "-ln((('0x' || substr(md5('42:' || (b // 4) || ':' || {}), (1 + 8 * (b % 4))::INT, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)"
+SAMPLES = 20
+
+
+@query(f"""WITH c AS (SELECT * FROM (SELECT *, CASE WHEN starts_with(target, query || '/') THEN 1 WHEN starts_with(target, 'decoy') THEN -1 ELSE 0 END AS class FROM {RESULTS}) WHERE class <> 0),
+b AS (SELECT unnest(range(0, {SAMPLES})) AS b), n AS (SELECT count(DISTINCT query) AS nq, count(DISTINCT target) AS nt, floor(round(-log10(count(DISTINCT query)) * 3, 9))::INT AS base, 3 AS last FROM c),
+qd AS (SELECT b, query, {DRAW.format('query')} AS w FROM (SELECT DISTINCT query FROM c), b), td AS (SELECT b, target, {DRAW.format('target')} AS w FROM (SELECT DISTINCT target FROM c), b),
+s AS (SELECT b, (SELECT sum(w) FROM qd WHERE qd.b = b.b) AS qs, (SELECT sum(w) FROM td WHERE td.b = b.b) AS ts FROM b),
+k AS (SELECT b, class, evalue, id, qd.w * td.w * nt / (qs * ts) AS w FROM c JOIN qd USING (query) JOIN td USING (target, b) JOIN s USING (b) CROSS JOIN n),
+f AS (SELECT b, class, w, sum(CASE WHEN class = -1 THEN w ELSE 0 END) OVER (PARTITION BY b ORDER BY evalue, id) AS fp FROM k),
+x AS (SELECT b, w, CASE WHEN fp = 0 THEN base ELSE least(last + 1, greatest(base, ceil(round(log10(fp) * 3, 9)))) END AS x FROM f, n WHERE class = 1),
+g AS (SELECT b, unnest(range(base, last + 1)) AS x FROM b, n),
+h AS (SELECT g.x, g.b, (SELECT coalesce(sum(w), 0) FROM x WHERE x.b = g.b AND x.x <= g.x) / (SELECT sum(w) FROM x WHERE x.b = g.b) AS share FROM g),
+o AS (SELECT x, avg(share) AS mean, list_sort(list(share)) AS shares FROM h GROUP BY x)
+SELECT x::INT AS x, round(pow(10, x / 3.0), 6) AS false_per_query, round(mean, 6) AS mean, round(shares[3], 6) AS lower, round(shares[19], 6) AS upper FROM o""")
+def roc_intervals(spark, d):
+    """Curves of twenty bootstrap samples, and the interval that holds four fifths of them."""
+    found = C.roc_intervals(results(spark, d), SAMPLES, interval=0.8)
+    return found.select("x", "false_per_query", *[r6(F.col(c)).alias(c) for c in ("mean", "lower", "upper")])
+
+
 # traces: the states that rows of an alignment pass through
 def _states(spark, d):
     from seqloom.operators import build as B
@@ -639,6 +661,59 @@ def ssv_windows(spark, d):
     return _paths(spark, d, lambda p, x: K.ssv_windows(p, x, 14), "first int, last int, node int, score int")
 
 
+# part names as one alignment
+NAMES16 = "(SELECT p_partkey, rpad(upper(replace(p_name, ' ', '-')), 16, '-') AS aseq FROM part)"
+
+
+def _names16(spark, d):
+    """(rows, columns): part names as rows of sixteen columns, and those columns that at least half of them occupy."""
+    from seqloom.operators import build as B
+
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("name"), F.rpad(F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))), 16, "-").alias("aseq"))
+    share = rows.select(F.posexplode(F.split("aseq", "")).alias("at", "c")).where("c <> ''").groupBy((F.col("at") + 1).alias("apos")).agg(F.avg(B.is_residue(F.col("c")).cast("int")).alias("share"))
+    return rows, sorted(r.apos for r in share.where("share >= 0.5").collect())  # sixteen at most
+
+
+@query(f"""WITH c AS (SELECT p_partkey, k AS apos, substr(aseq, k::INT, 1) AS c FROM {NAMES16}, (SELECT unnest(range(1, 17)) AS k)),
+s AS (SELECT apos, avg(CASE WHEN c <> '-' THEN 1 ELSE 0 END) >= 0.5 AS is_match FROM c GROUP BY apos),
+n AS (SELECT apos, is_match, sum(is_match::INT) OVER (ORDER BY apos) AS k FROM s), z AS (SELECT max(k) AS m FROM n),
+x AS (SELECT p_partkey, k, coalesce(max(CASE WHEN is_match THEN c END), '') AS residue, coalesce(string_agg(lower(c), '' ORDER BY apos) FILTER (NOT is_match AND c <> '-'), '') AS ins FROM c JOIN n USING (apos) GROUP BY ALL),
+a AS (SELECT p_partkey, k, residue, ins FROM x UNION ALL SELECT p_partkey, 0, '', '' FROM {NAMES16} WHERE p_partkey NOT IN (SELECT p_partkey FROM x WHERE k = 0)),
+w AS (SELECT k, max(length(ins)) AS w FROM a GROUP BY k),
+l AS (SELECT p_partkey, k, residue, ins, w, CASE WHEN k = 0 THEN 0 WHEN k = m THEN length(ins) ELSE (length(ins) + 1) // 2 END AS cut FROM a JOIN w USING (k), z)
+SELECT p_partkey::VARCHAR AS name, string_agg(residue || substr(ins, 1, cut::INT) || repeat('.', (w - length(ins))::INT) || substr(ins, (cut + 1)::INT), '' ORDER BY k) AS aseq FROM l GROUP BY p_partkey""")
+def realigned_rows(spark, d):
+    """Part names as an alignment, laid out again by the columns that most of them occupy."""
+    from seqloom.operators import mapali
+
+    rows, columns = _names16(spark, d)
+    return mapali.realigned(rows, columns).select("name", "aseq")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 12 = 11 THEN 1.0::DOUBLE WHEN p_size % 12 = 10 THEN 0.0::DOUBLE WHEN p_size % 12 = 0 THEN 0.01::DOUBLE ELSE (p_size % 12) / 10.0::DOUBLE END AS p FROM part")
+def pp_decode(spark, d):
+    """Codes of posteriors, made of part sizes, as probabilities."""
+    from seqloom.operators import mapali
+
+    code = F.substring(F.lit("0123456789.*"), (F.col("p_size") % 12 + 1).cast("int"), F.lit(1))
+    return table(spark, d, "part").select("p_partkey", mapali.decoded_posterior(code).alias("p"))
+
+
+@query()
+def mapped_alignment(spark, d):
+    """Segments of customers as new rows beside the part names that a model was built from."""
+    from seqloom.operators import build as B
+    from seqloom.operators import mapali
+
+    rows, columns = _names16(spark, d)
+    counted = rows.groupBy("aseq").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "aseq").limit(200).collect()  # the 200 most frequent names are the family
+    family = spark.createDataFrame([(k, f"row{k}", r.aseq) for k, r in enumerate(counted)], "row_idx int, name string, aseq string")
+    model = B.from_alignment("names", [r.aseq for r in counted], reference="".join("x" if k in columns else "." for k in range(1, 17)))
+    model.checksum = B.checksum(family.select(F.lit(0).alias("msa_id"), "row_idx", "aseq")).first().checksum
+    new = table(spark, d, "customer").select(F.concat(F.lit("customer"), "c_custkey").alias("name"), F.upper("c_mktsegment").alias("seq"))
+    return mapali.with_alignment(new, model, family)
+
+
 @query("SELECT TRUE AS even")
 def hits_alignment(spark, d):
     """Included domains of a search as one alignment: all rows are equally long, posteriors too."""
