@@ -661,6 +661,28 @@ def ssv_windows(spark, d):
     return _paths(spark, d, lambda p, x: K.ssv_windows(p, x, 14), "first int, last int, node int, score int")
 
 
+# random sequences
+@query("SELECT p_partkey, pair, count(*)::BIGINT AS n FROM (SELECT p_partkey, substr(seq, i::INT, 2) AS pair FROM (SELECT p_partkey, seq, unnest(range(1, length(seq))) AS i FROM {PARTS})) GROUP BY ALL")
+def pair_shuffles(spark, d):
+    """Pairs of neighbouring letters in part names that were shuffled with their pairs kept: those of the names."""
+    from seqloom.operators import sampling
+    from seqloom.plans.catalog import parts
+
+    s = sampling.shuffled_rows(parts(spark, d).select(F.col("p_partkey").alias("key"), "seq"), "di").where("length(seq) > 1")
+    pairs = F.transform(F.sequence(F.lit(1), F.length("seq") - 1), lambda i: F.substring(F.col("seq"), i, F.lit(2)))
+    return s.select(F.col("key").alias("p_partkey"), F.explode(pairs).alias("pair")).groupBy("p_partkey", "pair").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, r AS letter, count(*)::BIGINT AS n FROM (SELECT p_partkey, unnest(regexp_extract_all(seq, '.')) AS r FROM {PARTS}) GROUP BY ALL")
+def letter_shuffles(spark, d):
+    """Letters of part names that were shuffled: those of the names."""
+    from seqloom.operators import sampling
+    from seqloom.plans.catalog import parts
+
+    s = sampling.shuffled_rows(parts(spark, d).select(F.col("p_partkey").alias("key"), "seq"), "mono")
+    return s.select(F.col("key").alias("p_partkey"), F.explode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("letter")).groupBy("p_partkey", "letter").agg(F.count("*").alias("n"))
+
+
 # part names as one alignment
 NAMES16 = "(SELECT p_partkey, rpad(upper(replace(p_name, ' ', '-')), 16, '-') AS aseq FROM part)"
 
