@@ -8,9 +8,11 @@ from seqloom.operators.kernels import Lattice, forward
 from seqloom.operators.profile import DD, DM, IM, II, MD, MI, MM, NEVER, Profile
 
 
-def sampled(p: Profile, lat: Lattice, n: int, paths: int, rng: np.random.Generator) -> np.ndarray:
+def sampled(p: Profile, lat: Lattice, n: int, paths: int, rng: np.random.Generator, matched: list[np.ndarray] | None = None) -> np.ndarray:
     """Rows (path, i, j, k, m) of the domains of paths drawn from the posterior: first and last position, first and last node.
 
+    matched is given rows (path, position, node) of every match on the paths.
+
     All paths walk back at once: in each step, those that are in a state of one kind draw where they came from.
     """
     loop, move = (float(v) for v in p.length_model(n))
@@ -47,6 +49,8 @@ def sampled(p: Profile, lat: Lattice, n: int, paths: int, rng: np.random.Generat
             q = np.flatnonzero(now == "M")
             if len(q):
                 i, k = at[q], node[q]
+                if matched is not None:
+                    matched.append(np.column_stack([q, i, k]))
                 fresh = last[q, 0] == 0
                 last[q[fresh]] = np.stack([i, k], 1)[fresh]
                 inner = k > 1

@@ -683,6 +683,23 @@ def letter_shuffles(spark, d):
     return s.select(F.col("key").alias("p_partkey"), F.explode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("letter")).groupBy("p_partkey", "letter").agg(F.count("*").alias("n"))
 
 
+@query()
+def tail_p_values(spark, d):
+    """How likely random sequences of twelve letters are to score what part names do against a word's model, in whole bits."""
+    from seqloom.operators import kernels as K
+    from seqloom.operators import tail
+    from seqloom.plans.catalog import word_model
+
+    def bits(p, x):
+        n = len(x)
+        null = n * np.log(n / (n + 1)) + np.log(1 / (n + 1))
+        return [(float(np.floor((K.forward(p, x[None, :], np.array([n]))[0] - null) / np.log(2))),)]
+
+    scores = _paths(spark, d, bits, "bits double").select("bits").distinct()
+    found = tail.p_values(tail.samples(spark, word_model(), 12, 2000), scores)
+    return found.select("bits", F.round("p", 12).alias("p"), F.round("error", 12).alias("error"))
+
+
 # part names as one alignment
 NAMES16 = "(SELECT p_partkey, rpad(upper(replace(p_name, ' ', '-')), 16, '-') AS aseq FROM part)"
 
