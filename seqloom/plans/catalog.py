@@ -18,6 +18,7 @@ from seqloom.operators import intervals as I
 from seqloom.operators import kernels as K
 from seqloom.operators import profile as P
 from seqloom.operators import search as R
+from seqloom.operators.clusters import in_ranges
 from seqloom.plans.recursions import CascadeSql, Recursion, bias_sql
 from seqloom.sources.fasta import render_fasta
 
@@ -452,14 +453,12 @@ def asof_segment(spark, d):
 
 
 def cumulative(df: DataFrame, key: str, value: str, buckets: int = 256) -> DataFrame:
-    """df with `start`, the sum of value over smaller keys: ranges of keys are summed, then rows within a range."""
-    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / buckets))
-    cut = df.crossJoin(F.broadcast(ends)).withColumn("bucket", F.floor((F.col(key) - F.col("lo")) / width)).drop("lo", "hi")
-    sums = cut.groupBy("bucket").agg(F.sum(value).alias("s"))
+    """df with `start`, the sum of value over smaller keys: ranges of keys of about as many rows are summed, then rows within a range."""
+    ranges = in_ranges(df, [key], buckets)
+    sums = ranges.groupBy("bucket").agg(F.sum(value).alias("s"))
     sums = sums.withColumn("base", F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).drop("s")  # at most `buckets` rows
     inner = F.sum(value).over(Window.partitionBy("bucket").orderBy(key)) - F.col(value)
-    return cut.join(F.broadcast(sums), "bucket").withColumn("start", (F.col("base") + inner).cast("bigint")).drop("bucket", "base")
+    return ranges.join(F.broadcast(sums), "bucket").withColumn("start", (F.col("base") + inner).cast("bigint")).drop("bucket", "base")
 
 
 @query("SELECT msa_id, row_idx, k::BIGINT AS k, substr(aseq, k::INT, 1) AS residue FROM {MSA} m, (SELECT unnest(range(1, 11)) AS k) WHERE substr(aseq, k::INT, 1) <> '-'")

@@ -33,6 +33,22 @@ def effective_number_clusters(spark, d):
     return C.effective_number(brands(spark, d))
 
 
+@query(f"""WITH RECURSIVE {CLUSTERS}, sz AS (SELECT msa_id, cluster, count(*) AS n FROM cl GROUP BY ALL), tt AS (SELECT msa_id, sum(n) / count(*)::DOUBLE AS each FROM sz GROUP BY msa_id)
+SELECT msa_id, row_idx, round(each / n, 6) AS weight FROM cl JOIN sz USING (msa_id, cluster) JOIN tt USING (msa_id)""")
+def cluster_weights(spark, d):
+    from seqloom.operators import weights
+
+    return weights.cluster_weights(brands(spark, d), 0.62).select("msa_id", "row_idx", r6(F.col("weight")).alias("weight"))
+
+
+@query()
+def tree_weights(spark, d):
+    """Weights of part names by the guide tree of their brand."""
+    from seqloom.operators import weights
+
+    return weights.tree_weights(brands(spark, d)).select("msa_id", "row_idx", r6(F.col("weight")).alias("weight"))
+
+
 @query(f"""WITH RECURSIVE {CLUSTERS}, sz AS (SELECT msa_id, cluster, row_number() OVER (PARTITION BY msa_id ORDER BY count(*) DESC, cluster) AS r FROM cl GROUP BY msa_id, cluster)
 SELECT msa_id, row_idx, CASE WHEN r = 1 THEN 'train' ELSE 'test' END AS part FROM cl JOIN sz USING (msa_id, cluster)""")
 def benchmark_split(spark, d):
