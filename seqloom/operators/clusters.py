@@ -1,7 +1,7 @@
 """Rows of alignments by identity: links, single-linkage clusters, and splits of a family into training and test rows.
 
 Rows are (msa_id, row_idx, aseq). Equal rows are one row with a number from the start, so pairs are formed among
-distinct rows of an alignment alone; identity is a Column expression over both rows.
+distinct rows of an alignment alone, block by block; identity() says the same as a Column over two rows.
 """
 
 from __future__ import annotations
@@ -33,12 +33,49 @@ def distinct_rows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("msa_id", "aseq").agg(F.min("row_idx").alias("rep"), F.count("*").alias("n"))
 
 
+#: Distinct rows of an alignment in a block.
+BLOCK = 1024
+
+
+def _coded(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Residues as numbers above zero, zero for what is none, and the number of residues of each row."""
+    width = max(map(len, rows), default=0)
+    text = np.array([r.upper().ljust(width, "-") for r in rows], f"U{max(1, width)}")
+    code = text.view(np.uint32).reshape(len(rows), -1)
+    code = np.where((code >= ord("A")) & (code <= ord("Z")), code, 0).astype(np.uint8)
+    return code, (code > 0).sum(1)
+
+
 def identity_links(rows: DataFrame, least: float) -> DataFrame:
-    """(msa_id, a, b, pid) of distinct rows a < b of an alignment with at least an identity."""
-    d = distinct_rows(rows)
-    x, y = (d.select(F.col("msa_id"), F.col("rep").alias(n), F.col("aseq").alias(f"{n}_seq")) for n in ("a", "b"))
-    pid = identity(F.col("a_seq"), F.col("b_seq"))
-    return x.join(y, "msa_id").where("a < b").select("msa_id", "a", "b", pid.alias("pid")).where(F.col("pid") >= least)
+    """(msa_id, a, b, pid) of distinct rows a < b of an alignment with at least an identity.
+
+    Rows are dealt to blocks by hash, as many as an alignment's number of rows fills; each two blocks of an alignment meet in a row of
+    their own, whatever the size of the alignment, and are compared as arrays. At the identities that are asked for, rows need
+    not share any stretch, so all pairs are looked at; links alone are given. Null rows have none.
+    """
+    d = distinct_rows(rows.where("aseq is not null"))
+    sizes = d.groupBy("msa_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    packed = cut(d.join(sizes, "msa_id").groupBy("msa_id", F.pmod(F.xxhash64("aseq"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list("rep").alias("reps"), F.collect_list("aseq").alias("seqs")))
+    first = sizes.select("msa_id", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    meet = first.select("msa_id", "x", F.explode(F.sequence(F.col("x"), F.col("blocks") - 1)).alias("y"))
+    one, two = (packed.select("msa_id", F.col("block").alias(n), F.col("reps").alias(f"{n}_reps"), F.col("seqs").alias(f"{n}_seqs")) for n in "xy")
+    met = meet.join(one, ["msa_id", "x"]).join(two, ["msa_id", "y"])
+    kind, key = rows.schema["msa_id"].dataType.simpleString(), rows.schema["row_idx"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for msa, x, y, a_reps, a_seqs, b_reps, b_seqs in pdf.itertuples(index=False):
+                (codes, lengths) = _coded([*a_seqs, *b_seqs])
+                n, out = len(a_seqs), []
+                for i in range(n):
+                    low = i + 1 + n if x == y else n  # a block with itself: later rows alone
+                    same = ((codes[low:] == codes[i]) & (codes[i] > 0)).sum(1)
+                    shorter = np.minimum(lengths[low:], lengths[i])
+                    pid = np.divide(same, shorter, out=np.zeros(len(same)), where=shorter > 0)
+                    out += [(msa, *sorted((a_reps[i], b_reps[low - n + j])), float(pid[j])) for j in np.flatnonzero(pid >= least).tolist()]
+                yield pd.DataFrame(out, columns=["msa_id", "a", "b", "pid"])
+
+    return met.select("msa_id", "x", "y", "x_reps", "x_seqs", "y_reps", "y_seqs").mapInPandas(run, f"msa_id {kind}, a {key}, b {key}, pid double")
 
 
 def linked_sets(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -152,15 +189,16 @@ def classified(query: Column, target: Column) -> Column:
     return F.when(F.startswith(target, F.concat(query, F.lit("/"))), 1).when(F.startswith(target, F.lit("decoy")), -1).otherwise(0)
 
 
-def in_ranges(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """df with `bucket`: ranges of keys of about as many rows each, whatever the keys' scale, ties included if the keys tell rows apart.
+def in_ranges(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """df with `bucket`: ranges of keys of about as many rows each, whatever the keys' scale, ties included if the keys tell rows apart; as many as shuffles have partitions, if not told otherwise.
 
     Spark cuts ranges at quantiles of a sample; rows are kept as they were dealt, as a sample drawn again might cut elsewhere.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(df.repartitionByRange(buckets, *keys).withColumn("bucket", F.spark_partition_id()))
 
 
-def roc_curve(results: DataFrame, steps: int = 3, buckets: int = 256) -> DataFrame:
+def roc_curve(results: DataFrame, steps: int = 3, buckets: int | None = None) -> DataFrame:
     """(x, false_per_query, true_positives): positives ranked before more than 10^(x / steps) decoys a query, for results(id, query, target, evalue).
 
     Ranks need a total order: results are cut into ranges of E-values and ids, decoys are counted by range and then within
@@ -171,7 +209,7 @@ def roc_curve(results: DataFrame, steps: int = 3, buckets: int = 256) -> DataFra
     queries = cut_.agg(F.count_distinct("query").alias("nq"))
     decoy = (F.col("class") == -1).cast("bigint")
     sums = cut_.groupBy("bucket").agg(F.sum(decoy).alias("s"))
-    before = sums.select("bucket", (F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).alias("base"))  # at most `buckets` rows
+    before = sums.select("bucket", (F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).alias("base"))  # a row per range
     inner = F.sum(decoy).over(Window.partitionBy("bucket").orderBy("evalue", "id"))
     ranked = cut_.withColumn("inner", inner).join(F.broadcast(before), "bucket").where("class = 1").withColumn("fp", F.col("base") + F.col("inner")).crossJoin(F.broadcast(queries))  # one row
     least = F.ceil(-F.log10(F.col("nq").cast("double")) * steps)  # where one decoy lies
@@ -203,7 +241,7 @@ def summed(names: DataFrame, column: str, samples: int, seed: int) -> tuple[int,
     return int(by.get(samples, 0)), np.array([by.get(b, 0.0) for b in range(samples)])
 
 
-def roc_intervals(results: DataFrame, samples: int = 500, interval: float = 0.95, steps: int = 3, top: float = 10.0, seed: int = 42, buckets: int = 256) -> DataFrame:
+def roc_intervals(results: DataFrame, samples: int = 500, interval: float = 0.95, steps: int = 3, top: float = 10.0, seed: int = 42, buckets: int | None = None) -> DataFrame:
     """(x, false_per_query, mean, lower, upper): shares of positives before more than 10^(x / steps) decoys a query, by Bayesian bootstrap.
 
     Each sample weighs queries and targets by Dirichlet draws; a result weighs as its query times its target, and a curve is

@@ -18,7 +18,7 @@ from seqloom.operators import intervals as I
 from seqloom.operators import kernels as K
 from seqloom.operators import profile as P
 from seqloom.operators import search as R
-from seqloom.operators.clusters import in_ranges
+from seqloom.operators.clusters import in_ranges as dealt_by_ranges
 from seqloom.plans.recursions import CascadeSql, Recursion, bias_sql
 from seqloom.sources.fasta import render_fasta
 
@@ -452,11 +452,11 @@ def asof_segment(spark, d):
     return met.select("o_orderkey", "doc_id", (F.col("at") - F.col("start")).alias("pos"))
 
 
-def cumulative(df: DataFrame, key: str, value: str, buckets: int = 256) -> DataFrame:
+def cumulative(df: DataFrame, key: str, value: str, buckets: int | None = None) -> DataFrame:
     """df with `start`, the sum of value over smaller keys: ranges of keys of about as many rows are summed, then rows within a range."""
-    ranges = in_ranges(df, [key], buckets)
+    ranges = dealt_by_ranges(df, [key], buckets)
     sums = ranges.groupBy("bucket").agg(F.sum(value).alias("s"))
-    sums = sums.withColumn("base", F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).drop("s")  # at most `buckets` rows
+    sums = sums.withColumn("base", F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).drop("s")  # a row per range
     inner = F.sum(value).over(Window.partitionBy("bucket").orderBy(key)) - F.col(value)
     return ranges.join(F.broadcast(sums), "bucket").withColumn("start", (F.col("base") + inner).cast("bigint")).drop("bucket", "base")
 

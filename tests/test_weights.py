@@ -98,3 +98,22 @@ def test_clusters_weigh_alike(spark):
     rows = [(1, k, s) for k, s in enumerate(["ACDEFG", "ACDEFA", "ACDEFG", "WWWWWW", "YYYYYY", "YYYYYY"])]
     found = {r.row_idx: r.weight for r in W.cluster_weights(spark.createDataFrame(rows, "msa_id int, row_idx int, aseq string")).collect()}
     assert {k: round(v, 6) for k, v in found.items()} == {0: 0.666667, 1: 0.666667, 2: 0.666667, 3: 2.0, 4: 1.0, 5: 1.0}
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, block):
+    from pyspark.sql import functions as F
+
+    from seqloom.operators import clusters as C
+
+    monkeypatch.setattr(C, "BLOCK", block)
+    rng = random.Random(6)
+    rows = [(m, k, s) for m in (1, 2) for k, s in enumerate(some_rows(rng, 25) + ["------------", "acdefg------", "ACDEFG------"])] + [(3, 0, "AC"), (4, 0, None)]
+    df = spark.createDataFrame(rows, "msa_id int, row_idx bigint, aseq string")
+    d = C.distinct_rows(df.where("aseq is not null"))
+    x, y = (d.select("msa_id", F.col("rep").alias(n), F.col("aseq").alias(f"{n}_seq")) for n in "ab")
+    pid = C.identity(F.col("a_seq"), F.col("b_seq"))
+    for least in (0.3, 0.62, 1.0):
+        expected = {(r.msa_id, r.a, r.b, round(r.pid, 9)) for r in x.join(y, "msa_id").where("a < b").select("msa_id", "a", "b", pid.alias("pid")).where(F.col("pid") >= least).collect()}
+        found = [(r.msa_id, r.a, r.b, round(r.pid, 9)) for r in C.identity_links(df, least).collect()]
+        assert set(found) == expected and len(found) == len(expected) > 2
