@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.alphabet import AMINO, background
 from seqloom.operators import clusters as C
 from seqloom.operators import profile as P
-from seqloom.plans.catalog import LOGO, NATION_MODEL, QUANTISED, SQL, WORD_CELLS, nation_models, query, r6, segments, table
+from seqloom.plans.catalog import LOGO, NATION_MODEL, QUANTISED, SQL, STRIP, WORD_CELLS, nation_models, query, r6, segments, table
 
 # part names as rows of one alignment per brand
 BRANDS = "(SELECT p_brand AS msa_id, p_partkey AS row_idx, rpad(upper(replace(p_name, ' ', '-')), 16, '-') AS aseq FROM part)"
@@ -677,6 +677,56 @@ def ssv_windows(spark, d):
     return _paths(spark, d, lambda p, x: K.ssv_windows(p, x, 14), "first int, last int, node int, score int")
 
 
+# model files
+ITEMS = f"(SELECT item_id, {STRIP.format('text')} AS seq FROM benchmark)"
+
+
+def _item_models(spark, d):
+    """A model of each benchmark passage, as a row of a table of models; built in tasks."""
+    from seqloom.functions.alphabet import letters
+    from seqloom.sources import hmmfile
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame([hmmfile.record(P.single_sequence(f"item{i}", s)) for i, s in zip(pdf.item_id, pdf.seq, strict=True)])
+
+    items = table(spark, d, "benchmark").select("item_id", letters(F.col("text")).alias("seq")).where("item_id is not null and seq <> ''")
+    return items.mapInPandas(run, hmmfile.SCHEMA)
+
+
+@query(f"SELECT 'item' || item_id AS name, length(seq)::INT AS m, seq AS consensus FROM {ITEMS} WHERE item_id IS NOT NULL AND seq <> ''")
+def model_files(spark, d):
+    """Models written as binary files by tasks, and read again at their records' places."""
+    import uuid
+
+    from seqloom.session import shared_folder
+    from seqloom.sources import modelsource
+
+    modelsource.register(spark)
+    folder = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    _item_models(spark, d).write.format("profile_models").option("path", folder).mode("append").save()
+    back = spark.read.format("profile_models").option("path", folder).option("partbytes", 1 << 18).load()
+    return back.select("name", "m", F.array_join(F.transform(F.filter("nodes", lambda n: n["k"] > 0), lambda n: n["consensus"]), "").alias("consensus"))
+
+
+@query(f"SELECT 'item' || item_id AS name, length(seq)::INT AS m, substr(seq, 1, 1) AS first FROM {ITEMS} WHERE item_id IS NOT NULL AND length(seq) >= 60")
+def late_profiles(spark, d):
+    """Models pressed into a collection: those that survive by what the first filter reads are read whole, and the likeliest residue of their first node is looked up."""
+    import uuid
+
+    from seqloom.session import shared_folder
+    from seqloom.sources import modelsource
+
+    folder = f"{shared_folder(spark)}/pressed-{uuid.uuid4().hex}"
+    modelsource.press(_item_models(spark, d), folder)
+    survivors = modelsource.filter_parts(spark, folder).where("m >= 60").select("name")
+    best = F.array_position(F.col("node.mat"), F.array_max(F.col("node.mat"))).cast("int")
+    whole = modelsource.rest_of(spark, folder, survivors).withColumn("node", F.filter("nodes", lambda n: n["k"] == 1)[0])
+    return whole.select("name", "m", F.substring(F.lit(AMINO), best, F.lit(1)).alias("first"))
+
+
 # random sequences
 @query("SELECT p_partkey, pair, count(*)::BIGINT AS n FROM (SELECT p_partkey, substr(seq, i::INT, 2) AS pair FROM (SELECT p_partkey, seq, unnest(range(1, length(seq))) AS i FROM {PARTS})) GROUP BY ALL")
 def pair_shuffles(spark, d):

@@ -21,12 +21,11 @@ def importable_on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([ROOT, *parts])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that the cluster names in spark.checkpoint.dir; a lost executor costs its own tasks alone.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, where driver and executors leave files for one another.
 
-    Where no folder is named, a master that runs in this process alone gets a temporary one, any other is refused.
+    Where none is named, a master that runs in this process alone gets a temporary one, any other is refused.
     """
-    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
         if named is None:
@@ -35,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="seqloom-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder; a lost executor costs its own tasks alone."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
