@@ -72,7 +72,7 @@ def test_dedup_keeps_what_brute_force_keeps(spark):
 
 def test_names_and_order():
     assert [f.__name__ for _, f in p.STAGES] == ["identify", "dedup", "redact", "blend", "encode"]
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in catalog.queries() if k != "pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in catalog.queries() if k != "pipeline"}
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
