@@ -8,7 +8,8 @@ sum(size * r) = target for each source. A document's divergence counts size / ti
 gives way more easily. The dual is convex and separates by source; its solution tilts exponentially,
 r = min(most, exp(lambda * tilt)). Newton steps on the lambdas, from 0 on, need two sums per source and
 step, which are aggregated over all documents; a step that leaves the interval known to hold the solution is
-replaced by its middle. Unless a tilt is named, it falls from 1.5 to 0.5 as documents grow, so that short
+replaced by its middle, and while that interval is open on a side, steps there at most triple. Lambdas are
+sought in units of a source's largest tilt, so tilts of any scale reach their targets. Unless a tilt is named, it falls from 1.5 to 0.5 as documents grow, so that short
 ones are dropped or repeated first and long ones stay near one copy.
 
 Copies: every document gets floor(r) copies; what that leaves of the target is handed out in an order that
@@ -22,7 +23,8 @@ of them, or more than the stretches of a source.
 Documents with a null text have size 0, take part and take nothing. A null source is a source of its
 own, last in order. Repeated rows count as often as they occur, get equal copies, and must fit together.
 An empty table gives an empty result. Columns that the input has beside id, text and source are
-ignored. All results follow from exact sums, so reruns agree.
+ignored. A named tilt that is null, not finite or not positive counts as 1. The sums of a step are sums of
+integers (whole words, and the rest in units of 2^-26 words), which don't depend on the order of rows, so reruns agree.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from seqloom.llm.common import checkpointed, scratch
 BUCKETS = 4_096
 #: Sources up to which per-source rows are broadcast; the count is taken first, and beyond it they are shuffled.
 BROADCAST_SOURCES = 50_000
+#: Parts of a word that sums of doubles are taken to.
+UNIT = float(1 << 26)
 
 
 def word_count(text: Column) -> Column:
@@ -70,26 +74,41 @@ def targets(sources: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2,
     return ranked.withColumn("target", F.least(F.lit(float(level)) * F.col("weight"), (F.col("source_size") * most).cast("double")))
 
 
-def rates(docs: DataFrame, balanced: DataFrame, most: int = 3, steps: int = 80) -> DataFrame:
-    """balanced(source, source_size, target) with `lam`, the dual solution; docs holds source, size and tilt (positive)."""
-    f, rate = F.col("tilt"), F.least(F.lit(float(most)), F.exp(F.col("lam") * F.col("tilt")))
-    lam = checkpointed(balanced.withColumns({"lam": F.lit(0.0), "lo": F.lit(-100.0), "hi": F.lit(100.0), "off": F.lit(1.0)}))
+def exact_sum(x: Column) -> Column:
+    """The sum of a column of non-negative doubles, each taken to 2^-26: a sum of integers, alike in any order of rows."""
+    whole = F.floor(x)
+    return F.sum(whole) + F.sum(F.round((x - whole) * UNIT).cast("bigint")) / UNIT
+
+
+def rates(docs: DataFrame, balanced: DataFrame, most: int = 3) -> DataFrame:
+    """balanced(source, source_size, target, widest) with `lam`, the dual solution; docs holds source, size and tilt (positive), widest is a source's largest tilt.
+
+    Steps end when sources meet their targets to a billionth, or when doubles hold no lambda between the two that are known.
+    """
+    f = F.col("tilt") / F.col("widest")
+    rate = F.least(F.lit(float(most)), F.exp(F.col("lam") * f))
+    start = {"lam": F.lit(0.0), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"), "off": F.lit(1.0)}
+    lam = checkpointed(balanced.withColumns(start))
     count, kept = lam.count(), [c for c in balanced.columns if c != "source"]
-    for _ in range(steps):
+    step = 0
+    while not lam.where("off > 0").isEmpty():
+        step += 1
         # a source's row goes along with its sums, so that a step needs no join but the one with the documents
         current = _small(lam.withColumnRenamed("source", "of"), count)
         free = F.when(rate < most, F.col("size") * f * rate).otherwise(0.0)
         met = docs.select("source", "size", "tilt").join(current, F.col("source").eqNullSafe(F.col("of")))
-        sums = met.groupBy(F.col("of").alias("source"), *kept, "lam", "lo", "hi", "off").agg(F.sum(F.col("size") * rate).alias("got"), F.sum(free).alias("slope"))
-        gap = F.col("target") - F.col("got")
-        open_ = (F.col("off") > 0) & (F.abs(gap) > 1e-9 * (F.col("target") + 1)) & (F.col("target") > 0) & (F.col("target") < F.col("source_size") * (most * (1 - 1e-12)))
-        low, high = F.when(gap > 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap < 0, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") + gap / F.col("slope")
-        step = F.when((F.col("slope") > 0) & (newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        lam = checkpointed(sums.select("source", *kept, F.when(open_, step).otherwise(F.col("lam")).alias("lam"), low.alias("lo"), high.alias("hi"), F.when(open_, 1.0).otherwise(0.0).alias("off")))
-        if lam.where("off > 0").isEmpty():
-            break
-    return lam.select(*balanced.columns, F.round("lam", 9).alias("lam"))  # sums of doubles depend on their order in the last digits
+        sums = met.groupBy(F.col("of").alias("source"), *kept, "lam", "lo", "hi", "off").agg(exact_sum(F.col("size") * rate).alias("got"), exact_sum(free).alias("slope"))
+        gap, at = F.col("target") - F.col("got"), F.col("lam")
+        low, high = F.when(gap > 0, at).otherwise(F.col("lo")), F.when(gap < 0, at).otherwise(F.col("hi"))
+        below, above = F.coalesce(low, -3 * F.abs(at) - 1), F.coalesce(high, 3 * F.abs(at) + 1)
+        newton = F.when(F.col("slope") > 0, at + gap / F.col("slope"))
+        middle = F.when(low.isNull(), below).when(high.isNull(), above).otherwise((low + high) / 2)
+        # every eighth step halves what is known, so that no shape of rates makes Newton steps creep
+        following = F.when((newton > below) & (newton < above) & F.lit(step % 8 != 0), newton).otherwise(middle)
+        reachable = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * (most * (1 - 1e-12)))
+        open_ = (F.col("off") > 0) & (F.abs(gap) > 1e-9 * F.col("target") + 1e-6) & reachable & (following != at)
+        lam = checkpointed(sums.select("source", *kept, F.when(open_, following).otherwise(at).alias("lam"), low.alias("lo"), high.alias("hi"), F.when(open_, 1.0).otherwise(0.0).alias("off")))
+    return lam.select(*balanced.columns, (F.round("lam", 9) / F.col("widest")).alias("lam"))
 
 
 def identity(id_col: str, text_col: str) -> Column:
@@ -104,12 +123,14 @@ class Mix:
         self.most = most
         row = docs.agg(F.count("*").alias("n"), F.sum("size").alias("s")).first()
         mean = max(1.0, (row.s or 0) / max(1, row.n))
-        self.tilt = tilt if tilt is not None else 0.5 + 1 / (1 + F.col("size") / mean)
+        given = tilt.cast("double") if tilt is not None else None
+        self.tilt = F.when((given > 0) & (given < float("inf")), given).otherwise(1.0) if tilt is not None else 0.5 + 1 / (1 + F.col("size") / mean)
         self.buckets = max(BUCKETS, int(row.n**0.5))
         spark = docs.sparkSession
         with scratch(spark) as keep:
-            sized = docs.withColumn("tilt", self.tilt.cast("double"))
-            balanced = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), most, weights)
+            sized = docs.withColumn("tilt", self.tilt)
+            widest = F.coalesce(F.max(F.when(F.col("size") > 0, F.col("tilt"))), F.lit(1.0))
+            balanced = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), widest.alias("widest")), most, weights)
             solved = keep(checkpointed(rates(sized, balanced, most)))
             self.count = solved.count()
             self.by = solved.select(F.col("source").alias("of"), "source_size", "target", "lam")
@@ -125,7 +146,7 @@ class Mix:
         """docs with source_size, target, rate, whole (its floor) and b, its stretch of the order."""
         out = docs.join(_small(self.by, self.count), F.col("source").eqNullSafe(F.col("of")))
         full = F.col("target") >= F.col("source_size") * (self.most * (1 - 1e-12))
-        rate = F.when(full, F.lit(float(self.most))).otherwise(F.least(F.lit(float(self.most)), F.exp(F.col("lam") * self.tilt.cast("double"))))
+        rate = F.when(full, F.lit(float(self.most))).otherwise(F.least(F.lit(float(self.most)), F.exp(F.col("lam") * self.tilt)))
         out = out.withColumn("rate", F.when(F.col("target") > 0, rate).otherwise(0.0))
         out = out.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate"))).withColumn("whole", F.floor("rate"))
         draw, cut = (F.pmod("h", F.lit(1 << 52)) + 0.5) / float(1 << 52), F.col("rate") - F.col("whole")

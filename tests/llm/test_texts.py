@@ -546,6 +546,30 @@ def test_rates_solve_the_dual(spark, docs, tilt):
     assert len(solved) > 20  # rates differ between documents of a source
 
 
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e6])
+def test_rates_meet_targets_whatever_the_scale_of_tilts(spark, docs, scale):
+    """Tilts that differ by their scale alone give the same rates, and rates alone meet the targets."""
+    table = docs.withColumn("v", (0.2 + (mixing.F.col("doc_id") % 7) / 5) * scale)
+    rows = mixing.mix(table, tilt="v").collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    for some in by.values():
+        assert math.isclose(sum(r.size * r.rate for r in some), some[0].target, rel_tol=1e-5, abs_tol=1e-3)
+    assert {r.doc_id: r.copies for r in rows} == {r.doc_id: r.copies for r in mixing.mix(docs.withColumn("v", 0.2 + (mixing.F.col("doc_id") % 7) / 5), tilt="v").collect()}
+
+
+def test_tilts_that_are_no_rates_count_as_one(spark):
+    values = [None, float("nan"), float("inf"), 0.0, -2.0, 1.0]
+    rows = [(i, "a b c " * (1 + i % 5), "xyz"[i % 3], values[i % len(values)]) for i in range(60)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string, v double"), tilt="v").collect()
+    by = defaultdict(set)
+    for r in got:
+        assert 0 <= r.copies <= 3
+        by[r.source].add(round(r.rate, 9))
+    assert all(len(x) == 1 for x in by.values())
+
+
 def test_mix_follows_its_rates(spark):
     """Of documents of a size, copies are within a few standard deviations of the sum of rates."""
     rows = [(i, "w " * (1 + i % 40), "a" if i % 3 else "b") for i in range(6000)]
