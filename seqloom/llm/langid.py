@@ -8,8 +8,9 @@ ridge regression in that space yields a score per language. Scoring is a product
 presence with the landmarks' presence, then with the regression weights; as both are linear, the two
 fixed factors are multiplied once, when the model is made, and a batch of texts is one matrix product.
 
-Bounds (documented parameters): about `landmarks` landmark texts and `train` training texts, dealt equally
-to the languages and chosen by a hash of the id. Of more languages than such a sample has texts, the most
+Bounds (documented parameters): `landmarks` landmark texts and `train` training texts at most, dealt equally
+to the languages and chosen by a hash of id and text, so that rows which share an id, or have none, are drawn
+one by one; rows that repeat both count once. Of more languages than such a sample has texts, the most
 frequent ones are learned. Every text is scored whole.
 
 Letters are the characters of Unicode's category L; digits of any kind, such as superscripts, are none.
@@ -38,6 +39,8 @@ LONGEST = 4
 #: Texts whose presence makes one matrix.
 BATCH = 64
 UNKNOWN = "und"
+#: How many draws a sample's hashes are taken to.
+SPAN = 1 << 52
 
 
 def ngrams(text: str | None) -> np.ndarray:
@@ -100,12 +103,28 @@ def kernel(features: list[np.ndarray], vocabulary: np.ndarray, presence: np.ndar
 
 
 def sample(df: DataFrame, count: int, salt: str) -> DataFrame:
-    """About count rows of (id, text, lang), as many for each language, by a hash of the id; at most `count` languages, the most frequent."""
+    """At most count distinct rows of (id, text, lang), as many for each language, those that a hash of id and text puts first; at most `count` languages, the most frequent.
+
+    A pass over the hashes under twice the rate wanted finds where each language's share ends; a language whose
+    rows repeat so often that too few differ there is looked at again under four times the rate. So the
+    driver gets a few times `count` numbers, whatever repeats.
+    """
     sizes = {r.lang: r.n for r in df.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(count).collect()}
     each = max(1, count // max(1, len(sizes)))
-    rates = df.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in sizes.items()] or [("", 0.0)], "lang string, rate double")
-    draw = F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("id", "text", "lang")
+    drawn = df.select("id", "text", "lang", F.pmod(F.xxhash64(F.lit(salt), "id", "text"), F.lit(SPAN)).alias("draw"))
+
+    def under(ends: dict[str, int]) -> DataFrame:
+        shares = df.sparkSession.createDataFrame(list(ends.items()), "lang string, end bigint")
+        return drawn.join(F.broadcast(shares), "lang").where(F.col("draw") < F.col("end"))
+
+    ends, looked = {}, {lang: min(SPAN, 2 * each * SPAN // n + 1) for lang, n in sizes.items()}
+    while looked:
+        found: dict[str, list[int]] = {lang: [] for lang in looked}
+        for lang, draw in under(looked).select("lang", "draw").distinct().collect():
+            found[lang].append(draw)
+        ends |= {lang: sorted(found[lang])[:each][-1] + 1 for lang, end in looked.items() if len(found[lang]) >= each or end == SPAN}
+        looked = {lang: min(SPAN, 4 * end) for lang, end in looked.items() if lang not in ends}
+    return under(ends).dropDuplicates(["lang", "draw"]).select("id", "text", "lang")
 
 
 def fit(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", landmarks: int = 128, train: int = 3000, ridge: float = 1e-3) -> Model:

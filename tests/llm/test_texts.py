@@ -215,6 +215,14 @@ def test_samples_stay_bounded_with_many_languages(spark):
     assert langid.sample(df.withColumn("lang", langid.F.lit("l")), 100, "x").count() < 160
 
 
+def test_samples_of_rows_that_share_an_id_or_repeat(spark):
+    rows = [(None, f"word{i}", "l") for i in range(2000)] + [(7, "same", "m")] * 2000 + [(i, "same", "n") for i in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, text string, lang string")
+    got = Counter(r.lang for r in langid.sample(df, 90, "x").collect())
+    assert got == {"l": 30, "m": 1, "n": 30}
+    assert sorted(map(str, langid.sample(df, 90, "x").collect())) == sorted(map(str, langid.sample(df.repartition(5), 90, "x").collect()))
+
+
 def test_nothing_to_learn_from(spark):
     df = languages(spark)
     model = langid.fit(df, langid.F.lit(False))
