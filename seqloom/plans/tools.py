@@ -299,7 +299,7 @@ def target_report(spark, d):
     from seqloom.sources import report
 
     o = table(spark, d, "orders")
-    hits = o.select(F.col("o_orderkey").alias("rank"), (F.col("o_totalprice").cast("double") * F.pow(F.lit(10.0), -(F.col("o_custkey") % 12))).alias("evalue"), (F.col("o_orderkey") / 8.0).alias("score"), ((F.col("o_custkey") % 40) / 8.0).alias("bias"),
+    hits = o.select(F.col("o_orderkey").alias("rank"), (F.col("o_totalprice").cast("double") * F.concat(F.lit("1e"), -(F.col("o_custkey") % 12)).cast("double")).alias("evalue"), (F.col("o_orderkey") / 8.0).alias("score"), ((F.col("o_custkey") % 40) / 8.0).alias("bias"),
                     ((F.col("o_custkey") % 16) / 4.0).alias("exp"), (F.col("o_custkey") % 7).alias("n"), F.concat(F.lit("target"), "o_custkey").alias("name"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("descr"))
     return report.target_lines(hits)
 

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def printed(x: Column, pattern: str) -> Column:
+    """A number as C's printf shows it: the value that the 64 bits have is rounded, a half to the even digit."""
+
+    @F.pandas_udf("string")
+    def show(v: pd.Series) -> pd.Series:
+        return pd.Series([pattern % n for n in v], dtype=object)
+
+    return F.when(x.isNotNull(), show(x.cast("double")))
+
+
 def two_digits(x: Column) -> Column:
     """A number with two significant digits, as C's %.2g prints it."""
-    shown = F.when(x == 0, F.lit(0.0)).otherwise(F.round(x / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 1)) * F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 1))
-    power = F.when(x == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(shown)) + 1e-9)).cast("int")
-    trim = lambda s: F.regexp_replace(F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, "0+$", "")).otherwise(s), r"\.$", "")
-    mantissa = trim(F.format_string("%.1f", shown / F.pow(F.lit(10.0), power)))
-    small = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    plain = F.when(power >= 1, F.format_string("%.0f", shown)).when(power == 0, trim(F.format_string("%.1f", shown))).when(power == -1, trim(F.format_string("%.2f", shown))).when(power == -2, trim(F.format_string("%.3f", shown))).when(power == -3, trim(F.format_string("%.4f", shown))).otherwise(trim(F.format_string("%.5f", shown)))
-    return F.when((power < -4) | (power >= 2), small).otherwise(plain)
+    return printed(x, "%.2g")
 
 
 def one_digit(x: Column) -> Column:
-    """A number with one digit behind the point; a half goes to the even digit."""
-    return F.format_string("%.1f", F.bround(x, 1))
+    """A number with one digit behind the point, as C's %.1f prints it."""
+    return printed(x, "%.1f")
 
 
 def target_lines(hits: DataFrame) -> DataFrame:
