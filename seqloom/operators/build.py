@@ -16,10 +16,25 @@ from seqloom.operators.priors import prior as standard
 from seqloom.operators.profile import DD, DM, II, IM, MD, MI, MM, Model, relative_entropy
 
 
+def distinct_rows(msa: DataFrame) -> DataFrame:
+    """(msa_id, row_idx, aseq, n): equal rows of an alignment as one, under the smallest of their numbers, with how many they are."""
+    return msa.groupBy("msa_id", "aseq").agg(F.min("row_idx").alias("row_idx"), F.count("*").alias("n"))
+
+
 def cells(msa: DataFrame) -> DataFrame:
-    """(msa_id, row_idx, apos, c): one row per cell, apos from 1, letters in upper case."""
+    """(msa_id, row_idx, apos, c): one row per cell, apos from 1, letters in upper case; and n, the row's number of copies, where msa has it."""
     parts = F.filter(F.split(F.upper("aseq"), ""), lambda c: c != "")
-    return msa.select("msa_id", "row_idx", F.posexplode(parts).alias("p", "c")).select("msa_id", "row_idx", (F.col("p") + 1).alias("apos"), "c")
+    n = _n_of(msa)
+    return msa.select("msa_id", "row_idx", *n, F.posexplode(parts).alias("p", "c")).select("msa_id", "row_idx", (F.col("p") + 1).alias("apos"), "c", *n)
+
+
+def _n_of(df: DataFrame) -> list[str]:
+    return ["n"] if "n" in df.columns else []
+
+
+def _copies(df: DataFrame) -> Column:
+    """How many equal rows of an alignment a row of cells or states stands for."""
+    return F.col("n") if "n" in df.columns else F.lit(1)
 
 
 def is_residue(c: Column) -> Column:
@@ -27,20 +42,28 @@ def is_residue(c: Column) -> Column:
 
 
 def position_weights(cell: DataFrame) -> DataFrame:
-    """(msa_id, row_idx, weight): a column gives each residue 1 / (kinds * copies of its kind), a row gets the mean over its residues, and weights sum to the number of rows."""
+    """(msa_id, row_idx, weight): a column gives each residue 1 / (kinds * copies of its kind), a row gets the mean over its residues, and weights sum to the number of rows.
+
+    Of cells with numbers of copies, weight is that of each copy.
+    """
     r = cell.where(is_residue(F.col("c")))
-    copies = r.groupBy("msa_id", "apos", "c").agg(F.count("*").alias("copies"))
-    kinds = copies.groupBy("msa_id", "apos").agg(F.count("*").alias("kinds"))
-    share = r.join(copies, ["msa_id", "apos", "c"]).join(kinds, ["msa_id", "apos"])
-    raw = share.groupBy("msa_id", "row_idx").agg(F.sum(1.0 / (F.col("copies") * F.col("kinds"))).alias("s"), F.count("*").alias("n"))
-    every = cell.select("msa_id", "row_idx").distinct().join(raw, ["msa_id", "row_idx"], "left").withColumn("raw", F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)))
+    copies = r.groupBy("msa_id", "apos", "c").agg(F.sum(_copies(cell)).alias("copies"))
+    kinds = copies.withColumn("kinds", F.count("*").over(Window.partitionBy("msa_id", "apos")))
+    share = cell.join(kinds, ["msa_id", "apos", "c"], "left").groupBy("msa_id", "row_idx").agg(F.sum(1.0 / (F.col("copies") * F.col("kinds"))).alias("s"), F.count("copies").alias("used"), F.first(_copies(cell)).alias("n"))
+    every = share.withColumn("raw", F.coalesce(F.col("s") / F.nullif("used", F.lit(0)), F.lit(0.0)))
     w = Window.partitionBy("msa_id")
-    return every.select("msa_id", "row_idx", F.when(F.sum("raw").over(w) > 0, F.col("raw") / F.sum("raw").over(w) * F.count("*").over(w)).otherwise(1.0).alias("weight"))
+    total, rows = F.sum(F.col("raw") * F.col("n")).over(w), F.sum("n").over(w)
+    return every.select("msa_id", "row_idx", F.when(total > 0, F.col("raw") / total * rows).otherwise(1.0).alias("weight"))
+
+
+def _weighed(df: DataFrame, weights: DataFrame) -> DataFrame:
+    """Cells or states with the weight of the rows that they stand for. Both sides grow with the alignment's rows, so neither is sent to the driver."""
+    return df.join(weights.hint("merge"), ["msa_id", "row_idx"]).withColumn("weight", F.col("weight") * _copies(df))
 
 
 def consensus_columns(cell: DataFrame, weights: DataFrame, symfrac: float = 0.5) -> DataFrame:
     """(msa_id, apos, occupied, is_match, k): match columns are those whose weighted residue share reaches symfrac; k numbers them."""
-    w = cell.where("c <> '~'").join(weights, ["msa_id", "row_idx"])
+    w = _weighed(cell.where("c <> '~'"), weights)
     share = w.groupBy("msa_id", "apos").agg((F.sum(F.when(is_residue(F.col("c")), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("occupied"))
     out = share.withColumn("is_match", F.col("occupied") >= symfrac)
     return out.withColumn("k", F.sum(F.col("is_match").cast("int")).over(Window.partitionBy("msa_id").orderBy("apos")))
@@ -49,15 +72,15 @@ def consensus_columns(cell: DataFrame, weights: DataFrame, symfrac: float = 0.5)
 def emission_counts(cell: DataFrame, weights: DataFrame, columns: DataFrame) -> DataFrame:
     """(msa_id, k, c, count): weighted residues of each match column."""
     match = columns.where("is_match").select("msa_id", "apos", "k")
-    return cell.where(is_residue(F.col("c"))).join(match, ["msa_id", "apos"]).join(weights, ["msa_id", "row_idx"]).groupBy("msa_id", "k", "c").agg(F.sum("weight").alias("count"))
+    return _weighed(cell.where(is_residue(F.col("c"))).join(match, ["msa_id", "apos"]), weights).groupBy("msa_id", "k", "c").agg(F.sum("weight").alias("count"))
 
 
 def states(cell: DataFrame, columns: DataFrame) -> DataFrame:
-    """(msa_id, row_idx, apos, k, state): M or D in match columns, I for residues elsewhere."""
+    """(msa_id, row_idx, apos, k, state): M or D in match columns, I for residues elsewhere; and n where cells have it."""
     s = cell.join(columns.select("msa_id", "apos", "is_match", "k"), ["msa_id", "apos"])
     residue = is_residue(F.col("c"))
     state = F.when(F.col("is_match") & residue, "M").when(F.col("is_match"), "D").when(residue, "I")
-    return s.withColumn("state", state).where("state is not null").select("msa_id", "row_idx", "apos", "k", "state")
+    return s.withColumn("state", state).where("state is not null").select("msa_id", "row_idx", "apos", "k", "state", *_n_of(cell))
 
 
 def transition_counts(state: DataFrame, weights: DataFrame) -> DataFrame:
@@ -66,7 +89,7 @@ def transition_counts(state: DataFrame, weights: DataFrame) -> DataFrame:
     step = state.withColumn("from_state", F.lag("state").over(w)).withColumn("from_k", F.lag("k").over(w))
     move = F.concat(F.coalesce("from_state", F.lit("M")), F.col("state"))
     step = step.withColumn("move", move).withColumn("node", F.coalesce("from_k", F.lit(0))).where("move not in ('DI', 'ID')")
-    return step.join(weights, ["msa_id", "row_idx"]).groupBy("msa_id", F.col("node").alias("k"), "move").agg(F.sum("weight").alias("count"))
+    return _weighed(step, weights).groupBy("msa_id", F.col("node").alias("k"), "move").agg(F.sum("weight").alias("count"))
 
 
 def capped_inserts(counts: DataFrame, longest: float) -> DataFrame:

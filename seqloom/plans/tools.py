@@ -149,15 +149,21 @@ def roc_intervals(spark, d):
 
 
 # traces: the states that rows of an alignment pass through
-def _states(spark, d):
+def _columns(rows):
+    """(cells, columns) of rows of alignments, all rows counted in full; equal rows are taken once, with their number."""
+    from pyspark.sql import Window
+
     from seqloom.operators import build as B
 
-    cell = B.cells(segments(spark, d))
-    share = cell.groupBy("msa_id", "apos").agg((F.avg(F.when(B.is_residue(F.col("c")), 1.0).otherwise(0.0)) >= 0.5).alias("is_match"))
-    from pyspark.sql import Window
+    cell = B.cells(B.distinct_rows(rows))
+    share = cell.groupBy("msa_id", "apos").agg((F.sum(F.when(B.is_residue(F.col("c")), F.col("n")).otherwise(0)) / F.sum("n") >= 0.5).alias("is_match"))
+    return cell, share.withColumn("k", F.sum(F.col("is_match").cast("int")).over(Window.partitionBy("msa_id").orderBy("apos")))
+
 
-    columns = share.withColumn("k", F.sum(F.col("is_match").cast("int")).over(Window.partitionBy("msa_id").orderBy("apos")))
-    return B.states(cell, columns)
+def _states(spark, d):
+    from seqloom.operators import build as B
+
+    return B.states(B.cells(segments(spark, d)), _columns(segments(spark, d))[1])
 
 
 @query(f"WITH {NATION_MODEL} SELECT msa_id, row_idx, state, count(*)::BIGINT AS n FROM st WHERE state IS NOT NULL GROUP BY ALL")
@@ -463,17 +469,18 @@ def profile_validation(spark, d):
 def insert_cap(spark, d):
     from seqloom.operators import build as B
 
-    unit = _states(spark, d).select("msa_id", "row_idx").distinct().withColumn("weight", F.lit(1.0))
-    return B.capped_inserts(B.transition_counts(_states(spark, d), unit), 2.0).select("msa_id", F.col("k").cast("bigint").alias("k"), "move", r6(F.col("count")).alias("n"))
+    states = B.states(*_columns(segments(spark, d)))
+    unit = states.select("msa_id", "row_idx").distinct().withColumn("weight", F.lit(1.0))
+    return B.capped_inserts(B.transition_counts(states, unit), 2.0).select("msa_id", F.col("k").cast("bigint").alias("k"), "move", r6(F.col("count")).alias("n"))
 
 
 @query(f"WITH {NATION_MODEL} SELECT msa_id, k::BIGINT AS k, residue, round(n / sum(n) OVER (PARTITION BY msa_id, k), 6) AS p FROM ec")
 def renormalised_emissions(spark, d):
     from seqloom.operators import build as B
 
-    cell = B.cells(segments(spark, d))
-    match = _states(spark, d).where("state = 'M'").join(cell, ["msa_id", "row_idx", "apos"])
-    counts = match.groupBy("msa_id", "k", F.col("c").alias("residue")).agg(F.count("*").cast("double").alias("count"))
+    cell, columns = _columns(segments(spark, d))
+    match = cell.where(B.is_residue(F.col("c"))).join(columns.where("is_match").select("msa_id", "apos", "k"), ["msa_id", "apos"])
+    counts = match.groupBy("msa_id", "k", F.col("c").alias("residue")).agg(F.sum("n").cast("double").alias("count"))
     return B.renormalised(counts, "msa_id", "k").select("msa_id", F.col("k").cast("bigint").alias("k"), "residue", r6(F.col("p")).alias("p"))
 
 
@@ -515,13 +522,9 @@ def insert_justification(spark, d):
 
 @query(f"WITH {NATION_MODEL} SELECT msa_id, string_agg(CASE WHEN is_match THEN 'x' ELSE '.' END, '' ORDER BY apos) AS rf, string_agg(CASE WHEN is_match AND k % 3 = 0 THEN 'm' ELSE '.' END, '' ORDER BY apos) AS mm FROM mc GROUP BY msa_id")
 def msa_annotation(spark, d):
-    from pyspark.sql import Window
-
     from seqloom.operators import build as B
 
-    cell = B.cells(segments(spark, d))
-    share = cell.groupBy("msa_id", "apos").agg((F.avg(F.when(B.is_residue(F.col("c")), 1.0).otherwise(0.0)) >= 0.5).alias("is_match"))
-    columns = share.withColumn("k", F.sum(F.col("is_match").cast("int")).over(Window.partitionBy("msa_id").orderBy("apos")))
+    columns = _columns(segments(spark, d))[1]
     return B.annotation_lines(columns, columns.where("is_match AND k % 3 = 0").select("msa_id", "k").distinct())
 
 
