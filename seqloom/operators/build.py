@@ -393,16 +393,25 @@ def rows_of(parts: DataFrame, m: int) -> DataFrame:
     return made.mapInPandas(rows, "name string, aseq string, pp string")
 
 
-def alignment(sequences: DataFrame, model: Model) -> DataFrame:
-    """(name, aseq, pp): sequences(name, seq) as rows of one alignment to a model, each aligned by itself."""
+def parts_of(sequences: DataFrame, model: Model) -> DataFrame:
+    """PARTS of sequences(name, seq), each aligned to a model by itself; a task aligns equal ones once."""
     import pandas as pd
 
+    from seqloom.operators import kernels as K
+    from seqloom.operators import search as R
+
     def parts(batches):
+        aligned = K.once(lambda s: aligned_parts(model, s))
         for pdf in batches:
-            found = [aligned_parts(model, s or "") for s in pdf.seq]
+            found = [aligned(s or "") for s in pdf.seq]
             yield pd.DataFrame({"name": pdf.name, **{c: [f[i] for f in found] for i, c in enumerate(("match", "post", "inserts", "marks"))}})
 
-    return rows_of(sequences.select("name", "seq").mapInPandas(parts, PARTS), model.m)
+    return R.balanced(sequences.select("name", "seq")).mapInPandas(parts, PARTS)
+
+
+def alignment(sequences: DataFrame, model: Model) -> DataFrame:
+    """(name, aseq, pp): sequences(name, seq) as rows of one alignment to a model, each aligned by itself."""
+    return rows_of(parts_of(sequences, model), model.m)
 
 
 def domain_alignment(hits: DataFrame, m: int) -> DataFrame:

@@ -77,13 +77,7 @@ def with_alignment(sequences: DataFrame, model: Model, rows: DataFrame) -> DataF
     if found is None or found.checksum != model.checksum:
         raise ValueError(f"these rows are not those that {model.name} came from")
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            each = [B.aligned_parts(model, s or "") for s in pdf.seq]
-            yield pd.DataFrame({"name": pdf.name, **{c: [f[i] for f in each] for i, c in enumerate(("match", "post", "inserts", "marks"))}})
-
-    new = sequences.select("name", "seq").mapInPandas(parts, B.PARTS)
-    return B.rows_of(parts_of(rows, list(model.map)).unionByName(new), model.m)
+    return B.rows_of(parts_of(rows, list(model.map)).unionByName(B.parts_of(sequences, model)), model.m)
 
 
 # what aligned residues are worth

@@ -349,7 +349,9 @@ def sql_table_function(spark, d):
 
 # kernels and paths against a model of one word
 def _paths(spark, d, make, schema: str):
+    from seqloom.operators import kernels as K
     from seqloom.operators import profile as P
+    from seqloom.operators import search as R
     from seqloom.plans.catalog import parts, word_model
 
     p = P.configure(word_model())
@@ -361,10 +363,11 @@ def _paths(spark, d, make, schema: str):
 
         from seqloom.functions.alphabet import digitize
 
+        rows = K.once(lambda s: list(make(p, digitize(s))))
         for pdf in batches:
-            yield pd.DataFrame([(k, *row) for k, s in zip(pdf.p_partkey, pdf.seq, strict=True) for row in make(p, digitize(s))], columns=names)
+            yield pd.DataFrame([(k, *row) for k, s in zip(pdf.p_partkey, pdf.seq, strict=True) for row in rows(s)], columns=names)
 
-    return df.mapInPandas(run, f"p_partkey {df.schema['p_partkey'].dataType.simpleString()}, {schema}")
+    return R.balanced(df).mapInPandas(run, f"p_partkey {df.schema['p_partkey'].dataType.simpleString()}, {schema}")
 
 
 @query(SQL["viterbi_score"])
