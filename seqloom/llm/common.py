@@ -101,6 +101,12 @@ def removed(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Both sides of the driver collect their garbage: shuffle files, broadcasts and generated classes that nothing refers to go now."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that stored() and checkpointed() write within the block are deleted at its end.
@@ -128,8 +134,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             if path not in kept:
                 removed(spark, path)
         if outer is None:
-            gc.collect()
-            spark._jvm.java.lang.System.gc()
+            released(spark)
 
 
 def as_bytes(column: pa.Array) -> list:

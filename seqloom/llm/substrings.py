@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checkpointed, scratch
+from seqloom.llm.common import checkpointed, released, scratch
 from seqloom.llm.corpus import CHUNK_TOKENS, GROUP_KEYS, NO_ID, Chunk, chunked, pack, pack_sorted, rows, stretches, unpack, unpack_sorted
 from seqloom.llm.neardup import mixed
 
@@ -274,6 +274,8 @@ def deduplicated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_c
         first = checkpointed(sent.groupBy("group").applyInPandas(settle_codes, "chunk bigint, group bigint, bits binary, prefix array<bigint>, n array<bigint>"))
         trees = groups_of(first.where("chunk is null").select(F.explode(F.arrays_zip("prefix", "n")).alias("x")).select("x.prefix", "x.n"), tree_limit)
         first = first.where("chunk is not null").select("chunk", "group", "bits")
+        del sent
+        released(spark)  # the codes' shuffle, before that of the words is written
 
         def send_words(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             """The windows of a chunk that others may have, with their words."""
