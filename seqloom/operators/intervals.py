@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,27 +40,40 @@ def without_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     A pass in order of position, as each decision depends on the last. A hit is only ever held against one that
     it overlaps, so a target is cut at its gaps first: a task walks over one stretch of overlapping hits.
     """
-    schema = df.schema
     w = Window.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = df.withColumn("_island", F.sum(F.when(F.col("start") <= before, 0).otherwise(1)).over(w))
+    stretch = [*keys, "_island"]
+    rows = island.repartition(*stretch).sortWithinPartitions(*stretch, "start", "end", "lnp")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns="_island").sort_values(["start", "end", "lnp"], kind="stable")
-        kept: list[int] = []
-        rows = list(pdf[["start", "end", "lnp"]].itertuples(index=False))
-        for i, r in enumerate(rows):
-            if kept:
-                k = rows[kept[-1]]
-                inside = r.start >= k.start and r.end <= k.end
-                if r.start == k.start or r.end == k.end or inside:
-                    if r.lnp < k.lnp:
-                        kept[-1] = i
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A pass over all stretches of a task; a row goes once the next one that is kept can't replace it."""
+        held: pd.DataFrame | None = None  # the row kept last
+        here: tuple = ()
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            same = np.ones(len(pdf), bool)
+            for c in stretch:
+                own, missing = pdf[c].to_numpy(), pdf[c].isna().to_numpy()
+                same[1:] &= (own[1:] == own[:-1]) | (missing[1:] & missing[:-1])
+            same[0] = False
+            kept: list[int] = []
+            for i, (start, end, lnp, on) in enumerate(zip(pdf.start.tolist(), pdf.end.tolist(), pdf.lnp.tolist(), same.tolist(), strict=True)):
+                if on and (start == here[0] or end == here[1] or (start >= here[0] and end <= here[1])):
+                    if lnp < here[2]:
+                        kept[-1], here = i, (start, end, lnp)
                     continue
-            kept.append(i)
-        return pdf.iloc[kept]
-
-    return island.groupBy(*keys, "_island").applyInPandas(run, schema)
+                kept.append(i)
+                here = (start, end, lnp)
+            held = pdf.iloc[kept[-1:]]
+            yield pdf.iloc[kept[:-1]].drop(columns="_island")
+        if held is not None:
+            yield held.drop(columns="_island")
+
+    return rows.mapInPandas(run, df.schema)
 
 
 def kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
