@@ -348,7 +348,8 @@ def sql_table_function(spark, d):
 
 
 # kernels and paths against a model of one word
-def _paths(spark, d, make, schema: str):
+def _paths(spark, d, make, schema: str, distinct: bool = False):
+    """make's rows for part names, or for those that differ: then the smallest p_partkey stands for its copies."""
     from seqloom.operators import kernels as K
     from seqloom.operators import profile as P
     from seqloom.operators import search as R
@@ -356,6 +357,8 @@ def _paths(spark, d, make, schema: str):
 
     p = P.configure(word_model())
     df = parts(spark, d).where("seq <> ''").select("p_partkey", "seq")
+    if distinct:
+        df = df.groupBy("seq").agg(F.min("p_partkey").alias("p_partkey")).select("p_partkey", "seq")
     names = ["p_partkey", *[c.split(" ")[0] for c in schema.split(", ")]]
 
     def run(batches):
@@ -767,7 +770,7 @@ def tail_p_values(spark, d):
         null = n * np.log(n / (n + 1)) + np.log(1 / (n + 1))
         return [(float(np.floor((K.forward(p, x[None, :], np.array([n]))[0] - null) / np.log(2))),)]
 
-    scores = _paths(spark, d, bits, "bits double").select("bits").distinct()
+    scores = _paths(spark, d, bits, "bits double", distinct=True).select("bits").distinct()
     found = tail.p_values(tail.samples(spark, word_model(), 12, 2000), scores)
     return found.select("bits", F.round("p", 12).alias("p"), F.round("error", 12).alias("error"))
 
