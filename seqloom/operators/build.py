@@ -142,6 +142,28 @@ def checksum(rows: DataFrame) -> DataFrame:
     return rows.groupBy("msa_id").agg(text.alias("t")).select("msa_id", folded.alias("checksum"))
 
 
+def chained_checksum(rows: DataFrame) -> int | None:
+    """checksum() of the rows(row_idx, aseq) of one alignment of any length, None without rows: as each letter's step needs the one before, a task reads them in order and keeps one number."""
+    import pandas as pd
+
+    def run(batches):
+        v, any_ = 0, False
+        for pdf in batches:
+            for aseq in pdf.aseq:
+                any_ = True
+                for c in aseq or "":
+                    v = (v + ord(c)) & 0xFFFFFFFF
+                    v = (v + (v << 10)) & 0xFFFFFFFF
+                    v ^= v >> 6
+        v = (v + (v << 3)) & 0xFFFFFFFF
+        v ^= v >> 11
+        if any_:
+            yield pd.DataFrame({"checksum": [(v + (v << 15)) & 0xFFFFFFFF]})
+
+    found = rows.select("row_idx", "aseq").repartition(1).sortWithinPartitions("row_idx", "aseq").mapInPandas(run, "checksum bigint").first()
+    return found.checksum if found else None
+
+
 def justified(inserts: Column, width: Column) -> Column:
     """Inserted residues in a gap of a width: the first half flush left, the rest flush right."""
     left = F.ceil(F.length(inserts) / 2).cast("int")
@@ -217,8 +239,6 @@ def from_alignment(name: str, rows: list[str], alphabet: str = "amino", symfrac:
     """A model from one alignment held in memory; reference marks match columns by hand; copies counts equal rows given once. Rows that span at most a share `fragments` of the columns have missing data, not deletions, at their ends."""
     rows = mark_fragments(rows, fragments)
     grid = np.array([list(r.upper()) for r in rows])
-    letters = ALPHABETS[alphabet]
-    code = np.stack([digitize("".join(r), alphabet) for r in grid])
     residue = np.char.isalpha(grid)
     missing = grid == "~"
     copies = np.ones(len(rows)) if copies is None else np.asarray(copies, float)
@@ -236,34 +256,96 @@ def from_alignment(name: str, rows: list[str], alphabet: str = "amino", symfrac:
         weights = weights / weights.sum() * copies.sum() if weights.sum() else copies
     seen = (weights[:, None] * ~missing).sum(0)
     share = np.divide((weights[:, None] * residue).sum(0), seen, out=np.zeros(grid.shape[1]), where=seen > 0)
-    match = np.array([c not in ".-~ " for c in reference]) if reference else share >= symfrac
-    columns = np.flatnonzero(match)
-    m = len(columns)
-    if not m:
+    match = marked_columns(reference) if reference else share >= symfrac
+    if not match.any():
         raise ValueError(f"{name}: no match columns")
+    return _modelled(name, *path_counts(grid, match, weights, alphabet, mask), match, int(copies.sum()), alphabet, mask, **options)
+
+
+def marked_columns(reference: str) -> np.ndarray:
+    return np.array([c not in ".-~ " for c in reference])
+
+
+def path_counts(grid: np.ndarray, match: np.ndarray, weights: np.ndarray, alphabet: str, mask: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(emissions, transitions) of rows of letters in upper case, each with its weight; masked columns count nothing, so the prior's mean stays."""
+    letters, columns = ALPHABETS[alphabet], np.flatnonzero(match)
+    m, number = len(columns), np.cumsum(match)
+    residue, missing = np.char.isalpha(grid), grid == "~"
     emissions, transitions = np.zeros((m + 1, len(letters))), np.zeros((m + 1, 7))
     names = {"MM": MM, "MI": MI, "MD": MD, "IM": IM, "II": II, "DM": DM, "DD": DD}
-    number = np.cumsum(match)
-    for r in range(len(rows)):
+    for r in range(len(grid)):
+        code = digitize("".join(grid[r]), alphabet)
         path = [("M" if residue[r, c] else "D", int(number[c]), c) if match[c] else ("I", int(number[c]), c) for c in range(grid.shape[1]) if residue[r, c] or (match[c] and not missing[r, c])]
         before, node = "M", 0
         for state, k, col in without_delete_insert(path):
             if before + state in names:
                 transitions[node, names[before + state]] += weights[r]
-            if state == "M" and code[r, col] < len(letters) and not (mask and mask[columns[k - 1]] == "m"):
-                emissions[k, code[r, col]] += weights[r]  # masked columns count nothing, so the prior's mean stays
+            if state == "M" and code[col] < len(letters) and not (mask and mask[columns[k - 1]] == "m"):
+                emissions[k, code[col]] += weights[r]
             before, node = state, k
         if node == m:
             transitions[m, names[before + "M"]] += weights[r]  # to the end state
-    model = estimate(name, emissions, transitions, int(copies.sum()), alphabet, **options)
-    model.map = [int(c) + 1 for c in columns]
+    return emissions, transitions
+
+
+def _modelled(name: str, emissions: np.ndarray, transitions: np.ndarray, match: np.ndarray, nseq: int, alphabet: str, mask: str | None = None, **options) -> Model:
+    """A model from weighted counts, with the map of its columns, consensus and mask."""
     from seqloom.operators.profile import consensus
 
-    model.consensus = consensus(model, "".join(mask[c] for c in columns) if mask else None)
+    columns = np.flatnonzero(match)
+    model = estimate(name, emissions, transitions, nseq, alphabet, **options)
+    model.map = [int(c) + 1 for c in columns]
     model.mm = "".join(mask[c] for c in columns) if mask else None
+    model.consensus = consensus(model, model.mm)
     return model
 
 
+def from_table(name: str, rows: DataFrame, reference: str, alphabet: str = "amino", fragments: float = 0.5, **options) -> Model:
+    """from_alignment() of any number of rows(aseq, n), n equal ones each; reference marks match columns.
+
+    Two passes in tasks, one for the letters of columns, which give rows their weights, one for what rows count with these weights. Only
+    sums over rows come to the driver: a number for each letter of a column, and the counts of a model.
+    """
+    import pandas as pd
+
+    match = marked_columns(reference)
+    if not match.any():
+        raise ValueError(f"{name}: no match columns")
+
+    def grids(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield np.array([list(r.upper()) for r in mark_fragments(pdf.aseq.tolist(), fragments)]), pdf.n.to_numpy(float)
+
+    def letters(batches):
+        for grid, n in grids(batches):
+            residue = np.char.isalpha(grid)
+            for col in range(grid.shape[1]):
+                kinds, which = np.unique(grid[residue[:, col], col], return_inverse=True)
+                yield pd.DataFrame({"col": col, "c": kinds.astype(object), "n": np.bincount(which, n[residue[:, col]], len(kinds))})
+
+    some = rows.select("aseq", "n")
+    copies: dict[int, dict[str, float]] = {}
+    for r in some.mapInPandas(letters, "col int, c string, n double").groupBy("col", "c").agg(F.sum("n").alias("n")).collect():
+        copies.setdefault(r.col, {})[r.c] = r.n
+
+    def counts(batches):
+        for grid, n in grids(batches):
+            gain = np.array([[1 / (len(copies[k]) * copies[k][c]) if c in copies.get(k, ()) else 0.0 for k, c in enumerate(row)] for row in grid])
+            weights = n * gain.sum(1) / np.maximum(1, (gain > 0).sum(1)) if copies else n
+            emissions, transitions = path_counts(grid, match, weights, alphabet)
+            numbers = np.concatenate([[n.sum(), weights.sum()], emissions.ravel(), transitions.ravel()])
+            yield pd.DataFrame({"at": np.arange(len(numbers)), "x": numbers})
+
+    sums = {r["at"]: r.x for r in some.mapInPandas(counts, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()}
+    if not sums:
+        raise ValueError(f"{name}: no rows")
+    nseq, total, *numbers = (sums[k] for k in range(len(sums)))
+    numbers, nodes = np.array(numbers) * nseq / total, int(match.sum()) + 1
+    cut = nodes * len(ALPHABETS[alphabet])
+    return _modelled(name, numbers[:cut].reshape(nodes, -1), numbers[cut:].reshape(nodes, -1), match, int(nseq), alphabet, **options)
+
+
 def rebuilder(query: str, **options):
     """rebuild(model, included) for an iterative search that began with the sequence query.
 

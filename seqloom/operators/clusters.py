@@ -198,6 +198,15 @@ def in_ranges(df: DataFrame, keys: list[str], buckets: int | None = None) -> Dat
     return cut(df.repartitionByRange(buckets, *keys).withColumn("bucket", F.spark_partition_id()))
 
 
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df with each row's place, from 0, in the order of keys that tell rows apart."""
+    cut_ = in_ranges(df, keys)
+    sums = cut_.groupBy("bucket").agg(F.count("*").alias("s"))
+    before = sums.select("bucket", (F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).alias("base"))  # a row per range
+    inner = F.row_number().over(Window.partitionBy("bucket").orderBy(*keys))
+    return cut_.withColumn("inner", inner).join(F.broadcast(before), "bucket").withColumn(name, F.col("base") + F.col("inner") - 1).drop("bucket", "base", "inner")
+
+
 def roc_curve(results: DataFrame, steps: int = 3, buckets: int | None = None) -> DataFrame:
     """(x, false_per_query, true_positives): positives ranked before more than 10^(x / steps) decoys a query, for results(id, query, target, evalue).
 

@@ -73,8 +73,7 @@ def with_alignment(sequences: DataFrame, model: Model, rows: DataFrame) -> DataF
     """
     if model.map is None or model.checksum is None:
         raise ValueError(f"{model.name} has no map of its alignment's columns, or no checksum")
-    found = B.checksum(rows.select(F.lit(0).alias("msa_id"), "row_idx", "aseq")).first()
-    if found is None or found.checksum != model.checksum:
+    if B.chained_checksum(rows) != model.checksum:
         raise ValueError(f"these rows are not those that {model.name} came from")
 
     return B.rows_of(parts_of(rows, list(model.map)).unionByName(B.parts_of(sequences, model)), model.m)

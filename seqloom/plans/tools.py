@@ -818,12 +818,13 @@ def mapped_alignment(spark, d):
     """Segments of customers as new rows beside the part names that a model was built from."""
     from seqloom.operators import build as B
     from seqloom.operators import mapali
+    from seqloom.session import cut
 
     rows, columns = _names16(spark, d)
-    counted = rows.groupBy("aseq").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "aseq").limit(200).collect()  # the 200 most frequent names are the family
-    family = spark.createDataFrame([(k, f"row{k}", r.aseq) for k, r in enumerate(counted)], "row_idx int, name string, aseq string")
-    model = B.from_alignment("names", [r.aseq for r in counted], reference="".join("x" if k in columns else "." for k in range(1, 17)))
-    model.checksum = B.checksum(family.select(F.lit(0).alias("msa_id"), "row_idx", "aseq")).first().checksum
+    names = rows.groupBy(F.coalesce("aseq", F.lit("-" * 16)).alias("aseq")).agg(F.count("*").alias("n")).withColumn("less", -F.col("n"))
+    family = cut(C.numbered(names, ["less", "aseq"], "row_idx").select("row_idx", F.concat(F.lit("row"), "row_idx").alias("name"), "aseq"))  # all different names, frequent ones first
+    model = B.from_table("names", family.withColumn("n", F.lit(1)), "".join("x" if k in columns else "." for k in range(1, 17)))
+    model.checksum = B.chained_checksum(family)
     new = table(spark, d, "customer").select(F.concat(F.lit("customer"), "c_custkey").alias("name"), F.upper("c_mktsegment").alias("seq"))
     return mapali.with_alignment(new, model, family)
 
