@@ -56,3 +56,26 @@ def test_models_of_many_kinds_of_nodes_go_position_by_position():
     codes = [rng.integers(0, 20, n) for n in (300, 200, 5)]
     assert K._by_nodes([p], codes, np.array([300, 200, 5])) is None
     assert np.array_equal(K.msv_many([p], codes), position_by_position([p], codes))
+
+
+def test_stretches_look_up_each_kind_of_node_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    p = P.configure(P.single_sequence("w", "".join(rng.choice(list("ACGT"), 40)), popen=0.03, pextend=0.75, alphabet="dna"))
+    codes = [rng.integers(0, 4, n) for n in (500, 90)] + [p.msc[:4, 1:].argmax(0)]
+    want = [K.ssv_windows(p, c, 30) for c in codes]
+    calls, plain = [], np.take
+    monkeypatch.setattr(np, "take", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    assert [sorted(some) for some in K.ssv_windows_many(p, codes, 30)] == [sorted(some) for some in want] and want[2]
+    assert len(calls) <= 4
+
+
+def test_a_long_target_leaves_the_cascade_whole_batches(monkeypatch):
+    from seqloom.operators import search as R
+
+    rng = np.random.default_rng(7)
+    model = R.calibrated(P.single_sequence("w", letters(rng, 30)))
+    seqs = [letters(rng, n) for n in (20_000, *range(50, 110))]
+    calls, plain = [], K.forward
+    monkeypatch.setattr(K, "forward", lambda p, x, n: calls.append(len(x)) or plain(p, x, n))
+    found = R.cascade(model, R.Config(f1=1.0, f2=1.0, f3=-1.0, bias=False), list(range(61)), [None] * 61, seqs)
+    assert calls == [61] and found.past_fwd.tolist() == [0]
